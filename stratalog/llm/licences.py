@@ -53,23 +53,38 @@ SPELLINGS = [
     ("sub license", "sublicense"), ("utilise", "utilize"), ("whilst", "while"), ("wilful", "willful"), ("v", "version"), ("https", "http"),
 ]
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lines that only say who holds the rights.
 COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
-#: What separates words.
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F©“”‘’–—\x{A0}]+"
+#: What such a line holds; other texts need no search by line.
+RIGHTS = ("copyright", "(c)", "©", "all rights reserved")
+#: Characters that separate words, besides the space.
+PUNCTUATION = "".join(map(chr, [*range(1, 32), *range(33, 48), *range(58, 97), *range(123, 128)])) + "©“”‘’–—\u00a0"
+OTHER_SPELLING = " (" + "|".join(x for x, _ in SPELLINGS) + ") "
 #: Lines that may be a notice.
 NOTICE = "licen|copyleft|public domain|redistribut"
 
 
-def canonical(text: Column) -> Column:
-    """Lower-case words between single spaces, without copyright lines, in one spelling; a space for a null or empty text."""
-    out = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    out = F.regexp_replace(out, COPYRIGHT, "\n")
-    out = F.regexp_replace(F.concat(F.lit(" "), out, F.lit(" ")), GAP, " ")
+def words_only(text: Column) -> Column:
+    """Lower-case words between single spaces, without copyright lines; a space for a null or empty text."""
+    out = F.lower(F.coalesce(text, F.lit("")))
+    has_rights = out.contains(RIGHTS[0])
+    for mark in RIGHTS[1:]:
+        has_rights = has_rights | out.contains(mark)
+    out = F.when(has_rights, F.regexp_replace(out, COPYRIGHT, "\n")).otherwise(out)
+    out = F.translate(F.concat(F.lit(" "), out, F.lit(" ")), PUNCTUATION, " " * len(PUNCTUATION))
+    return F.regexp_replace(out, " {2,}", " ")
+
+
+def one_spelling(words: Column) -> Column:
+    """Equivalent spellings as one; most texts hold none of them and stay as they are."""
+    out = words
     for other, one in SPELLINGS:
         out = F.replace(out, F.lit(f" {other} "), F.lit(f" {one} "))
-    return out
+    return F.when(words.rlike(OTHER_SPELLING), out).otherwise(words)
+
+
+def canonical(text: Column) -> Column:
+    return one_spelling(words_only(text))
 
 
 #: A table of known licences has at most this many digests; so it can be sent to every task.
@@ -94,18 +109,19 @@ def scan_licences(docs: DataFrame, known: DataFrame) -> DataFrame:
     if len(named) > MOST_KNOWN:
         raise ValueError(f"more than {MOST_KNOWN} known licences")
     names = F.create_map(*[F.lit(x) for row in named for x in (row["digest"], row["licence"])])
-    lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, UPPER, LOWER).rlike(NOTICE))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(NOTICE))
     licences = F.transform(lines, lambda x: F.try_element_at(names, F.sha2(canonical(x), 256)))
     notices = F.array_sort(F.array_distinct(F.array_compact(licences)))
-    out = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.coalesce(F.concat_ws(",", notices), F.lit("")).alias("notices"))
+    out = docs.select("doc_id", words_only(F.col("text")).alias("words"), F.coalesce(F.concat_ws(",", notices), F.lit("")).alias("notices"))
+    out = out.withColumn("digest", F.sha2(one_spelling(F.col("words")), 256))
     return out.join(F.broadcast(known), "digest", "left").select("doc_id", "digest", "licence", "notices")
 
 
 def sql_canonical(text: str) -> str:
     """The same in DuckDB's SQL."""
-    out = f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
-    out = f"regexp_replace({out}, '{COPYRIGHT}', chr(10), 'g')".replace("\\n", "\\x0A")
-    out = f"regexp_replace(' ' || {out} || ' ', '{GAP}', ' ', 'g')"
+    out = f"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT}', chr(10), 'g')".replace("\\n", "\\x0A")
+    marks = " || ".join(f"chr({ord(c)})" for c in PUNCTUATION)
+    out = f"regexp_replace(translate(' ' || {out} || ' ', {marks}, repeat(' ', {len(PUNCTUATION)})), ' {{2,}}', ' ', 'g')"
     for other, one in SPELLINGS:
         out = f"replace({out}, ' {other} ', ' {one} ')"
     return out
@@ -119,6 +135,6 @@ known AS (SELECT sha256({sql_canonical('known_text')}) AS digest, min(licence) A
 scanned AS (SELECT doc_id, text, sha256({sql_canonical('text')}) AS digest FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 noted AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices FROM
-  (SELECT doc_id, sha256({sql_canonical('line')}) AS digest FROM lines WHERE regexp_matches(translate(line, '{UPPER}', '{LOWER}'), '{NOTICE}')) JOIN known USING (digest) GROUP BY 1)
+  (SELECT doc_id, sha256({sql_canonical('line')}) AS digest FROM lines WHERE regexp_matches(lower(line), '{NOTICE}')) JOIN known USING (digest) GROUP BY 1)
 SELECT doc_id, digest, licence, coalesce(notices, '') AS notices FROM scanned LEFT JOIN known USING (digest) LEFT JOIN noted USING (doc_id)
 """
