@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard, licences, media, packing, suffix_dedup, token_counts, toxicity
+from . import decontamination, jaccard, licences, media, packing, suffix_dedup, token_counts, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_token_files(records)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -49,7 +54,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op4_ngram_jaccard_join, op5_decontamination, op6_suffix_array_dedup, op8_toxicity, op9_packing, op10_media_columns)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op4_ngram_jaccard_join, op5_decontamination, op6_suffix_array_dedup, op7_token_files, op8_toxicity, op9_packing, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
