@@ -200,6 +200,10 @@ def rows_of(ids: list, found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, *columns), schema.types, strict=True)], schema=schema)
 
 
+def passes_for(benchmark: DataFrame, block_bytes: int) -> int:
+    return max(1, math.ceil((benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: words, hit words, items found, and whether at least a twentieth of its words are hit.
 
@@ -207,8 +211,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH,
     dealt into as many blocks as their total size asks for, and each block is one pass over the documents.
     Repeated rows are judged once each (with more than one pass, rows equal in doc_id and text become one).
     """
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
+    blocks = passes_for(benchmark, block_bytes)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     spark, passes = docs.sparkSession, []
     for k in range(blocks):
@@ -237,3 +240,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH,
             yield rows_of([r["doc_id"] for r in rows], [decided(r["n_words"], merged([tuple(x) for x in r["spans"]]), sorted(set(r["items"]))) for r in rows])
 
     return together.mapInArrow(join_passes, FOUND)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `docs`, with all their columns, that are not contaminated."""
+    if passes_for(benchmark, block_bytes) > 1:
+        bad = contamination(docs, benchmark, width=width, block_bytes=block_bytes).where("contaminated").select(F.col("doc_id").alias("bad"))
+        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad")), "left_anti")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").collect()
+    tables = docs.sparkSession.sparkContext.broadcast(TestStrings([tuple(r) for r in items], width))  # within block_bytes
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(found):
+            yield batch.filter(pa.array([not decided(*x)[4] for x in tables.value.scan(texts_of(batch))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -217,3 +217,12 @@ def similar_classes(docs: DataFrame, *, similarity: float = SIMILARITY, block: i
     out = sketches.select("doc_id", "digest", "n_words").join(rep, "digest", "left")
     alone = F.col("digest").isNull() | F.col("doc_id").isNull()
     return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), "n_words")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs`, with all their columns, without those that are linked to one of smaller doc_id; of repeated
+    rows one stays. Texts without words stay."""
+    spare = similar_classes(docs, **options).where("class_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(spare, "doc_id", "left_anti").select(docs.columns)
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1)
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard, licences, media, packing, suffix_dedup, token_counts, token_files, toxicity
+from . import decontamination, jaccard, licences, lm_scoring, media, packing, suffix_dedup, token_counts, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_classes(table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op4_ngram_jaccard_join, op5_decontamination, op6_suffix_array_dedup, op7_token_files, op8_toxicity, op9_packing, op10_media_columns)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_lm_scoring, op4_ngram_jaccard_join, op5_decontamination, op6_suffix_array_dedup, op7_token_files, op8_toxicity, op9_packing, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
