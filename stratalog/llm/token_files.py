@@ -49,53 +49,51 @@ def shares(counts: np.ndarray) -> np.ndarray:
 
 
 class Contexts:
-    """What the three contexts of each lane predict, and how often such predictions came true."""
+    """What the three contexts of each lane predict, and how often such predictions came true.
+
+    A cell holds a predicted id and, in its lowest four bits, how sure it is. A chance is a share of 65536 for each
+    lane, order and level of sureness; it moves a sixteenth of the way to 0 or 1 with each outcome.
+    """
 
     def __init__(self, lanes: int):
-        self.lanes, self.slots = lanes, 1 << SLOTS_BITS
-        self.guess = [np.zeros(lanes * n, dtype=np.uint16) for n in (1, self.slots, self.slots)]
-        self.sure = [np.zeros(lanes * n, dtype=np.uint8) for n in (1, self.slots, self.slots)]
+        self.slots = 1 << SLOTS_BITS
+        self.cell = [np.zeros(lanes * n, dtype=np.uint32) for n in (1, self.slots, self.slots)]
         at = np.arange(CONFIDENT + 1)
-        self.true = [np.tile((2 * at).astype(np.int32), lanes) for _ in range(3)]
-        self.tried = [np.tile((2 * at + 3).astype(np.int32), lanes) for _ in range(3)]
+        start = (65536 * 2 * at // (2 * at + 3)).astype(np.int32)
+        self.chance = [np.tile(start, lanes) for _ in range(3)]
         self.last = np.zeros(lanes, dtype=np.int64)
         self.before = np.zeros(lanes, dtype=np.int64)
         self.lane = np.arange(lanes)
+        self.lane_slots, self.lane_levels = self.lane * self.slots, self.lane * (CONFIDENT + 1)
 
     def predict(self, n: int) -> None:
         """Guesses of the first n lanes, and the share of the interval that each gets, the longest context first."""
-        lane, last, before = self.lane[:n], self.last[:n], self.before[:n]
-        mask = self.slots - 1
-        one = (last * 40503 >> 6) & mask
-        two = ((last * 40503 + before * 30011) >> 6) & mask
-        self.place = [lane, lane * self.slots + one, lane * self.slots + two]
-        self.now = [g[p] for g, p in zip(self.guess, self.place, strict=True)]
-        self.level = [s[p] for s, p in zip(self.sure, self.place, strict=True)]
-        self.stat = [lane * (CONFIDENT + 1) + s for s in self.level]
-        rest = np.full(n, (1 << TOTAL_BITS) - ESCAPE, dtype=np.int64)
-        part = []
-        for k in (2, 1, 0):
-            own = rest * self.true[k][self.stat[k]] // self.tried[k][self.stat[k]]
-            if k < 2:
-                own[self.now[k] == self.now[2]] = 0
-            if k < 1:
-                own[self.now[0] == self.now[1]] = 0
-            part.append(own)
-            rest = rest - own
-        self.two, self.one, self.none = part
-        self.ends = (self.two, self.two + self.one, self.two + self.one + self.none)
+        last, slots, mask = self.last[:n], self.lane_slots[:n], self.slots - 1
+        one = last * 40503
+        two = one + self.before[:n] * 30011
+        self.place = [self.lane[:n], slots + ((one >> 6) & mask), slots + ((two >> 6) & mask)]
+        self.held = [c[p] for c, p in zip(self.cell, self.place, strict=True)]
+        self.now = [(h >> np.uint32(4)).astype(np.int64) for h in self.held]
+        self.level = [(h & np.uint32(15)).astype(np.int64) for h in self.held]
+        self.stat = [self.lane_levels[:n] + x for x in self.level]
+        self.likely = [c[s] for c, s in zip(self.chance, self.stat, strict=True)]
+        whole = (1 << TOTAL_BITS) - ESCAPE
+        self.two = self.likely[2].astype(np.int64) * (whole >> 16)
+        rest = whole - self.two
+        self.one = (rest * self.likely[1] >> 16) * (self.now[1] != self.now[2])
+        rest -= self.one
+        self.none = (rest * self.likely[0] >> 16) * ((self.now[0] != self.now[1]) & (self.now[0] != self.now[2]))
+        b = self.two + self.one
+        self.ends = (self.two, b, b + self.none)
 
     def learn(self, ids: np.ndarray) -> None:
         n = len(ids)
-        short = ids.astype(np.uint16)
+        fresh = ((ids << 4) | 1).astype(np.uint32)
         for k in range(3):
-            right = self.now[k] == short
-            self.true[k][self.stat[k]] += right * np.int32(4)
-            self.tried[k][self.stat[k]] += np.int32(4)
-            level = self.level[k]
-            lower = level >> 1
-            self.sure[k][self.place[k]] = np.where(right, np.minimum(level + 1, CONFIDENT), np.maximum(lower, 1))
-            self.guess[k][self.place[k]] = np.where(right | (lower > 0), self.now[k], short)
+            right, level, held = self.now[k] == ids, self.level[k], self.held[k]
+            self.chance[k][self.stat[k]] = self.likely[k] + (((right.astype(np.int32) << 16) - self.likely[k]) >> 4)
+            lower = (held & ~np.uint32(15)) | (level >> 1).astype(np.uint32)
+            self.cell[k][self.place[k]] = np.where(right, held + (level < CONFIDENT), np.where(level > 1, lower, fresh))
         self.before[:n] = self.last[:n]
         self.last[:n] = ids + 1
 
@@ -131,27 +129,28 @@ def encode_blocks(ids: np.ndarray, sums: np.ndarray) -> list[bytes]:
         rest = (1 << TOTAL_BITS) - c
         start = c + (rest * sums[now] >> 16)
         size = c + (rest * sums[now + 1] >> 16) - start
-        for k, begin, end in ((0, b, c), (1, a, b), (2, np.zeros_like(a), a)):
-            hit = (model.now[k] == now) & (end > begin)
+        for k, begin, share in ((0, b, model.none), (1, a, model.one), (2, 0, model.two)):
+            hit = (model.now[k] == now) & (share > 0)
             start = np.where(hit, begin, start)
-            size = np.where(hit, end - begin, size)
+            size = np.where(hit, share, size)
         unit = width[:n] >> np.uint64(TOTAL_BITS)
         low[:n] += unit * start.astype(np.uint64)
         width[:n] = unit * size.astype(np.uint64)
-        at = np.arange(n)
+        own_low, own_width, at = low[:n], width[:n], None
         while True:
-            own_low, own_width = low[at], width[at]
             settled = (own_low ^ (own_low + own_width)) < _TOP
-            narrow = ~settled & (own_width < _BOTTOM)
-            go = settled | narrow
-            at = at[go]
-            if not len(at):
+            narrow = own_width < _BOTTOM
+            go = np.flatnonzero(settled | narrow)
+            if not len(go):
                 break
-            own_low, own_width, narrow = own_low[go], own_width[go], narrow[go]
-            own_width = np.where(narrow, (~own_low + np.uint64(1)) & (_BOTTOM - np.uint64(1)), own_width)
+            at = go if at is None else at[go]
+            own_low, own_width, narrow = own_low[go], own_width[go], (narrow & ~settled)[go]
+            if narrow.any():
+                own_width = np.where(narrow, (~own_low + np.uint64(1)) & (_BOTTOM - np.uint64(1)), own_width)
             out[at, used[at]] = own_low >> np.uint64(48)
             used[at] += 1
-            low[at], width[at] = own_low << _U16, own_width << _U16
+            own_low, own_width = own_low << _U16, own_width << _U16
+            low[at], width[at] = own_low, own_width
         model.learn(now)
     for _ in range(4):
         out[np.arange(lanes), used] = low >> np.uint64(48)
@@ -191,20 +190,21 @@ def decode_blocks(blocks: list[bytes], total: int, sums: np.ndarray) -> np.ndarr
             size = np.where(hit, end - begin, size)
         low[:n] += unit * start.astype(np.uint64)
         width[:n] = unit * size.astype(np.uint64)
-        at = np.arange(n)
+        own_low, own_width, at = low[:n], width[:n], None
         while True:
-            own_low, own_width = low[at], width[at]
             settled = (own_low ^ (own_low + own_width)) < _TOP
-            narrow = ~settled & (own_width < _BOTTOM)
-            go = settled | narrow
-            at = at[go]
-            if not len(at):
+            narrow = own_width < _BOTTOM
+            go = np.flatnonzero(settled | narrow)
+            if not len(go):
                 break
-            own_low, own_width, narrow = own_low[go], own_width[go], narrow[go]
-            own_width = np.where(narrow, (~own_low + np.uint64(1)) & (_BOTTOM - np.uint64(1)), own_width)
+            at = go if at is None else at[go]
+            own_low, own_width, narrow = own_low[go], own_width[go], (narrow & ~settled)[go]
+            if narrow.any():
+                own_width = np.where(narrow, (~own_low + np.uint64(1)) & (_BOTTOM - np.uint64(1)), own_width)
             code[at] = (code[at] << _U16) | words[at, used[at]]
             used[at] += 1
-            low[at], width[at] = own_low << _U16, own_width << _U16
+            own_low, own_width = own_low << _U16, own_width << _U16
+            low[at], width[at] = own_low, own_width
         table[t, :n] = now
         model.learn(now)
     return table.T.ravel()[:total]

@@ -2,8 +2,8 @@
 
 The library drops white space and never joins across it, so the ids of a text are those of its pieces between
 spaces, in a row. A piece that the worker has met before is not encoded again; a new piece of plain Latin
-letters is cut by the file's own pattern into words, and only words that are new go to the library. Pieces with
-any other character, or with the mark that special strings begin with, go to the library whole.
+letters is cut by the file's own pattern into words, and only words that are new go to the library's model.
+Pieces with any other character, or with the mark that special strings begin with, go to the library whole.
 """
 
 from __future__ import annotations
@@ -12,12 +12,20 @@ import json
 from array import array
 
 #: Pieces, and words, that a worker remembers at most.
-MEMORY_PIECES = 500_000
-MEMORY_WORDS = 500_000
-#: Characters that composing leaves alone and that lower-case one by one.
+MEMORY_PIECES = 700_000
+MEMORY_WORDS = 1_000_000
+#: Characters that composing leaves alone and that lower-case one by one (but for the dotted I).
 PLAIN = "[!-~À-ſ]+"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes stand for themselves, the
+    others follow from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Memory(dict):
     """A bounded map that makes what it lacks. Of its two generations, what is asked for moves to the young one
     (the map itself), and the old one is dropped when the young one is full."""
@@ -47,14 +55,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.pieces, self.words = Memory(pieces, self.piece), Memory(words, self.ask)
+        self.pieces, self.words = Memory(pieces, self.piece), Memory(words, self.word)
         self.plain = regex.compile(PLAIN).fullmatch
-        found = [
-            x["pattern"]["Regex"]
-            for x in json.loads(self.library.to_str())["pre_tokenizer"].get("pretokenizers", [])
-            if x["type"] == "Split" and x["behavior"] == "Removed" and x["invert"]
-        ]
-        self.cut = regex.compile(found[0]).findall if len(found) == 1 else None
+        steps = (json.loads(self.library.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.cut = None
+        if [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"]:
+            self.cut = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        self.model, self.letters = self.library.model, byte_letters()
+
+    def word(self, word: str) -> bytes:
+        """Ids of one word that the pattern gave."""
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [x.id for x in self.model.tokenize(letters)]).tobytes()
 
     def ask(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -62,7 +74,7 @@ class Encoder:
     def piece(self, p: str) -> bytes:
         if not p:
             return b""
-        if self.cut and max(p) <= "ſ":
+        if self.cut and (p.isascii() or max(p) <= "ſ" and "İ" not in p):
             if p.isalpha():
                 return self.words[p.lower()]
             if p[:-1].isalpha() and p[-1] in ",.;:!?":
