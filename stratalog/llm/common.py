@@ -121,10 +121,22 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Sums of byte * base**place before each place; one longer than the data."""
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     up, _ = powers(len(data))
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+    value = data.astype(np.uint64)
+    value += np.uint64(1)
+    value *= up
+    np.cumsum(value, out=sums[1:])
     return sums
 
 
+def run_hashes(sums: np.ndarray, begin: int, end: int, length: int) -> np.ndarray:
+    """span_hashes of the spans of one length that begin at each place from begin to end."""
+    _, down = powers(len(sums))
+    raw = sums[begin + length : end + length] - sums[begin:end]
+    raw *= down[begin:end]
+    raw += np.uint64(length) * np.uint64(0xD6E8FEB86659FD93)
+    return mix(raw)
+
+
 def span_hashes(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes in each span."""
     _, down = powers(len(sums))

@@ -28,15 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, prefix_sums, span_hashes, stored, texts_of
+from .common import batches, prefix_sums, run_hashes, span_hashes, stored, texts_of
 
 LENGTH, ANCHOR = 100, 36
 BEFORE = LENGTH - ANCHOR
 SEGMENT = BEFORE + LENGTH
 BLOCK_BYTES = 3 << 20
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 6 << 20
 #: An anchor in more blocks than this is exchanged by stretch.
 HOT_BLOCKS = 2_000
+#: Places that are looked at in one go, and segments that are cut out in one go.
+STEP, CUT = 1 << 18, 4_000
 PAD = 255  # stands in no UTF-8 text
 _EMPTY = np.zeros(0, dtype=np.int64)
 
@@ -75,6 +77,16 @@ def to_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return stored(docs.mapInArrow(run, "block long, n_bytes long, data binary"), "blocks")
 
 
+def sliding(choose: np.ufunc, values: np.ndarray) -> np.ndarray:
+    """The least or greatest of each run of BEFORE + 1 values."""
+    width = 1
+    while width * 2 <= BEFORE + 1:
+        values = choose(values[:-width], values[width:])
+        width *= 2
+    more = BEFORE + 1 - width
+    return choose(values[:-more], values[more:]) if more else values
+
+
 class Block:
     """The texts of a block in one array, its anchors and the stretches around them."""
 
@@ -92,26 +104,22 @@ class Block:
         if n < LENGTH:
             return _EMPTY, _EMPTY.astype(np.uint64)
         self.sums = prefix_sums(self.data)
-        place = np.arange(n - ANCHOR + 1)
-        own = span_hashes(self.sums, place, place + ANCHOR) | np.uint64(1)
-        least = own
-        width = 1
-        while width * 2 <= BEFORE:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        more = BEFORE + 1 - width
-        least = np.minimum(least[:-more], least[more:]) if more else least
-        # Stretches across two texts don't count.
-        last = np.repeat(self.at[1:], self.size)[: n - LENGTH + 1]
-        least = np.where(np.arange(n - LENGTH + 1) + LENGTH <= last, least, np.uint64(0))
-        most = np.concatenate((np.zeros(BEFORE, dtype=np.uint64), least, np.zeros(BEFORE, dtype=np.uint64)))
-        width = 1
-        while width * 2 <= BEFORE:
-            most = np.maximum(most[:-width], most[width:])
-            width *= 2
-        most = np.maximum(most[:-more], most[more:]) if more else most
-        found = np.flatnonzero(most == own[: len(most)])
-        return found, own[found]
+        ends = np.repeat(self.at[1:].astype(np.int32), self.size)
+        place, hashes = [], []
+        for low in range(0, n - ANCHOR + 1, STEP):
+            high = min(low + STEP, n - ANCHOR + 1)
+            begin, end = max(0, low - BEFORE), min(n - ANCHOR + 1, high + BEFORE)
+            own = run_hashes(self.sums, begin, end, ANCHOR) | np.uint64(1)
+            least = sliding(np.minimum, own)
+            # Stretches across two texts don't count.
+            start = np.arange(begin, begin + len(least), dtype=np.int32)
+            least[start + LENGTH > ends[begin : begin + len(least)]] = 0
+            none = np.zeros(BEFORE, dtype=np.uint64)
+            most = sliding(np.maximum, np.concatenate((none, least, none)))
+            found = np.flatnonzero(most[low - begin : high - begin] == own[low - begin : high - begin])
+            place.append(found + low)
+            hashes.append(own[low - begin : high - begin][found])
+        return np.concatenate(place), np.concatenate(hashes)
 
     def reach(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the anchor's text before it and from it on, as far as a segment goes."""
@@ -119,11 +127,14 @@ class Block:
         return np.minimum(place - self.at[text], BEFORE), np.minimum(self.at[text + 1] - place, LENGTH)
 
     def segments(self, place: np.ndarray) -> np.ndarray:
-        before, after = self.reach(place)
-        column = np.arange(-BEFORE, LENGTH)
-        index = place[:, None] + column
-        out = self.data[np.clip(index, 0, len(self.data) - 1)]
-        out[(column < -before[:, None]) | (column >= after[:, None])] = PAD
+        out = np.full((len(place), SEGMENT), PAD, dtype=np.uint8)
+        column = np.arange(-BEFORE, LENGTH, dtype=np.int32)
+        for at in range(0, len(place), CUT):
+            some = place[at : at + CUT]
+            before, after = self.reach(some)
+            index = some[:, None].astype(np.int32) + column
+            inside = (column >= -before[:, None]) & (column < after[:, None])
+            out[at : at + CUT][inside] = self.data[index[inside]]
         return out
 
     def starts(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,8 +222,8 @@ def exchange(block: int, data: bytes, hashes: list[bytes], hot: list[bytes], buc
     anchor, key, whole = anchor[order], key[order], whole[order]
     new = np.concatenate(([True], whole[1:] != whole[:-1])) if len(whole) else np.zeros(0, dtype=bool)
     leader = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else _EMPTY
-    for at in range(0, len(anchor), 20_000):  # equal hashes are looked at again, byte by byte
-        some = np.arange(at, min(at + 20_000, len(anchor)))
+    for at in range(0, len(anchor), CUT):  # equal hashes are looked at again, byte by byte
+        some = np.arange(at, min(at + CUT, len(anchor)))
         some = some[~new[some]]
         differs = (b.segments(anchor[some]) != b.segments(anchor[leader[some]])).any(axis=1)
         new[some[differs]] = True
@@ -299,17 +310,18 @@ def mark_bucket(group: pa.Table) -> pa.Table:
         inside = segments != PAD
         before, after = inside[:, :BEFORE].sum(axis=1), inside[:, BEFORE:].sum(axis=1)
         # Equal segments: all but the earliest are marked whole.
-        view = np.ascontiguousarray(segments).view([("", f"V{SEGMENT}")]).ravel()
+        view = segments.view([("", f"V{SEGMENT}")]).ravel()
         rank = np.lexsort((np.arange(len(key)), key))
         k = key[rank]
         group_at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        seen: dict[tuple[int, bytes], int] = {}
         copy = np.zeros(len(key), dtype=bool)
-        raw = view.tobytes()
-        for i in rank.tolist():
-            s = (int(key[i]), raw[i * SEGMENT : (i + 1) * SEGMENT])
-            copy[i] = seen.setdefault(s, i) != i
-        del seen
+        for begin, end in zip(group_at.tolist(), [*group_at[1:].tolist(), len(key)], strict=True):
+            if end - begin > 1:
+                seen = set()
+                for i in rank[begin:end].tolist():
+                    raw = view[i].tobytes()
+                    copy[i] = raw in seen
+                    seen.add(raw)
         out += spread(block[copy], (place - before)[copy], (place + after - LENGTH)[copy])
         # Anchors with several different segments: sort these, column by column.
         single = ~copy
