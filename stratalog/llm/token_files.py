@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from .common import batches, stored
 from .tokens import encoder
 
-BLOCK_IDS = 2048
+BLOCK_IDS = 512
 RECORD_IDS = 6_000_000
 MAGIC = b"CTXMIX01"
-SLOTS_BITS = 10
+SLOTS_BITS = 9
 TOTAL_BITS = 24
 ESCAPE = 1 << 18
 CONFIDENT = 15
@@ -56,29 +56,28 @@ class Contexts:
     """
 
     def __init__(self, lanes: int):
-        self.slots = 1 << SLOTS_BITS
-        self.cell = [np.zeros(lanes * n, dtype=np.uint32) for n in (1, self.slots, self.slots)]
-        at = np.arange(CONFIDENT + 1)
-        start = (65536 * 2 * at // (2 * at + 3)).astype(np.int32)
-        self.chance = [np.tile(start, lanes) for _ in range(3)]
-        self.last = np.zeros(lanes, dtype=np.int64)
-        self.before = np.zeros(lanes, dtype=np.int64)
-        self.lane = np.arange(lanes)
-        self.lane_slots, self.lane_levels = self.lane * self.slots, self.lane * (CONFIDENT + 1)
+        slots, levels, lane = 1 << SLOTS_BITS, CONFIDENT + 1, np.arange(lanes)
+        self.mask = slots - 1
+        self.cell = np.zeros(lanes * (1 + 2 * slots), dtype=np.int32)
+        self.first_cell = np.stack((lane, lanes + lane * slots, lanes * (1 + slots) + lane * slots))
+        at = np.arange(levels)
+        self.chance = np.tile(65536 * 2 * at // (2 * at + 3), 3 * lanes)
+        self.first_chance = np.arange(3 * lanes).reshape(3, lanes) * levels
+        self.last, self.before = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
 
     def predict(self, n: int) -> None:
-        """Guesses of the first n lanes, and the share of the interval that each gets, the longest context first."""
-        last, slots, mask = self.last[:n], self.lane_slots[:n], self.slots - 1
-        one = last * 40503
+        """Guesses of the first n lanes by order, and the share of the interval that each gets, the longest context first."""
+        one = self.last[:n] * 40503
         two = one + self.before[:n] * 30011
-        self.place = [self.lane[:n], slots + ((one >> 6) & mask), slots + ((two >> 6) & mask)]
-        self.held = [c[p] for c, p in zip(self.cell, self.place, strict=True)]
-        self.now = [(h >> np.uint32(4)).astype(np.int64) for h in self.held]
-        self.level = [(h & np.uint32(15)).astype(np.int64) for h in self.held]
-        self.stat = [self.lane_levels[:n] + x for x in self.level]
-        self.likely = [c[s] for c, s in zip(self.chance, self.stat, strict=True)]
+        self.place = self.first_cell[:, :n].copy()
+        self.place[1] += (one >> 6) & self.mask
+        self.place[2] += (two >> 6) & self.mask
+        self.held = self.cell[self.place]
+        self.now, self.level = self.held >> 4, self.held & 15
+        self.stat = self.first_chance[:, :n] + self.level
+        self.likely = self.chance[self.stat]
         whole = (1 << TOTAL_BITS) - ESCAPE
-        self.two = self.likely[2].astype(np.int64) * (whole >> 16)
+        self.two = self.likely[2] * (whole >> 16)
         rest = whole - self.two
         self.one = (rest * self.likely[1] >> 16) * (self.now[1] != self.now[2])
         rest -= self.one
@@ -88,12 +87,11 @@ class Contexts:
 
     def learn(self, ids: np.ndarray) -> None:
         n = len(ids)
-        fresh = ((ids << 4) | 1).astype(np.uint32)
-        for k in range(3):
-            right, level, held = self.now[k] == ids, self.level[k], self.held[k]
-            self.chance[k][self.stat[k]] = self.likely[k] + (((right.astype(np.int32) << 16) - self.likely[k]) >> 4)
-            lower = (held & ~np.uint32(15)) | (level >> 1).astype(np.uint32)
-            self.cell[k][self.place[k]] = np.where(right, held + (level < CONFIDENT), np.where(level > 1, lower, fresh))
+        right = self.now == ids
+        self.chance[self.stat] = self.likely + (((right.astype(np.int64) << 16) - self.likely) >> 4)
+        fresh = ((ids << 4) | 1).astype(np.int32)
+        wrong = np.where(self.level > 1, (self.held & ~15) | (self.level >> 1), fresh)
+        self.cell[self.place] = np.where(right, self.held + (self.level < CONFIDENT), wrong)
         self.before[:n] = self.last[:n]
         self.last[:n] = ids + 1
 
