@@ -26,9 +26,9 @@ from .suffix_dedup import arrow_rows, bucket_rows, ddl, pack, unpack
 #: Words of the shared vocabulary; others are one sign.
 VOCABULARY = 50_000
 WEIGHT = 4.0
-BLOCK_WORDS = 1_500_000
-BUCKET_WORDS = 1_000_000
-LOCAL_WORDS = 400_000
+BLOCK_WORDS = 500_000
+BUCKET_WORDS = 600_000
+LOCAL_WORDS = 150_000
 OTHER, BEGIN = 0, 1
 _FIRST = 2
 
