@@ -69,6 +69,12 @@ def batches(found: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+def each_row(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch one at a time, for rows that are large."""
+    for i in range(batch.num_rows):
+        yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The UTF-8 bytes of each row; a null is empty."""
     return batch.column(column).cast(pa.binary()).fill_null(b"").to_pylist()

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, mix, stored, texts_of
+from .common import Words, batches, each_row, mix, stored, texts_of
 from .suffix_dedup import arrow_rows, bucket_rows, ddl, pack, unpack
 
 #: Words of the shared vocabulary; others are one sign.
@@ -141,7 +141,7 @@ def single_counts(blocks: DataFrame, size: int) -> np.ndarray:
     def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((4, size), dtype=np.int64)
         for batch in found:
-            for row in batch.to_pylist():
+            for row in each_row(batch):
                 b = NumberedBlock(row)
                 before = (b.pair >> np.uint64(16)).astype(np.int64)
                 for k, (x, own) in enumerate(((b.ids, slice(None)), (b.ids, b.target), (before, slice(None)), (before, b.target))):
@@ -174,7 +174,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, size: int =
 
     def send(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            for row in batch.to_pylist():
+            for row in each_row(batch):
                 b = NumberedBlock(row)
                 key, number, times = b.pairs()
                 pair = np.zeros(len(key), dtype="<u4")
@@ -200,7 +200,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, size: int =
 
     def score(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            for row in batch.to_pylist():
+            for row in each_row(batch):
                 b = NumberedBlock(row)
                 _, number, _ = b.pairs()
                 parts = [unpack(x["losses"], "<f4").reshape(2, -1) for x in sorted(row["answers"] or [], key=lambda x: x["bucket"])]

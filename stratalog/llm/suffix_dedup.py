@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, prefix_sums, run_hashes, span_hashes, stored, texts_of
+from .common import batches, each_row, prefix_sums, run_hashes, span_hashes, stored, texts_of
 
 LENGTH, ANCHOR = 100, 36
 BEFORE = LENGTH - ANCHOR
@@ -178,9 +178,9 @@ def repeated_anchors(blocks: DataFrame, buckets: int, hot_blocks: int) -> DataFr
 
     def name(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                hashes = np.unique(Block(data).anchors()[1])
-                yield arrow_rows(NAMED, [(k, block, hashes[own].tobytes()) for k, own in bucket_rows(hashes, buckets)])
+            for r in each_row(batch):
+                hashes = np.unique(Block(r["data"]).anchors()[1])
+                yield arrow_rows(NAMED, [(k, r["block"], hashes[own].tobytes()) for k, own in bucket_rows(hashes, buckets)])
 
     def repeated(group: pa.Table) -> pa.Table:
         raw = group.column("hashes").to_pylist()
@@ -374,7 +374,7 @@ def marked_blocks(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES, bucket_byt
 
     def send(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            for r in batch.to_pylist():
+            for r in each_row(batch):
                 yield arrow_rows(SENT, exchange(r["block"], r["data"], r["hashes"] or [], r["hot"] or [], buckets))
 
     sent = blocks.select("block", "data").join(repeated, "block", "left").mapInArrow(send, ddl(SENT))
@@ -385,8 +385,8 @@ def marked_blocks(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES, bucket_byt
 def over_blocks(marked: DataFrame, make: Callable[[Block, np.ndarray], pa.RecordBatch | pa.Table], schema: str | T.StructType) -> DataFrame:
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            for data, spans in zip(batch.column("data").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                yield make(*removed(data, spans))
+            for r in each_row(batch):
+                yield make(*removed(r["data"], r["spans"]))
 
     return marked.mapInArrow(run, schema)
 

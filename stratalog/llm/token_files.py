@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, stored
+from .common import batches, each_row, stored
 from .tokens import encoder
 
 BLOCK_IDS = 512
@@ -282,8 +282,9 @@ def read_token_files(records: DataFrame) -> DataFrame:
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            for part, number, data in zip(*(batch.column(c).to_pylist() for c in ("part", "number", "data")), strict=True):
-                docs, lengths, ids = read_record(data)
+            for record in each_row(batch):
+                part, number = record["part"], record["number"]
+                docs, lengths, ids = read_record(record["data"])
                 raw = ids.astype("<u4").tobytes()
                 ends = np.cumsum(lengths)
                 sums = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
