@@ -120,7 +120,9 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     """A unit vector that depends on nothing but the text; a stand-in for a model."""
     raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.sha2(F.concat(F.unhex(F.lpad(F.hex(i.cast("long")), 16, "0")), F.encode(text, "UTF-8")), 256))
     part = F.transform(raw, lambda h: F.conv(F.substring(h, 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(2.0**63) - 1)
-    return F.transform(part, lambda x: x / F.sqrt(dot(part, part)))
+    # Each step wraps its result, so that it is computed once and not once per component.
+    whole = F.transform(F.array(part), lambda p: F.struct(p.alias("p"), F.sqrt(dot(p, p)).alias("norm")))
+    return F.transform(whole, lambda s: F.transform(s["p"], lambda x: x / s["norm"]))[0]
 
 
 def leg_status(status: Column) -> Column:

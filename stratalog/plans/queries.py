@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalog.functions import prompts as g
 from stratalog.functions import text as t
 from stratalog.operators import claims as c
 from stratalog.operators import dedup as d
@@ -16,7 +17,9 @@ from stratalog.operators import extract as x
 from stratalog.operators import inspect as i
 from stratalog.operators import metrics as m
 from stratalog.operators import pack as p
+from stratalog.operators import plugins as u
 from stratalog.operators import retrieve as r
+from stratalog.operators.consolidate import consolidate_pass
 from stratalog.sources import adapters as a
 from stratalog.sources import questions as s
 
@@ -425,7 +428,7 @@ def packs(spark, sf):
     return p.build_pack(requests(spark, sf), runs, events, upsert_working_facts(spark, sf), retrieved(spark, sf), now())
 
 
-def lit(value: str) -> str:
+def quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
@@ -437,7 +440,7 @@ tt AS (SELECT pack_id, count(*) AS n, bool_or(truncated) AS truncated, string_ag
 fl AS (SELECT run_id, CAST(floor(epoch_us(TIMESTAMP '{NOW}' - arg_min(created_at, seq)) / 1000) AS BIGINT) AS lag FROM v_open GROUP BY 1),
 st AS (SELECT pack_id, sum(cost) AS tk FROM it GROUP BY 1),
 tx AS (SELECT pk.pack_id, run_id, r.covered_seq, coalesce(lag, 0) AS lag, coalesce(rt.sources, []) AS sources, coalesce(tt.truncated, false) AS truncated, CAST(coalesce(st.tk, 0) + coalesce(wt.tk, 0) AS BIGINT) AS source_tokens,
-  {lit(p.HEADER)} || CASE WHEN wt.t IS NOT NULL THEN {lit(p.WORKING_TITLE)} || wt.t ELSE '' END || coalesce(rt.t, '') || CASE WHEN tt.t IS NOT NULL THEN {lit(p.TAIL_TITLE)} || tt.t ELSE '' END
+  {quoted(p.HEADER)} || CASE WHEN wt.t IS NOT NULL THEN {quoted(p.WORKING_TITLE)} || wt.t ELSE '' END || coalesce(rt.t, '') || CASE WHEN tt.t IS NOT NULL THEN {quoted(p.TAIL_TITLE)} || tt.t ELSE '' END
   || chr(10) || '---' || chr(10) || 'Coverage: distilled through seq ' || r.covered_seq || CASE WHEN tt.n > 0 THEN '; ' || tt.n || ' recent event(s) not yet distilled' ELSE '' END
   || '; freshness lag ' || coalesce(lag, 0) || 'ms. Sources: ' || coalesce(rt.n, 0) || ' distilled memories.' || chr(10) AS text
   FROM pk JOIN v_runs r USING (run_id) LEFT JOIN wt USING (run_id) LEFT JOIN rt USING (pack_id) LEFT JOIN tt USING (pack_id) LEFT JOIN fl USING (run_id) LEFT JOIN st USING (pack_id))"""
@@ -732,3 +735,70 @@ def missing_vectors(spark, sf):
 @query(ev("SELECT agent_id AS op, CAST(sum(k) AS BIGINT) AS total FROM v_events GROUP BY 1"))
 def metering(spark, sf):
     return m.metering(a.events(spark, sf).select(F.col("agent_id").alias("op"), F.col("k").alias("count")))
+
+
+# Whole passes and user functions
+
+
+def one_pass(spark, sf):
+    return consolidate_pass(a.events(spark, sf), a.runs(spark, sf), now(), 20)
+
+
+WINDOW20 = "w20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS nth FROM v_open) WHERE nth <= 20)"
+PASS_CLAIMS = """pc AS (SELECT project_id, run_id, CASE WHEN agent_id = 'purchase' THEN 'item' || (k % 10) ELSE 'user' END AS entity, CASE WHEN agent_id = 'purchase' THEN 'price' ELSE 'p' || (k % 5) END AS predicate,
+  CAST(k AS VARCHAR) AS value, seq, CASE WHEN agent_id = 'purchase' THEN 0 ELSE 1 END AS ord FROM w20 WHERE agent_id IN ('purchase', 'signup'))"""
+
+
+@query(ev("SELECT run_id, max(seq) AS covered_seq, count(*) AS events FROM w20 GROUP BY 1", WINDOW20))
+def consolidate_marks(spark, sf):
+    return one_pass(spark, sf)["marks"]
+
+
+@query(ev("SELECT project_id, entity, predicate, arg_max(value, (seq, run_id, ord)) AS value, count(*) AS claims FROM pc GROUP BY ALL", WINDOW20, PASS_CLAIMS))
+def consolidate_claims(spark, sf):
+    rows = one_pass(spark, sf)["claims"]
+    return rows.groupBy("project_id", "entity", "predicate").agg(F.max(F.when(F.col("superseded_by").isNull(), F.col("value"))).alias("value"), F.count("*").alias("claims"))
+
+
+@query(ev("SELECT project_id, content, CAST(count(*) AS INT) AS version FROM (SELECT w.project_id, 'Clicked item ' || (k % 20) || '.' AS content, coalesce(n.names, []) AS names FROM w20 w LEFT JOIN (SELECT run_id, list_sort(list_distinct(list(entity))) AS names FROM pc GROUP BY 1) n USING (run_id) WHERE agent_id = 'click') GROUP BY project_id, content, names", WINDOW20, PASS_CLAIMS))
+def consolidate_memories(spark, sf):
+    return one_pass(spark, sf)["memories"].select("project_id", "content", "version")
+
+
+@query(ev("SELECT project_id, entity AS name, 'unknown' AS type FROM pc GROUP BY ALL", WINDOW20, PASS_CLAIMS))
+def consolidate_entities(spark, sf):
+    return one_pass(spark, sf)["entities"].select("project_id", "name", "type")
+
+
+@query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'abstention' WHEN 1 THEN 'default' WHEN 2 THEN 'temporal' END AS template, CASE turn % 4 WHEN 3 THEN NULL ELSE len(text) * 2 + len(role) + CASE turn % 4 WHEN 0 THEN {0} WHEN 1 THEN {1} ELSE {2} END END AS prompt_chars FROM conversations".format(*(len(x) - 6 for x in (g.ABSTENTION, g.DEFAULT, g.TEMPORAL))))
+def grading_prompts(spark, sf):
+    name = F.when(F.col("turn") % 4 == 0, "abstention").when(F.col("turn") % 4 == 1, "default").when(F.col("turn") % 4 == 2, "temporal")
+    rows = a.table(spark, sf, "conversations").withColumn("template", name)
+    return rows.select("conv_id", "turn", "template", F.char_length(g.grading_prompt(F.col("template"), F.col("text"), F.col("role"), F.col("text"))).alias("prompt_chars"))
+
+
+@query(ev("SELECT project_id, entity, predicate, max(CAST(value AS BIGINT)) AS value FROM v_claims GROUP BY ALL", CLAIMS))
+def adjudicate_with(spark, sf):
+    found = u.adjudicate_with(claims(spark, sf), lambda old, new: (max(old, new, key=int), "largest"))
+    return found.select("project_id", "entity", "predicate", F.col("value").cast("long").alias("value"))
+
+
+@query(ev("SELECT run_id, CAST(ceil(n / 20.0) AS INT) AS pass_no, count(*) AS n FROM (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM v_open) GROUP BY ALL"))
+def extract_with(spark, sf):
+    windows = e.window_plan(a.events(spark, sf), a.runs(spark, sf), 20)
+    found = u.extract_with(windows, lambda part: part.assign(source_seq=part["seq"], kind="semantic", content=part["payload"]))
+    return found.groupBy("run_id", "pass_no").agg(F.count("*").alias("n"))
+
+
+@query("SELECT item_id AS query_id, 4 AS dim FROM benchmark")
+def query_vectors(spark, sf):
+    queries = a.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    cache = queries.where("query_id % 2 = 0").select(t.query_hash(F.col("text")).alias("query_hash"), F.array(*[F.lit(0.5).cast("float")] * 4).alias("vec")).dropDuplicates(["query_hash"])
+    found, _ = u.query_vectors(queries, cache, lambda texts: [[1.0, 0.0, 0.0, 0.0]] * len(texts), 4)
+    return found.select("query_id", F.size("vec").alias("dim"))
+
+
+@query("SELECT doc_id, round(list_inner_product(v, v), 6) AS norm FROM (SELECT doc_id, [1.0::DOUBLE] AS v FROM documents)")
+def hash_embedding(spark, sf):
+    v = t.hash_embedding(F.col("text"))
+    return a.table(spark, sf, "documents").select("doc_id", v.alias("v")).select("doc_id", F.round(t.dot(F.col("v"), F.col("v")), 6).alias("norm"))
