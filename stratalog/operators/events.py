@@ -96,19 +96,20 @@ def _subject_reason(value: Column, path: str) -> Column:
 
 def parse_state_facts(events: DataFrame, cap: int | None = MAX_EVENT_BYTES) -> DataFrame:
     """State events with entity, predicate and value (JSON), or the field and reason of the error. cap None: stored facts."""
-    v = parsed(F.col("payload"))
+    rows = events.where(is_state(F.col("payload"))).withColumn("_v", parsed(F.col("payload")))
+    v = F.col("_v")
     value = field(v, "value")
-    text = F.when(json_type(value) == "VOID", F.lit("null")).otherwise(F.to_json(value))
-    reasons = [("entity", _subject_reason(v, "entity")), ("predicate", _subject_reason(v, "predicate")), ("value", F.when(value.isNull(), "is required"))]
-    if cap:
-        reasons.append(("value", F.when(F.octet_length(text) > cap, f"exceeds {cap} bytes")))
-    found = F.coalesce(*[F.when(r.isNotNull(), F.struct(F.lit(name).alias("field"), r.alias("reason"))) for name, r in reasons])
-    good = F.col("_error").isNull()
-    out = events.where(is_state(F.col("payload"))).withColumn("_error", found)
-    return out.withColumns({
-        "entity": F.when(good, string_field(v, "entity")), "predicate": F.when(good, string_field(v, "predicate")), "value": F.when(good, text),
-        "error_field": F.col("_error.field"), "error_reason": F.col("_error.reason"),
-    }).drop("_error")
+    rows = rows.withColumns({
+        "_entity": _subject_reason(v, "entity"), "_predicate": _subject_reason(v, "predicate"),
+        "_text": F.when(json_type(value) == "VOID", F.lit("null")).otherwise(F.to_json(value)),
+    })
+    size = F.octet_length("_text") > (cap or 2**31 - 1)
+    rows = rows.withColumn("_value", F.when(F.col("_text").isNull(), "is required").when(size, f"exceeds {cap} bytes"))
+    where = F.when(F.col("_entity").isNotNull(), "entity").when(F.col("_predicate").isNotNull(), "predicate").when(F.col("_value").isNotNull(), "value")
+    rows = rows.withColumn("error_field", where).withColumn("error_reason", F.coalesce("_entity", "_predicate", "_value"))
+    good = F.col("error_field").isNull()
+    rows = rows.withColumns({"entity": F.when(good, string_field(v, "entity")), "predicate": F.when(good, string_field(v, "predicate")), "value": F.when(good, F.col("_text"))})
+    return rows.drop("_v", "_entity", "_predicate", "_text", "_value")
 
 
 def decode_state_facts(events: DataFrame) -> DataFrame:
