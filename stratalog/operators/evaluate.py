@@ -152,6 +152,6 @@ def stratified_subset(questions: DataFrame, n: int) -> DataFrame:
     """n questions, of each type its share, by id; the rounding is made up by id."""
     by_type = Window.partitionBy("question_type")
     rows = questions.withColumn("_nth", F.row_number().over(by_type.orderBy("question_id"))).withColumn("_group", F.count("*").over(by_type))
-    total = questions.agg(F.count("*").alias("_total"))
-    rows = rows.join(F.broadcast(total), F.lit(True)).withColumn("_picked", F.col("_nth") <= F.bround(n * F.col("_group") / F.col("_total")))
+    total = questions.count()
+    rows = rows.withColumn("_picked", F.col("_nth") <= F.bround(n * F.col("_group") / F.lit(total)))
     return rows.orderBy(F.desc("_picked"), "question_id").limit(n).select(*questions.columns)

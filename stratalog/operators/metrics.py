@@ -23,8 +23,8 @@ def histogram(rows: DataFrame, value: str, bounds: list[float]) -> DataFrame:
 
 def bucket_quantile(hist: DataFrame, q: float) -> DataFrame:
     """The least bound under which a share q of the values lies; null if only the unbounded row does."""
-    total = hist.agg(F.max("n").alias("_total"))
-    return hist.join(F.broadcast(total), F.lit(True)).where(F.col("n") >= q * F.col("_total")).agg(F.min("le").alias("quantile"))
+    total = hist.agg(F.max("n")).first()[0]
+    return hist.where(F.col("n") >= q * F.lit(total)).agg(F.min("le").alias("quantile"))
 
 
 def gate_rates(events: DataFrame) -> DataFrame:
