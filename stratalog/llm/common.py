@@ -139,7 +139,7 @@ def run_hashes(sums: np.ndarray, begin: int, end: int, length: int) -> np.ndarra
     _, down = powers(len(sums))
     raw = sums[begin + length : end + length] - sums[begin:end]
     raw *= down[begin:end]
-    raw += np.uint64(length) * np.uint64(0xD6E8FEB86659FD93)
+    raw += np.uint64(length * 0xD6E8FEB86659FD93 % (1 << 64))
     return mix(raw)
 
 

@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: A node with more links than this, and than a 50,000th of all, is a hub: at most 100,000 nodes are.
+HUB_LINKS, HUB_SHARE = 1_000, 50_000
+
+
+def with_least(rows: DataFrame, least: DataFrame, hub_links: int) -> DataFrame:
+    """Adds m of `least` (a, m, n) to rows by a. Rows of hubs meet it by broadcast, so no task gets all rows of a hub."""
+    hubs = F.broadcast(least.where(F.col("n") > hub_links).select("a", F.col("m").alias("_m")))
+    marked = rows.join(hubs, "a", "left")
+    plain = marked.where("_m IS NULL").drop("_m").join(least.select("a", "m"), "a")
+    return plain.select("a", "b", "m").unionByName(marked.where("_m IS NOT NULL").select("a", "b", F.col("_m").alias("m")))
+
 
 def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """node, component (the least node of it) for all nodes of `links` (a long, b long; any direction, loops allowed).
@@ -18,14 +29,16 @@ def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     edges = checkpointed(edges)
     last = None
     for _ in range(most_rounds):
+        size = edges.count()
+        hub_links = max(HUB_LINKS, 2 * size // HUB_SHARE)
         # Large star: every larger neighbour of a node (and the node) is linked to the least of its neighbourhood.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a OR b = m AND m = a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = with_least(both, least, hub_links).where("b > a OR b = m AND m = a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.unionByName(edges.where("a = b")).distinct()
         # Small star: every smaller neighbour of a node (and the node) is linked to the least of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = with_least(large, low, hub_links).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         edges = checkpointed(small.where("a >= b").distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:

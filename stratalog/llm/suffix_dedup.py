@@ -2,8 +2,9 @@
 
 Sorting every suffix of a large collection column by column takes as many passes over all of it as its longest
 text has bytes. So the places that can matter are found first: in each stretch of LENGTH bytes the short strings
-with the least hash are its anchors, equal stretches have equal anchors, and only anchors that stand more than
-once are kept. Around each of these lies a segment that holds every stretch with that anchor. The segments of a
+with the least hash are its anchors, and equal stretches have equal anchors. A stretch with an anchor holds 68
+bytes from the anchor on, or 33 before it and the anchor; only anchors of which one of these two strings stands
+more than once are kept. Around each of these lies a segment that holds every stretch with that anchor. The segments of a
 bucket of anchors are then sorted by the column-wise construction: in each round one symbol of every segment is
 put in front of what was sorted before; the symbols in that order are the round's part of the Burrows-Wheeler
 transform, and the common prefixes of neighbours follow from those of the round before. Where a common prefix
@@ -33,8 +34,11 @@ from .common import batches, each_row, prefix_sums, run_hashes, span_hashes, sto
 LENGTH, ANCHOR = 100, 36
 BEFORE = LENGTH - ANCHOR
 SEGMENT = BEFORE + LENGTH
+#: Every stretch with an anchor holds so many bytes before it, or else so many from it on.
+LEFT = BEFORE // 2 + 1
+RIGHT = LENGTH - LEFT + 1
 BLOCK_BYTES = 3 << 20
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 4 << 20
 #: An anchor in more blocks than this is exchanged by stretch.
 HOT_BLOCKS = 2_000
 #: Places that are looked at in one go, and segments that are cut out in one go.
@@ -121,6 +125,16 @@ class Block:
             hashes.append(own[low - begin : high - begin][found])
         return np.concatenate(place), np.concatenate(hashes)
 
+    def sides(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the string from each anchor on and of the one up to its end, and where the text has them."""
+        before, after = self.reach(place)
+        has_right, has_left = after >= RIGHT, before >= LEFT
+        right, left = place[has_right], place[has_left]
+        out = [np.zeros(len(place), dtype=np.uint64), np.zeros(len(place), dtype=np.uint64)]
+        out[0][has_right] = span_hashes(self.sums, right, right + RIGHT)
+        out[1][has_left] = span_hashes(self.sums, left - LEFT, left + ANCHOR)
+        return out[0], out[1], has_right, has_left
+
     def reach(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the anchor's text before it and from it on, as far as a segment goes."""
         text = np.searchsorted(self.at, place, side="right") - 1
@@ -174,12 +188,15 @@ def ddl(schema: pa.Schema) -> str:
 
 
 def repeated_anchors(blocks: DataFrame, buckets: int, hot_blocks: int) -> DataFrame:
-    """Per block its anchors that other blocks hold too, and those of them that very many hold."""
+    """Per block the strings beside its anchors that other blocks hold too, and those of them that very many hold."""
 
     def name(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             for r in each_row(batch):
-                hashes = np.unique(Block(r["data"]).anchors()[1])
+                b = Block(r["data"])
+                place, _ = b.anchors()
+                right, left, has_right, has_left = b.sides(place) if len(place) else [_EMPTY.astype(np.uint64)] * 2 + [_EMPTY.astype(bool)] * 2
+                hashes = np.unique(np.concatenate((right[has_right], left[has_left])))
                 yield arrow_rows(NAMED, [(k, r["block"], hashes[own].tobytes()) for k, own in bucket_rows(hashes, buckets)])
 
     def repeated(group: pa.Table) -> pa.Table:
@@ -209,9 +226,13 @@ def exchange(block: int, data: bytes, hashes: list[bytes], hot: list[bytes], buc
         return []
     elsewhere = np.frombuffer(b"".join(hashes), dtype=np.uint64)
     very = np.sort(np.frombuffer(b"".join(hot), dtype=np.uint64))
-    _, number, times = np.unique(own, return_inverse=True, return_counts=True)
-    is_hot = np.isin(own, very)
-    wanted = ((times[number] > 1) | np.isin(own, elsewhere)) & ~is_hot
+    wanted, is_hot = np.zeros(len(place), dtype=bool), np.zeros(len(place), dtype=bool)
+    right, left, has_right, has_left = b.sides(place)
+    for side, has in ((right, has_right), (left, has_left)):
+        _, number, times = np.unique(side, return_inverse=True, return_counts=True)
+        wanted |= has & ((times[number] > 1) | np.isin(side, elsewhere))
+        is_hot |= has & np.isin(side, very)
+    wanted &= ~is_hot
     rows, first_mark, last_mark = [], [], []
     doc_of = lambda p: b.doc[np.searchsorted(b.at, p, side="right") - 1]
 
@@ -294,10 +315,9 @@ def mark_bucket(group: pa.Table) -> pa.Table:
         key, doc, place = (np.concatenate([unpack(r[j], t) for r in own]) for j, t in ((1, "<u8"), (2, "<i8"), (3, "<i4")))
         size = [len(unpack(r[3], "<i4")) for r in own]
         block = np.repeat([r[0] for r in own], size)
-        kept = [unpack(r[4], "<u1") for r in own]
         order = np.lexsort((place, block, doc))
         if one == 1:
-            check = np.concatenate([x.view("<u8") for x in kept])[order]
+            check = np.concatenate([unpack(r[4], "<u8") for r in own])[order]
             rank = np.lexsort((np.arange(len(order)), check, key[order]))
             k, c = key[order][rank], check[rank]
             later = np.concatenate(([False], (k[1:] == k[:-1]) & (c[1:] == c[:-1])))
@@ -305,10 +325,15 @@ def mark_bucket(group: pa.Table) -> pa.Table:
             first = last = place[again].astype(np.int64)
             out += spread(block[again], first, last)
             continue
-        segments = np.concatenate([x.reshape(-1, SEGMENT) for x in kept])[order]
+        segments, at = np.empty((len(order), SEGMENT), dtype=np.uint8), 0
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        for r, n in zip(own, size, strict=True):
+            segments[rank[at : at + n]] = unpack(r[4], "<u1").reshape(-1, SEGMENT)
+            at += n
         key, block, place = key[order], block[order], place[order].astype(np.int64)
-        inside = segments != PAD
-        before, after = inside[:, :BEFORE].sum(axis=1), inside[:, BEFORE:].sum(axis=1)
+        before = np.count_nonzero(segments[:, :BEFORE] != PAD, axis=1)
+        after = np.count_nonzero(segments[:, BEFORE:] != PAD, axis=1)
         # Equal segments: all but the earliest are marked whole.
         view = segments.view([("", f"V{SEGMENT}")]).ravel()
         rank = np.lexsort((np.arange(len(key)), key))

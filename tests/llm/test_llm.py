@@ -184,7 +184,9 @@ def test_one_of_each(spark, docs, empty):
     assert jaccard.stop_depth(0.8, 20, 6, 0.99) > jaccard.stop_depth(0.8, 20, 6, 0.9999)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [1000, 2])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB_LINKS", hub)
     rng = random.Random(1)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 130)]
     label = {n: n for e in edges for n in e}
