@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from .common import batches, each_row, stored
 from .tokens import encoder
 
-BLOCK_IDS = 512
+BLOCK_IDS = 1024
 RECORD_IDS = 6_000_000
 MAGIC = b"CTXMIX01"
-SLOTS_BITS = 9
+SLOTS_BITS = 8
 TOTAL_BITS = 24
 ESCAPE = 1 << 18
 CONFIDENT = 15
