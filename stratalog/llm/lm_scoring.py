@@ -34,7 +34,8 @@ _FIRST = 2
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The `size` most frequent words over all documents; of equals the first in byte order."""
+    """The most frequent words over all documents, at most `size`: all that occur often enough, so that none is
+    preferred to one of equal count. Only counts of counts and the chosen words reach the driver."""
 
     def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
@@ -55,7 +56,16 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
         yield made()
 
     counted = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
+    counted = stored(counted, "words")
+    least, chosen = None, 0
+    # Each count is that of one word at least, so the greatest `size` counts decide.
+    counts = counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(size + 1)
+    for n, words in counts.collect():
+        if chosen + words > size:
+            break
+        least, chosen = n, chosen + words
+    rows = counted.where(F.col("n") >= F.lit(least)).collect() if chosen else []
+    return [bytes(r.word) for r in sorted(rows, key=lambda r: (-r.n, bytes(r.word)))]
 
 
 class Numbers:

@@ -328,7 +328,9 @@ def test_lm_scoring(spark, docs, empty, monkeypatch):
     good = [i for i in tokens_of if i % 2]
     target = spark.createDataFrame([(i,) for i in [*good, good[0], 999]], "doc_id long")
     size = 60
-    number = {w: i for i, (w, _) in enumerate(sorted(Counter(w for x in tokens_of.values() for w in x).items(), key=lambda x: (-x[1], x[0]))[:size])}
+    times = Counter(w for x in tokens_of.values() for w in x)
+    least = min(n for n in times.values() if sum(m >= n for m in times.values()) <= size)
+    number = {w: i for i, w in enumerate(w for w, n in times.items() if n >= least)}
     model = {}
     for name, ids in (("all", list(tokens_of)), ("good", good)):
         word, before, pair = Counter(), Counter(), Counter()
