@@ -12,8 +12,8 @@ reaches LENGTH, the stretches are equal, and all but the earliest are marked. In
 buckets are Spark partitions.
 
 Blocks of documents are the unit of all exchanges: a block names each anchor and each distinct segment once, so
-no key of any exchange holds more rows than there are blocks; an anchor in very many blocks is exchanged by
-stretch instead of by segment.
+no key of any exchange holds more rows than there are blocks; an anchor beside which stands a string of very many
+blocks is exchanged by stretch too, and by segment only where its other string repeats in fewer blocks.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ LEFT = BEFORE // 2 + 1
 RIGHT = LENGTH - LEFT + 1
 BLOCK_BYTES = 3 << 20
 BUCKET_BYTES = 4 << 20
-#: An anchor in more blocks than this is exchanged by stretch.
+#: A string beside an anchor that stands in more blocks than this is exchanged by stretch.
 HOT_BLOCKS = 2_000
 #: Places that are looked at in one go, and segments that are cut out in one go.
 STEP, CUT = 1 << 18, 4_000
@@ -219,7 +219,10 @@ def repeated_anchors(blocks: DataFrame, buckets: int, hot_blocks: int) -> DataFr
 
 def exchange(block: int, data: bytes, hashes: list[bytes], hot: list[bytes], buckets: int) -> list[tuple]:
     """What a block sends: each distinct segment around a repeated anchor once, from its earliest place; each
-    distinct stretch around a hot anchor once; and marks for what is a repetition within the block."""
+    distinct stretch around a hot anchor once; and marks for what is a repetition within the block.
+
+    Equal stretches agree on one of the two strings beside their anchors, but the other string may make only one of
+    these anchors hot. So each string decides for itself: what agrees on one that is not hot goes by segment."""
     b = Block(data)
     place, own = b.anchors()
     if not len(place):
@@ -230,9 +233,9 @@ def exchange(block: int, data: bytes, hashes: list[bytes], hot: list[bytes], buc
     right, left, has_right, has_left = b.sides(place)
     for side, has in ((right, has_right), (left, has_left)):
         _, number, times = np.unique(side, return_inverse=True, return_counts=True)
-        wanted |= has & ((times[number] > 1) | np.isin(side, elsewhere))
-        is_hot |= has & np.isin(side, very)
-    wanted &= ~is_hot
+        often = np.isin(side, very)
+        wanted |= has & ~often & ((times[number] > 1) | np.isin(side, elsewhere))
+        is_hot |= has & often
     rows, first_mark, last_mark = [], [], []
     doc_of = lambda p: b.doc[np.searchsorted(b.at, p, side="right") - 1]
 

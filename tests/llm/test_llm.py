@@ -142,6 +142,22 @@ def test_suffix_dedup(docs, sizes):
     assert sum(x[1] for x in expected.values()) > 1000
 
 
+def test_suffix_dedup_with_one_hot_anchor(spark):
+    """100 equal bytes, of which the first 40 end a common line in one text and stand beside other words in the other."""
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for _ in range(80):
+        line = letters(120)
+        for _ in range(8):
+            passage = letters(60)
+            rows += [line + passage + letters(60), letters(90) + line[-40:] + passage + letters(60)]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(8)
+    expected = brute_suffix(dict(enumerate(rows)))
+    found = by_id(suffix_dedup.repeated_bytes(table, block_bytes=1000, bucket_bytes=3000, hot_blocks=2))
+    assert {i: (r.n_removed, r.n_spans) for i, r in found.items()} == {i: (b, c) for i, (_, b, c, _) in expected.items()}
+
+
 def test_suffix_dedup_rows(docs, empty):
     out = suffix_dedup.without_repeats(docs)
     assert out.columns == docs.columns
