@@ -98,8 +98,8 @@ def compare(first: list[np.ndarray], second: list[np.ndarray] | None, similarity
         table[owner[own], number[own] - k * step] = 1
         common += table[:n] @ (table[:n] if second is None else table[n:]).T
     left, right = size[:n, None], (size[:n] if second is None else size[n:])[None, :]
-    # Whole numbers throughout, so that the limit itself counts as similar.
-    return common * (1 + similarity) >= similarity * (left + right) - 1e-6
+    # The counts are whole; as float64 their products err by far less than the margin, so the limit itself is similar.
+    return common.astype(np.float64) * (1 + similarity) >= similarity * (left + right) - 1e-6
 
 
 def links_of(similar: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:

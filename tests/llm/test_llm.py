@@ -190,6 +190,13 @@ def test_jaccard_join(docs, block):
     assert max(degree.values()) >= 3
 
 
+def test_limit_itself_is_similar():
+    for k in range(1, 400):
+        whole, part = np.arange(5 * k, dtype=np.uint64), np.arange(4 * k, dtype=np.uint64)
+        assert jaccard.compare([whole], [part], 0.8).all() and jaccard.compare([whole, part], None, 0.8)[0, 1]
+        assert not jaccard.compare([whole], [part[1:]], 0.8).any()
+
+
 def test_one_of_each(spark, docs, empty):
     found = by_id(jaccard.similar_classes(docs))
     kept = jaccard.one_of_each(docs)
