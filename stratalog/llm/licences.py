@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Notices and short licence texts, by SPDX name.
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """The long licence texts beside this file, by SPDX name; those with an appendix on use also without it."""
+    out = []
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        out.append((path.stem, text))
+        if TERMS_END in text:
+            terms = text[: text.index(TERMS_END)]
+            out += [(path.stem, terms + TERMS_END), (path.stem, terms)]
+    return out
+
+
+#: Notices and licence texts, by SPDX name.
 KNOWN = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -14,6 +31,13 @@ KNOWN = [
     ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("MIT", """MIT License
 
@@ -41,6 +65,7 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""),
+    *whole_texts(),
 ]
 
 #: Spellings that count as equal, as lower-case words with single spaces.
@@ -60,7 +85,7 @@ RIGHTS = ("copyright", "(c)", "©", "all rights reserved")
 #: Characters that separate words, besides the space.
 PUNCTUATION = "".join(map(chr, [*range(1, 32), *range(33, 48), *range(58, 97), *range(123, 128)])) + "©“”‘’–—\u00a0"
 OTHER_SPELLING = " (" + "|".join(x for x, _ in SPELLINGS) + ") "
-#: Lines that may be a notice.
+#: What each text of KNOWN holds; only the SQL looks for it, as a known table given by a user need not.
 NOTICE = "licen|copyleft|public domain|redistribut"
 
 
@@ -109,8 +134,8 @@ def scan_licences(docs: DataFrame, known: DataFrame) -> DataFrame:
     if len(named) > MOST_KNOWN:
         raise ValueError(f"more than {MOST_KNOWN} known licences")
     names = F.create_map(*[F.lit(x) for row in named for x in (row["digest"], row["licence"])])
-    lines = F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(NOTICE))
-    licences = F.transform(lines, lambda x: F.try_element_at(names, F.sha2(canonical(x), 256)))
+    words = F.transform(F.split("text", "\n"), words_only)
+    licences = F.transform(words, lambda x: F.try_element_at(names, F.sha2(one_spelling(x), 256)))
     notices = F.array_sort(F.array_distinct(F.array_compact(licences)))
     out = docs.select("doc_id", words_only(F.col("text")).alias("words"), F.coalesce(F.concat_ws(",", notices), F.lit("")).alias("notices"))
     out = out.withColumn("digest", F.sha2(one_spelling(F.col("words")), 256))

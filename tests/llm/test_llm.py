@@ -69,6 +69,20 @@ def test_licences(spark, docs, empty):
     assert not re.search("Python|Pandas|ArrowEval", plan)
 
 
+def test_licences_all_known(spark):
+    known = licences.known_digests(spark)
+    whole = dict(licences.whole_texts())
+    assert set(whole) >= {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "MPL-2.0", "CC-BY-SA-4.0", "CC0-1.0"}
+    names = sorted(whole)
+    texts = [whole[n].upper() for n in names] + ["Some words.\nLicensed under CC BY-NC 4.0.\nMore words."]
+    found = by_id(licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), known))
+    assert [found[i].licence for i in range(len(names))] == names and found[len(names)].notices == "CC-BY-NC-4.0"
+    assert all(re.search(licences.NOTICE, t.lower()) for _, t in licences.KNOWN)
+    own = licences.known_digests(spark, [("Own", "Free for everyone, at any time.")])
+    line = spark.createDataFrame([(1, "x\nfree for everyone at any time\ny")], "doc_id long, text string")
+    assert licences.scan_licences(line, own).first().notices == "Own"
+
+
 def test_token_counts(docs, empty):
     import sentencepiece
 
