@@ -1,18 +1,20 @@
 """Cross-entropy difference of documents between a target and a background language model.
 
-Both models are bigram models over one vocabulary (the most frequent words of the corpus, and one sign for all
-others) with the same smoothing: the counts of a pair are drawn towards the word's own share by a fixed weight.
+Both models are bigram models over one vocabulary (all words of the corpus; where a size is given, the most
+frequent ones, and one sign for all others) with the same smoothing: the counts of a pair are drawn towards the
+word's own share by a fixed weight.
 The background model is counted over all documents, the target model over the chosen ones. A document's score is
 the mean, over its words, of the target loss less the background loss; the lower, the more like the target.
 
-Pair counts stay distributed. Blocks of documents send each of their pairs once, with its counts, to buckets of
-pairs; a bucket adds them up and sends back the two losses, in the order in which the block named its pairs.
+A word's number is its 64-bit hash, and counts stay distributed. Blocks of documents send each of their words and
+pairs once, with its counts, to buckets; a bucket adds them up and sends back the totals, in the order in which the
+block named them.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,6 @@ from pyspark.sql import functions as F
 from .common import Words, batches, each_row, mix, stored, texts_of
 from .suffix_dedup import arrow_rows, bucket_rows, ddl, pack, unpack
 
-#: Words of the shared vocabulary; others are one sign.
-VOCABULARY = 50_000
 WEIGHT = 4.0
 BLOCK_WORDS = 500_000
 BUCKET_WORDS = 600_000
@@ -33,7 +33,7 @@ OTHER, BEGIN = 0, 1
 _FIRST = 2
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
+def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
     """The most frequent words over all documents, at most `size`: all that occur often enough, so that none is
     preferred to one of equal count. Only counts of counts and the chosen words reach the driver."""
 
@@ -68,62 +68,64 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
     return [bytes(r.word) for r in sorted(rows, key=lambda r: (-r.n, bytes(r.word)))]
 
 
-class Numbers:
-    """Numbers of words, by their hash."""
+class Known:
+    """The hashes of a chosen vocabulary."""
 
     def __init__(self, words: list[bytes]):
-        own = Words([b" ".join(words)])
-        hashes = own.hash
-        order = np.argsort(hashes)
-        self.hash, self.number = hashes[order], (order + _FIRST).astype(np.uint16)
-        self.size = len(words) + _FIRST
+        self.hash = np.unique(np.maximum(Words([b" ".join(words)]).hash, np.uint64(_FIRST)))
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hash):
-            return np.full(len(hashes), OTHER, dtype=np.uint16)
-        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
-        return np.where(self.hash[at] == hashes, self.number[at], OTHER).astype(np.uint16)
+        return np.where(np.isin(hashes, self.hash), hashes, np.uint64(OTHER))
 
 
-BLOCKS = pa.schema([("block", pa.int64()), ("n_words", pa.int64()), ("docs", pa.binary()), ("known", pa.binary()), ("lengths", pa.binary()), ("target", pa.binary()), ("ids", pa.binary())])
-PAIRS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("pairs", pa.binary()), ("counts", pa.binary())])
-LOSSES = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("losses", pa.binary())])
+BLOCKS = pa.schema([("block", pa.int64()), ("n_words", pa.int64()), ("n_target", pa.int64()), ("docs", pa.binary()), ("known", pa.binary()), ("lengths", pa.binary()), ("target", pa.binary()), ("words", pa.binary()), ("places", pa.binary())])
+NAMED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+TOTALS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("seen", pa.int64()), ("totals", pa.binary())])
 
 
-def numbered(docs: DataFrame, target: DataFrame, words: list[bytes]) -> DataFrame:
-    """Blocks of documents as word numbers, with a flag for target documents."""
-    numbers = docs.sparkSession.sparkContext.broadcast(Numbers(words))  # bounded by the vocabulary
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, equal bytes of all beside each other."""
+    return pack(np.diff(keys, prepend=np.uint64(0)).astype("<u8").view("u1").reshape(-1, 8).T)
 
-    def number(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(found):
-            w = Words(texts_of(batch))
-            ids = numbers.value.of(w.hash)
-            raw = [ids[a:b].tobytes() for a, b in zip(w.at[:-1], w.at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "ids"])
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(unpack(data, "u1").reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def numbered(docs: DataFrame, target: DataFrame, words: list[bytes] | None) -> DataFrame:
+    """Blocks of documents as hashes of words (each once) and their places, with a flag for target documents."""
+    known = None if words is None else docs.sparkSession.sparkContext.broadcast(Known(words))  # bounded by the size
 
     def block_up(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, rows, size = TaskContext.get().partitionId() << 32, [], 0
 
         def made():
-            docs_, ids, flags = zip(*rows, strict=True)
+            docs_, lengths, flags, ids = (list(x) for x in zip(*rows, strict=True))
+            distinct, place = np.unique(np.concatenate(ids), return_inverse=True)
+            n_target = sum(n for n, y in zip(lengths, flags, strict=True) if y)
             return arrow_rows(BLOCKS, [(
-                block, size, pack(np.array([d or 0 for d in docs_], dtype="<i8")), pack(np.array([d is not None for d in docs_], dtype="u1")),
-                pack(np.array([len(x) // 2 for x in ids], dtype="<i8")), pack(np.array(flags, dtype="u1")), pack(np.frombuffer(b"".join(ids), dtype="<u2")),
+                block, size, n_target, pack(np.array([d or 0 for d in docs_], dtype="<i8")), pack(np.array([d is not None for d in docs_], dtype="u1")),
+                pack(np.array(lengths, dtype="<i8")), pack(np.array(flags, dtype="u1")), pack_keys(distinct), pack(place.astype("<u4")),
             )])
 
-        for batch in batches(found, "ids"):
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "is_target")), strict=True):
-                rows.append(row)
-                size += len(row[1]) // 2
+        for batch in batches(found):
+            w = Words(texts_of(batch))
+            ids = np.maximum(w.hash, np.uint64(_FIRST))
+            if known is not None:
+                ids = known.value.of(ids)
+            for i, (doc, flag) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("is_target").to_pylist(), strict=True)):
+                own = ids[w.at[i] : w.at[i + 1]]
+                rows.append((doc, len(own), flag, own))
+                size += len(own)
                 if size >= BLOCK_WORDS:
                     yield made()
                     block, rows, size = block + 1, [], 0
         if rows:
             yield made()
 
-    ids = docs.select("doc_id", "text").mapInArrow(number, "doc_id long, ids binary")
     chosen = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("is_target", F.lit(True))
-    flagged = ids.join(chosen, "doc_id", "left").select("doc_id", "ids", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    flagged = texts.join(chosen, "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     return stored(flagged.mapInArrow(block_up, ddl(BLOCKS)), "numbered")
 
 
@@ -131,99 +133,98 @@ class NumberedBlock:
     def __init__(self, row: dict):
         self.docs = [d if k else None for d, k in zip(unpack(row["docs"], "<i8").tolist(), unpack(row["known"], "u1").tolist(), strict=True)]
         self.length = unpack(row["lengths"], "<i8")
-        self.ids = unpack(row["ids"], "<u2")
+        self.words, self.place = unpack_keys(row["words"]), unpack(row["places"], "<u4").astype(np.int64)
         self.target = np.repeat(unpack(row["target"], "u1"), self.length).astype(bool)
         self.at = np.concatenate(([0], np.cumsum(self.length)))
-        last = np.empty(len(self.ids), dtype=np.uint64)
-        last[1:] = self.ids[:-1]
-        last[self.at[:-1][self.length > 0]] = BEGIN
-        self.pair = (last << np.uint64(16)) | self.ids
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct scattered pairs in order, the number of each word's pair, and times over all and target words."""
-        key, number = np.unique(mix(self.pair + np.uint64(1)), return_inverse=True)
-        return key, number, np.stack((np.bincount(number, minlength=len(key)), np.bincount(number[self.target], minlength=len(key))))
-
-
-def single_counts(blocks: DataFrame, size: int) -> np.ndarray:
-    """Times of each number as a word (over all, target) and as the word before (over all, target)."""
+        # The place of the word before; BEGIN stands after the last word.
+        self.before = np.empty(len(self.place), dtype=np.int64)
+        self.before[1:] = self.place[:-1]
+        self.before[self.at[:-1][self.length > 0]] = len(self.words)
+
+    def singles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words and BEGIN in order, where that order has each place, and times of each as a word (over all,
+        target) and as the word before (over all, target)."""
+        key = np.append(self.words, np.uint64(BEGIN))
+        order = np.argsort(key)
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        times = [np.bincount(x[own], minlength=len(key)) for x in (self.place, self.before) for own in (slice(None), self.target)]
+        return key[order], rank, np.stack(times)[:, order]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct scattered pairs in order, a place of each, the number of each word's pair, and times over all and
+        target words."""
+        word = np.append(self.words, np.uint64(BEGIN))
+        key = mix(mix(word + np.uint64(0x9E3779B97F4A7C15))[self.before] * np.uint64(0xD6E8FEB86659FD93) + word[self.place])
+        key, first, number = np.unique(key, return_index=True, return_inverse=True)
+        return key, first, number, np.stack((np.bincount(number, minlength=len(key)), np.bincount(number[self.target], minlength=len(key))))
+
+
+def totals(blocks: DataFrame, name: Callable[[NumberedBlock], tuple[np.ndarray, np.ndarray]], kinds: int, buckets: int) -> DataFrame:
+    """Per block and bucket the totals of the keys that the block named; `seen` comes to the keys with a first count."""
 
-    def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, size), dtype=np.int64)
+    def send(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             for row in each_row(batch):
-                b = NumberedBlock(row)
-                before = (b.pair >> np.uint64(16)).astype(np.int64)
-                for k, (x, own) in enumerate(((b.ids, slice(None)), (b.ids, b.target), (before, slice(None)), (before, b.target))):
-                    total[k] += np.bincount(x[own], minlength=size)
-        number = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(number), *map(pa.array, total[:, number])], names=["number", "a", "b", "c", "d"])
+                key, times = name(NumberedBlock(row))
+                yield arrow_rows(NAMED, [(k, row["block"], pack_keys(key[own]), pack(times[:, own].astype("<u4"))) for k, own in bucket_rows(key, buckets)])
 
-    rows = blocks.mapInArrow(count, "number long, a long, b long, c long, d long").groupBy("number").agg(*(F.sum(c) for c in "abcd")).collect()
-    out = np.zeros((4, size))
-    for number, *values in rows:
-        out[:, number] = values
-    return out
+    def add(group: pa.Table) -> pa.Table:
+        keys = [unpack_keys(x) for x in group.column("keys").to_pylist()]
+        times = np.concatenate([unpack(x, "<u4").reshape(kinds, -1) for x in group.column("counts").to_pylist()], axis=1)
+        distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.stack([np.bincount(number, weights=t, minlength=len(distinct)).astype("<u8") for t in times])
+        seen = [int(np.count_nonzero(sums[0])), *[0] * (len(keys) - 1)]
+        ends = np.cumsum([len(k) for k in keys])
+        return pa.Table.from_batches([arrow_rows(TOTALS, [
+            (block, bucket, n, pack(sums[:, number[e - len(k) : e]]))
+            for block, bucket, n, k, e in zip(group.column("block").to_pylist(), group.column("bucket").to_pylist(), seen, keys, ends.tolist(), strict=True)
+        ])])
+
+    return blocks.mapInArrow(send, ddl(NAMED)).groupBy("bucket").applyInArrow(add, ddl(TOTALS))
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, size: int = VOCABULARY, weight: float = WEIGHT) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, size: int | None = None, weight: float = WEIGHT) -> DataFrame:
     """Per document: words, mean target loss, mean background loss (natural logarithms), and score, their difference.
 
     `target` names the documents of the target corpus by doc_id. A text without words (null ones too) has null
     losses and score. Repeated rows count each. Without target documents the target model is uniform over the
-    vocabulary's seen words. An empty table gives no rows.
+    vocabulary's seen words. `size` bounds the vocabulary; without it all words are in it. An empty table gives no
+    rows.
     """
-    blocks = numbered(docs, target, vocabulary(docs, size))
-    singles = single_counts(blocks, size + _FIRST)
-    shared = docs.sparkSession.sparkContext.broadcast(singles)  # bounded by the vocabulary
-    words = int(singles[0].sum())
+    blocks = numbered(docs, target, None if size is None else vocabulary(docs, size))
+    words, target_words = (int(n or 0) for n in blocks.agg(F.sum("n_words"), F.sum("n_target")).first())
     buckets = max(8, -(-words // BUCKET_WORDS))
-
-    def send(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            for row in each_row(batch):
-                b = NumberedBlock(row)
-                key, number, times = b.pairs()
-                pair = np.zeros(len(key), dtype="<u4")
-                pair[number] = b.pair
-                yield arrow_rows(PAIRS, [(k, row["block"], pack(pair[own]), pack(times[:, own].astype("<u4"))) for k, own in bucket_rows(key, buckets)])
-
-    def losses(group: pa.Table) -> pa.Table:
-        pairs = [unpack(x, "<u4") for x in group.column("pairs").to_pylist()]
-        times = np.concatenate([unpack(x, "<u4").reshape(2, -1) for x in group.column("counts").to_pylist()], axis=1)
-        distinct, number = np.unique(np.concatenate(pairs), return_inverse=True)
-        before, word = distinct >> 16, distinct & 0xFFFF
-        loss = []
-        for k in (1, 0):
-            together = np.bincount(number, weights=times[k], minlength=len(distinct))
-            own, context = shared.value[k], shared.value[k + 2]
-            seen = np.count_nonzero(shared.value[0])
-            share = (own[word] + 0.5) / (own.sum() + 0.5 * seen)
-            loss.append(-np.log((together + weight * share) / (context[before] + weight)))
-        both = np.stack(loss).astype("<f4")[:, number]
-        ends = np.cumsum([len(p) for p in pairs])
-        rows = [(block, bucket, pack(both[:, e - len(p) : e])) for block, bucket, p, e in zip(group.column("block").to_pylist(), group.column("bucket").to_pylist(), pairs, ends, strict=True)]
-        return pa.Table.from_batches([arrow_rows(LOSSES, rows)])
+    singles = stored(totals(blocks, lambda b: b.singles()[::2], 4, buckets), "word_totals")
+    seen = int(singles.agg(F.sum("seen")).first()[0] or 0)
+    pairs = totals(blocks, lambda b: b.pairs()[::3], 2, buckets)
 
     def score(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             for row in each_row(batch):
                 b = NumberedBlock(row)
-                _, number, _ = b.pairs()
-                parts = [unpack(x["losses"], "<f4").reshape(2, -1) for x in sorted(row["answers"] or [], key=lambda x: x["bucket"])]
-                loss = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), dtype=np.float32)
+                _, rank, _ = b.singles()
+                _, first, number, _ = b.pairs()
+                answers = sorted(row["answers"] or [], key=lambda x: (x["kind"], x["bucket"]))
+                single, pair = (np.concatenate([np.zeros((n, 0), dtype="<u8"), *(unpack(x["totals"], "<u8").reshape(n, -1) for x in answers if x["kind"] == kind)], axis=1) for kind, n in ((0, 4), (1, 2)))
+                word, before = rank[b.place[first]], rank[b.before[first]]
+                loss = []
+                for k, total in ((1, target_words), (0, words)):
+                    share = (single[k][word] + 0.5) / (total + 0.5 * seen)
+                    loss.append(-np.log((pair[k] + weight * share) / (single[k + 2][before] + weight)))
+                loss = np.stack(loss)
                 out = []
                 for doc, begin, end in zip(b.docs, b.at[:-1].tolist(), b.at[1:].tolist(), strict=True):
                     if begin == end:
                         out.append((doc, 0, None, None, None))
                         continue
-                    t, g = loss[:, number[begin:end]].mean(axis=1, dtype=np.float64).tolist()
+                    t, g = loss[:, number[begin:end]].mean(axis=1).tolist()
                     out.append((doc, end - begin, t, g, t - g))
                 yield arrow_rows(SCORED, out)
 
-    answers = blocks.mapInArrow(send, ddl(PAIRS)).groupBy("bucket").applyInArrow(losses, ddl(LOSSES))
-    answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "losses")).alias("answers"))
+    answers = singles.select("block", "bucket", "totals", F.lit(0).alias("kind")).unionByName(pairs.select("block", "bucket", "totals", F.lit(1).alias("kind")))
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "totals")).alias("answers"))
     return blocks.join(answers, "block", "left").mapInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double, score double")

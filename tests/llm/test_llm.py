@@ -394,3 +394,18 @@ def test_lm_scoring(spark, docs, empty, monkeypatch):
         else:
             assert r.score is None
     assert lm_scoring.cross_entropy_difference(empty, target, size=size).count() == 0
+
+
+def test_lm_scoring_of_all_words(spark):
+    """More words than any fixed vocabulary, most of one count."""
+    texts = [["all", *(f"w{i}x{j}" for j in range(100)), f"w{i // 2}pair"] for i in range(600)]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    target = spark.createDataFrame([(i,) for i in range(300)], "doc_id long")
+    models = [(Counter(w for x in some for w in x), Counter(h for x in some for h in ["^", *x[:-1]]), Counter(p for x in some for p in zip(["^", *x[:-1]], x))) for some in (texts[:300], texts)]
+    seen = len(models[1][0])
+    assert seen > 60_000
+    for r in lm_scoring.cross_entropy_difference(docs, target).collect():
+        x = texts[r.doc_id]
+        for found, (word, before, pair) in zip((r.target_loss, r.background_loss), models, strict=True):
+            share = {w: (word[w] + 0.5) / (word.total() + 0.5 * seen) for w in x}
+            assert found == pytest.approx(sum(-math.log((pair[h, w] + 4 * share[w]) / (before[h] + 4)) for h, w in zip(["^", *x[:-1]], x)) / len(x))
