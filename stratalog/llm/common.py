@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,12 +22,15 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local run (one process, as in
+    tests) gets a folder of its own; a cluster gets an error, as its executors would not see such a folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = held.get() if held.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
@@ -75,6 +79,28 @@ def each_row(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
 
 
+def pack(array: np.ndarray) -> bytes:
+    """The bytes of an array, compressed where that can pay; the first byte tells."""
+    raw = np.ascontiguousarray(array).tobytes()
+    return b"\1" + zstandard.ZstdCompressor(level=1).compress(raw) if len(raw) > 64 else b"\0" + raw
+
+
+def unpack(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]) if data[0] else data[1:], dtype=kind)
+
+
+def arrow_rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+
+
+_SPARK = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+
+
+def ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {_SPARK[f.type]}" for f in schema)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The UTF-8 bytes of each row; a null is empty."""
     return batch.column(column).cast(pa.binary()).fill_null(b"").to_pylist()

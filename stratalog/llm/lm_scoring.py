@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, each_row, mix, stored, texts_of
-from .suffix_dedup import arrow_rows, bucket_rows, ddl, pack, unpack
+from .common import Words, arrow_rows, batches, ddl, each_row, mix, pack, stored, texts_of, unpack
+from .suffix_dedup import bucket_rows
 
 WEIGHT = 4.0
 BLOCK_WORDS = 500_000

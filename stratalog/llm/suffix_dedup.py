@@ -23,13 +23,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, each_row, prefix_sums, run_hashes, span_hashes, stored, texts_of
+from .common import arrow_rows, batches, ddl, each_row, pack, prefix_sums, run_hashes, span_hashes, stored, texts_of, unpack
 
 LENGTH, ANCHOR = 100, 36
 BEFORE = LENGTH - ANCHOR
@@ -47,14 +46,6 @@ PAD = 255  # stands in no UTF-8 text
 _EMPTY = np.zeros(0, dtype=np.int64)
 
 
-def pack(array: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(array).tobytes())
-
-
-def unpack(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
-
-
 def to_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """block, n_bytes, data: rows of documents (all columns, in order of doc_id) as compressed Arrow data."""
 
@@ -171,22 +162,10 @@ def bucket_rows(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
             yield k, slice(int(edges[k]), int(edges[k + 1]))
 
 
-def arrow_rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
-
-
 NAMED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary())])
 REPEATED = pa.schema([("block", pa.int64()), ("hashes", pa.binary()), ("hot", pa.binary())])
 SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("bytes", pa.binary())])
 MARKED = pa.schema([("block", pa.int64()), ("spans", pa.binary())])
-SPARK = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
-
-
-def ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"{f.name} {SPARK[f.type]}" for f in schema)
-
-
 def repeated_anchors(blocks: DataFrame, buckets: int, hot_blocks: int) -> DataFrame:
     """Per block the strings beside its anchors that other blocks hold too, and those of them that very many hold."""
 
