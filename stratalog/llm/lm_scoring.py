@@ -29,6 +29,8 @@ WEIGHT = 4.0
 BLOCK_WORDS = 500_000
 BUCKET_WORDS = 600_000
 LOCAL_WORDS = 150_000
+#: Ids of the target documents are sent to all tasks if there are no more of them than this.
+SENT_IDS = 1_000_000
 OTHER, BEGIN = 0, 1
 _FIRST = 2
 
@@ -124,6 +126,8 @@ def numbered(docs: DataFrame, target: DataFrame, words: list[bytes] | None) -> D
             yield made()
 
     chosen = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("is_target", F.lit(True))
+    if chosen.count() <= SENT_IDS:  # else the texts meet them in a shuffle
+        chosen = F.broadcast(chosen)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     flagged = texts.join(chosen, "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     return stored(flagged.mapInArrow(block_up, ddl(BLOCKS)), "numbered")
