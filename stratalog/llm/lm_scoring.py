@@ -85,13 +85,22 @@ NAMED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.bi
 TOTALS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("seen", pa.int64()), ("totals", pa.binary())])
 
 
+def pack_planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers with equal bytes of all beside each other, as most of those bytes are alike."""
+    return pack(numbers.astype("<u8").view("u1").reshape(-1, 8).T)
+
+
+def unpack_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpack(data, "u1").reshape(8, -1).T).view("<u8").ravel()
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as their differences, equal bytes of all beside each other."""
-    return pack(np.diff(keys, prepend=np.uint64(0)).astype("<u8").view("u1").reshape(-1, 8).T)
+    """Sorted keys as their differences."""
+    return pack_planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(unpack(data, "u1").reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(unpack_planes(data), dtype=np.uint64)
 
 
 def numbered(docs: DataFrame, target: DataFrame, words: list[bytes] | None) -> DataFrame:
@@ -171,17 +180,17 @@ def totals(blocks: DataFrame, name: Callable[[NumberedBlock], tuple[np.ndarray,
         for batch in found:
             for row in each_row(batch):
                 key, times = name(NumberedBlock(row))
-                yield arrow_rows(NAMED, [(k, row["block"], pack_keys(key[own]), pack(times[:, own].astype("<u4"))) for k, own in bucket_rows(key, buckets)])
+                yield arrow_rows(NAMED, [(k, row["block"], pack_keys(key[own]), pack_planes(times[:, own].ravel())) for k, own in bucket_rows(key, buckets)])
 
     def add(group: pa.Table) -> pa.Table:
         keys = [unpack_keys(x) for x in group.column("keys").to_pylist()]
-        times = np.concatenate([unpack(x, "<u4").reshape(kinds, -1) for x in group.column("counts").to_pylist()], axis=1)
+        times = np.concatenate([unpack_planes(x).reshape(kinds, -1) for x in group.column("counts").to_pylist()], axis=1)
         distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.stack([np.bincount(number, weights=t, minlength=len(distinct)).astype("<u8") for t in times])
         seen = [int(np.count_nonzero(sums[0])), *[0] * (len(keys) - 1)]
         ends = np.cumsum([len(k) for k in keys])
         return pa.Table.from_batches([arrow_rows(TOTALS, [
-            (block, bucket, n, pack(sums[:, number[e - len(k) : e]]))
+            (block, bucket, n, pack_planes(sums[:, number[e - len(k) : e]].ravel()))
             for block, bucket, n, k, e in zip(group.column("block").to_pylist(), group.column("bucket").to_pylist(), seen, keys, ends.tolist(), strict=True)
         ])])
 
@@ -213,7 +222,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, size: int |
                 _, rank, _ = b.singles()
                 _, first, number, _ = b.pairs()
                 answers = sorted(row["answers"] or [], key=lambda x: (x["kind"], x["bucket"]))
-                single, pair = (np.concatenate([np.zeros((n, 0), dtype="<u8"), *(unpack(x["totals"], "<u8").reshape(n, -1) for x in answers if x["kind"] == kind)], axis=1) for kind, n in ((0, 4), (1, 2)))
+                single, pair = (np.concatenate([np.zeros((n, 0), dtype="<u8"), *(unpack_planes(x["totals"]).reshape(n, -1) for x in answers if x["kind"] == kind)], axis=1) for kind, n in ((0, 4), (1, 2)))
                 word, before = rank[b.place[first]], rank[b.before[first]]
                 loss = []
                 for k, total in ((1, target_words), (0, words)):
