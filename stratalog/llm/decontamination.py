@@ -12,13 +12,14 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTE, batches, joined, texts_of, word_bounds
+from .common import WORD_BYTE, batches, joined, stored, texts_of, word_bounds
 
 WIDTH = 13
 #: Bytes of item text whose windows are held in one task's tables; more items take more passes over the documents.
@@ -27,6 +28,8 @@ TABLE_BITS = 18
 #: Test strings of these lengths or more are searched together, so that short ones don't shorten all moves.
 CLASSES = (1, 12, 40)
 LANE = 1024
+#: Places and strings that may agree there, looked at in one go.
+PAIRS = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -102,10 +105,17 @@ class Search:
         value = blocks[place] & self.mask
         low, high = np.searchsorted(self.suffix, value, "left"), np.searchsorted(self.suffix, value, "right")
         times = high - low
-        which = self.order[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)]
-        begin = np.repeat(place, times) - first
-        fits = begin + self.length[which] <= len(data) - 8
-        return self.confirm(data, begin[fits], which[fits])
+        # Short strings share their last block with many others, so places are looked at a bounded number of pairs at a time.
+        ends, found, at = np.cumsum(times), [], 0
+        while at < len(place):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+            t = times[at:to]
+            which = self.order[np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t) + np.repeat(low[at:to], t)]
+            begin = np.repeat(place[at:to], t) - first
+            fits = begin + self.length[which] <= len(data) - 8
+            found.append(self.confirm(data, begin[fits], which[fits]))
+            at = to
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def confirm(self, data: np.ndarray, begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keeps the places where all bytes of the string stand."""
@@ -204,35 +214,25 @@ def passes_for(benchmark: DataFrame, block_bytes: int) -> int:
     return max(1, math.ceil((benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: words, hit words, items found, and whether at least a twentieth of its words are hit.
-
-    A null text has no words. Items without words match nothing; items with equal texts all count. The items are
-    dealt into as many blocks as their total size asks for, and each block is one pass over the documents.
-    Repeated rows are judged once each (with more than one pass, rows equal in doc_id and text become one).
-    """
+def judged(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int, key: str) -> DataFrame:
+    """FOUND for each row, with `key` (doc_id, or a number of the row) in place of doc_id; with several blocks of
+    items the key must tell rows apart."""
     blocks = passes_for(benchmark, block_bytes)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    spark, passes = docs.sparkSession, []
+    passes = []
     for k in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
-        tables = spark.sparkContext.broadcast(TestStrings([tuple(r) for r in own.collect()], width))
+        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
+        tables = docs.sparkSession.sparkContext.broadcast(TestStrings([tuple(r) for r in own.collect()], width))  # about block_bytes
 
         def scan(found: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
             for batch in batches(found):
-                yield rows_of(batch.column("doc_id").to_pylist(), [decided(*x) for x in tables.value.scan(texts_of(batch))])
+                yield rows_of(batch.column(key).to_pylist(), [decided(*x) for x in tables.value.scan(texts_of(batch))])
 
-        with_key = docs.select("doc_id", "text")
-        if blocks > 1:
-            with_key = with_key.dropDuplicates(["doc_id", "text"])
-        passes.append(with_key.mapInArrow(scan, FOUND))
+        passes.append(docs.select(key, "text").mapInArrow(scan, FOUND))
     if blocks == 1:
         return passes[0]
-    every = passes[0]
-    for one in passes[1:]:
-        every = every.unionByName(one)
-    # Two texts under one id are told apart only by their number of words here; ids are meant to be unique.
-    together = every.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    every = reduce(DataFrame.unionByName, passes)
+    together = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
 
     def join_passes(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -242,11 +242,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH,
     return together.mapInArrow(join_passes, FOUND)
 
 
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """row_number, row (all columns) and text, in a stored table, so that the numbers stay."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("row_number"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text"), "documents")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per row of `docs`: words, hit words, items found, and whether at least a twentieth of its words are hit.
+
+    A null text has no words. Items without words match nothing; items with equal texts all count. The items are
+    dealt into as many blocks as their total size asks for, and each block is one pass over the documents; the
+    result doesn't depend on that. Repeated rows, and texts under one doc_id, are judged each on its own.
+    """
+    if passes_for(benchmark, block_bytes) == 1:
+        return judged(docs, benchmark, width, block_bytes, "doc_id")
+    rows = numbered_rows(docs)
+    found = judged(rows, benchmark, width, block_bytes, "row_number").withColumnRenamed("doc_id", "row_number")
+    return rows.select("row_number", F.col("row.doc_id").cast("long").alias("doc_id")).join(found, "row_number").select([x.split()[0] for x in FOUND.split(", ")])
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of `docs`, with all their columns, that are not contaminated."""
+    """The rows of `docs`, with all their columns, that are not contaminated; of repeated rows each is judged."""
     if passes_for(benchmark, block_bytes) > 1:
-        bad = contamination(docs, benchmark, width=width, block_bytes=block_bytes).where("contaminated").select(F.col("doc_id").alias("bad"))
-        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad")), "left_anti")
+        rows = numbered_rows(docs)
+        bad = judged(rows, benchmark, width, block_bytes, "row_number").where("contaminated").select(F.col("doc_id").alias("row_number"))
+        return rows.join(bad, "row_number", "left_anti").select("row.*")
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").collect()
     tables = docs.sparkSession.sparkContext.broadcast(TestStrings([tuple(r) for r in items], width))  # within block_bytes
 

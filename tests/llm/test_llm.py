@@ -133,6 +133,20 @@ def test_decontamination(spark, docs, empty):
     assert not any(r.n_hit for r in decontamination.contamination(docs, bench.where("false")).collect())
 
 
+def test_decontamination_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "PAIRS", 7)
+    items = [(str(i), f"a b c d e{i} f g h i j k l m n") for i in range(12)] + [("x", "w x y z"), ("y", "c")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = [(1, "a b c d", 1), (1, "q w x y z q", 2), (2, "w x y z", 3), (2, "w x y z", 3), (None, "w x y z", 4), (3, None, 5), (4, " ".join(t for _, t in items) * 3, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bad int").repartition(3).withColumns({"row_number": F.lit(1), "row": F.lit(2), "spans": F.lit("s")})
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    found = [sorted(map(str, decontamination.contamination(docs, bench, block_bytes=b).select(columns).collect())) for b in (1 << 20, 60)]
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    kept = [decontamination.keep_clean(docs, bench, block_bytes=b) for b in (1 << 20, 60)]
+    assert kept[0].columns == kept[1].columns == docs.columns
+    assert sorted(map(str, kept[0].collect())) == sorted(map(str, kept[1].collect())) and kept[0].count() == 1
+
+
 def brute_suffix(t):
     seen, out = set(), {}
     for i in sorted(t):
