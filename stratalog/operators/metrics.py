@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.functions.text import leg_status
+
 from .events import gated_reason, is_state, uncovered
 
 #: Upper bounds of histogram buckets.
@@ -14,17 +16,17 @@ CANDIDATES = [1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0]
 SIMILARITY = [0.7, 0.8, 0.85, 0.88, 0.9, 0.92, 0.94, 0.96, 0.98, 1.0]
 
 
-def histogram(rows: DataFrame, value: str, bounds: list[float]) -> DataFrame:
-    """le, n: how many values are at most each bound; one pass, one row per bound. The last row is without bound."""
-    counts = rows.agg(*[F.count_if(F.col(value) <= b).alias(f"b{i}") for i, b in enumerate(bounds)], F.count(value).alias("rest"))
-    listed = F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)], F.struct(F.lit(None).cast("double").alias("le"), F.col("rest").alias("n")))
-    return counts.select(F.inline(listed))
+def histogram(rows: DataFrame, value: str, bounds: list[float], *keys: str) -> DataFrame:
+    """le, n, total, rows: how many values are at most each bound, and the sum and number of all; one pass, one row per
+    bound (and set of keys). The last row is without bound."""
+    counts = rows.groupBy(*keys).agg(*[F.count_if(F.col(value) <= b).alias(f"b{i}") for i, b in enumerate(bounds)], F.count(value).alias("rows"), F.sum(value).alias("total"))
+    listed = F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)], F.struct(F.lit(None).cast("double").alias("le"), F.col("rows").alias("n")))
+    return counts.select(*keys, "total", "rows", F.inline(listed)).select(*keys, "le", "n", "total", "rows")
 
 
-def bucket_quantile(hist: DataFrame, q: float) -> DataFrame:
+def bucket_quantile(hist: DataFrame, q: float, *keys: str) -> DataFrame:
     """The least bound under which a share q of the values lies; null if only the unbounded row does."""
-    total = hist.agg(F.max("n")).first()[0]
-    return hist.where(F.col("n") >= q * F.lit(total)).agg(F.min("le").alias("quantile"))
+    return hist.groupBy(*keys).agg(F.min(F.when(F.col("n") >= q * F.col("rows"), F.col("le"))).alias("quantile"))
 
 
 def gate_rates(events: DataFrame) -> DataFrame:
@@ -41,8 +43,8 @@ def backlog(events: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def leg_stats(legs: DataFrame) -> DataFrame:
-    """Candidates of each leg by query, with the class of its status."""
-    return legs.groupBy("query_id", "leg").agg(F.count("id").alias("candidates"))
+    """Candidates of each leg by query, with the class of its status; a leg without results is one row without an id."""
+    return legs.groupBy("query_id", "leg").agg(F.count("id").alias("candidates"), F.max(leg_status(F.col("status"))).alias("status_class"))
 
 
 def dropped_legs(legs: DataFrame) -> DataFrame:
@@ -51,9 +53,10 @@ def dropped_legs(legs: DataFrame) -> DataFrame:
 
 
 def pack_metrics(packs: DataFrame) -> DataFrame:
-    """Packs, those over budget, those with a cut tail, and the mean lag."""
+    """Packs, those over budget, those with a cut tail, and the 95th percentile of the lag."""
     over = (F.col("budget") > 0) & (F.col("source_tokens") > F.col("budget"))
-    return packs.agg(F.count("*").alias("packs"), F.count_if(over).alias("budget_exceeded"), F.count_if("truncated").alias("tail_truncated"), F.avg("freshness_lag_ms").alias("mean_lag_ms"))
+    p95 = F.percentile("freshness_lag_ms", 0.95)
+    return packs.agg(F.count("*").alias("packs"), F.count_if(over).alias("budget_exceeded"), F.count_if("truncated").alias("tail_truncated"), p95.alias("p95_lag_ms"))
 
 
 def pin_model(projects: DataFrame, writes: DataFrame) -> DataFrame:
@@ -63,10 +66,11 @@ def pin_model(projects: DataFrame, writes: DataFrame) -> DataFrame:
 
 
 def model_mismatch(projects: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """state per project and model of its vectors: UNSET, MATCH or MISMATCH."""
+    """state per project and model of its vectors: UNSET, MATCH or MISMATCH; a pinned project without vectors matches."""
     used = embeddings.groupBy("project_id", "model_id").agg(F.count("*").alias("vectors"))
-    state = F.when(F.col("active_model_id").isNull(), "UNSET").when(F.col("active_model_id") == F.col("model_id"), "MATCH").otherwise("MISMATCH")
-    return projects.join(used, "project_id", "left").withColumn("state", F.when(F.col("active_model_id").isNull(), "UNSET").otherwise(F.coalesce(state, F.lit("MATCH"))))
+    pin, own = F.col("active_model_id"), F.col("model_id")
+    state = F.when(pin.isNull(), "UNSET").when(own.isNull() | (pin == own), "MATCH").otherwise("MISMATCH")
+    return projects.join(used, "project_id", "left").withColumn("state", state)
 
 
 def missing_vectors(projects: DataFrame, memories: DataFrame, embeddings: DataFrame) -> DataFrame:

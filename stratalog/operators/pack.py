@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratalog.functions.text import agent_label, clamp_int32, est_tokens, flatten, one_line, section_rank
 
 from .events import freshness_lag, raw_tail
+from .metrics import dropped_legs
 
 PAYLOAD_BYTES = 512
 #: The fixed lines of a pack's text.
@@ -49,9 +50,10 @@ def _lines(rows: DataFrame, line: Column, place: Column, name: str) -> DataFrame
     return found.select("pack_id", F.array_join("x.line", "").alias(name), f"{name}_n")
 
 
-def build_pack(requests: DataFrame, runs: DataFrame, events: DataFrame, facts: DataFrame, retrieved: DataFrame, now: Column, tail_max: int = 50) -> DataFrame:
+def build_pack(requests: DataFrame, runs: DataFrame, events: DataFrame, facts: DataFrame, retrieved: DataFrame, now: Column, tail_max: int = 50, legs: DataFrame | None = None) -> DataFrame:
     """One row per request (pack_id, run_id, min_seq, budget): text, sources, covered_seq, freshness_lag_ms, saved_tokens,
-    truncated. `retrieved` holds pack_id, id, kind, content, score, pos. A request for an unknown run has no row."""
+    truncated, degraded. `retrieved` holds pack_id, id, kind, content, score, pos; `legs` holds pack_id, leg, status, and
+    degraded lists those that ran out of time. A request for an unknown run has no row."""
     asked = requests.join(runs.select("run_id", "covered_seq"), "run_id")
     items = retrieved.withColumn("section", section_rank(F.col("kind"))).where("section IS NOT NULL")
     kept = citation_numbers(budget_fit(items, requests.select("pack_id", "budget")).where("kept"))
@@ -70,6 +72,12 @@ def build_pack(requests: DataFrame, runs: DataFrame, events: DataFrame, facts: D
     for other in (recall, sources, working, tail, cut, source_tokens(retrieved, own)):
         out = out.join(other, "pack_id", "left")
     out = out.join(freshness_lag(events, runs, now), "run_id", "left")
+    none = F.array().cast("array<string>")
+    if legs is None:
+        out = out.withColumn("degraded", none)
+    else:
+        lost = dropped_legs(legs.withColumnRenamed("pack_id", "query_id")).withColumnRenamed("query_id", "pack_id")
+        out = out.join(lost, "pack_id", "left").withColumn("degraded", F.coalesce("degraded", none))
     section = lambda name, head: F.when(F.col(name).isNotNull(), F.concat(F.lit(head), F.col(name))).otherwise("")
     foot = F.concat(
         F.lit("\n---\nCoverage: distilled through seq "), F.col("covered_seq").cast("string"),
@@ -81,7 +89,7 @@ def build_pack(requests: DataFrame, runs: DataFrame, events: DataFrame, facts: D
     saved = F.greatest(F.coalesce("source_tokens", F.lit(0)) - F.col("packed_tokens"), F.lit(0))
     return out.select(
         "pack_id", "run_id", "text", F.coalesce("sources", F.array().cast("array<bigint>")).alias("sources"), "covered_seq", "freshness_lag_ms",
-        F.coalesce("source_tokens", F.lit(0)).alias("source_tokens"), "packed_tokens", saved.alias("saved_tokens"), F.coalesce("truncated", F.lit(False)).alias("truncated"), "budget",
+        F.coalesce("source_tokens", F.lit(0)).alias("source_tokens"), "packed_tokens", saved.alias("saved_tokens"), F.coalesce("truncated", F.lit(False)).alias("truncated"), "degraded", "budget",
     )
 
 

@@ -30,70 +30,107 @@ def exclude_quarantine(memories: DataFrame, include: bool = False) -> DataFrame:
 
 
 def with_vectors(memories: DataFrame, embeddings: DataFrame, model_id: str | None = None) -> DataFrame:
+    """Memories with the vectors that belong to their id (and project, where both sides name it)."""
     vectors = embeddings if model_id is None else embeddings.where(F.col("model_id") == model_id)
-    return memories.join(vectors.withColumnRenamed("memory_id", "id"), "id")
+    keys = ["id", *(["project_id"] if "project_id" in embeddings.columns and "project_id" in memories.columns else [])]
+    return memories.join(vectors.withColumnRenamed("memory_id", "id"), keys)
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = DEPTH) -> DataFrame:
     """query_id, id, distance, pos: the k nearest of `vectors` (id, vec) by cosine distance, ties by id.
 
-    Queries are a stated set; they go to the tasks in blocks of QUERY_BLOCK. Each task keeps its own k best per
-    query, so the exchange holds k rows per query and task at most.
+    A query sees only vectors of its project_id and model_id, where both sides have these columns, and, where it has
+    scopes, those whose scope_keys share one with them. Vectors are packed into blocks where they lie, queries (a
+    stated set) into rows of QUERY_BLOCK at most; blocks and rows meet by an equi-join on project and model, which
+    Spark broadcasts if the queries turn out small and deals out otherwise. Each pair keeps its k best per query, so
+    the last exchange holds k rows per query and block at most.
     """
-    listed = [r.query_id for r in queries.select("query_id").orderBy("query_id").collect()]
-    parts = []
-    for at in range(0, max(1, len(listed)), QUERY_BLOCK):
-        block = listed[at : at + QUERY_BLOCK]
-        own = queries if len(listed) <= QUERY_BLOCK else queries.where((F.col("query_id") >= block[0]) & (F.col("query_id") <= block[-1]))
-        rows = own.select("query_id", "vec").collect()
-        ids = np.array([r.query_id for r in rows], dtype=np.int64)
-        table = np.array([r.vec for r in rows], dtype=np.float64).reshape(len(rows), -1)
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-300)))
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, table = shared.value
-            for batch in batches:
-                if batch.empty or not len(ids):
-                    continue
-                vec = np.stack(batch["vec"].to_numpy()).astype(np.float64)
-                vec /= np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-300)
-                own = batch["id"].to_numpy()
-                distance = 1 - table @ vec.T
-                most = min(k, len(own))
-                order = np.lexsort((np.broadcast_to(own, distance.shape), distance.round(9)), axis=1)[:, :most]
-                row = np.repeat(np.arange(len(ids)), most)
-                yield pd.DataFrame({"query_id": ids[row], "id": own[order.ravel()], "distance": distance[row, order.ravel()]})
-
-        parts.append(vectors.select("id", "vec").mapInPandas(search, "query_id long, id long, distance double"))
-    found = reduce(DataFrame.unionByName, parts)
+    keys = [c for c in ("project_id", "model_id") if c in queries.columns and c in vectors.columns]
+    scoped = "scopes" in queries.columns and "scope_keys" in vectors.columns
+    none = F.array().cast("array<string>")
+    asked = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec"), (F.coalesce("scopes", none) if scoped else none).alias("scopes"), *keys, F.lit(0).alias("_all"))
+    keys = keys or ["_all"]
+    rows = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"), (F.coalesce("scope_keys", none) if scoped else none).alias("scope_keys"), *[F.lit(0).alias(c) if c == "_all" else F.col(c) for c in keys])
+    types = {c: rows.schema[c].dataType.simpleString() for c in keys}
+    # Queries of a project in rows of bounded size.
+    sizes = asked.groupBy(*keys).agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("_rows"))
+    packed = asked.join(sizes, keys).withColumn("_row", F.pmod(F.xxhash64("query_id"), F.col("_rows")))
+    packed = packed.groupBy(*keys, "_row").agg(F.collect_list(F.struct("query_id", "vec", "scopes")).alias("asked"))
+
+    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, part in batch.groupby(keys, sort=False):
+                own = {c: [v] for c, v in zip(keys, key, strict=True)}
+                yield pd.DataFrame(own | {"ids": [part["id"].tolist()], "vecs": [np.concatenate(part["vec"].to_numpy())], "scope_keys": [[list(x) for x in part["scope_keys"]]]})
+
+    blocks = rows.mapInPandas(block, ", ".join([*(f"{c} {t}" for c, t in types.items()), "ids array<long>", "vecs array<double>", "scope_keys array<array<string>>"]))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, vecs, scope_keys, asked in zip(batch["ids"], batch["vecs"], batch["scope_keys"], batch["asked"], strict=True):
+                query = np.array([q["query_id"] for q in asked], dtype=np.int64)
+                distance = 1 - _unit(np.stack([q["vec"] for q in asked])) @ _unit(vecs.reshape(len(ids), -1)).T
+                held = [set(x) for x in scope_keys]
+                allowed: dict[tuple, np.ndarray] = {}
+                for i, q in enumerate(asked):
+                    wanted = tuple(q["scopes"])
+                    if wanted:
+                        if wanted not in allowed:
+                            allowed[wanted] = np.array([not h.isdisjoint(wanted) for h in held])
+                        distance[i, ~allowed[wanted]] = np.inf
+                most = min(k, len(ids))
+                order = np.lexsort((np.broadcast_to(ids, distance.shape), distance.round(9)), axis=1)[:, :most]
+                row, place = np.repeat(np.arange(len(query)), most), order.ravel()
+                fine = np.isfinite(distance[row, place])
+                yield pd.DataFrame({"query_id": query[row][fine], "id": np.asarray(ids)[place][fine], "distance": distance[row, place][fine]})
+
+    found = blocks.join(packed.drop("_row"), keys).select("ids", "vecs", "scope_keys", "asked").mapInPandas(search, "query_id long, id long, distance double")
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id"))
     return found.withColumn("pos", pos).where(F.col("pos") <= k)
 
 
+#: Runs of other characters part words; letters and digits of all scripts belong to them.
+BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
+
+
 def lexical_topk(queries: DataFrame, memories: DataFrame, k: int = DEPTH) -> DataFrame:
     """query_id, id, rank, pos: memories that hold all words of the query, by how often; ties by id.
 
-    Words meet in an equi-join, and each memory counts its words before that; an empty query matches nothing.
+    A query sees only memories of its project_id, where both sides have one, and, where it has scopes, those whose
+    scope_keys share one with them. Words meet in an equi-join, and each memory counts its words before that; an
+    empty query matches nothing.
     """
+    own = ["project_id"] if "project_id" in queries.columns and "project_id" in memories.columns else []
+
     def words(df: DataFrame, text: str, *keys: str) -> DataFrame:
-        return df.select(*keys, F.explode(F.split(F.lower(text), r"[^a-z0-9]+")).alias("word")).where((F.col("word") != "") & ~F.col("word").isin(STOP_WORDS))
+        return df.select(*keys, F.explode(F.split(F.lower(text), BETWEEN_WORDS)).alias("word")).where((F.col("word") != "") & ~F.col("word").isin(STOP_WORDS))
 
-    asked = words(queries, "text", "query_id").distinct()
+    asked = words(queries, "text", "query_id", *own).distinct()
     need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
-    wanted = asked.select("word").distinct()
-    held = words(memories, "content", "id").join(wanted, "word", "left_semi").groupBy("id", "word").agg(F.count("*").alias("n"))
-    hits = asked.join(held, "word").groupBy("query_id", "id").agg(F.count("*").alias("words"), F.sum("n").alias("rank"))
+    wanted = asked.select("word", *own).distinct()
+    held = words(memories, "content", "id", *own).join(wanted, ["word", *own], "left_semi").groupBy("id", "word", *own).agg(F.count("*").alias("n"))
+    hits = asked.join(held, ["word", *own]).groupBy("query_id", "id").agg(F.count("*").alias("words"), F.sum("n").alias("rank"))
     hits = hits.join(need, "query_id").where("words = need")
+    if "scopes" in queries.columns and "scope_keys" in memories.columns:
+        hits = hits.join(queries.select("query_id", "scopes"), "query_id").join(memories.select("id", "scope_keys"), "id").where(scope_overlap(F.col("scope_keys"), F.col("scopes")))
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rank"), "id"))
     return hits.withColumn("pos", pos).where(F.col("pos") <= k).select("query_id", "id", "rank", "pos")
 
 
 def candidate_count(queries: DataFrame, memories: DataFrame, limit: int = EXACT_LIMIT) -> DataFrame:
-    """Per query (query_id, project_id, scopes) how many memories its filters leave, counted to limit + 1, and the path."""
-    n = queries.join(memories.select("project_id", "scope_keys"), "project_id", "left").where(F.col("scope_keys").isNull() | scope_overlap(F.col("scope_keys"), F.col("scopes")))
-    n = n.groupBy("query_id").agg(F.count("scope_keys").alias("n"))
+    """Per query (query_id, project_id, scopes) how many memories its filters leave, counted to limit + 1, and the path:
+    one pass over them (exact), or one dealt out in blocks (exact_blocks); both are exact.
+
+    Memories are counted by project and set of scopes first, so queries meet those counts and not the memories.
+    """
+    counts = memories.groupBy("project_id", F.array_sort("scope_keys").alias("scope_keys")).agg(F.count("*").alias("_n"))
+    n = queries.join(counts, "project_id").where(scope_overlap(F.col("scope_keys"), F.col("scopes"))).groupBy("query_id").agg(F.sum("_n").alias("n"))
     out = queries.select("query_id").join(n, "query_id", "left").withColumn("n", F.least(F.coalesce("n", F.lit(0)), F.lit(limit + 1)))
-    return out.withColumn("path", F.when(F.col("n") <= limit, "exact").otherwise("lsh"))
+    return out.withColumn("path", F.when(F.col("n") <= limit, "exact").otherwise("exact_blocks"))
 
 
 def leg_union(**legs: DataFrame) -> DataFrame:
@@ -128,12 +165,26 @@ def rerank_head(results: DataFrame, order: Callable[[pd.DataFrame], list], depth
     return few.groupBy("query_id").applyInPandas(run, "query_id long, id long, score double, pos int")
 
 
-def hybrid_retrieve(dense: DataFrame, text: DataFrame, memories: DataFrame, embeddings: DataFrame, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
-    """query_id, id, kind, content, score, pos."""
+def search_legs(queries: DataFrame, memories: DataFrame, embeddings: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """The legs of queries (query_id, vec, text, and the filters project_id, model_id, scopes) over memories that are
+    live and trusted: query_id, id, pos, leg, status. The entity leg is a stub, one row without an id per query."""
     live = exclude_quarantine(live_head(memories))
-    legs = leg_union(dense=dense_topk(dense, with_vectors(live, embeddings), depth), lexical=lexical_topk(text, live, depth))
-    top = rrf_fuse(legs).where(F.col("pos") <= limit)
-    return top.join(live.select("id", "kind", "content"), "id")
+    legs = leg_union(dense=dense_topk(queries, with_vectors(live, embeddings), depth), lexical=lexical_topk(queries, live, depth))
+    stub = queries.select("query_id", F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("pos"), F.lit("entity").alias("leg"), F.lit("stub").alias("status"))
+    return legs.withColumn("status", F.when(F.col("leg") == "dense", "exact").otherwise("text")).unionByName(stub)
+
+
+def hybrid_retrieve(
+    queries: DataFrame, memories: DataFrame, embeddings: DataFrame, limit: int = LIMIT, depth: int = DEPTH,
+    order: Callable[[pd.DataFrame], list] | None = None, rerank_depth: int = RERANK_DEPTH,
+) -> DataFrame:
+    """query_id, id, kind, content, score, pos: the legs of search_legs, fused, and reranked by `order` where it is given."""
+    fused = rrf_fuse(search_legs(queries, memories, embeddings, depth).where("id IS NOT NULL"))
+    content = memories.select("id", "kind", "content")
+    if order is None:
+        return fused.where(F.col("pos") <= limit).join(content, "id").select("query_id", "id", "kind", "content", "score", "pos")
+    head = fused.where(F.col("pos") <= max(limit, rerank_depth)).join(content, "id")
+    return rerank_head(head, order, rerank_depth, limit).join(content, "id").select("query_id", "id", "kind", "content", "score", "pos")
 
 
 def distinct_contents(candidates: DataFrame, dim: int | None = None) -> DataFrame:

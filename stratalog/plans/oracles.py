@@ -21,26 +21,31 @@ v_search AS (SELECT * FROM v_live WHERE trust_tier <> 'quarantine'),
 v_emb AS (SELECT vec_id AS memory_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings)"""
 
 DENSE = """
-dq AS (SELECT memory_id AS query_id, vec FROM v_emb WHERE memory_id < 20),
-dd AS (SELECT query_id, m.id, 1 - list_cosine_similarity(dq.vec, e.vec) AS distance FROM dq, v_search m JOIN v_emb e ON e.memory_id = m.id),
+qs AS (SELECT vec_id AS query_id, 'p' || (vec_id % 3) AS project_id, CASE WHEN vec_id % 40 = 20 THEN ['lang:en'] ELSE [] END AS scopes, d.text FROM embeddings JOIN documents d ON d.doc_id = vec_id WHERE vec_id % 20 = 0),
+dq AS (SELECT qs.*, vec FROM qs JOIN v_emb ON memory_id = query_id),
+dd AS (SELECT query_id, m.id, 1 - list_cosine_similarity(dq.vec, e.vec) AS distance FROM dq JOIN v_search m USING (project_id) JOIN v_emb e ON e.memory_id = m.id WHERE len(scopes) = 0 OR list_has_any(scope_keys, scopes)),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS pos FROM dd) WHERE pos <= 50)"""
 
 STOP = "('a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','this','to','was','with')"
 
 
-def lexical(words: int = 2, source: str = "v_search") -> str:
+WORDS = "'[^\\p{L}\\p{N}]+'"
+
+
+def lexical(source: str = "v_search") -> str:
     return f"""
-lq AS (SELECT item_id AS query_id, list_slice(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 5), 1, {words}) AS ws FROM benchmark),
-lw AS (SELECT DISTINCT query_id, w AS word FROM (SELECT query_id, unnest(ws) AS w FROM lq) WHERE w NOT IN {STOP} AND w <> ''),
+lq AS (SELECT query_id, project_id, list_slice(list_filter(regexp_split_to_array(lower(text), {WORDS}), lambda w: length(w) > 5), 1, 3) AS ws FROM qs),
+lw AS (SELECT DISTINCT query_id, project_id, w AS word FROM (SELECT query_id, project_id, unnest(ws) AS w FROM lq) WHERE w NOT IN {STOP} AND w <> ''),
 ln AS (SELECT query_id, count(*) AS need FROM lw GROUP BY 1),
-lm AS (SELECT id, word, count(*) AS n FROM (SELECT id, unnest(regexp_split_to_array(lower(content), '[^a-z0-9]+')) AS word FROM {source}) WHERE word IN (SELECT word FROM lw) GROUP BY ALL),
-lh AS (SELECT query_id, id, count(*) AS c, CAST(sum(n) AS BIGINT) AS rank FROM lw JOIN lm USING (word) GROUP BY ALL),
+lm AS (SELECT id, project_id, word, count(*) AS n FROM (SELECT id, project_id, unnest(regexp_split_to_array(lower(content), {WORDS})) AS word FROM {source}) WHERE word IN (SELECT word FROM lw) GROUP BY ALL),
+la AS (SELECT query_id, id, count(*) AS c, CAST(sum(n) AS BIGINT) AS rank FROM lw JOIN lm USING (project_id, word) GROUP BY ALL),
+lh AS (SELECT la.* FROM la JOIN qs USING (query_id) JOIN v_memories m ON m.id = la.id WHERE len(scopes) = 0 OR list_has_any(m.scope_keys, scopes)),
 lexical AS (SELECT * EXCLUDE (need, c) FROM (SELECT h.*, need, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, id) AS pos FROM lh h JOIN ln USING (query_id) WHERE c = need) WHERE pos <= 50)"""
 
 
 FUSED = """
-legs AS (SELECT query_id, id, pos, 'dense' AS leg FROM dense UNION ALL SELECT query_id, id, pos, 'lexical' FROM lexical),
-once AS (SELECT query_id, leg, id, min(pos) AS pos FROM legs GROUP BY ALL),
+legs AS (SELECT query_id, id, pos, 'dense' AS leg, 'ok' AS status_class FROM dense UNION ALL SELECT query_id, id, pos, 'lexical', 'ok' FROM lexical UNION ALL SELECT query_id, NULL, NULL, 'entity', 'stub' FROM qs),
+once AS (SELECT query_id, leg, id, min(pos) AS pos FROM legs WHERE id IS NOT NULL GROUP BY ALL),
 lr AS (SELECT *, row_number() OVER (PARTITION BY query_id, leg ORDER BY pos, id) AS leg_rank FROM once),
 fs AS (SELECT query_id, id, sum(1.0 / (60 + leg_rank)) AS score FROM lr GROUP BY ALL),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CAST(round(score / 1e-4) AS BIGINT) DESC, id) AS pos FROM fs)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions import prompts as g
@@ -51,9 +51,11 @@ def ev(select: str, *more: str) -> str:
 # Event log
 
 
-@query(ev("SELECT id, run_id, CASE WHEN agent_id = '' THEN 'agent_required' WHEN CAST(run_id AS BIGINT) % 10 = 0 THEN 'unknown_run' END AS reject_code FROM (SELECT id, run_id, CASE WHEN id % 50 = 0 THEN '' ELSE agent_id END AS agent_id FROM v_events)"))
+@query(ev("SELECT id, run_id, CASE WHEN id % 997 = 0 THEN 'too_large' WHEN id % 50 = 0 THEN 'agent_required' WHEN id % 51 = 0 THEN 'payload_not_object' WHEN CAST(run_id AS BIGINT) % 10 = 0 THEN 'unknown_run' WHEN agent_id = 'signup' AND id % 3 = 0 THEN 'invalid_state_fact' END AS reject_code FROM v_events"))
 def ingest_events(spark, sf):
-    raw = a.raw_events(spark, sf).withColumn("agent_id", F.when(F.col("id") % 50 == 0, "").otherwise(F.col("agent_id")))
+    big = F.concat(F.lit('{"x":"'), F.repeat(F.lit("x"), F.lit(e.MAX_BODY_BYTES)), F.lit('"}'))
+    payload = F.when(F.col("id") % 997 == 0, big).when(F.col("id") % 51 == 0, "[1]").when(F.col("id") % 3 == 0, F.replace("payload", F.lit('"user"'), F.lit("7"))).otherwise(F.col("payload"))
+    raw = a.raw_events(spark, sf).withColumns({"agent_id": F.when(F.col("id") % 50 == 0, "").otherwise(F.col("agent_id")), "payload": payload})
     good, bad = e.ingest_events(raw, a.runs(spark, sf).where(F.col("run_id").cast("long") % 10 != 0))
     return good.select("id", "run_id", F.lit(None).cast("string").alias("reject_code")).unionByName(bad.select("id", "run_id", "reject_code"))
 
@@ -95,14 +97,14 @@ def parse_state_facts(spark, sf):
     return e.parse_state_facts(rows).select("id", "entity", "value", "error_field", "error_reason")
 
 
-@query(ev("SELECT run_id, id, seq, nth FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS nth FROM v_open) WHERE nth <= 20"))
+@query(ev("SELECT run_id, id, seq, nth FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS nth FROM v_open) WHERE nth <= 200"))
 def uncovered_events(spark, sf):
-    return e.uncovered_events(a.events(spark, sf), a.runs(spark, sf), 20).select("run_id", "id", "seq", "nth")
+    return e.uncovered_events(a.events(spark, sf), a.runs(spark, sf)).select("run_id", "id", "seq", "nth")
 
 
-@query(ev("SELECT run_id, CAST(ceil(n / 20.0) AS INT) AS pass_no, count(*) AS events FROM (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM v_open) GROUP BY ALL"))
+@query(ev("SELECT run_id, CAST(ceil(n / 200.0) AS INT) AS pass_no, count(*) AS events FROM (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM v_open) GROUP BY ALL"))
 def window_plan(spark, sf):
-    return e.window_plan(a.events(spark, sf), a.runs(spark, sf), 20).groupBy("run_id", "pass_no").agg(F.count("*").alias("events"))
+    return e.window_plan(a.events(spark, sf), a.runs(spark, sf)).groupBy("run_id", "pass_no").agg(F.count("*").alias("events"))
 
 
 @query(ev(f"SELECT run_id, count(*) AS event_count, epoch_us(TIMESTAMP '{NOW}' - max(created_at)) / 1e6 AS idle_seconds, true AS ready FROM v_open GROUP BY 1"))
@@ -317,6 +319,24 @@ def near_dedup(spark, sf):
     return d.near_dedup(rows).withColumn("cosine", F.round("cosine", 6))
 
 
+def folded_contents(spark, sf):
+    rows = a.twins(spark, sf)
+    folded = d.near_dedup(rows.withColumn("arrival", F.col("id")))
+    content = F.concat(F.lit("memory "), F.col("id").cast("string"))
+    contents = rows.select("id", content.alias("content"), F.sha2(content, 256).alias("content_hash"), "vec", F.lit("a").alias("agent_id"), F.col("id").alias("source_seq"))
+    return folded, d.near_merged(folded, contents)
+
+
+@query()
+def near_memories(spark, sf):
+    return folded_contents(spark, sf)[1][0].select("bucket", "memory_id", "version", "content", "content_hash")
+
+
+@query()
+def near_versions(spark, sf):
+    return folded_contents(spark, sf)[1][1]
+
+
 @query()
 def dedup_funnel(spark, sf):
     return d.dedup_funnel(d.near_dedup(a.twins(spark, sf).withColumn("arrival", F.col("id"))))
@@ -330,8 +350,12 @@ def distinct_contents(spark, sf):
 # Retrieval
 
 
-def vectors(spark, sf):
-    return r.with_vectors(r.exclude_quarantine(r.live_head(a.memories(spark, sf))), a.embeddings(spark, sf)).select("id", "vec")
+def trusted(spark, sf):
+    return r.exclude_quarantine(r.live_head(a.memories(spark, sf)))
+
+
+def dense(spark, sf, k=50):
+    return r.dense_topk(a.search_queries(spark, sf), r.with_vectors(trusted(spark, sf), a.embeddings(spark, sf)), k)
 
 
 def mem(select: str, *more: str) -> str:
@@ -349,59 +373,68 @@ def exclude_quarantine(spark, sf):
     return r.exclude_quarantine(r.live_head(a.memories(spark, sf))).select("id", "kind")
 
 
-@query(mem("SELECT id, kind, len(vec) AS dim FROM v_memories JOIN v_emb ON memory_id = id"))
+@query(mem("SELECT id, kind, len(vec) AS dim, round(list_sum(vec), 4) AS total FROM v_memories JOIN v_emb ON memory_id = id"))
 def memory_embedding(spark, sf):
-    return r.with_vectors(a.memories(spark, sf), a.embeddings(spark, sf), "m1").select("id", "kind", F.size("vec").alias("dim"))
+    total = F.round(F.aggregate("vec", F.lit(0.0), lambda s, y: s + y.cast("double")), 4)
+    return r.with_vectors(a.memories(spark, sf), a.embeddings(spark, sf), "m1").select("id", "kind", F.size("vec").alias("dim"), total.alias("total"))
 
 
 @query(mem("SELECT query_id, id, pos, round(distance, 6) AS distance FROM dense", DENSE))
 def dense_topk(spark, sf):
-    return r.dense_topk(a.dense_queries(spark, sf), vectors(spark, sf)).select("query_id", "id", "pos", F.round("distance", 6).alias("distance"))
+    return dense(spark, sf).select("query_id", "id", "pos", F.round("distance", 6).alias("distance"))
 
 
-@query(mem("SELECT query_id, id, rank, pos FROM lexical", lexical(1)))
+@query(mem("SELECT query_id, id, rank, pos FROM lexical", DENSE, lexical()))
 def lexical_topk(spark, sf):
-    return r.lexical_topk(a.text_queries(spark, sf, 1), r.exclude_quarantine(r.live_head(a.memories(spark, sf))))
+    return r.lexical_topk(a.search_queries(spark, sf), trusted(spark, sf))
 
 
-@query(mem("SELECT query_id, id, pos, round(score, 8) AS score FROM fused", DENSE, lexical(1), FUSED))
+@query(mem("SELECT query_id, id, pos, round(score, 8) AS score FROM fused", DENSE, lexical(), FUSED))
 def rrf_fuse(spark, sf):
-    live = r.exclude_quarantine(r.live_head(a.memories(spark, sf)))
-    legs = r.leg_union(dense=r.dense_topk(a.dense_queries(spark, sf), vectors(spark, sf)), lexical=r.lexical_topk(a.text_queries(spark, sf, 1), live))
+    legs = r.search_legs(a.search_queries(spark, sf), a.memories(spark, sf), a.embeddings(spark, sf)).where("id IS NOT NULL")
     return r.rrf_fuse(legs).select("query_id", "id", "pos", F.round("score", 8).alias("score"))
 
 
-@query(mem("SELECT query_id, f.id, kind, pos, round(score, 8) AS score, content FROM fused f JOIN v_search USING (id) WHERE pos <= 20", DENSE, lexical(1), FUSED))
+@query(mem("SELECT query_id, f.id, kind, pos, round(score, 8) AS score, content FROM fused f JOIN v_search USING (id) WHERE pos <= 20", DENSE, lexical(), FUSED))
 def hybrid_retrieve(spark, sf):
-    found = r.hybrid_retrieve(a.dense_queries(spark, sf), a.text_queries(spark, sf, 1), a.memories(spark, sf), a.embeddings(spark, sf))
+    found = r.hybrid_retrieve(a.search_queries(spark, sf), a.memories(spark, sf), a.embeddings(spark, sf))
     return found.select("query_id", "id", "kind", "pos", F.round("score", 8).alias("score"), "content")
 
 
 @query(mem("SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, CASE WHEN h THEN -id ELSE pos END) AS pos FROM (SELECT *, pos <= 10 AS h FROM dense WHERE pos <= 20)", DENSE))
 def rerank_head(spark, sf):
-    rows = r.dense_topk(a.dense_queries(spark, sf), vectors(spark, sf)).withColumn("score", 1 - F.col("distance"))
+    rows = dense(spark, sf).withColumn("score", 1 - F.col("distance"))
     return r.rerank_head(rows, lambda part: sorted(part["id"], reverse=True), depth=10, limit=20).select("query_id", "id", "pos")
 
 
-@query(mem("SELECT vec_id AS query_id, CASE WHEN least(n, 301) <= 300 THEN 'exact' ELSE 'lsh' END AS path, least(n, 301) AS n FROM (SELECT vec_id, count(m.id) AS n FROM embeddings LEFT JOIN v_live m ON m.project_id = 'p' || (vec_id % 3) AND (vec_id % 2 = 0 OR list_has_any(m.scope_keys, ['lang:en'])) WHERE vec_id < 20 GROUP BY 1)"))
+@query(mem("SELECT query_id, id, kind, score, pos FROM (SELECT query_id, id, kind, round(score, 8) AS score, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, CASE WHEN h THEN -id ELSE pos END) AS pos FROM (SELECT f.*, kind, f.pos <= 10 AS h FROM fused f JOIN v_search USING (id) WHERE f.pos <= 20)) WHERE pos <= 15", DENSE, lexical(), FUSED))
+def hybrid_reranked(spark, sf):
+    found = r.hybrid_retrieve(a.search_queries(spark, sf), a.memories(spark, sf), a.embeddings(spark, sf), 15, order=lambda part: sorted(part["id"], reverse=True), rerank_depth=10)
+    return found.select("query_id", "id", "kind", F.round("score", 8).alias("score"), "pos")
+
+
+@query(mem("SELECT query_id, CASE WHEN n <= 200 THEN 'exact' ELSE 'exact_blocks' END AS path, least(n, 201) AS n FROM (SELECT query_id, count(m.id) AS n FROM qs LEFT JOIN v_live m ON m.project_id = qs.project_id AND (len(scopes) = 0 OR list_has_any(m.scope_keys, scopes)) GROUP BY 1)", DENSE))
 def retrieval_path(spark, sf):
-    q = a.dense_queries(spark, sf).select("query_id", F.concat(F.lit("p"), (F.col("query_id") % 3).cast("string")).alias("project_id"), F.when(F.col("query_id") % 2 == 1, F.array(F.lit("lang:en"))).otherwise(F.array().cast("array<string>")).alias("scopes"))
-    return r.candidate_count(q, r.live_head(a.memories(spark, sf)), 300)
+    return r.candidate_count(a.search_queries(spark, sf), r.live_head(a.memories(spark, sf)), 200)
 
 
 # Packs
 
 
 def retrieved(spark, sf):
-    """The dense results of query q serve the packs of the runs that are q modulo 20."""
-    found = r.dense_topk(a.dense_queries(spark, sf), vectors(spark, sf), 20).withColumn("score", 1 - F.col("distance"))
-    packs = requests(spark, sf).select("pack_id", (F.col("pack_id") % 20).alias("query_id"))
+    """The dense results of the queries serve the packs of their project, in turn."""
+    found = dense(spark, sf, 20).withColumn("score", 1 - F.col("distance"))
+    asked = a.search_queries(spark, sf).select("project_id", "query_id")
+    asked = asked.withColumn("nth", F.row_number().over(Window.partitionBy("project_id").orderBy("query_id")) - 1)
+    packs = requests(spark, sf).join(a.runs(spark, sf).select("run_id", "project_id"), "run_id").join(asked.groupBy("project_id").agg(F.count("*").alias("many")), "project_id")
+    packs = packs.select("project_id", "pack_id", (F.col("pack_id") % F.col("many")).alias("nth")).join(asked, ["project_id", "nth"]).select("pack_id", "query_id")
     return packs.join(found, "query_id").join(a.memories(spark, sf).select("id", "kind", "content"), "id").select("pack_id", "id", "kind", "content", "score", "pos")
 
 
-PACKS = """pk AS (SELECT CAST(run_id AS BIGINT) AS pack_id, run_id, CASE WHEN CAST(run_id AS BIGINT) % 10 = 0 THEN 0 ELSE 400 END AS budget FROM v_runs),
+PACKS = """qn AS (SELECT query_id, project_id, row_number() OVER (PARTITION BY project_id ORDER BY query_id) - 1 AS nth, count(*) OVER (PARTITION BY project_id) AS many FROM qs),
+pk AS (SELECT CAST(run_id AS BIGINT) AS pack_id, run_id, project_id, CASE WHEN CAST(run_id AS BIGINT) % 10 = 0 THEN 0 ELSE 400 END AS budget FROM v_runs),
 it AS (SELECT pack_id, budget, m.id, m.kind, m.content, 1 - distance AS score, pos, CASE kind WHEN 'semantic' THEN 1 WHEN 'episodic' THEN 2 ELSE 3 END AS section, CAST(ceil(strlen(content) / 4.0) AS BIGINT) AS cost
-  FROM pk JOIN dense ON query_id = pack_id % 20 JOIN v_memories m ON m.id = dense.id WHERE pos <= 20),
+  FROM pk JOIN qn ON qn.project_id = pk.project_id AND nth = pack_id % many JOIN dense USING (query_id) JOIN v_memories m ON m.id = dense.id WHERE pos <= 20),
 ft AS (SELECT *, budget <= 0 OR sum(cost) OVER (PARTITION BY pack_id ORDER BY section, pos) <= budget AS kept FROM it)"""
 
 
@@ -425,7 +458,10 @@ def working_order(spark, sf):
 
 def packs(spark, sf):
     events, runs = a.events(spark, sf), a.runs(spark, sf)
-    return p.build_pack(requests(spark, sf), runs, events, upsert_working_facts(spark, sf), retrieved(spark, sf), now())
+    asked = requests(spark, sf)
+    legs = asked.select("pack_id", F.explode(F.array(F.lit("dense"), F.lit("lexical"))).alias("leg"))
+    legs = legs.withColumn("status", F.when((F.col("leg") == "lexical") & (F.col("pack_id") % 7 == 0), "timeout").otherwise("exact"))
+    return p.build_pack(asked, runs, events, e.upsert_working_facts(e.decode_state_facts(events)), retrieved(spark, sf), now(), legs=legs)
 
 
 def quoted(value: str) -> str:
@@ -446,9 +482,9 @@ tx AS (SELECT pk.pack_id, run_id, r.covered_seq, coalesce(lag, 0) AS lag, coales
   FROM pk JOIN v_runs r USING (run_id) LEFT JOIN wt USING (run_id) LEFT JOIN rt USING (pack_id) LEFT JOIN tt USING (pack_id) LEFT JOIN fl USING (run_id) LEFT JOIN st USING (pack_id))"""
 
 
-@query(sql(EVENTS, MEMORIES, DENSE, PACKS, TAIL, PACK_TEXT, select="SELECT pack_id, text, sources, covered_seq, lag AS freshness_lag_ms, source_tokens, greatest(source_tokens - CAST(ceil(strlen(text) / 4.0) AS BIGINT), 0) AS saved_tokens, truncated FROM tx"))
+@query(sql(EVENTS, MEMORIES, DENSE, PACKS, TAIL, PACK_TEXT, select="SELECT pack_id, text, sources, covered_seq, lag AS freshness_lag_ms, source_tokens, greatest(source_tokens - CAST(ceil(strlen(text) / 4.0) AS BIGINT), 0) AS saved_tokens, truncated, CASE WHEN pack_id % 7 = 0 THEN ['lexical'] ELSE [] END AS degraded FROM tx"))
 def build_pack(spark, sf):
-    return packs(spark, sf).select("pack_id", "text", "sources", "covered_seq", "freshness_lag_ms", "source_tokens", "saved_tokens", "truncated")
+    return packs(spark, sf).select("pack_id", "text", "sources", "covered_seq", "freshness_lag_ms", "source_tokens", "saved_tokens", "truncated", "degraded")
 
 
 @query(sql(EVENTS, MEMORIES, DENSE, PACKS, TAIL, PACK_TEXT, select="SELECT pack_id, CAST(least(lag, 2147483647) AS INT) AS freshness_lag_ms, CASE WHEN pack_id % 10 = 0 THEN NULL ELSE 400 END AS token_budget, CAST(source_tokens AS INT) AS est_source_tokens, sources AS memory_ids FROM tx"))
@@ -456,11 +492,13 @@ def pack_log(spark, sf):
     return p.pack_log(packs(spark, sf)).select("pack_id", "freshness_lag_ms", "token_budget", "est_source_tokens", "memory_ids")
 
 
-@query(sql(MEMORIES, DENSE, select="SELECT x.query_id AS pair_id, len(list_filter(y.ids, lambda i: NOT list_contains(x.ids, i))) AS added, len(list_filter(x.ids, lambda i: NOT list_contains(y.ids, i))) AS removed, list_filter(x.ids, lambda i: list_contains(y.ids, i)) AS kept, list_filter(x.ids, lambda i: list_contains(y.ids, i)) <> list_filter(y.ids, lambda i: list_contains(x.ids, i)) AS reordered, 'na' AS hash_state FROM (SELECT query_id, list(id ORDER BY pos) AS ids FROM dense GROUP BY 1) x JOIN (SELECT query_id, list(id ORDER BY pos) AS ids FROM dense GROUP BY 1) y ON y.query_id = (x.query_id + 1) % 20"))
+@query(sql(MEMORIES, DENSE, select="SELECT x.query_id AS pair_id, len(list_filter(y.ids, lambda i: NOT list_contains(x.ids, i))) AS added, len(list_filter(x.ids, lambda i: NOT list_contains(y.ids, i))) AS removed, list_filter(x.ids, lambda i: list_contains(y.ids, i)) AS kept, list_filter(x.ids, lambda i: list_contains(y.ids, i)) <> list_filter(y.ids, lambda i: list_contains(x.ids, i)) AS reordered, CASE WHEN x.query_id % 3 = 0 OR y.query_id % 3 = 0 THEN 'na' WHEN x.query_id % 2 = y.query_id % 2 THEN 'identical' ELSE 'differ' END AS hash_state FROM (SELECT query_id, list(id ORDER BY pos) AS ids FROM dense GROUP BY 1) x JOIN (SELECT query_id, list(id ORDER BY pos) AS ids FROM dense GROUP BY 1) y ON y.query_id = (x.query_id + 20) % (20 * (SELECT count(*) FROM qs))"))
 def pack_diff(spark, sf):
-    found = r.dense_topk(a.dense_queries(spark, sf), vectors(spark, sf)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("x"))
-    rows = found.select(F.col("query_id").alias("pack_id"), F.col("x.id").alias("memory_ids"), F.lit(None).cast("string").alias("pack_hash"))
-    pairs = rows.select(F.col("pack_id").alias("pair_id"), F.col("pack_id").alias("before"), ((F.col("pack_id") + 1) % 20).alias("after"))
+    found = dense(spark, sf).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("x"))
+    hashed = F.when(F.col("query_id") % 3 != 0, F.sha2((F.col("query_id") % 2).cast("string"), 256))
+    rows = found.select(F.col("query_id").alias("pack_id"), F.col("x.id").alias("memory_ids"), hashed.alias("pack_hash"))
+    many = a.search_queries(spark, sf).agg(F.count("*").alias("many"))
+    pairs = rows.join(F.broadcast(many)).select(F.col("pack_id").alias("pair_id"), F.col("pack_id").alias("before"), ((F.col("pack_id") + 20) % (20 * F.col("many"))).alias("after"))  # one row
     return p.pack_diff(rows, pairs).select("pair_id", F.size("added").alias("added"), F.size("removed").alias("removed"), "kept", "reordered", "hash_state")
 
 
@@ -472,15 +510,18 @@ def browse_page(spark, sf):
     return i.browse_page(a.memories(spark, sf), 10, ("2024-01-01 00:03:00", 100), kind="episodic").select("id", "nth", "has_more")
 
 
-@query(mem("SELECT query_id, id, pos FROM lexical WHERE pos <= 50", lexical(1, "(SELECT * FROM v_live WHERE kind = 'semantic')")))
+@query(mem("SELECT query_id, id, pos FROM lexical WHERE pos <= 50", DENSE, lexical("(SELECT * FROM v_live WHERE kind = 'semantic')")))
 def search_page(spark, sf):
     rows = i.browse_filters(r.live_head(a.memories(spark, sf)), kind="semantic", trust_tier=None)
-    return r.lexical_topk(a.text_queries(spark, sf, 1), rows).select("query_id", "id", "pos")
+    return r.lexical_topk(a.search_queries(spark, sf), rows).select("query_id", "id", "pos")
 
 
-@query(ev("SELECT id, nth, n > 30 AS has_more FROM (SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) AS nth, count(*) OVER () AS n FROM v_events WHERE run_id = '3') WHERE nth <= 30"))
+@query(ev("SELECT pack_id, nth, has_more FROM (SELECT pack_id, row_number() OVER (ORDER BY created_at DESC, pack_id DESC) AS nth, count(*) OVER () > 30 AS has_more FROM (SELECT CAST(run_id AS BIGINT) * 1000 + n AS pack_id, TIMESTAMP '2024-01-01' + to_seconds(n % 7) AS created_at FROM v_runs, (SELECT unnest(range(40)) AS n) WHERE run_id = '3')) WHERE nth <= 30"))
 def trace_page(spark, sf):
-    return i.trace_page(a.events(spark, sf), "3", 30).select("id", "nth", "has_more")
+    logged = a.runs(spark, sf).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    when = F.timestamp_seconds(F.lit(1704067200) + F.col("n") % 7).cast("timestamp_ntz")
+    logged = logged.select("run_id", (F.col("run_id").cast("long") * 1000 + F.col("n")).alias("id"), when.alias("created_at"))
+    return i.trace_page(logged, "3", 30).select(F.col("id").alias("pack_id"), "nth", "has_more")
 
 
 @query(ev("SELECT memory_id, CAST(n - 1 AS INT) AS version, row_number() OVER (PARTITION BY memory_id ORDER BY n) AS nth FROM ck WHERE n > 1 AND memory_id % 2 = 0", CLICKS))
@@ -535,11 +576,12 @@ def memory_scopes(spark, sf):
     return i.memory_scopes(tags)
 
 
-@query("SELECT vec_id AS memory_id, CASE WHEN vec_id % 2 = 0 THEN 1 ELSE len(embedding) END AS dim FROM embeddings")
+@query("SELECT vec_id AS memory_id, len(embedding) AS dim, round(CASE WHEN vec_id % 2 = 0 THEN -1 ELSE 1 END * list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings")
 def upsert_embeddings(spark, sf):
-    current = a.embeddings(spark, sf).withColumns({"project_id": F.lit("p"), "arrival": F.lit(1)})
-    new = current.where("memory_id % 2 = 0").withColumn("vec", F.array(F.lit(1.0).cast("float")))
-    return i.upsert_embeddings(new, current).select("memory_id", F.size("vec").alias("dim"))
+    current = a.embeddings(spark, sf).withColumn("arrival", F.lit(1))
+    new = current.where("memory_id % 2 = 0").withColumn("vec", F.transform("vec", lambda x: -x))
+    total = F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")), 4)
+    return i.upsert_embeddings(new, current).select("memory_id", F.size("vec").alias("dim"), total.alias("total"))
 
 
 @query(mem("SELECT id, project_id FROM v_memories WHERE project_id <> 'p2'"))
@@ -570,9 +612,12 @@ def variance_gate(spark, sf):
     return v.variance_gate(v.eval_report(a.verdicts(spark, sf))).select("line", "gate")
 
 
-@query(ver("SELECT 'own' AS system, round(mean, 9) AS answer_mean, round(std, 9) AS answer_std, std * 100 <= 2.0 AS answer_gate, CAST(NULL AS DOUBLE) AS pipeline_std FROM rp WHERE line = 'overall'", REPORT))
+@query(ver("SELECT 'own' AS system, round(mean, 9) AS answer_mean, round(std, 9) AS answer_std, std * 100 <= 2.0 AS answer_gate, round((SELECT stddev_samp(x) FROM (SELECT avg(1 - correct) AS x FROM v_recall GROUP BY trial HAVING trial < 2)), 9) AS pipeline_std FROM rp WHERE line = 'overall'", REPORT))
 def leaderboard(spark, sf):
-    return v.leaderboard(v.eval_report(a.verdicts(spark, sf))).select("system", F.round("answer_mean", 9).alias("answer_mean"), F.round("answer_std", 9).alias("answer_std"), "answer_gate", "pipeline_std")
+    rows = a.verdicts(spark, sf)
+    other = rows.where("trial < 2").withColumns({"protocol": F.lit("pipeline"), "correct": 1 - F.col("correct")})
+    found = v.leaderboard(v.eval_report(rows.unionByName(other)))
+    return found.select("system", *[F.round(c, 9).alias(c) for c in ("answer_mean", "answer_std")], "answer_gate", F.round("pipeline_std", 9).alias("pipeline_std"))
 
 
 @query("WITH s AS (SELECT source AS universe, avg(quality) AS good, avg(1 - toxic) AS clean FROM labels JOIN documents USING (doc_id) GROUP BY 1) SELECT universe, 'other' AS system, CASE WHEN good < 0.85 THEN 'no_baseline' WHEN clean >= good - 0.10 - 1e-12 THEN 'gate_pass' ELSE 'gate_fail' END AS outcome FROM s UNION ALL SELECT universe, 'reference', CASE WHEN good >= 0.85 THEN 'locked' ELSE 'not_locked_sanity' END FROM s")
@@ -599,15 +644,16 @@ def judge_cache_split(spark, sf):
     return v.judge_cache_split(rows.drop("correct"), rows.where("trial = 1")).select("question_id", "trial", "hit")
 
 
-@query(ver("SELECT question_id, 't' || trial AS variant, true AS correct FROM v_verdicts WHERE trial <> 1"))
+@query(ver("SELECT question_id, 't' || trial AS variant, length(question_id) % 2 = 0 AS correct FROM v_verdicts WHERE trial <> 1"))
 def score_answers(spark, sf):
     rows = answers(spark, sf)
-    return v.score_answers(rows.withColumn("prompt", F.lit("Yes.")), rows.where("trial = 1"), lambda prompts: prompts).select("question_id", "variant", "correct")
+    return v.score_answers(rows.withColumn("prompt", F.when(F.length("question_id") % 2 == 0, "Yes.").otherwise("No.")), rows.where("trial = 1"), lambda prompts: prompts).select("question_id", "variant", "correct")
 
 
-@query("SELECT doc_id, 't' || t AS variant FROM labels, (SELECT unnest([0, 1, 2, 3]) AS t)")
+@query("SELECT doc_id, p AS protocol, 't' || t AS variant, CASE p WHEN 'answer' THEN 0 ELSE t END AS context_trial FROM labels, (SELECT unnest([0, 1, 2, 3]) AS t), (SELECT unnest(['answer', 'pipeline']) AS p)")
 def variance_trials(spark, sf):
-    return v.variance_trials(a.table(spark, sf, "labels"), 4).select("doc_id", "variant")
+    rows = a.table(spark, sf, "labels")
+    return v.variance_trials(rows, 4).unionByName(v.variance_trials(rows, 4, "pipeline")).select("doc_id", "protocol", "variant", "context_trial")
 
 
 @query(ver("SELECT question_id, trial FROM v_verdicts WHERE question_type NOT IN ('src1', 'src2')"))
@@ -672,19 +718,38 @@ def event_count(spark, sf):
     return a.events(spark, sf).agg(F.count("*").alias("events"))
 
 
-def hist_sql(values: str, bounds: list[float]) -> str:
+def hist_sql(values: str, bounds: list[float], *views: str) -> str:
     rows = ", ".join(f"({b})" for b in bounds)
-    return f"WITH v AS ({values}), b AS (SELECT * FROM (VALUES {rows}) t(le)) SELECT CAST(le AS DOUBLE) AS le, count(v.x) AS n FROM b LEFT JOIN v ON v.x <= b.le GROUP BY 1 UNION ALL SELECT NULL, count(x) FROM v"
+    select = "SELECT le, n, total, rows FROM (SELECT CAST(le AS DOUBLE) AS le, count(hv.x) AS n FROM hb LEFT JOIN hv ON hv.x <= hb.le GROUP BY 1 UNION ALL SELECT NULL, count(x) FROM hv), (SELECT round(sum(x), 4) AS total, count(x) AS rows FROM hv)"
+    return sql(*views, f"\nhv AS ({values}), hb AS (SELECT * FROM (VALUES {rows}) t(le))", select=select)
+
+
+def rounded(hist):
+    return hist.withColumn("total", F.round("total", 4))
 
 
 @query(hist_sql("SELECT value / 100 AS x FROM events", m.LATENCY_SECONDS))
 def latency_histogram(spark, sf):
-    return m.histogram(a.table(spark, sf, "events").select((F.col("value") / 100).alias("x")), "x", m.LATENCY_SECONDS)
+    return rounded(m.histogram(a.table(spark, sf, "events").select((F.col("value") / 100).alias("x")), "x", m.LATENCY_SECONDS))
+
+
+LAGS = f"SELECT epoch_us(TIMESTAMP '{NOW}' - arg_min(created_at, seq)) // 1000 / 1e8 AS x FROM v_open GROUP BY run_id"
+
+
+@query(hist_sql(LAGS, m.FRESHNESS_SECONDS, EVENTS))
+def freshness_histogram(spark, sf):
+    lag = e.freshness_lag(a.events(spark, sf), a.runs(spark, sf), now()).where("freshness_lag_ms > 0")
+    return rounded(m.histogram(lag.select((F.col("freshness_lag_ms") / 1e8).alias("x")), "x", m.FRESHNESS_SECONDS))
+
+
+@query(hist_sql("SELECT count(id) AS x FROM legs GROUP BY query_id, leg", m.CANDIDATES, MEMORIES, DENSE, lexical(), FUSED))
+def candidate_histogram(spark, sf):
+    return rounded(m.histogram(leg_stats(spark, sf), "candidates", m.CANDIDATES))
 
 
 @query()
 def similarity_histogram(spark, sf):
-    return m.histogram(near_dedup(spark, sf), "cosine", m.SIMILARITY)
+    return rounded(m.histogram(near_dedup(spark, sf), "cosine", m.SIMILARITY))
 
 
 @query("WITH v AS (SELECT value / 100 AS x FROM events) SELECT min(le) AS quantile FROM (SELECT le, count(*) AS n FROM (SELECT unnest([0.005, 0.01, 0.025, 0.05, 0.1, 0.15, 0.25, 0.5, 1.0, 2.5, 5.0]) AS le), v WHERE x <= le GROUP BY 1) WHERE n >= 0.95 * (SELECT count(*) FROM v)")
@@ -692,10 +757,9 @@ def latency_p95(spark, sf):
     return m.bucket_quantile(latency_histogram(spark, sf), 0.95)
 
 
-@query(mem("SELECT query_id, leg, count(*) AS candidates FROM legs GROUP BY ALL", DENSE, lexical(1), FUSED))
+@query(mem("SELECT query_id, leg, count(id) AS candidates, max(status_class) AS status_class FROM legs GROUP BY 1, 2", DENSE, lexical(), FUSED))
 def leg_stats(spark, sf):
-    live = r.exclude_quarantine(r.live_head(a.memories(spark, sf)))
-    return m.leg_stats(r.leg_union(dense=r.dense_topk(a.dense_queries(spark, sf), vectors(spark, sf)), lexical=r.lexical_topk(a.text_queries(spark, sf, 1), live)))
+    return m.leg_stats(r.search_legs(a.search_queries(spark, sf), a.memories(spark, sf), a.embeddings(spark, sf)))
 
 
 @query("SELECT conv_id AS query_id, coalesce(list_sort(list_distinct(list(role) FILTER (turn % 3 = 0))), []) AS degraded FROM conversations GROUP BY 1")
@@ -704,9 +768,9 @@ def dropped_legs(spark, sf):
     return m.dropped_legs(rows)
 
 
-@query(sql(EVENTS, MEMORIES, DENSE, PACKS, TAIL, PACK_TEXT, select="SELECT count(*) AS packs, count_if(pack_id % 10 <> 0 AND source_tokens > 400) AS budget_exceeded, count_if(truncated) AS tail_truncated, round(avg(lag), 3) AS mean_lag_ms FROM tx"))
+@query(sql(EVENTS, MEMORIES, DENSE, PACKS, TAIL, PACK_TEXT, select="SELECT count(*) AS packs, count_if(pack_id % 10 <> 0 AND source_tokens > 400) AS budget_exceeded, count_if(truncated) AS tail_truncated, round(quantile_cont(lag, 0.95), 3) AS p95_lag_ms FROM tx"))
 def pack_metrics(spark, sf):
-    return m.pack_metrics(packs(spark, sf)).withColumn("mean_lag_ms", F.round("mean_lag_ms", 3))
+    return m.pack_metrics(packs(spark, sf)).withColumn("p95_lag_ms", F.round("p95_lag_ms", 3))
 
 
 def projects(spark, sf):
@@ -716,14 +780,15 @@ def projects(spark, sf):
 
 @query("SELECT * FROM (VALUES ('p0', 'm0'), ('p1', 'm1'), ('p2', 'm1')) v(project_id, active_model_id)")
 def pin_model(spark, sf):
-    writes = a.embeddings(spark, sf).select(F.concat(F.lit("p"), (F.col("memory_id") % 3).cast("string")).alias("project_id"), "model_id", F.col("memory_id").alias("arrival"))
+    writes = a.embeddings(spark, sf).select("project_id", "model_id", F.col("memory_id").alias("arrival"))
     return m.pin_model(projects(spark, sf), writes)
 
 
-@query("SELECT 'p' || (vec_id % 3) AS project_id, count(*) AS vectors, CASE WHEN vec_id % 3 = 0 THEN 'MISMATCH' ELSE 'UNSET' END AS state FROM embeddings GROUP BY ALL")
+@query("SELECT 'p' || (vec_id % 3) AS project_id, count(*) AS vectors, CASE WHEN vec_id % 3 = 0 THEN 'MISMATCH' ELSE 'UNSET' END AS state FROM embeddings GROUP BY ALL UNION ALL SELECT 'p9', NULL, 'MATCH' FROM (SELECT count(*) FROM embeddings)")
 def model_mismatch(spark, sf):
-    rows = a.embeddings(spark, sf).withColumn("project_id", F.concat(F.lit("p"), (F.col("memory_id") % 3).cast("string")))
-    return m.model_mismatch(projects(spark, sf), rows).select("project_id", "vectors", "state")
+    own = projects(spark, sf)
+    bare = own.where("project_id = 'p0'").select(F.lit("p9").alias("project_id"), "active_model_id")
+    return m.model_mismatch(own.unionByName(bare), a.embeddings(spark, sf)).select("project_id", "vectors", "state")
 
 
 @query(mem("SELECT id FROM v_live WHERE id NOT IN (SELECT vec_id FROM embeddings)"))
@@ -741,40 +806,89 @@ def metering(spark, sf):
 
 
 def one_pass(spark, sf):
-    return consolidate_pass(a.events(spark, sf), a.runs(spark, sf), now(), 20)
+    return consolidate_pass(a.events(spark, sf), a.runs(spark, sf), now())
 
 
-WINDOW20 = "w20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS nth FROM v_open) WHERE nth <= 20)"
+PASS_WINDOW = "w200 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS nth FROM v_open) WHERE nth <= 200)"
 PASS_CLAIMS = """pc AS (SELECT project_id, run_id, CASE WHEN agent_id = 'purchase' THEN 'item' || (k % 10) ELSE 'user' END AS entity, CASE WHEN agent_id = 'purchase' THEN 'price' ELSE 'p' || (k % 5) END AS predicate,
-  CAST(k AS VARCHAR) AS value, seq, CASE WHEN agent_id = 'purchase' THEN 0 ELSE 1 END AS ord FROM w20 WHERE agent_id IN ('purchase', 'signup'))"""
+  CAST(k AS VARCHAR) AS value, seq, CASE WHEN agent_id = 'purchase' THEN 0 ELSE 1 END AS ord FROM w200 WHERE agent_id IN ('purchase', 'signup'))"""
 
 
-@query(ev("SELECT run_id, max(seq) AS covered_seq, count(*) AS events FROM w20 GROUP BY 1", WINDOW20))
+@query(ev("SELECT run_id, max(seq) AS covered_seq, count(*) AS events FROM w200 GROUP BY 1", PASS_WINDOW))
 def consolidate_marks(spark, sf):
     return one_pass(spark, sf)["marks"]
 
 
-@query(ev("SELECT project_id, entity, predicate, arg_max(value, (seq, run_id, ord)) AS value, count(*) AS claims FROM pc GROUP BY ALL", WINDOW20, PASS_CLAIMS))
+@query(ev("SELECT project_id, entity, predicate, arg_max(value, (seq, run_id, ord)) AS value, count(*) AS claims FROM pc GROUP BY ALL", PASS_WINDOW, PASS_CLAIMS))
 def consolidate_claims(spark, sf):
     rows = one_pass(spark, sf)["claims"]
     return rows.groupBy("project_id", "entity", "predicate").agg(F.max(F.when(F.col("superseded_by").isNull(), F.col("value"))).alias("value"), F.count("*").alias("claims"))
 
 
-@query(ev("SELECT project_id, content, CAST(count(*) AS INT) AS version FROM (SELECT w.project_id, 'Clicked item ' || (k % 20) || '.' AS content, coalesce(n.names, []) AS names FROM w20 w LEFT JOIN (SELECT run_id, list_sort(list_distinct(list(entity))) AS names FROM pc GROUP BY 1) n USING (run_id) WHERE agent_id = 'click') GROUP BY project_id, content, names", WINDOW20, PASS_CLAIMS))
+@query(ev("SELECT project_id, content, CAST(count(*) AS INT) AS version FROM (SELECT w.project_id, 'Clicked item ' || (k % 20) || '.' AS content, coalesce(n.names, []) AS names FROM w200 w LEFT JOIN (SELECT run_id, list_sort(list_distinct(list(entity))) AS names FROM pc GROUP BY 1) n USING (run_id) WHERE agent_id = 'click') GROUP BY project_id, content, names", PASS_WINDOW, PASS_CLAIMS))
 def consolidate_memories(spark, sf):
     return one_pass(spark, sf)["memories"].select("project_id", "content", "version")
 
 
-@query(ev("SELECT project_id, entity AS name, 'unknown' AS type FROM pc GROUP BY ALL", WINDOW20, PASS_CLAIMS))
+@query(ev("SELECT project_id, entity AS name, 'unknown' AS type FROM pc GROUP BY ALL", PASS_WINDOW, PASS_CLAIMS))
 def consolidate_entities(spark, sf):
     return one_pass(spark, sf)["entities"].select("project_id", "name", "type")
 
 
-@query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'abstention' WHEN 1 THEN 'default' WHEN 2 THEN 'temporal' END AS template, CASE turn % 4 WHEN 3 THEN NULL ELSE len(text) * 2 + len(role) + CASE turn % 4 WHEN 0 THEN {0} WHEN 1 THEN {1} ELSE {2} END END AS prompt_chars FROM conversations".format(*(len(x) - 6 for x in (g.ABSTENTION, g.DEFAULT, g.TEMPORAL))))
+def two_passes(spark, sf):
+    """A pass over the first 30 events of each run, and one over the rest that starts from what the first left."""
+    events, runs = a.events(spark, sf), a.runs(spark, sf)
+    first = consolidate_pass(events.where("seq <= 30"), runs, now())
+    marks = runs.join(first["marks"].select("run_id", F.col("covered_seq").alias("_mark")), "run_id", "left").withColumn("covered_seq", F.coalesce("_mark", "covered_seq")).drop("_mark")
+    stored = first["memories"].withColumnRenamed("memory_id", "id")
+    active = first["claims"].where("superseded_by IS NULL")
+    return first, consolidate_pass(events, marks, now(), memories=stored, claims=active, entities=first["entities"])
+
+
+TWO_PASSES = """w2 AS (SELECT *, CASE WHEN seq <= 30 THEN 1 ELSE 2 END AS pass_no FROM v_open),
+p2 AS (SELECT project_id, run_id, pass_no, CASE WHEN agent_id = 'purchase' THEN 'item' || (k % 10) ELSE 'user' END AS entity, CASE WHEN agent_id = 'purchase' THEN 'price' ELSE 'p' || (k % 5) END AS predicate,
+  CAST(k AS VARCHAR) AS value, seq, CASE WHEN agent_id = 'purchase' THEN 0 ELSE 1 END AS ord FROM w2 WHERE agent_id IN ('purchase', 'signup')),
+m2 AS (SELECT w.project_id, 'Clicked item ' || (k % 20) || '.' AS content, coalesce(n.names, []) AS names, pass_no FROM w2 w LEFT JOIN (SELECT run_id, pass_no, list_sort(list_distinct(list(entity))) AS names FROM p2 GROUP BY ALL) n USING (run_id, pass_no) WHERE agent_id = 'click')"""
+
+
+@query(ev("SELECT project_id, content, CAST(count(*) AS INT) AS version, min(pass_no) = 2 AS inserted FROM m2 GROUP BY project_id, content, names HAVING max(pass_no) = 2", TWO_PASSES))
+def second_pass_memories(spark, sf):
+    return two_passes(spark, sf)[1]["memories"].select("project_id", "content", "version", "inserted")
+
+
+@query(ev("SELECT project_id, content, CAST(count(*) AS INT) AS versions FROM (SELECT *, row_number() OVER (PARTITION BY project_id, content, names ORDER BY pass_no) AS n FROM m2) WHERE pass_no = 2 AND n > 1 GROUP BY project_id, content, names", TWO_PASSES))
+def second_pass_versions(spark, sf):
+    found = two_passes(spark, sf)[1]["versions"].groupBy("project_id", "memory_id", "content").agg(F.count("*").cast("int").alias("versions"))
+    return found.select("project_id", "content", "versions")
+
+
+@query(ev("SELECT project_id, entity, predicate, arg_max(value, (pass_no, seq, run_id, ord)) AS value, count(*) FILTER (pass_no = 2) + max(CASE WHEN pass_no = 1 THEN 1 ELSE 0 END) AS claims FROM p2 GROUP BY ALL HAVING max(pass_no) = 2", TWO_PASSES))
+def second_pass_claims(spark, sf):
+    rows = two_passes(spark, sf)[1]["claims"]
+    return rows.groupBy("project_id", "entity", "predicate").agg(F.max(F.when(F.col("superseded_by").isNull(), F.col("value"))).alias("value"), F.count("*").alias("claims"))
+
+
+@query(ev("SELECT project_id, entity AS name, min(pass_no) AS pass_no FROM p2 GROUP BY ALL", TWO_PASSES))
+def second_pass_entities(spark, sf):
+    first, second = two_passes(spark, sf)
+    old = first["entities"].select("project_id", "name", F.lit(1).alias("pass_no"))
+    return second["entities"].select("project_id", "name").join(old, ["project_id", "name"], "left").withColumn("pass_no", F.coalesce("pass_no", F.lit(2)))
+
+
+@query(ev("SELECT m.id, CASE WHEN field IS NULL THEN value ELSE (SELECT '{' || string_agg('\"' || f || '\":' || v, ',' ORDER BY f) || '}' FROM (SELECT p.field AS f, arg_max(p.value, p.n) AS v FROM mp p WHERE p.project_id = m.project_id AND p.entity = m.entity AND p.part = m.part AND p.n <= m.n AND p.field IS NOT NULL GROUP BY 1)) END AS value, superseded_by FROM (SELECT *, lead(id) OVER (PARTITION BY project_id, entity ORDER BY n) AS superseded_by FROM mp) m", CLAIMS, MERGE_SQL))
+def merge_history(spark, sf):
+    value = F.when(F.col("id") % 31 == 0, F.col("value")).otherwise(F.concat(F.lit('{"f'), (F.col("id") % 5).cast("string"), F.lit('":'), "value", F.lit("}")))
+    return c.merge_history(claims(spark, sf).withColumn("value", value)).select("id", "value", "superseded_by")
+
+
+def graded(*order: str) -> str:
+    return " ".join(f"WHEN {n} THEN md5(printf({quoted(g.TEMPLATES[name])}, text, role, text))" for n, name in enumerate(order))
+
+
+@query("SELECT conv_id, turn, CASE turn % 6 {} END AS prompt_md5 FROM conversations".format(graded("abstention", "default", "temporal", "update", "preference")))
 def grading_prompts(spark, sf):
-    name = F.when(F.col("turn") % 4 == 0, "abstention").when(F.col("turn") % 4 == 1, "default").when(F.col("turn") % 4 == 2, "temporal")
-    rows = a.table(spark, sf, "conversations").withColumn("template", name)
-    return rows.select("conv_id", "turn", "template", F.char_length(g.grading_prompt(F.col("template"), F.col("text"), F.col("role"), F.col("text"))).alias("prompt_chars"))
+    name = F.element_at(F.array(*map(F.lit, ("abstention", "default", "temporal", "update", "preference", None))), (F.col("turn") % 6 + 1).cast("int"))
+    return a.table(spark, sf, "conversations").select("conv_id", "turn", F.md5(g.grading_prompt(name, F.col("text"), F.col("role"), F.col("text"))).alias("prompt_md5"))
 
 
 @query(ev("SELECT project_id, entity, predicate, max(CAST(value AS BIGINT)) AS value FROM v_claims GROUP BY ALL", CLAIMS))
@@ -783,22 +897,26 @@ def adjudicate_with(spark, sf):
     return found.select("project_id", "entity", "predicate", F.col("value").cast("long").alias("value"))
 
 
-@query(ev("SELECT run_id, CAST(ceil(n / 20.0) AS INT) AS pass_no, count(*) AS n FROM (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM v_open) GROUP BY ALL"))
+@query(ev("SELECT run_id, CAST(ceil(n / 200.0) AS INT) AS pass_no, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs, max(payload) AS last FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM v_open) GROUP BY ALL"))
 def extract_with(spark, sf):
-    windows = e.window_plan(a.events(spark, sf), a.runs(spark, sf), 20)
+    windows = e.window_plan(a.events(spark, sf), a.runs(spark, sf))
     found = u.extract_with(windows, lambda part: part.assign(source_seq=part["seq"], kind="semantic", content=part["payload"]))
-    return found.groupBy("run_id", "pass_no").agg(F.count("*").alias("n"))
+    return found.groupBy("run_id", "pass_no").agg(F.count("*").alias("n"), F.sum("source_seq").alias("seqs"), F.max("content").alias("last"))
 
 
-@query("SELECT item_id AS query_id, 4 AS dim FROM benchmark")
+@query("SELECT item_id AS query_id, 4 AS dim, CASE WHEN item_id % 2 = 0 THEN 0.5 ELSE 1.0 END AS head FROM benchmark")
 def query_vectors(spark, sf):
     queries = a.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     cache = queries.where("query_id % 2 = 0").select(t.query_hash(F.col("text")).alias("query_hash"), F.array(*[F.lit(0.5).cast("float")] * 4).alias("vec")).dropDuplicates(["query_hash"])
     found, _ = u.query_vectors(queries, cache, lambda texts: [[1.0, 0.0, 0.0, 0.0]] * len(texts), 4)
-    return found.select("query_id", F.size("vec").alias("dim"))
+    return found.select("query_id", F.size("vec").alias("dim"), F.col("vec")[0].cast("double").alias("head"))
+
+
+HASHED = """h AS (SELECT doc_id, list_transform(range(64), lambda i: CAST(CAST('0x' || substr(sha256(unhex(lpad(hex(i), 16, '0')) || encode(text)), 1, 16) AS UBIGINT) AS DOUBLE) / 9223372036854775808.0 - 1) AS v FROM documents)"""
 
 
-@query("SELECT doc_id, round(list_inner_product(v, v), 6) AS norm FROM (SELECT doc_id, [1.0::DOUBLE] AS v FROM documents)")
+@query(sql(HASHED, select="SELECT doc_id, 1.0 AS norm, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS head, round(v[64] / sqrt(list_inner_product(v, v)), 6) AS tail, round(1 - v[1] / sqrt(v[1] * v[1] + v[2] * v[2]), 6) AS distance FROM h"))
 def hash_embedding(spark, sf):
-    v = t.hash_embedding(F.col("text"))
-    return a.table(spark, sf, "documents").select("doc_id", v.alias("v")).select("doc_id", F.round(t.dot(F.col("v"), F.col("v")), 6).alias("norm"))
+    rows = a.table(spark, sf, "documents").select("doc_id", t.hash_embedding(F.col("text")).alias("v"))
+    distance = t.cosine_distance(F.slice("v", 1, 2), F.array(F.lit(1.0), F.lit(0.0)))
+    return rows.select("doc_id", F.round(t.dot(F.col("v"), F.col("v")), 6).alias("norm"), F.round(F.col("v")[0], 6).alias("head"), F.round(F.col("v")[63], 6).alias("tail"), F.round(distance, 6).alias("distance"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalog.operators.events import assign_seq
+from stratalog.operators.retrieve import BETWEEN_WORDS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,17 +51,18 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("memory_id"), F.lit("m1").alias("model_id"), F.col("embedding").alias("vec"))
-
-
-def dense_queries(spark: SparkSession, sf_dir: str, most: int = 20) -> DataFrame:
-    """The stated query set of the vector search: the vectors of the smallest ids."""
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < most).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
-
-
-def text_queries(spark: SparkSession, sf_dir: str, words: int = 2) -> DataFrame:
-    long_words = F.filter(F.split(F.lower("text"), r"[^a-z0-9]+"), lambda w: F.length(w) > 5)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(long_words, 1, words), " ").alias("text"))
+    project = F.concat(F.lit("p"), (F.col("vec_id") % 3).cast("string"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("memory_id"), project.alias("project_id"), F.lit("m1").alias("model_id"), F.col("embedding").alias("vec"))
+
+
+def search_queries(spark: SparkSession, sf_dir: str, words: int = 3) -> DataFrame:
+    """The stated query set: every memory whose id is divisible by 20 asks in its project with its own vector and its
+    first long words, every second of them for one scope only."""
+    held = F.filter(F.split(F.lower("text"), BETWEEN_WORDS), lambda w: F.length(w) > 5)
+    asked = embeddings(spark, sf_dir).where("memory_id % 20 = 0").withColumnRenamed("memory_id", "query_id")
+    text = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(held, 1, words), " ").alias("text"))
+    scopes = F.when(F.col("query_id") % 40 == 20, F.array(F.lit("lang:en"))).otherwise(F.array().cast("array<string>"))
+    return asked.join(text, "query_id").withColumn("scopes", scopes)
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
