@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SUBJECT = ["project_id", "entity", "predicate"]
@@ -27,40 +27,88 @@ def active_claims(claims: DataFrame, entities: DataFrame, events: DataFrame) ->
     return own.join(source, "source_event_id", "left")
 
 
-def resolve_claims_lww(claims: DataFrame, policy: str = "last-write-wins") -> DataFrame:
-    """superseded_by: the next claim of the subject in arrival order; the last one is active. The reason names both."""
-    w = Window.partitionBy(*SUBJECT).orderBy("arrival", "id")
+def _with_stored(claims: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """New claims after the stored active ones of their subjects; _new tells them apart."""
+    rows = claims.withColumn("_new", F.lit(1))
+    if stored is None:
+        return rows
+    columns = [c for c in claims.columns if c in stored.columns]
+    held = stored.join(claims.select(*SUBJECT).distinct(), SUBJECT, "left_semi").select(*columns, F.lit(0).alias("_new"))
+    return rows.unionByName(held, allowMissingColumns=True)
+
+
+def resolve_claims_lww(claims: DataFrame, policy: str = "last-write-wins", stored: DataFrame | None = None) -> DataFrame:
+    """superseded_by: the next claim of the subject in arrival order; the last one is active. The reason names both.
+
+    `stored` holds the active claims of earlier passes; those of the subjects at hand come before all new ones, and
+    are in the result with what closed them.
+    """
+    w = Window.partitionBy(*SUBJECT).orderBy("_new", "arrival", "id")
     nxt = F.lead(F.struct("id", "run_id", "source_seq")).over(w)
-    out = claims.withColumn("_next", nxt).withColumn("superseded_by", F.col("_next.id"))
+    out = _with_stored(claims, stored).withColumn("_next", nxt).withColumn("superseded_by", F.col("_next.id"))
     line = F.format_string(
         policy + ": claim %s (run %s seq %s) supersedes claim %s (run %s seq %s)", F.col("_next.id").cast("string"), F.col("_next.run_id"), F.col("_next.source_seq").cast("string"),
         F.col("id").cast("string"), F.col("run_id"), F.coalesce("source_seq", F.lit(0)).cast("string"),
     )
-    return out.withColumn("resolution_reason", F.when(F.col("_next").isNotNull(), line)).drop("_next")
+    return out.withColumn("resolution_reason", F.when(F.col("_next").isNotNull(), line)).drop("_next", "_new")
+
+
+def _quoted(text: Column) -> Column:
+    """A string as JSON."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.char_length(listed) - 2)
+
+
+def _fields(value: Column) -> Column:
+    """The fields of an object as a map from key to JSON text."""
+    return F.transform_values(F.from_json(value, "map<string,variant>"), lambda k, v: F.coalesce(F.to_json(v), F.lit("null")))
 
 
-def resolve_claims_merge(claims: DataFrame) -> DataFrame:
-    """The merged value of each subject: fields of later objects win; a value that is no object replaces all before it.
+def _object(fields: Column) -> Column:
+    """A map from key to JSON text as an object, by key."""
+    pairs = F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"]))
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+
+def _segments(claims: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """Claims by number in their subject and segment: a value that is no object opens a segment and stands alone."""
+    w = Window.partitionBy(*SUBJECT).orderBy("_new", "arrival", "id")
+    obj = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    rows = _with_stored(claims, stored).withColumn("_obj", obj)
+    return rows.withColumns({"_nth": F.row_number().over(w), "_part": F.sum((~F.col("_obj")).cast("int")).over(w)})
+
+
+def resolve_claims_merge(claims: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """The merged value of each subject: fields of later objects win; a value that is no object replaces all before it,
+    and the next object starts afresh. `stored` as in resolve_claims_lww.
 
     One row per subject with value and reason of its last claim.
     """
-    w = Window.partitionBy(*SUBJECT).orderBy("arrival", "id")
-    whole = Window.partitionBy(*SUBJECT)
-    obj = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
-    rows = claims.withColumn("_obj", obj).withColumn("_part", F.sum((~F.col("_obj")).cast("int")).over(w)).withColumn("_nth", F.row_number().over(w))
-    rows = rows.withColumn("_last", F.max("_part").over(whole)).where(F.col("_part") == F.col("_last"))
-    last = rows.groupBy(*SUBJECT).agg(F.max_by(F.struct("_obj", "value"), "_nth").alias("x"), F.count("*").alias("n"), F.sum(F.col("_obj").cast("int")).alias("objects"))
-    fields = rows.where("_obj").select(*SUBJECT, "_nth", F.inline(F.transform(F.map_entries(F.from_json("value", "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("field")))))
-    fields = fields.groupBy(*SUBJECT, "key").agg(F.max_by(F.coalesce("field", F.lit("null")), "_nth").alias("field"))
-    pairs = F.transform(F.array_sort(F.collect_list(F.struct("key", "field"))), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["field"]))
-    merged = fields.groupBy(*SUBJECT).agg(F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("merged"))
+    rows = _segments(claims, stored).withColumn("_last", F.max("_part").over(Window.partitionBy(*SUBJECT))).where(F.col("_part") == F.col("_last"))
+    last = rows.groupBy(*SUBJECT).agg(F.max_by(F.struct("_obj", "value"), "_nth").alias("x"), F.sum(F.col("_obj").cast("int")).alias("objects"))
+    fields = rows.where("_obj").select(*SUBJECT, "_nth", F.explode(_fields(F.col("value"))).alias("key", "field"))
+    fields = fields.groupBy(*SUBJECT, "key").agg(F.max_by("field", "_nth").alias("field"))
+    merged = fields.groupBy(*SUBJECT).agg(_object(F.map_from_entries(F.collect_list(F.struct("key", "field")))).alias("merged"))
     out = last.join(merged, SUBJECT, "left")
     return out.select(
-        *SUBJECT, F.when(F.col("x._obj"), F.col("merged")).otherwise(F.col("x.value")).alias("value"),
+        *SUBJECT, F.when(F.col("x._obj"), F.coalesce("merged", F.lit("{}"))).otherwise(F.col("x.value")).alias("value"),
         F.when(F.col("x._obj") & (F.col("objects") > 1), "field-merge").otherwise("last-write-wins").alias("reason"),
     )
 
 
+def merge_history(claims: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Per claim, stored ones too, the value of its subject once it is merged, the reason, and superseded_by, the next claim."""
+    w = Window.partitionBy(*SUBJECT, "_part").orderBy("_nth")
+    so_far = F.collect_list(F.when(F.col("_obj"), _fields(F.col("value")))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    over = lambda old, new: F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
+    merged = F.aggregate(so_far, F.expr("cast(map() as map<string,string>)"), over)
+    rows = _segments(claims, stored).withColumn("_before", F.sum(F.col("_obj").cast("int")).over(w))
+    rows = rows.withColumn("value", F.when(F.col("_obj"), _object(merged)).otherwise(F.col("value")))
+    rows = rows.withColumn("reason", F.when(F.col("_obj") & (F.col("_before") > 1), "field-merge").otherwise("last-write-wins"))
+    nxt = F.lead("id").over(Window.partitionBy(*SUBJECT).orderBy("_nth"))
+    return rows.withColumn("superseded_by", nxt).drop("_obj", "_nth", "_part", "_before", "_new")
+
+
 def supersede_claims(claims: DataFrame, closed: DataFrame) -> DataFrame:
     """Closes claims by id (claim_id, by); those closed before stay as they are."""
     by = closed.select(F.col("claim_id").alias("id"), F.col("by").alias("_by"))

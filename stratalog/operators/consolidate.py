@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .claims import claims_union, pass_entity_names, register_entities, resolve_claims_lww
-from .dedup import exact_dedup, fingerprints
-from .events import decode_state_facts, route_events, run_readiness, uncovered_events
+from .dedup import exact_dedup, fingerprints, near_dedup
+from .events import WINDOW_EVENTS, decode_state_facts, route_events, run_readiness, uncovered_events
 from .extract import extract_claims, extract_entities, extract_memories
 
 
-def consolidate_pass(events: DataFrame, runs: DataFrame, now: Column, limit: int = 200) -> dict[str, DataFrame]:
-    """memories, versions, claims, entities and marks of a pass.
+def consolidate_pass(
+    events: DataFrame, runs: DataFrame, now: Column, limit: int = WINDOW_EVENTS, *, memories: DataFrame | None = None,
+    claims: DataFrame | None = None, entities: DataFrame | None = None, embed: Callable[[Column], Column] | None = None,
+) -> dict[str, DataFrame]:
+    """memories, versions, claims, entities and marks of a pass; with `embed`, near also.
 
     The window of each ready run is its first `limit` uncovered events. State events become claims beside those that
     are extracted. The entities of the whole pass are part of each fingerprint. The mark moves to the last event read.
+    What earlier passes left goes in: live memories (project_id, content_hash, id, version, content), active claims and
+    the registry of entities. `embed` makes vectors of contents: new memories are then folded with those of equal
+    project and context, and near tells the outcome of each.
     """
     ready = run_readiness(events, runs, now).where("ready").select("run_id")
     window = uncovered_events(events.join(ready, "run_id", "left_semi"), runs, limit).withColumn("pass_no", F.lit(1)).drop("covered_seq", "nth")
@@ -25,14 +33,24 @@ def consolidate_pass(events: DataFrame, runs: DataFrame, now: Column, limit: int
     found = extract_claims(reading).withColumnRenamed("seq", "source_seq").select(*own)
     facts = decode_state_facts(routed.where("route = 'state'").drop("route")).withColumnRenamed("seq", "source_seq").select(*own)
     when = F.struct("source_seq", "run_id", "source_ord")
-    claims = claims_union(found, facts).withColumn("arrival", when).withColumn("id", F.concat_ws(":", "run_id", "source_seq", "source_ord"))
+    new_claims = claims_union(found, facts).withColumn("arrival", when).withColumn("id", F.concat_ws(":", "run_id", "source_seq", "source_ord"))
     mentions = extract_entities(reading)
-    names = pass_entity_names(mentions.select("run_id", "pass_no", "name"), claims.withColumn("pass_no", F.lit(1)))
+    names = pass_entity_names(mentions.select("run_id", "pass_no", "name"), new_claims.withColumn("pass_no", F.lit(1)))
     candidates = extract_memories(reading).join(names.select("run_id", F.col("names").alias("entity_names")), "run_id", "left")
     candidates = fingerprints(candidates).withColumn("source_seq", F.col("seq")).withColumn("arrival", F.struct("seq", "run_id"))
-    memories, versions = exact_dedup(candidates)
+    kept, versions = exact_dedup(candidates, memories)
     seen = mentions.select("project_id", "name", "type", "aliases", F.struct(F.col("seq").alias("source_seq"), "run_id", F.lit(0).alias("source_ord")).alias("arrival"))
-    return {
-        "memories": memories, "versions": versions, "claims": resolve_claims_lww(claims), "entities": register_entities(seen, claims),
+    out = {
+        "memories": kept, "versions": versions, "claims": resolve_claims_lww(new_claims, stored=claims), "entities": register_entities(seen, new_claims, entities),
         "marks": window.groupBy("run_id").agg(F.max("seq").alias("covered_seq"), F.count("*").alias("events")),
     }
+    if embed is not None:
+        bucket = F.xxhash64("project_id", "context_hash")
+        contexts = candidates.groupBy("project_id", "content_hash").agg(F.first("context_hash").alias("context_hash"))
+        fresh = kept.where("inserted").join(contexts, ["project_id", "content_hash"])
+        rows = fresh.select(bucket.alias("bucket"), F.col("memory_id").alias("id"), F.col("memory_id").alias("arrival"), embed(F.col("content")).alias("vec"))
+        held = None
+        if memories is not None and "context_hash" in memories.columns:
+            held = memories.select(bucket.alias("bucket"), "id", F.col("id").alias("arrival"), embed(F.col("content")).alias("vec"), "version")
+        out["near"] = near_dedup(rows, memories=held)
+    return out

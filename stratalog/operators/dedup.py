@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -22,27 +24,48 @@ def fingerprints(candidates: DataFrame) -> DataFrame:
 
 
 def exact_dup_probe(candidates: DataFrame, memories: DataFrame) -> DataFrame:
-    """The live memory of least id with each candidate's fingerprint, or null."""
-    first = memories.groupBy("project_id", "content_hash").agg(F.min("id").alias("duplicate_of"))
+    """The live memory of least id with each candidate's fingerprint, or null. Closed memories are passed over, where
+    the columns that tell are there."""
+    closed = [F.col(c).isNotNull() for c in ("superseded_by", "valid_to") if c in memories.columns]
+    live = memories.where(~reduce(or_, closed)) if closed else memories
+    first = live.groupBy("project_id", "content_hash").agg(F.min("id").alias("duplicate_of"))
     return candidates.join(first, ["project_id", "content_hash"], "left")
 
 
-def exact_dedup(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Memories (the first of each fingerprint, with its version) and versions (one row per merge of a later one)."""
-    w = Window.partitionBy("project_id", "content_hash").orderBy("arrival")
-    rows = candidates.withColumn("_nth", F.row_number().over(w)).withColumn("memory_id", F.first("id").over(w)).withColumn("_kept", F.first("content").over(w))
-    memories = rows.groupBy("project_id", "content_hash", "memory_id").agg(F.max("_nth").cast("int").alias("version"), F.min_by("content", "_nth").alias("content"))
+def exact_dedup(candidates: DataFrame, memories: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Memories (the first of each fingerprint, with its version) and versions (one row per merge of a later one).
+
+    `memories` (project_id, content_hash, id, version, content) are the live ones of earlier passes: a candidate with
+    the fingerprint of one merges into that of least id. `inserted` tells new memories; stored ones without a
+    candidate are not in the result. Contents are aggregated; only ids and seqs of copies come together in a window.
+    """
+    key = ["project_id", "content_hash"]
+    heads = candidates.groupBy(*key).agg(F.min_by(F.struct("id", "content"), "arrival").alias("_first"), F.count("*").alias("_n"))
+    if memories is None:
+        heads = heads.withColumn("_held", F.lit(None).cast(f"struct<id:{candidates.schema['id'].dataType.simpleString()},version:int,content:string>"))
+    else:
+        held = memories.groupBy(*key).agg(F.min_by(F.struct("id", F.col("version").cast("int").alias("version"), "content"), "id").alias("_held"))
+        heads = heads.join(held, key, "left")
+    heads = heads.select(
+        *key, F.coalesce("_held.id", "_first.id").alias("memory_id"), F.coalesce("_held.version", F.lit(0)).alias("_from"),
+        F.coalesce("_held.content", "_first.content").alias("content"), F.col("_held").isNull().alias("inserted"), "_n",
+    )
+    found = heads.select(*key, "memory_id", (F.col("_from") + F.col("_n")).cast("int").alias("version"), "content", "inserted")
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("arrival"))
     reason = F.concat(F.lit("merged duplicate content from event seq "), F.col("source_seq").cast("string"))
-    versions = rows.where("_nth > 1").select("project_id", "memory_id", (F.col("_nth") - 1).cast("int").alias("version"), F.col("_kept").alias("content"), F.col("agent_id").alias("changed_by"), reason.alias("reason"))
-    return memories, versions
+    rows = candidates.select(*key, "agent_id", "source_seq", "arrival").withColumn("_nth", nth).join(heads.select(*key, "memory_id", "_from", "content"), key)
+    rows = rows.withColumn("version", (F.col("_from") + F.col("_nth") - 1).cast("int")).where("version > 0")
+    return found, rows.select("project_id", "memory_id", "version", "content", F.col("agent_id").alias("changed_by"), reason.alias("reason"))
 
 
 def nearest_in_bucket(candidates: DataFrame, memories: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
     """Per candidate (cand_id, bucket, vec) the nearest of the newest `cap` memories (id, bucket, vec, created_at) of its
     bucket, with the bucket's full size."""
-    w = Window.partitionBy("bucket")
-    newest = memories.withColumn("bucket_size", F.count("*").over(w)).withColumn("_nth", F.row_number().over(w.orderBy(F.desc("created_at"), "id"))).where(F.col("_nth") <= cap)
-    pairs = candidates.join(newest.select("bucket", "id", "bucket_size", F.col("vec").alias("_vec")), "bucket")
+    sizes = memories.groupBy("bucket").agg(F.count("*").alias("bucket_size"))
+    # Spark keeps the newest of each bucket in every task before it brings them together.
+    nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("created_at"), "id"))
+    newest = memories.select("bucket", "id", F.col("vec").alias("_vec"), nth.alias("_nth")).where(F.col("_nth") <= cap).join(sizes, "bucket")
+    pairs = candidates.join(newest, "bucket")
     pairs = pairs.withColumn("distance", 1 - dot(F.col("vec"), F.col("_vec")))
     best = pairs.groupBy("cand_id").agg(F.min_by(F.struct("id", "bucket_size", "distance"), F.struct(F.round("distance", 9), "id")).alias("x"))
     return best.select("cand_id", "x.id", "x.bucket_size", "x.distance")
@@ -75,45 +98,75 @@ def dup_pairs(rows: DataFrame, least: float = GRAY, merge: float = MERGE, block:
     return pairs.withColumn("band", F.when(F.col("cosine") >= merge, "merge").otherwise("gray"))
 
 
-FOLDED = "bucket long, id long, outcome string, memory_id long, gray boolean, cosine double, version int"
+FOLDED = "bucket long, id long, outcome string, memory_id long, gray boolean, cosine double, version int, replaced_id long"
 
 
-def near_dedup(candidates: DataFrame, merge: float = MERGE, gray: float = GRAY, cap: int = BUCKET_CAP) -> DataFrame:
+def near_dedup(candidates: DataFrame, merge: float = MERGE, gray: float = GRAY, cap: int = BUCKET_CAP, memories: DataFrame | None = None) -> DataFrame:
     """Folds candidates (bucket, arrival, id, vec) in order of arrival, bucket by bucket.
 
     The nearest of the newest `cap` live memories decides: from `merge` on the candidate replaces its content and
-    vector (outcome near_merged), from `gray` on it is inserted and flagged, else inserted. The order within a
-    bucket is the meaning of the operator, so a bucket is one stream of rows: they arrive sorted in batches, and
-    no more than `cap` memories are held.
+    vector (outcome near_merged; replaced_id is the candidate or memory whose content goes), from `gray` on it is
+    inserted and flagged, else inserted. `memories` (bucket, arrival, id, vec, version) are those of earlier passes,
+    which come before all candidates. The order within a bucket is the meaning of the operator, so a bucket is one
+    stream of rows: they arrive sorted in batches, and no more than `cap` memories are held.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, live, out = None, [], []
+        bucket, used, oldest = None, 0, 0
+        ids, last, versions = np.zeros(cap, dtype=np.int64), np.zeros(cap, dtype=np.int64), np.zeros(cap, dtype=np.int64)
+        table = None
         for batch in batches:
+            out = []
             for row in batch.itertuples(index=False):
-                if row.bucket != bucket:
-                    bucket, live = row.bucket, []
                 vec = np.asarray(row.vec, dtype=np.float64)
-                outcome, memory, flagged, cosine, version = "inserted", row.id, False, None, 1
-                if live:
-                    near = np.stack([m[1] for m in live]) @ vec
-                    k = int(np.lexsort(([m[0] for m in live], -near.round(9)))[0])
-                    cosine = float(near[k])
+                if row.bucket != bucket:
+                    bucket, used, oldest = row.bucket, 0, 0
+                if table is None or table.shape[1] != len(vec):
+                    table = np.zeros((cap, len(vec)))
+                outcome, memory, flagged, cosine, version, replaced = "inserted", row.id, False, None, row.version, None
+                if used and not row.stored:
+                    near = (table[:used] @ vec).round(9)
+                    best = np.flatnonzero(near == near.max())
+                    k = best[np.argmin(ids[best])]
+                    cosine = float(table[k] @ vec)
                     if cosine >= merge:
-                        live[k][1], live[k][2] = vec, live[k][2] + 1
-                        outcome, memory, version = "near_merged", live[k][0], live[k][2]
+                        outcome, memory, replaced = "near_merged", int(ids[k]), int(last[k])
+                        versions[k] += 1
+                        version = int(versions[k])
+                        table[k], last[k] = vec, row.id
                     else:
                         flagged = cosine >= gray
                 if outcome == "inserted":
-                    live = [*live, [row.id, vec, 1]][-cap:]
-                out.append((bucket, row.id, outcome, memory, flagged, cosine, version))
-            yield pd.DataFrame(out, columns=["bucket", "id", "outcome", "memory_id", "gray", "cosine", "version"])
-            out = []
-
-    ordered = candidates.select("bucket", "arrival", "id", "vec").repartition("bucket").sortWithinPartitions("bucket", "arrival", "id")
+                    k = used if used < cap else oldest
+                    used, oldest = min(used + 1, cap), (oldest + 1) % cap if used == cap else 0
+                    ids[k], last[k], versions[k], table[k] = row.id, row.id, version, vec
+                if not row.stored:
+                    out.append((bucket, row.id, outcome, memory, flagged, cosine, version, replaced))
+            found = pd.DataFrame(out, columns=["bucket", "id", "outcome", "memory_id", "gray", "cosine", "version", "replaced_id"])
+            yield found.astype({"replaced_id": "Int64"})
+
+    rows = candidates.select("bucket", "arrival", "id", "vec", F.lit(1).alias("version"), F.lit(False).alias("stored"))
+    if memories is not None:
+        rows = rows.unionByName(memories.select("bucket", "arrival", "id", "vec", F.col("version").cast("int").alias("version"), F.lit(True).alias("stored")))
+    ordered = rows.repartition("bucket").sortWithinPartitions("bucket", F.desc("stored"), "arrival", "id")
     return ordered.mapInPandas(fold, FOLDED)
 
 
+def near_merged(folded: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a fold does to memories: those that it inserted or changed (memory_id, version, content, content_hash, vec),
+    and a version row for each content that was replaced, with the reason.
+
+    `contents` (id, content, content_hash, vec, agent_id, source_seq) holds candidates and stored memories.
+    """
+    last = folded.groupBy("bucket", "memory_id").agg(F.max("version").alias("version"), F.max_by("id", "version").alias("id"))
+    memories = last.join(contents.select("id", "content", "content_hash", "vec"), "id").select("bucket", "memory_id", "version", "content", "content_hash", "vec")
+    merged = folded.where("outcome = 'near_merged'").join(contents.select("id", F.col("content_hash").alias("new_hash"), "agent_id", "source_seq"), "id")
+    old = contents.select(F.col("id").alias("replaced_id"), "content", F.col("content_hash").alias("old_hash"))
+    reason = near_merge_reason(F.col("cosine"), F.col("source_seq"), F.col("old_hash"), F.col("new_hash"))
+    versions = merged.join(old, "replaced_id").select("bucket", "memory_id", (F.col("version") - 1).alias("version"), "content", F.col("agent_id").alias("changed_by"), reason.alias("reason"))
+    return memories, versions
+
+
 def dedup_funnel(outcomes: DataFrame) -> DataFrame:
     rows = outcomes.select("outcome").unionByName(outcomes.where("gray").select(F.lit("gray_zone").alias("outcome")))
     return rows.groupBy("outcome").agg(F.count("*").alias("n"))

@@ -12,7 +12,7 @@ FLOOR, MARGIN, MOST_STD_POINTS = 0.70, 0.10, 2.0
 KEYS = ["system", "protocol"]
 #: Fixed value: the answering prompt.
 ANSWER_PROMPT = "Today's date is %s.\n\n%s\n\nQuestion: %s"
-#: Question types that share the plain grading template; the others have their own.
+#: Question types that share the plain grading template; the others have their own.
 TEMPLATE_OF = {
     "single-session-user": "default", "single-session-assistant": "default", "multi-session": "default",
     "temporal-reasoning": "temporal", "knowledge-update": "update", "single-session-preference": "preference",
@@ -127,9 +127,12 @@ def score_answers(answers: DataFrame, cache: DataFrame, judge: Callable[[pd.Seri
     return misses.mapInPandas(run, "question_id string, answer_hash string, judge_model string, rubric_version string, variant string, correct boolean")
 
 
-def variance_trials(questions: DataFrame, n: int) -> DataFrame:
-    """n trials of each question, with the trial in the cache key so that each is judged anew."""
-    return questions.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("variant", F.concat(F.lit("t"), F.col("trial").cast("string")))
+def variance_trials(questions: DataFrame, n: int, protocol: str = "answer") -> DataFrame:
+    """n trials of each question, with the trial in the cache key so that each is judged anew. Under the protocol answer
+    all trials share one context; under pipeline each trial builds its own (context_trial)."""
+    trial = F.col("trial")
+    out = questions.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return out.withColumns({"protocol": F.lit(protocol), "variant": F.concat(F.lit("t"), trial.cast("string")), "context_trial": F.lit(0) if protocol == "answer" else trial})
 
 
 def resume(questions: DataFrame, done: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ MAX_EVENT_BYTES = 8 << 10
 MAX_BODY_BYTES = 1 << 20
 MAX_SUBJECT_BYTES = 256
 WINDOW_EVENTS, READY_EVENTS, IDLE_SECONDS, TAIL_EVENTS = 200, 20, 2.0, 50
-#: Kinds of machine chatter, kept but never distilled.
+#: Kinds of machine chatter, kept but never distilled.
 SKIP_KINDS = ["tool_log", "tool_result", "trace", "stack_trace", "log", "debug", "heartbeat"]
 
 

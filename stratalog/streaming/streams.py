@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from stratalog.operators.events import upsert_working_facts
+from stratalog.operators.events import WINDOW_EVENTS, upsert_working_facts
 
 FACT_KEY = "project_id string, run_id string, entity string, predicate string"
 FACT = FACT_KEY + ", value string, seq long, agent_id string"
@@ -58,11 +58,16 @@ def working_state(spark: SparkSession, path: str) -> DataFrame:
     return upsert_working_facts(committed(spark, path, "facts", FACT))
 
 
-def stream_consolidate(stream: DataFrame, path: str, checkpoint: str, make: Callable[[DataFrame], dict[str, DataFrame]]) -> StreamingQuery:
-    """Outputs of a pass and the marks of its runs (the highest seq read), in one commit."""
+def stream_consolidate(stream: DataFrame, path: str, checkpoint: str, make: Callable[[DataFrame], dict[str, DataFrame]], limit: int = WINDOW_EVENTS) -> StreamingQuery:
+    """Outputs of the passes and the marks of their runs (the highest seq read), in one commit.
+
+    `make` gets the events with pass_no: a pass holds at most `limit` events of a run, in order, and what a batch
+    brings beyond that is in its later passes.
+    """
 
     def with_marks(batch: DataFrame) -> dict[str, DataFrame]:
-        return make(batch) | {"marks": batch.groupBy("run_id").agg(F.max("seq").alias("covered_seq"))}
+        nth = F.row_number().over(Window.partitionBy("run_id").orderBy("seq"))
+        return make(batch.withColumn("pass_no", F.ceil(nth / limit).cast("int"))) | {"marks": batch.groupBy("run_id").agg(F.max("seq").alias("covered_seq"))}
 
     return write_batches(stream, path, checkpoint, with_marks)
 
