@@ -1,11 +1,12 @@
 """Token-id files by an adaptive context-mixing range coder.
 
-A file record holds the ids of consecutive documents: a head (ids and lengths of the documents, how frequent each
-token is), and blocks of equal length. Every block starts anew: its model and coder know nothing of other blocks,
-and a checksum guards it. Within a block three contexts predict the next id: none, the last id, and the last two.
-Each predicts what last followed it, with a confidence; how often predictions of that order and confidence came
-true in this block so far sets how much of the coding interval they get, and what is left over is shared out by
-the head's frequencies. All arithmetic is on whole numbers, so a file decodes alike everywhere.
+A file record holds the ids of consecutive documents: a head (ids and lengths of the documents, how often each id
+stands, and how often after which other), and blocks of equal length. Every block starts anew: its model and coder know
+nothing of other blocks, and a checksum guards it. Three orders of context predict the next id. Order 2 is what last
+followed the last two ids in this block, with a confidence; how often such predictions came true in this block so far
+sets how much of the coding interval they get. The rest goes to order 1, the ids that follow the last one in the record
+by how often they do, and its escape to order 0, all ids of the record. All arithmetic is on whole numbers, so a file
+decodes alike everywhere.
 
 The blocks of a record are coded in step: each operation works on one id of every block.
 """
@@ -25,19 +26,24 @@ from pyspark.sql import functions as F
 from .common import batches, each_row, stored
 from .tokens import encoder
 
-BLOCK_IDS = 1024
-RECORD_IDS = 6_000_000
-MAGIC = b"CTXMIX01"
-SLOTS_BITS = 8
-TOTAL_BITS = 24
-ESCAPE = 1 << 18
+BLOCK_IDS = 4_096
+RECORD_IDS = 8_000_000
+MAGIC = b"CTXMIX02"
+SLOTS_BITS = 11
+TOTAL_BITS = 28
+#: Order 2 gets at most fifteen sixteenths of the interval, and an escape at least a 256th of the rest.
+MOST_SURE, LEAST_ESCAPE = 15 << (TOTAL_BITS - 4), 256
 CONFIDENT = 15
+#: Pairs of ids that stand less often than this in a record are left to order 0.
+LEAST_PAIRS = 2
+#: Steps of all blocks that are looked up at a time.
+STEPS = 512
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _U16, _U64 = np.uint64(16), np.uint64(64)
 
 
 def shares(counts: np.ndarray) -> np.ndarray:
-    """Counts of ids as shares of 65536, at least 1 for each id that occurs; their running sums, from 0 to 65536."""
+    """Counts of ids as running sums of their shares of 65536, from 0 to 65536; each id that occurs has at least 1."""
     present = np.flatnonzero(counts)
     if len(present) > 60_000:
         raise ValueError("more than 60,000 different ids in a record")
@@ -48,58 +54,96 @@ def shares(counts: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(out)))
 
 
-class Contexts:
-    """What the three contexts of each lane predict, and how often such predictions came true.
+def count_pairs(ids: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (last id * kinds + id) that stand often enough in a row of ids, in order, and how often."""
+    pairs, times = np.unique(ids[:-1].astype(np.int64) * kinds + ids[1:], return_counts=True)
+    often = times >= LEAST_PAIRS
+    return pairs[often], times[often]
+
+
+class Orders:
+    """Order 1 and order 0 of a record, as parts of 65536.
+
+    The parts of a last id are its followers in order, and then the escape. `edge` numbers all parts through: the last
+    id times 65536 and what comes before the part. A block's first id has the last id `kinds`, which nothing follows.
+    """
+
+    def __init__(self, counts: np.ndarray, pairs: np.ndarray, times: np.ndarray):
+        self.kinds = len(counts)
+        self.sums = shares(counts) if counts.any() else np.zeros(self.kinds + 1, dtype=np.int64)
+        self.id_of = np.repeat(np.arange(self.kinds), np.diff(self.sums))
+        self.pairs = pairs
+        last = pairs // self.kinds
+        followers = np.bincount(last, minlength=self.kinds + 1)
+        known = np.bincount(last, weights=times, minlength=self.kinds + 1).astype(np.int64)
+        rare = np.maximum(np.append(counts, 0) - known, 0) + 1 + followers // 50
+        escape = np.clip(65536 * rare // (known + rare), LEAST_ESCAPE, 65536 - followers)
+        share = 1 + times * (65536 - escape - followers)[last] // np.maximum(known, 1)[last]
+        before = np.cumsum(share) - share
+        begin = np.concatenate(([0], np.cumsum(followers)))
+        first = np.append(before, share.sum())[np.minimum(begin[:-1], len(before))]
+        self.at, self.share = before - first[last], share
+        self.escape_at = np.bincount(last, weights=share, minlength=self.kinds + 1).astype(np.int64)
+        every = np.arange(self.kinds + 1)
+        place = np.arange(len(pairs)) + last  # one escape stands between those of two last ids
+        out = np.arange(len(pairs) + self.kinds + 1)
+        self.edge, self.id, self.part = np.zeros(len(out), dtype=np.int64), np.full(len(out), -1), np.zeros(len(out), dtype=np.int64)
+        self.edge[place], self.id[place], self.part[place] = last * 65536 + self.at, pairs % self.kinds, share
+        end = begin[1:] + every
+        self.edge[end], self.part[end] = every * 65536 + self.escape_at, 65536 - self.escape_at
+
+    def find(self, last: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each id: begin and size of its part in order 1 (or of the escape), and begin and size within that part."""
+        key = last * self.kinds + ids
+        place = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
+        known = (self.pairs[place] == key) & (last < self.kinds) if len(self.pairs) else np.zeros(len(ids), dtype=bool)
+        begin, size = self.escape_at[last], 65536 - self.escape_at[last]
+        begin[known], size[known] = self.at[place[known]], self.share[place[known]]
+        inner = np.where(known, 0, self.sums[ids])
+        return begin, size, inner, np.where(known, 65536, self.sums[ids + 1] - self.sums[ids])
+
+
+class Recent:
+    """Order 2 of each lane: what last followed two ids, and how often such predictions came true.
 
     A cell holds a predicted id and, in its lowest four bits, how sure it is. A chance is a share of 65536 for each
-    lane, order and level of sureness; it moves a sixteenth of the way to 0 or 1 with each outcome.
+    lane and level of sureness; it moves a sixteenth of the way to 0 or 1 with each outcome.
     """
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, kinds: int):
         slots, levels, lane = 1 << SLOTS_BITS, CONFIDENT + 1, np.arange(lanes)
         self.mask = slots - 1
-        self.cell = np.zeros(lanes * (1 + 2 * slots), dtype=np.int32)
-        self.first_cell = np.stack((lane, lanes + lane * slots, lanes * (1 + slots) + lane * slots))
+        self.cell = np.zeros(lanes * slots, dtype=np.int32)
+        self.first_cell = lane * slots
         at = np.arange(levels)
-        self.chance = np.tile(65536 * 2 * at // (2 * at + 3), 3 * lanes)
-        self.first_chance = np.arange(3 * lanes).reshape(3, lanes) * levels
-        self.last, self.before = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-
-    def predict(self, n: int) -> None:
-        """Guesses of the first n lanes by order, and the share of the interval that each gets, the longest context first."""
-        one = self.last[:n] * 40503
-        two = one + self.before[:n] * 30011
-        self.place = self.first_cell[:, :n].copy()
-        self.place[1] += (one >> 6) & self.mask
-        self.place[2] += (two >> 6) & self.mask
+        self.chance = np.tile(65536 * 2 * at // (2 * at + 3), lanes)
+        self.first_chance = lane * levels
+        self.last, self.before = np.full(lanes, kinds, dtype=np.int64), np.full(lanes, kinds, dtype=np.int64)
+
+    def predict(self, n: int) -> np.ndarray:
+        """The guesses of the first n lanes (`guess`), and the share of the interval that each gets."""
+        self.place = self.first_cell[:n] + (((self.last[:n] * 40503 + self.before[:n] * 30011) >> 4) & self.mask)
         self.held = self.cell[self.place]
-        self.now, self.level = self.held >> 4, self.held & 15
-        self.stat = self.first_chance[:, :n] + self.level
+        self.guess, self.level = self.held >> 4, self.held & 15
+        self.stat = self.first_chance[:n] + self.level
         self.likely = self.chance[self.stat]
-        whole = (1 << TOTAL_BITS) - ESCAPE
-        self.two = self.likely[2] * (whole >> 16)
-        rest = whole - self.two
-        self.one = (rest * self.likely[1] >> 16) * (self.now[1] != self.now[2])
-        rest -= self.one
-        self.none = (rest * self.likely[0] >> 16) * ((self.now[0] != self.now[1]) & (self.now[0] != self.now[2]))
-        b = self.two + self.one
-        self.ends = (self.two, b, b + self.none)
+        return self.likely * (MOST_SURE >> 16)
 
     def learn(self, ids: np.ndarray) -> None:
         n = len(ids)
-        right = self.now == ids
+        right = self.guess == ids
         self.chance[self.stat] = self.likely + (((right.astype(np.int64) << 16) - self.likely) >> 4)
         fresh = ((ids << 4) | 1).astype(np.int32)
         wrong = np.where(self.level > 1, (self.held & ~15) | (self.level >> 1), fresh)
         self.cell[self.place] = np.where(right, self.held + (self.level < CONFIDENT), wrong)
         self.before[:n] = self.last[:n]
-        self.last[:n] = ids + 1
+        self.last[:n] = ids
 
 
 def split_lanes(ids: np.ndarray) -> tuple[int, np.ndarray]:
     """Number of lanes, and ids by step and lane (the last lane may be short)."""
     lanes = -(-len(ids) // BLOCK_IDS)
-    table = np.zeros(lanes * BLOCK_IDS, dtype=np.int64)
+    table = np.zeros(lanes * BLOCK_IDS, dtype=np.int32)
     table[: len(ids)] = ids
     return lanes, np.ascontiguousarray(table.reshape(lanes, BLOCK_IDS).T)
 
@@ -111,26 +155,31 @@ def steps_of(total: int, lanes: int) -> Iterator[tuple[int, int]]:
         yield t, lanes if t < tail else lanes - 1
 
 
-def encode_blocks(ids: np.ndarray, sums: np.ndarray) -> list[bytes]:
+def encode_blocks(ids: np.ndarray, orders: Orders) -> list[bytes]:
     """One independent range-coded string for each block of BLOCK_IDS ids."""
     if not len(ids):
         return []
     lanes, table = split_lanes(ids)
-    model = Contexts(lanes)
+    model = Recent(lanes, orders.kinds)
     low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
     out = np.zeros((lanes, 2 * BLOCK_IDS + 16), dtype=">u2")
     used = np.zeros(lanes, dtype=np.int64)
+    none = np.full((1, lanes), orders.kinds)
     for t, n in steps_of(len(ids), lanes):
+        if t % STEPS == 0:
+            own = table[t : t + STEPS]
+            last = np.concatenate((table[t - 1 : t] if t else none, own[:-1]))
+            parts = [x.reshape(own.shape) for x in orders.find(last.ravel(), own.ravel())]
         now = table[t, :n]
-        model.predict(n)
-        a, b, c = model.ends
-        rest = (1 << TOTAL_BITS) - c
-        start = c + (rest * sums[now] >> 16)
-        size = c + (rest * sums[now + 1] >> 16) - start
-        for k, begin, share in ((0, b, model.none), (1, a, model.one), (2, 0, model.two)):
-            hit = (model.now[k] == now) & (share > 0)
-            start = np.where(hit, begin, start)
-            size = np.where(hit, share, size)
+        begin, part, inner, inner_size = (x[t % STEPS, :n] for x in parts)
+        sure = model.predict(n)
+        rest = (1 << TOTAL_BITS) - sure
+        first = rest * begin >> 16
+        whole = (rest * (begin + part) >> 16) - first
+        within = whole * inner >> 16
+        hit = (model.guess == now) & (sure > 0)
+        start = np.where(hit, 0, sure + first + within)
+        size = np.where(hit, sure, (whole * (inner + inner_size) >> 16) - within)
         unit = width[:n] >> np.uint64(TOTAL_BITS)
         low[:n] += unit * start.astype(np.uint64)
         width[:n] = unit * size.astype(np.uint64)
@@ -157,35 +206,44 @@ def encode_blocks(ids: np.ndarray, sums: np.ndarray) -> list[bytes]:
     return [out[i, : used[i]].tobytes() for i in range(lanes)]
 
 
-def decode_blocks(blocks: list[bytes], total: int, sums: np.ndarray) -> np.ndarray:
+def decode_blocks(blocks: list[bytes], total: int, orders: Orders) -> np.ndarray:
     if not total:
         return np.zeros(0, dtype=np.int64)
     lanes = len(blocks)
-    model = Contexts(lanes)
+    model = Recent(lanes, orders.kinds)
     length = max(map(len, blocks)) // 2 + 8
-    words = np.zeros((lanes, length), dtype=np.uint64)
+    words = np.zeros((lanes, length), dtype=np.uint16)
     for i, b in enumerate(blocks):
         words[i, : len(b) // 2] = np.frombuffer(b, dtype=">u2")
     low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
-    code = (words[:, 0] << np.uint64(48)) | (words[:, 1] << np.uint64(32)) | (words[:, 2] << _U16) | words[:, 3]
+    head = words[:, :4].astype(np.uint64)
+    code = (head[:, 0] << np.uint64(48)) | (head[:, 1] << np.uint64(32)) | (head[:, 2] << _U16) | head[:, 3]
     used = np.full(lanes, 4, dtype=np.int64)
-    id_of = np.repeat(np.arange(len(sums) - 1), np.diff(sums))
-    table = np.zeros((BLOCK_IDS, lanes), dtype=np.int64)
+    table = np.zeros((BLOCK_IDS, lanes), dtype=np.int32)
     for t, n in steps_of(total, lanes):
-        model.predict(n)
-        a, b, c = model.ends
-        rest = (1 << TOTAL_BITS) - c
+        sure = model.predict(n)
+        rest = (1 << TOTAL_BITS) - sure
         unit = width[:n] >> np.uint64(TOTAL_BITS)
         value = np.minimum((code[:n] - low[:n]) // unit, np.uint64((1 << TOTAL_BITS) - 1)).astype(np.int64)
-        over = np.maximum(value - c, 0)
-        now = id_of[np.minimum(((over + 1) * 65536 - 1) // rest, 65535)]
-        start = c + (rest * sums[now] >> 16)
-        size = c + (rest * sums[now + 1] >> 16) - start
-        for k, begin, end in ((0, b, c), (1, a, b), (2, np.zeros_like(a), a)):
-            hit = (value >= begin) & (value < end)
-            now = np.where(hit, model.now[k], now)
-            start = np.where(hit, begin, start)
-            size = np.where(hit, end - begin, size)
+        hit = value < sure
+        over = np.maximum(value - sure, 0)
+        last = model.last[:n]
+        which = np.searchsorted(orders.edge, last * 65536 + np.minimum(((over + 1) * 65536 - 1) // rest, 65535), side="right") - 1
+        begin = orders.edge[which] - last * 65536
+        first = rest * begin >> 16
+        size = (rest * (begin + orders.part[which]) >> 16) - first
+        start = sure + first
+        now = np.where(hit, model.guess, orders.id[which])
+        start = np.where(hit, 0, start)
+        size = np.where(hit, sure, size)
+        escaped = np.flatnonzero(now < 0)
+        if len(escaped):
+            whole, inner = size[escaped], value[escaped] - start[escaped]
+            found = orders.id_of[np.minimum(((inner + 1) * 65536 - 1) // whole, 65535)]
+            now[escaped] = found
+            within = whole * orders.sums[found] >> 16
+            start[escaped] += within
+            size[escaped] = (whole * orders.sums[found + 1] >> 16) - within
         low[:n] += unit * start.astype(np.uint64)
         width[:n] = unit * size.astype(np.uint64)
         own_low, own_width, at = low[:n], width[:n], None
@@ -211,34 +269,46 @@ def decode_blocks(blocks: list[bytes], total: int, sums: np.ndarray) -> np.ndarr
 def write_record(docs: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """A file record: head, then a table of the blocks' sizes and checksums, then the blocks."""
     counts = np.bincount(ids, minlength=1)
-    sums = shares(counts) if len(ids) else np.zeros(2, dtype=np.int64)
-    blocks = encode_blocks(ids.astype(np.int64), sums)
+    pairs, times = count_pairs(ids, len(counts))
+    times = np.minimum(times, 0xFFFFFFFF)
+    blocks = encode_blocks(ids, Orders(counts if len(ids) else counts * 0, pairs, times))
     known = np.array([d is not None for d in docs], dtype=np.uint8)
     head = [
-        np.array([d or 0 for d in docs], dtype="<i8").tobytes(), known.tobytes(), np.array(lengths, dtype="<u8").tobytes(), np.diff(sums).astype("<u4").tobytes(),
-        np.array([len(b) for b in blocks], dtype="<u4").tobytes(), np.array([zlib.crc32(b) for b in blocks], dtype="<u4").tobytes(),
+        np.array([d or 0 for d in docs], dtype="<i8").tobytes(), known.tobytes(), np.array(lengths, dtype="<u8").tobytes(), (counts if len(ids) else counts * 0).astype("<u4").tobytes(),
+        planes(np.diff(pairs, prepend=0), "<u8"), planes(times, "<u4"), np.array([len(b) for b in blocks], dtype="<u4").tobytes(), np.array([zlib.crc32(b) for b in blocks], dtype="<u4").tobytes(),
     ]
-    head = [zlib.compress(h, 1) for h in head]
-    return MAGIC + struct.pack("<QQ6I", len(docs), len(ids), *map(len, head)) + b"".join(head) + b"".join(blocks)
+    head = [zlib.compress(h, 6) for h in head]
+    return MAGIC + struct.pack("<QQ8I", len(docs), len(ids), *map(len, head)) + b"".join(head) + b"".join(blocks)
+
+
+def planes(numbers: np.ndarray, kind: str) -> bytes:
+    """Whole numbers with equal bytes of all beside each other."""
+    return numbers.astype(kind).view("u1").reshape(len(numbers), -1).T.tobytes() if len(numbers) else b""
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype="u1").reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel().astype(np.int64)
 
 
 def read_record(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """Documents, their lengths, and all ids; raises if a block is damaged."""
     if data[:8] != MAGIC:
         raise ValueError("not a token file record")
-    n_docs, total, *sizes = struct.unpack("<QQ6I", data[8:48])
-    at, head = 48, []
+    n_docs, total, *sizes = struct.unpack("<QQ8I", data[8:56])
+    at, head = 56, []
     for size in sizes:
         head.append(zlib.decompress(data[at : at + size]))
         at += size
-    docs, known, lengths, share, block_size, block_sum = (np.frombuffer(h, dtype=t) for h, t in zip(head, ("<i8", "u1", "<u8", "<u4", "<u4", "<u4"), strict=True))
+    docs, known, lengths, counts = (np.frombuffer(h, dtype=t) for h, t in zip(head, ("<i8", "u1", "<u8", "<u4"), strict=False))
+    pairs, times = np.cumsum(from_planes(head[4], "<u8")), from_planes(head[5], "<u4")
+    block_size, block_sum = (np.frombuffer(h, dtype="<u4") for h in head[6:])
     blocks = []
     for size, checksum in zip(block_size.tolist(), block_sum.tolist(), strict=True):
         blocks.append(data[at : at + size])
         if zlib.crc32(blocks[-1]) != checksum:
             raise ValueError(f"block {len(blocks) - 1} is damaged")
         at += size
-    ids = decode_blocks(blocks, total, np.concatenate(([0], np.cumsum(share.astype(np.int64)))))
+    ids = decode_blocks(blocks, total, Orders(counts.astype(np.int64), pairs, times))
     return [d if k else None for d, k in zip(docs.tolist(), known.tolist(), strict=True)], lengths.astype(np.int64), ids
 
 

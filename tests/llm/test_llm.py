@@ -261,6 +261,19 @@ def test_range_coder(n):
             token_files.read_record(record[:-9] + bytes([record[-9] ^ 1]) + record[-8:])
 
 
+def test_token_files_are_small():
+    """At least 15 per cent fewer bits than a general compressor takes for the ids as 16-bit numbers."""
+    import pyarrow.parquet as pq
+    import zstandard
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    encode = tokens.Encoder(WORD_BPE).encode
+    ids = np.frombuffer(b"".join(encode(t or "") + b"\1\0\0\0" for t in texts), "<u4")
+    record = token_files.write_record([1], [len(ids)], ids)
+    assert len(record) < 0.85 * len(zstandard.ZstdCompressor(level=3).compress(ids.astype("<u2").tobytes()))
+    assert (token_files.read_record(record)[2] == ids).all()
+
+
 def test_token_files(docs, empty):
     library, t = tokens.Encoder(WORD_BPE).library, texts_by_id(docs)
     found = by_id(token_files.read_token_files(token_files.write_token_files(docs, WORD_BPE, record_ids=500)))
