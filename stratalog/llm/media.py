@@ -20,7 +20,9 @@ from .common import batches, stored, text_or_empty, texts_of
 ROW = 192
 TAIL = 16
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-PART = "position int, kind string, text string, digest string, caption string"
+PART = "position int, kind string, text string, src string, digest string, caption string"
+#: References to one payload that go to it in one row.
+TOGETHER = 1_000
 STORED = "digest string, media binary"
 RESOLVED = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
@@ -76,7 +78,8 @@ def feature(samples: bytes) -> str:
 
 
 class PageParser(HTMLParser):
-    """Text and media references of a page in order; a figure's caption goes to the media of that figure."""
+    """Text and media references of a page in order; a figure's caption goes to the media of that figure. References
+    of the form media:digest name a payload of the store, others have no digest."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -90,7 +93,7 @@ class PageParser(HTMLParser):
         text = " ".join("".join(self.text).split())
         self.text = []
         if text:
-            self.parts.append({"kind": "text", "text": text, "digest": None, "caption": None})
+            self.parts.append({"kind": "text", "text": text, "src": None, "digest": None, "caption": None})
 
     def handle_starttag(self, tag, attrs):
         named = dict(attrs)
@@ -101,9 +104,10 @@ class PageParser(HTMLParser):
             self.in_figure = []
         elif tag == "figcaption":
             self.caption = []
-        elif tag in ("img", "audio", "video", "source") and (named.get("src") or "").startswith("media:"):
+        elif tag in ("img", "audio", "video", "source") and named.get("src"):
             self.flush()
-            part = {"kind": "media", "text": None, "digest": named["src"][6:], "caption": named.get("alt") or None}
+            src = named["src"]
+            part = {"kind": "media", "text": None, "src": src, "digest": src[6:] if src.startswith("media:") else None, "caption": named.get("alt") or None}
             self.parts.append(part)
             self.in_figure.append(part)
         elif tag in ("p", "div", "br", "h1", "h2", "h3", "li", "tr", "article", "section"):
@@ -138,16 +142,18 @@ def parse_page(html: str | None) -> list[dict]:
     return [x | {"position": i} for i, x in enumerate(parser.parts)]
 
 
-def sequences(pages: DataFrame) -> DataFrame:
-    """doc_id and parts: the ordered text and media-reference structs of each page's html; a null page has none."""
-    kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
+def sequences(pages: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the columns `keep`, and parts: the ordered text and media-reference structs of each page's html; a null
+    page has none."""
+    kind = pa.list_(pa.struct([("position", pa.int32()), *((x, pa.string()) for x in ("kind", "text", "src", "digest", "caption"))]))
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(found, "html"):
             parts = [parse_page(x) for x in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(parts, kind)], names=["doc_id", "parts"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *keep)), pa.array(parts, kind)], names=["doc_id", *keep, "parts"])
 
-    return pages.select("doc_id", "html").mapInArrow(run, f"doc_id long, parts array<struct<{PART.replace(' ', ':').replace(',:', ',')}>>")
+    kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in pages.select("doc_id", *keep).schema)
+    return pages.select("doc_id", *keep, "html").mapInArrow(run, f"{kept}parts array<struct<{PART.replace(' ', ':').replace(',:', ',')}>>")
 
 
 def store_payloads(docs: DataFrame) -> DataFrame:
@@ -185,25 +191,57 @@ def read_media(store: DataFrame) -> DataFrame:
     return store.mapInArrow(run, RESOLVED).dropDuplicates(["digest"])
 
 
+def resolve(references: DataFrame, resolved: DataFrame) -> DataFrame:
+    """References (digest and other columns) with what their payloads have; null where there is no such payload.
+
+    Before the join, each task brings its references to one payload together, in rows of TOGETHER at most, so that a
+    payload that many documents show is no hot key.
+    """
+    others = [f for f in references.schema if f.name != "digest"]
+    kind = ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in others).replace(", ", ",")
+
+    def together(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            digest = batch.column("digest")
+            rows = pa.StructArray.from_arrays([batch.column(f.name) for f in others], names=[f.name for f in others])
+            coded = digest.dictionary_encode()
+            code = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            begin = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+            ends = np.append(begin[1:], len(code))
+            cuts = np.concatenate([np.arange(b, e, TOGETHER) for b, e in zip(begin, ends, strict=True)])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(code)).astype(np.int32)), rows.take(pa.array(order)))
+            yield pa.RecordBatch.from_arrays([digest.take(pa.array(order[cuts])), lists], names=["digest", "shown"])
+
+    packed = references.select("digest", *[f.name for f in others]).mapInArrow(together, f"digest string, shown array<struct<{kind}>>")
+    return packed.join(resolved, "digest", "left").withColumn("_one", F.explode("shown")).select("_one.*", *resolved.columns)
+
+
 def page_of(text: Column, caption: Column) -> Column:
-    """A page that shows the text's payload as a figure."""
-    return F.concat(F.lit("<article><figure><img src='media:"), F.sha2(text, 256), F.lit("'><figcaption>"), caption, F.lit("</figcaption></figure></article>"))
+    """A page of the text: its lines as paragraphs, and after the first one its payload as a figure with a caption."""
+    safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    first = F.substring_index(safe, "\n", 1)
+    rest = F.replace(F.substring(safe, F.char_length(first) + 2, 2**31 - 1), F.lit("\n"), F.lit("</p><p>"))
+    figure = F.concat(F.lit("<figure><img src='media:"), F.sha2(text, 256), F.lit("'><figcaption>"), caption, F.lit("</figcaption></figure>"))
+    return F.concat(F.lit("<article><p>"), first, F.lit("</p>"), figure, F.lit("<p>"), rest, F.lit("</p></article>"))
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """Per document the media column of its text: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature, and the position and caption of the media in the document's page.
+    media_bytes, media_sha256, feature, and of the media in the document's sequence of texts and media: position,
+    caption, and parts, the length of the sequence.
 
     A null text is empty and makes one row of spaces. Equal texts have equal values. Repeated rows give repeated
-    rows; extra columns are left out; an empty table gives no rows.
+    rows; extra columns are left out; an empty table gives no rows. A payload that the store lacks has null values.
     """
     resolved = read_media(store_payloads(docs))
     text = text_or_empty()
-    caption = F.concat(F.octet_length(text).cast("string"), F.lit(" bytes of text"))
-    pages = docs.select("doc_id", page_of(text, caption).alias("html"))
-    parts = sequences(pages).select("doc_id", F.inline("parts")).where("kind = 'media'")
-    found = parts.join(resolved, "digest")
-    return found.select(
-        "doc_id", F.regexp_extract("caption", r"^(\d+) bytes", 1).cast("long").alias("n_bytes"),
-        "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption",
+    n_bytes = F.octet_length(text).cast("long")
+    caption = F.concat(n_bytes.cast("string"), F.lit(" bytes of text"))
+    pages = docs.select("doc_id", n_bytes.alias("n_bytes"), page_of(text, caption).alias("html"))
+    shown = sequences(pages, "n_bytes").select("doc_id", "n_bytes", F.size("parts").alias("parts"), F.inline("parts"))
+    shown = shown.where("kind = 'media'").select("digest", "doc_id", "n_bytes", "position", "caption", "parts")
+    return resolve(shown, resolved).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "parts",
     )

@@ -324,15 +324,44 @@ def test_best_fit_is_tightest():
         room[number] -= length
 
 
+def plain_png(image):
+    """The samples of an unfiltered grey image, by another reader."""
+    at, data = 8, b""
+    while at < len(image):
+        size, kind = int.from_bytes(image[at : at + 4], "big"), image[at + 4 : at + 8]
+        if kind == b"IHDR":
+            width, height, depth, colour = int.from_bytes(image[at + 8 : at + 12], "big"), int.from_bytes(image[at + 12 : at + 16], "big"), image[at + 16], image[at + 17]
+        data += image[at + 8 : at + 8 + size] if kind == b"IDAT" else b""
+        at += 12 + size
+    raw = zlib.decompress(data)
+    assert (depth, colour, len(raw)) == (8, 0, height * (width + 1))
+    return b"".join(raw[i * (width + 1) + 1 : (i + 1) * (width + 1)] for i in range(height))
+
+
+def plain_feature(samples):
+    n, bits = len(samples), 0
+    at = [i * n // 64 for i in range(64)] + [n]
+    for low, high in zip(at, at[1:]):
+        bits = bits * 2 + (sum(samples[low:high]) * n > sum(samples) * (high - low))
+    return f"{bits:016x}-{sum(samples) // n:02x}"
+
+
 def test_media(docs, empty):
     t = texts_by_id(docs)
     found = by_id(media.media_columns(docs))
+    stored = {}
+    for r in media.store_payloads(docs).collect():
+        stored[r.digest] = bytes(r.media)
     assert set(found) == set(t)
     for i, r in found.items():
         raw = (t[i] or "").encode()
         payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        image = stored[hashlib.sha256(raw).hexdigest()]
+        assert plain_png(image) == payload
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert r.position == 0 and r.media_bytes == len(media.to_png(payload)) and r.feature == media.feature(payload)
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(image), hashlib.sha256(image).hexdigest(), plain_feature(payload))
+        lines = [bool(x.split()) for x in (t[i] or "").split("\n")]
+        assert (r.position, r.parts) == (int(lines[0]), 1 + sum(lines)) and r.caption == f"{len(raw)} bytes of text"
     assert media.media_columns(empty).count() == 0
     with pytest.raises(ValueError, match="damaged"):
         raw = bytearray(media.to_png(b" " * 192))
@@ -340,6 +369,52 @@ def test_media(docs, empty):
         media.from_png(bytes(raw))
 
 
+def test_references(spark, monkeypatch):
+    monkeypatch.setattr(media, "TOGETHER", 3)
+    shown = spark.createDataFrame([(i, "d" if i < 10 else "e" if i < 12 else None) for i in range(14)], "doc_id long, digest string").repartition(2)
+    store = spark.createDataFrame([("d", 5)], "digest string, payload_bytes long")
+    found = sorted((r.doc_id, r.payload_bytes) for r in media.resolve(shown, store).collect())
+    assert found == [(i, 5 if i < 10 else None) for i in range(14)]
+    pages = spark.createDataFrame([(1, "<p>a<p>b<img src='/x.png' alt='c'>d"), (2, None)], "doc_id long, html string")
+    parts = {r.doc_id: [(x.position, x.text or x.src, x.digest, x.caption) for x in r.parts] for r in media.sequences(pages).collect()}
+    assert parts == {1: [(0, "a", None, None), (1, "b", None, None), (2, "/x.png", None, "c"), (3, "d", None, None)], 2: []}
+
+
+OPERATORS = {
+    "op1": lambda s, d: licences.scan_licences(d, licences.known_digests(s)),
+    "op2": lambda s, d: token_counts.count_tokens(d, PIECE_BPE),
+    "op3": lambda s, d: lm_scoring.cross_entropy_difference(d, s.createDataFrame([(1,), (2,)], "doc_id long")).drop("target_loss", "background_loss", "score"),
+    "op4": lambda s, d: jaccard.similar_classes(d),
+    "op4_kept": lambda s, d: jaccard.one_of_each(d).select("doc_id", "text"),
+    "op5": lambda s, d: decontamination.contamination(d, s.createDataFrame([("1", "one two")], "item_id string, text string")),
+    "op6": lambda s, d: suffix_dedup.repeated_bytes(d),
+    "op6_kept": lambda s, d: suffix_dedup.without_repeats(d).select("doc_id", "text"),
+    "op7": lambda s, d: token_files.read_token_files(token_files.write_token_files(d, WORD_BPE)),
+    "op8": lambda s, d: toxicity.score(d, toxicity.fit(d, s.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))).select("doc_id", "held_out", "score", "predicted"),
+    "op9": lambda s, d: packing.pack_documents(d, WORD_BPE).select("doc_id", "start", "length", "ids_crc32", "doc_tokens"),
+    "op10": lambda s, d: media.media_columns(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_awkward_rows(spark, name):
+    """Repeated rows, a null id, an empty and a very long text; columns with names that operators use themselves."""
+    long_text = "one two three four five " * 30_000
+    rows = [(1, "one two three"), (1, "one two three"), (2, None), (2, None), (3, ""), (None, "one two"), (None, None), (4, long_text), (5, "x" * 20_000)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    clash = "block data bad component left right own blocks side digest start number toxic held_out row row_number rep copies labels keys n at a b m n_words n_chars is_target html parts licence size spans".split()
+    odd = plain.withColumns({c: F.lit(7) for c in clash})
+    found, same = (sorted(map(str, OPERATORS[name](spark, d).collect())) for d in (plain, odd))
+    assert found == same
+    ids = Counter(r.split("doc_id=")[1].split(",")[0].rstrip(")") for r in set(found) if name == "op9") or Counter(r.split("doc_id=")[1].split(",")[0].rstrip(")") for r in found)
+    if name == "op9":
+        assert set(ids) == {"1", "2", "3", "4", "5", "None"}
+    elif name == "op4_kept":
+        assert ids["1"] == ids["2"] == ids["3"] == ids["4"] == ids["5"] == 1
+    else:
+        assert ids == {"1": 2, "2": 2, "3": 1, "4": 1, "5": 1, "None": 2}
+
+
 def test_interleaved_sequence():
     html = "<h1>T</h1><p>before <b>it</b></p><figure><img src='media:d1' alt='x'><figcaption>the caption</figcaption></figure><script>no</script><p>after</p><img src='media:d2' alt='y'>"
     parts = [(x["position"], x["kind"], x["text"] or x["digest"], x["caption"]) for x in media.parse_page(html)]
