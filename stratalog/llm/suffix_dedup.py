@@ -155,11 +155,11 @@ def spans_row(block: int, first: np.ndarray, last: np.ndarray) -> tuple[int, byt
 
 
 def bucket_rows(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """Stretches of sorted 64-bit keys by equal ranges of their values."""
-    edges = [0, *np.searchsorted(keys, np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=np.uint64)), len(keys)]
-    for k in range(buckets):
-        if edges[k] < edges[k + 1]:
-            yield k, slice(int(edges[k]), int(edges[k + 1]))
+    """Stretches of sorted 64-bit keys by equal ranges of their values; only the buckets that occur."""
+    bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(keys) else np.zeros(1, dtype=np.int64)
+    for begin, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield int(bucket[begin]), slice(begin, end)
 
 
 NAMED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary())])
