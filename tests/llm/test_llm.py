@@ -218,6 +218,24 @@ def test_jaccard_join(docs, block):
     assert max(degree.values()) >= 3
 
 
+def test_recall_of_links(spark):
+    """Links found of all that brute force over shared runs finds, in 4,000 given documents."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 4000").select("doc_id", "text").repartition(4)
+    sets = {r.doc_id: shingles(r.text) for r in d.collect()}
+    holders, common = {}, Counter()
+    for i, own in sets.items():
+        for x in own or ():
+            holders.setdefault(x, []).append(i)
+    for ids in holders.values():
+        common.update((a, b) for n, a in enumerate(ids) for b in ids[n + 1 :])
+    links = Counter(x for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) for x in (a, b))
+    found = by_id(jaccard.similar_classes(d))
+    assert all(found[i].n_links <= n for i, n in links.items()) and sum(r.n_links for r in found.values()) <= sum(links.values())
+    recall = sum(r.n_links for r in found.values()) / sum(links.values())
+    print("links", sum(links.values()), "recall", recall)
+    assert recall >= 0.999
+
+
 def test_limit_itself_is_similar():
     for k in range(1, 400):
         whole, part = np.arange(5 * k, dtype=np.uint64), np.arange(4 * k, dtype=np.uint64)
@@ -324,6 +342,14 @@ def test_best_fit_is_tightest():
         room[number] -= length
 
 
+def test_packing_fills_its_windows(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sequences = packing.pack_documents(d, WORD_BPE).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.first("padded_tokens").alias("padded"))
+    fill = sequences.agg(F.sum("n") / F.sum("padded")).first()[0]
+    print("fill", fill)
+    assert fill > 0.98
+
+
 def plain_png(image):
     """The samples of an unfiltered grey image, by another reader."""
     at, data = 8, b""
