@@ -1,9 +1,11 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 The terms are words and word beginnings that labelled toxic texts hold far more often than labelled clean ones
-do. Which terms, and the labelled examples themselves, come from a bounded sample of labelled rows; how rare a
-term is comes from all documents. A document's nearest examples vote with the square of their similarity (as
-a share of the largest); the share of toxic votes, drawn a little towards the base rate, is the score, and those examples are the evidence.
+do; all other words of a text are one more term, which every text has, so that a few terms among many words weigh
+less than among few. Which terms, and the labelled examples themselves, come from a bounded sample of labelled rows;
+how rare a term is comes from all documents. A document's nearest examples vote with the square of their similarity
+(as a share of the largest), drawn a little towards the base rate; those examples are the evidence. A logistic curve
+over the votes that the examples get from the others turns the share of toxic votes into the score.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, batches
@@ -29,6 +31,8 @@ BEGINNINGS = range(3, 8)
 LEAST_TOXIC, LEAST_SHARE = 3, 0.5
 NEIGHBOURS = 15
 BASE_WEIGHT = 1.0
+#: The idf of the other words: that of a term that no document lacks.
+OTHERS_IDF = 1.0
 REJECT = 0.7
 BLOCK = 64
 EVIDENCE = 5
@@ -89,11 +93,11 @@ class Index:
             place = np.full(self.blocks, -1)
             place[some] = np.arange(len(some))
             for t, q in query.items():
-                for j in range(self.block_at[t], self.block_at[t + 1]):
-                    row = place[self.block_of[j]]
-                    if row >= 0:
-                        own = slice(self.first[j], self.first[j + 1])
-                        total[row, self.example[own] % BLOCK] += q * self.weight[own]
+                own = self.block_of[self.block_at[t] : self.block_at[t + 1]]
+                for j in np.flatnonzero(place[own] >= 0).tolist():
+                    j += self.block_at[t]
+                    part = slice(self.first[j], self.first[j + 1])
+                    total[place[self.block_of[j]], self.example[part] % BLOCK] += q * self.weight[part]
             row, column = np.nonzero(total)
             found = zip((-total[row, column].round(9)).tolist(), (some[row] * BLOCK + column).tolist(), strict=True)
             best = sorted([*best, *found])[:k]
@@ -102,15 +106,16 @@ class Index:
 
 class Model:
     def __init__(self, terms: list[str], idf: list[float], examples: list[tuple[int, int, dict[int, int]]]):
-        self.terms, self.idf = terms, idf
+        self.terms, self.others, self.idf = terms, len(terms), [*idf, OTHERS_IDF]
         self.number = {t: i for i, t in enumerate(terms)}
-        told = [(self.vector(tf), y, doc) for doc, y, tf in examples if tf]
+        told = [(self.vector(tf), y, doc, tuple(sorted(tf.items()))) for doc, y, tf in examples if tf]
         told.sort(key=lambda x: (sorted(x[0].items()), x[2]))
-        self.index = Index([v for v, _, _ in told], len(terms))
-        self.label, self.doc = [y for _, y, _ in told], [d for _, _, d in told]
+        self.index = Index([v for v, *_ in told], len(terms) + 1)
+        self.label, self.doc, self.key = [y for _, y, *_ in told], [x[2] for x in told], [x[3] for x in told]
         silent = [y for _, y, tf in examples if not tf]
         self.base = (sum(y for _, y, _ in examples) + 0.5) / (len(examples) + 1)
         self.silent = min(0.5, (sum(silent) + 0.5) / (len(silent) + 1))
+        self.slope, self.shift = 1.0, 0.0
         self.memory = self.scores = None
 
     def __getstate__(self):
@@ -120,12 +125,16 @@ class Model:
         return tuple(self.number[t] for t in terms_of(word) if t in self.number)
 
     def count(self, text: str) -> dict[int, int]:
-        """Times that each term stands in the text."""
+        """Times that each term stands in the text, and the number of its other words; nothing if it holds no term."""
         if self.memory is None:
             self.memory = Memory(200_000, self.numbers)
         out = Counter()
-        for numbers in filter(None, map(self.memory.__getitem__, _words(text.lower()))):
+        words = _words(text.lower())
+        told = [*filter(None, map(self.memory.__getitem__, words))]
+        for numbers in told:
             out.update(numbers)
+        if 0 < len(told) < len(words):
+            out[self.others] = len(words) - len(told)
         self.memory.age()
         return out
 
@@ -145,12 +154,58 @@ class Model:
         self.scores.age()
         return out
 
-    def vote(self, key: tuple) -> tuple[float, float, list[int], list[str]]:
-        near = self.index.nearest(self.vector(dict(key)), NEIGHBOURS)
+    def share(self, key: tuple, alike: int = 0) -> tuple[float, list[tuple[int, float]]]:
+        """Share of toxic votes and the nearest examples; where `alike` examples have this very key, without those."""
+        near = self.index.nearest(self.vector(dict(key)), NEIGHBOURS + alike)
+        near = [x for x in near if not alike or self.key[x[0]] != key][:NEIGHBOURS]
         weight = [(s / near[0][1]) ** 2 for _, s in near]
         toxic = sum(w for w, (i, _) in zip(weight, near, strict=True) if self.label[i])
-        score = (toxic + BASE_WEIGHT * self.base) / (sum(weight) + BASE_WEIGHT)
-        return score, near[0][1] if near else 0.0, [self.doc[i] for i, _ in near[:EVIDENCE]], [self.terms[t] for t, _ in key]
+        return (toxic + BASE_WEIGHT * self.base) / (sum(weight) + BASE_WEIGHT), near
+
+    def vote(self, key: tuple) -> tuple[float, float, list[int], list[str]]:
+        share, near = self.share(key)
+        score = 1 / (1 + math.exp(-self.slope * math.log(share / (1 - share)) - self.shift))
+        return score, near[0][1] if near else 0.0, [self.doc[i] for i, _ in near[:EVIDENCE]], [self.terms[t] for t, _ in key if t != self.others]
+
+
+def logistic(share: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """Slope and shift over the log odds of a share of votes that tell best how toxic such texts are; drawn a little
+    towards 1 and 0, which leave the share as it is."""
+    x = np.log(share / (1 - share))
+    n = toxic.sum()
+    target = toxic * (n + 1) / (n + 2) + (1 - toxic) / (len(toxic) - n + 2)
+    fit = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-fit[0] * x - fit[1]))
+        w = p * (1 - p)
+        slope = np.array([((p - target) * x).sum() + fit[0] - 1, (p - target).sum() + fit[1]])
+        step = np.linalg.solve([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 1]], slope)
+        fit -= step / max(1.0, float(np.abs(step).max()))
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(fit[0].round(9)), float(fit[1].round(9))) if fit[0] > 0 else (1.0, 0.0)
+
+
+def calibrated(spark: SparkSession, model: Model) -> Model:
+    """The model with its curve, from the votes that each example gets from the examples unlike it. Examples that are
+    alike count once."""
+    toxic, times = Counter(), Counter(model.key)
+    for key, y in zip(model.key, model.label, strict=True):
+        toxic[key] += y
+    keys = list(times)
+    if not keys:
+        return model
+    shared = spark.sparkContext.broadcast((model, [(key, times[key]) for key in keys]))
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge, asked = shared.value
+        for batch in found:
+            own = batch.column("id").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([judge.share(*asked[i])[0] for i in own], pa.float64())], names=["id", "share"])
+
+    found = sorted(map(tuple, spark.range(len(keys)).mapInArrow(run, "id long, share double").collect()))
+    model.slope, model.shift = logistic(np.array([s for _, s in found]), np.array([toxic[k] / times[k] for k in keys]))
+    return model
 
 
 def tells(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
@@ -174,7 +229,7 @@ def strongest(terms: list[str]) -> list[str]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, most: int = SAMPLE) -> Model:
-    """Chooses terms and examples from the sample, and counts the terms' documents over all of `docs`."""
+    """Chooses terms, examples and the curve from the sample, and counts the terms' documents over all of `docs`."""
     sample = sample_labels(labels, most)
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most `most` rows of two numbers
 
@@ -226,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = SAMPLE) -> Model:
     rows = known.select("doc_id", "text", "toxic").mapInArrow(examples, "doc_id long, toxic int, counts array<array<int>>").collect()
     rows = [(r.doc_id, int(r.toxic > 0), dict(map(tuple, r.counts))) for r in rows]
     rows.sort(key=lambda x: (x[0], sorted(x[2].items())))
-    return Model(terms, idf, rows)
+    return calibrated(docs.sparkSession, Model(terms, idf, rows))
 
 
 def score(docs: DataFrame, model: Model, *, reject: float = REJECT) -> DataFrame:

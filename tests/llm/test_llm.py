@@ -482,10 +482,73 @@ def test_toxicity(spark, empty):
     assert all(found[d].doc_id % 7 == 0 for d in found[0].evidence)
     kept = toxicity.keep_clean(df, model)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in found.items() if not r.predicted}
+    # The whole score by brute force: all examples, all terms, no index.
+    text, label = {r[0]: r[1] or "" for r in rows}, dict(labels)
+    known_ids = [i for i in label if zlib.crc32(str(i).encode()) % 3 != 1]
+    holders = Counter(t for x in text.values() for t in {t for w in words(x) for t in toxicity.terms_of(w.decode())} if t in model.terms)
+
+    def vector(x):
+        found = [[t for t in toxicity.terms_of(w.decode()) if t in model.terms] for w in words(x)]
+        n = Counter(t for ts in found for t in ts)
+        v = {t: (1 + math.log(c)) * (1 + math.log((1 + len(text)) / (1 + holders[t]))) for t, c in n.items()}
+        others = found.count([])
+        if v and others:
+            v[""] = 1 + math.log(others)
+        return v
+
+    vectors = {i: vector(x) for i, x in text.items()}
+    examples = [i for i in known_ids if vectors[i]]
+    base = (sum(label[i] for i in known_ids) + 0.5) / (len(known_ids) + 1)
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    checked = [i for i in text if vectors[i]]
+    assert len(checked) > 120 and {i for i in checked if found[i].held_out}
+    for i in checked:
+        v = vectors[i]
+        cosine = {e: round(sum(x * vectors[e].get(t, 0) for t, x in v.items()) / size(v) / size(vectors[e]), 9) for e in examples}
+        near = sorted(cosine.values(), reverse=True)[: toxicity.NEIGHBOURS]
+        assert found[i].similarity == pytest.approx(near[0], abs=1e-6)
+        assert [cosine[e] for e in found[i].evidence] == pytest.approx(near[: toxicity.EVIDENCE], abs=1e-6)
+        if {label[e] for e in examples if cosine[e] >= near[-1] - 1e-6} == {1}:
+            votes = sum((c / near[0]) ** 2 for c in near)
+            odds = math.log((votes + base) / (1 - base))
+            assert found[i].score == pytest.approx(1 / (1 + math.exp(-model.slope * odds - model.shift)), abs=1e-6)
     nothing = toxicity.fit(df, known.where("false"))
     assert not any(r.predicted for r in toxicity.score(df, nothing).collect()) and toxicity.score(empty, toxicity.fit(empty, known)).count() == 0
 
 
+def test_toxicity_scores_are_chances(spark):
+    """Texts with equal terms that differ in how many other words they hold; scores of unseen rows match how often such rows are toxic."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(3000):
+        bad = rng.random() < 0.2
+        length = 30 if bad or rng.random() < 0.04 else 400
+        w = ["".join(rng.choice("aeiou") + rng.choice("rtn") for _ in range(3)) for _ in range(length)]
+        if bad or rng.random() < 0.2:
+            w[3] = rng.choice(["slubber", "gnarkle"])
+        rows.append((i, " ".join(w), "en", "s", 1))
+        labels.append((i, int(bad)))
+    df = spark.createDataFrame(rows, DOCS)
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found, label = by_id(toxicity.score(df, model)), dict(labels)
+    unseen = [r for r in found.values() if r.held_out and r.terms]
+    for low, high in ((0, 0.3), (0.7, 1.01)):
+        part = [r for r in unseen if low <= r.score < high]
+        assert len(part) >= 20 and abs(sum(r.score - label[r.doc_id] for r in part)) / len(part) < 0.1
+    # Beside many other words the same term is no sign.
+    assert all(r.predicted == label[r.doc_id] for r in unseen if len(rows[r.doc_id][1]) > 1000)
+
+
+def test_logistic():
+    share = np.array([0.1, 0.3, 0.5, 0.7, 0.9] * 200)
+    slope, shift = toxicity.logistic(share, np.tile([0.0, 0.1, 0.5, 0.9, 1.0], 200))
+    assert slope > 1 and abs(shift) < 0.01
+    assert toxicity.logistic(share, 1 - share) == (1.0, 0.0)
+    for share, toxic in (([0.9], [1.0]), ([0.2, 0.9], [0.0, 1.0]), ([0.5], [0.0])):
+        slope, shift = toxicity.logistic(np.array(share), np.array(toxic))
+        assert 0 < slope < 5 and abs(shift) < 5
+
+
 def test_lm_scoring(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(lm_scoring, "BLOCK_WORDS", 300)
     monkeypatch.setattr(lm_scoring, "BUCKET_WORDS", 200)
