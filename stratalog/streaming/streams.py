@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,16 +21,55 @@ FACT_KEY = "project_id string, run_id string, entity string, predicate string"
 FACT = FACT_KEY + ", value string, seq long, agent_id string"
 
 
-def committed(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    """Rows of all committed batches of one output."""
+def _found(read: Callable[[], DataFrame], otherwise: DataFrame) -> DataFrame:
+    """What `read` gives, or `otherwise` where nothing was written yet."""
     try:
-        done = spark.read.schema("batch_id long, rows long").json(f"{path}/commits")
-        rows = spark.read.schema(f"{schema}, batch_id long").parquet(f"{path}/{name}")
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], schema)
-        raise
-    return rows.join(done.select("batch_id").distinct(), "batch_id", "left_semi").drop("batch_id")
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return otherwise
+
+
+def _batches(spark: SparkSession, path: str) -> DataFrame:
+    """The ids of all committed batches."""
+    none = spark.createDataFrame([], "batch_id long")
+    return _found(lambda: spark.read.schema("batch_id long").json(f"{path}/commits"), none).select("batch_id").distinct()
+
+
+def _snapshot(spark: SparkSession, path: str, name: str) -> int | None:
+    """The last batch that the newest snapshot of an output holds."""
+    none = spark.createDataFrame([], "upto long")
+    return _found(lambda: spark.read.schema("upto long").json(f"{path}/snapshots/{name}"), none).agg(F.max("upto")).first()[0]
+
+
+def committed(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """Rows of all committed batches of one output; its newest snapshot stands for those that it holds, and their
+    folders are not read."""
+    upto = _snapshot(spark, path, name)
+    wanted = F.col("batch_id") > (-1 if upto is None else upto)
+    batches = _batches(spark, path).where(wanted)
+    if upto is not None:
+        batches = batches.unionByName(spark.createDataFrame([(-1 - upto,)], "batch_id long"))
+        wanted |= F.col("batch_id") == -1 - upto
+    none = spark.createDataFrame([], f"{schema}, batch_id long")
+    rows = _found(lambda: spark.read.schema(f"{schema}, batch_id long").parquet(f"{path}/{name}"), none)
+    return rows.where(wanted).join(batches, "batch_id", "left_semi").drop("batch_id")
+
+
+def compact(spark: SparkSession, path: str, name: str, schema: str, fold: Callable[[DataFrame], DataFrame]) -> int | None:
+    """Writes `fold` of all committed rows of an output as a snapshot, and then the row that makes it count; the last
+    batch that the snapshot holds, or null if nothing is committed.
+
+    `fold` of its own result and later rows must be that of all rows. A run that fails leaves the state as it was. The
+    folders of batches that a snapshot holds may be deleted once no older reader runs.
+    """
+    upto = _batches(spark, path).agg(F.max("batch_id")).first()[0]
+    if upto is None or upto == _snapshot(spark, path, name):
+        return upto
+    fold(committed(spark, path, name, schema)).write.mode("overwrite").parquet(f"{path}/{name}/batch_id={-1 - upto}")
+    spark.range(1, numPartitions=1).select(F.lit(upto).cast("long").alias("upto")).write.mode("append").json(f"{path}/snapshots/{name}")
+    return upto
 
 
 def write_batches(stream: DataFrame, path: str, checkpoint: str, make: Callable[[DataFrame], dict[str, DataFrame]]) -> StreamingQuery:
@@ -58,6 +98,10 @@ def working_state(spark: SparkSession, path: str) -> DataFrame:
     return upsert_working_facts(committed(spark, path, "facts", FACT))
 
 
+def compact_working_state(spark: SparkSession, path: str) -> int | None:
+    return compact(spark, path, "facts", FACT, upsert_working_facts)
+
+
 def stream_consolidate(stream: DataFrame, path: str, checkpoint: str, make: Callable[[DataFrame], dict[str, DataFrame]], limit: int = WINDOW_EVENTS) -> StreamingQuery:
     """Outputs of the passes and the marks of their runs (the highest seq read), in one commit.
 
@@ -72,8 +116,19 @@ def stream_consolidate(stream: DataFrame, path: str, checkpoint: str, make: Call
     return write_batches(stream, path, checkpoint, with_marks)
 
 
+MARK = "run_id string, covered_seq long"
+
+
+def _highest(marks: DataFrame) -> DataFrame:
+    return marks.groupBy("run_id").agg(F.max("covered_seq").alias("covered_seq"))
+
+
 def covered_marks(spark: SparkSession, path: str) -> DataFrame:
-    return committed(spark, path, "marks", "run_id string, covered_seq long").groupBy("run_id").agg(F.max("covered_seq").alias("covered_seq"))
+    return _highest(committed(spark, path, "marks", MARK))
+
+
+def compact_marks(spark: SparkSession, path: str) -> int | None:
+    return compact(spark, path, "marks", MARK, _highest)
 
 
 def live_freshness(stream: DataFrame) -> DataFrame:
