@@ -31,26 +31,35 @@ RECORD_IDS = 8_000_000
 MAGIC = b"CTXMIX02"
 SLOTS_BITS = 11
 TOTAL_BITS = 28
-#: Order 2 gets at most fifteen sixteenths of the interval, and an escape at least a 256th of the rest.
+#: Order 2 gets at most fifteen sixteenths of the interval, and an escape at least a 256th of the rest (a 16th where
+#: order 0 has 20 bits, so that each share is a whole number).
 MOST_SURE, LEAST_ESCAPE = 15 << (TOTAL_BITS - 4), 256
 CONFIDENT = 15
 #: Pairs of ids that stand less often than this in a record are left to order 0.
 LEAST_PAIRS = 2
+#: Followers of one id that order 1 has parts for; the rarer ones beyond that are left to order 0.
+MOST_FOLLOWERS = 50_000
 #: Steps of all blocks that are looked up at a time.
 STEPS = 512
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _U16, _U64 = np.uint64(16), np.uint64(64)
 
 
-def shares(counts: np.ndarray) -> np.ndarray:
-    """Counts of ids as running sums of their shares of 65536, from 0 to 65536; each id that occurs has at least 1."""
-    present = np.flatnonzero(counts)
-    if len(present) > 60_000:
-        raise ValueError("more than 60,000 different ids in a record")
+def share_bits(counts: np.ndarray) -> int:
+    """Bits of the shares of order 0: 16, or 20 where a record holds more ids than 16 can tell apart well."""
+    kinds = np.count_nonzero(counts)
+    if kinds > 1_000_000:
+        raise ValueError("more than 1,000,000 different ids in a record")
+    return 16 if kinds <= 60_000 else 20
+
+
+def shares(counts: np.ndarray, bits: int = 16) -> np.ndarray:
+    """Counts of ids as running sums of their shares of 2 ** bits, from 0 on; each id that occurs has at least 1."""
+    present, whole = np.flatnonzero(counts), 1 << bits
     out = np.zeros(len(counts), dtype=np.int64)
-    rest = 65536 - len(present)
+    rest = whole - len(present)
     out[present] = 1 + counts[present] * rest // max(1, counts.sum())
-    out[present[np.argmax(counts[present])]] += 65536 - out.sum()
+    out[present[np.argmax(counts[present])]] += whole - out.sum()
     return np.concatenate(([0], np.cumsum(out)))
 
 
@@ -58,7 +67,14 @@ def count_pairs(ids: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (last id * kinds + id) that stand often enough in a row of ids, in order, and how often."""
     pairs, times = np.unique(ids[:-1].astype(np.int64) * kinds + ids[1:], return_counts=True)
     often = times >= LEAST_PAIRS
-    return pairs[often], times[often]
+    pairs, times = pairs[often], times[often]
+    last = pairs // kinds
+    if len(pairs) and np.bincount(last).max() > MOST_FOLLOWERS:
+        order = np.lexsort((-times, last))
+        nth = np.arange(len(order)) - np.searchsorted(last, last)  # `last` is in order already, so it is as sorted
+        few = np.sort(order[nth < MOST_FOLLOWERS])
+        pairs, times = pairs[few], times[few]
+    return pairs, times
 
 
 class Orders:
@@ -69,15 +85,15 @@ class Orders:
     """
 
     def __init__(self, counts: np.ndarray, pairs: np.ndarray, times: np.ndarray):
-        self.kinds = len(counts)
-        self.sums = shares(counts) if counts.any() else np.zeros(self.kinds + 1, dtype=np.int64)
+        self.kinds, self.bits = len(counts), share_bits(counts)
+        self.sums = shares(counts, self.bits) if counts.any() else np.zeros(self.kinds + 1, dtype=np.int64)
         self.id_of = np.repeat(np.arange(self.kinds), np.diff(self.sums))
         self.pairs = pairs
         last = pairs // self.kinds
         followers = np.bincount(last, minlength=self.kinds + 1)
         known = np.bincount(last, weights=times, minlength=self.kinds + 1).astype(np.int64)
         rare = np.maximum(np.append(counts, 0) - known, 0) + 1 + followers // 50
-        escape = np.clip(65536 * rare // (known + rare), LEAST_ESCAPE, 65536 - followers)
+        escape = np.clip(65536 * rare // (known + rare), LEAST_ESCAPE << (self.bits - 16), 65536 - followers)
         share = 1 + times * (65536 - escape - followers)[last] // np.maximum(known, 1)[last]
         before = np.cumsum(share) - share
         begin = np.concatenate(([0], np.cumsum(followers)))
@@ -94,13 +110,13 @@ class Orders:
 
     def find(self, last: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each id: begin and size of its part in order 1 (or of the escape), and begin and size within that part."""
-        key = last * self.kinds + ids
+        key = last.astype(np.int64) * self.kinds + ids
         place = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
         known = (self.pairs[place] == key) & (last < self.kinds) if len(self.pairs) else np.zeros(len(ids), dtype=bool)
         begin, size = self.escape_at[last], 65536 - self.escape_at[last]
         begin[known], size[known] = self.at[place[known]], self.share[place[known]]
         inner = np.where(known, 0, self.sums[ids])
-        return begin, size, inner, np.where(known, 65536, self.sums[ids + 1] - self.sums[ids])
+        return begin, size, inner, np.where(known, 1 << self.bits, self.sums[ids + 1] - self.sums[ids])
 
 
 class Recent:
@@ -176,10 +192,10 @@ def encode_blocks(ids: np.ndarray, orders: Orders) -> list[bytes]:
         rest = (1 << TOTAL_BITS) - sure
         first = rest * begin >> 16
         whole = (rest * (begin + part) >> 16) - first
-        within = whole * inner >> 16
+        within = whole * inner >> orders.bits
         hit = (model.guess == now) & (sure > 0)
         start = np.where(hit, 0, sure + first + within)
-        size = np.where(hit, sure, (whole * (inner + inner_size) >> 16) - within)
+        size = np.where(hit, sure, (whole * (inner + inner_size) >> orders.bits) - within)
         unit = width[:n] >> np.uint64(TOTAL_BITS)
         low[:n] += unit * start.astype(np.uint64)
         width[:n] = unit * size.astype(np.uint64)
@@ -239,11 +255,11 @@ def decode_blocks(blocks: list[bytes], total: int, orders: Orders) -> np.ndarray
         escaped = np.flatnonzero(now < 0)
         if len(escaped):
             whole, inner = size[escaped], value[escaped] - start[escaped]
-            found = orders.id_of[np.minimum(((inner + 1) * 65536 - 1) // whole, 65535)]
+            found = orders.id_of[np.minimum((((inner + 1) << orders.bits) - 1) // whole, (1 << orders.bits) - 1)]
             now[escaped] = found
-            within = whole * orders.sums[found] >> 16
+            within = whole * orders.sums[found] >> orders.bits
             start[escaped] += within
-            size[escaped] = (whole * orders.sums[found + 1] >> 16) - within
+            size[escaped] = (whole * orders.sums[found + 1] >> orders.bits) - within
         low[:n] += unit * start.astype(np.uint64)
         width[:n] = unit * size.astype(np.uint64)
         own_low, own_width, at = low[:n], width[:n], None

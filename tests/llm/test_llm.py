@@ -279,6 +279,21 @@ def test_range_coder(n):
             token_files.read_record(record[:-9] + bytes([record[-9] ^ 1]) + record[-8:])
 
 
+def test_range_coder_of_many_kinds():
+    rng = np.random.default_rng(3)
+    seen = rng.permutation(200_000)[:90_000]
+    after = np.stack((np.full(55_000, 7), np.arange(100, 55_100)), axis=1).ravel()
+    few = rng.choice(rng.integers(0, 250_000, 300), 30_000)  # numbers of pairs are beyond 32 bits
+    wide = np.concatenate((seen, rng.choice(seen, 40_000), seen[:5]))
+    for ids in (few, wide, np.concatenate((after, after)), np.concatenate((after, after, seen))):
+        ids = ids.astype(np.uint32)
+        docs, lengths, back = token_files.read_record(token_files.write_record([1], [len(ids)], ids))
+        assert lengths.tolist() == [len(ids)] and (back == ids).all()
+    pairs, times = token_files.count_pairs(np.concatenate((after, after, after[:200])), 60_000)
+    kept = set((pairs[pairs // 60_000 == 7] % 60_000).tolist())
+    assert len(kept) == token_files.MOST_FOLLOWERS and set(range(100, 200)) <= kept and (np.diff(pairs) > 0).all()
+
+
 def test_token_files_are_small():
     """At least 15 per cent fewer bits than a general compressor takes for the ids as 16-bit numbers."""
     import pyarrow.parquet as pq
