@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard, licences, lm_scoring, media, packing, suffix_dedup, token_counts, token_files, toxicity
+from . import alignment, decontamination, jaccard, licences, lm_scoring, media, packing, suffix_dedup, token_counts, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +58,12 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_lm_scoring, op4_ngram_jaccard_join, op5_decontamination, op6_suffix_array_dedup, op7_token_files, op8_toxicity, op9_packing, op10_media_columns)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_lm_scoring, op4_ngram_jaccard_join, op5_decontamination, op6_suffix_array_dedup, op7_token_files, op8_toxicity, op9_packing, op10_media_columns, op13_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
