@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, decontamination, jaccard, licences, lm_scoring, media, packing, secret_scan, suffix_dedup, token_counts, token_files, toxicity
+from . import alignment, collocations, decontamination, jaccard, licences, lm_scoring, media, packing, secret_scan, suffix_dedup, token_counts, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.counted(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -67,7 +71,7 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_lm_scoring, op4_ngram_jaccard_join, op5_decontamination, op6_suffix_array_dedup, op7_token_files, op8_toxicity, op9_packing, op10_media_columns, op12_secret_scan, op13_tokenizer_alignment)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_lm_scoring, op4_ngram_jaccard_join, op5_decontamination, op6_suffix_array_dedup, op7_token_files, op8_toxicity, op9_packing, op10_media_columns, op11_phrase_collocations, op12_secret_scan, op13_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
