@@ -299,4 +299,5 @@ def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
                 ])
 
     answers = totals.groupBy("block").agg(F.collect_list(F.struct("bucket", "totals")).alias("answers"))
-    return blocks.join(answers, "block", "left").mapInArrow(finish, OUT)
+    # Blocks and answers always meet in a shuffle: answers grow with the corpus and are not sent to all tasks.
+    return blocks.join(answers.hint("shuffle_hash"), "block", "left").mapInArrow(finish, OUT)
