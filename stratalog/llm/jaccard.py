@@ -346,9 +346,24 @@ def similar_classes(docs: DataFrame, *, similarity: float = SIMILARITY, block: i
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, with all their columns, without those that are linked to one of smaller doc_id; of repeated
-    rows one stays. Texts without words stay."""
-    spare = similar_classes(docs, **options).where("class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(spare, "doc_id", "left_anti").select(docs.columns)
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1)
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """The rows of `docs`, with all their columns, without those whose text is linked, directly or through others, to
+    one of smaller doc_id (of equal ids: of smaller digest).
+
+    Texts are judged, not ids: of several texts under one id each stays or goes by its own links. Of rows with equal id
+    and text one stays. Texts without words and rows without an id stay.
+    """
+    own = "_digest"
+    while own in docs.columns:
+        own += "_"
+    marked = docs.withColumn(own, F.coalesce(F.sha2("text", 256), F.lit("")))
+    known = marked.where("doc_id IS NOT NULL")
+    if docs.where("doc_id IS NULL").isEmpty() and known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        spare = similar_classes(docs, **options).where("class_id <> doc_id").select("doc_id")
+        return docs.join(spare, "doc_id", "left_anti").select(docs.columns)
+    texts = known.select("doc_id", "text", F.col(own).alias("digest")).dropDuplicates(["doc_id", "digest"])
+    texts = stored(texts.withColumn("node", F.monotonically_increasing_id()), "numbered_texts")
+    classes = similar_classes(texts.select(F.col("node").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("node"), "class_id")
+    first = texts.join(classes, "node").groupBy("class_id").agg(F.min(F.struct("doc_id", "digest")).alias("x"))
+    first = first.select("x.doc_id", F.col("x.digest").alias(own))
+    kept = known.join(first, ["doc_id", own], "left_semi").unionByName(marked.where("doc_id IS NULL"))
+    return kept.dropDuplicates(["doc_id", own]).select(docs.columns)

@@ -253,6 +253,17 @@ def test_one_of_each(spark, docs, empty):
     assert jaccard.stop_depth(0.8, 20, 6, 0.99) > jaccard.stop_depth(0.8, 20, 6, 0.9999)
 
 
+def test_texts_of_one_id(spark):
+    """Several texts under one id, and rows without an id, are judged one by one."""
+    text = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"}
+    rows = [(1, text["a"]), (1, text["b"]), (2, text["c"]), (3, text["c"]), (3, text["d"]), (4, text["b"] + " more"), (4, text["e"]), (5, text["e"]), (5, text["e"]), (None, text["a"]), (None, text["f"]), (None, text["f"]), (6, None), (6, ""), (6, None)]
+    docs = spark.createDataFrame([(*r, "x", i) for i, r in enumerate(rows)], "doc_id long, text string, digest string, _digest int").repartition(3)
+    kept = sorted((str(r.doc_id), str(r.text)) for r in jaccard.one_of_each(docs).collect())
+    want = [(1, text["a"]), (1, text["b"]), (2, text["c"]), (3, text["d"]), (4, text["e"]), (None, text["a"]), (None, text["f"]), (6, None), (6, "")]
+    # A null text and an empty one have no words; under one id they are kept as different rows.
+    assert [k for k in kept if k[0] != "6"] == sorted((str(i), str(t)) for i, t in want if i != 6) and {k for k in kept if k[0] == "6"} == {("6", "None"), ("6", "")}
+
+
 @pytest.mark.parametrize("hub", [1000, 2])
 def test_components(spark, monkeypatch, hub):
     monkeypatch.setattr(components, "HUB_LINKS", hub)
