@@ -111,11 +111,6 @@ def quantize(score: Column) -> Column:
     return F.round(score / QUANTUM).cast("long")
 
 
-def tokens(text: Column) -> Column:
-    """Distinct words that aren't stop words."""
-    return F.array_except(F.array_distinct(F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda t: t != "")), F.array(*[F.lit(w) for w in STOP_WORDS]))
-
-
 def hash_embedding(text: Column, dim: int = 64) -> Column:
     """A unit vector that depends on nothing but the text; a stand-in for a model."""
     raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.sha2(F.concat(F.unhex(F.lpad(F.hex(i.cast("long")), 16, "0")), F.encode(text, "UTF-8")), 256))

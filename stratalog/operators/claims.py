@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,16 +101,39 @@ def resolve_claims_merge(claims: DataFrame, stored: DataFrame | None = None) ->
 
 
 def merge_history(claims: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Per claim, stored ones too, the value of its subject once it is merged, the reason, and superseded_by, the next claim."""
-    w = Window.partitionBy(*SUBJECT, "_part").orderBy("_nth")
-    so_far = F.collect_list(F.when(F.col("_obj"), _fields(F.col("value")))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    over = lambda old, new: F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
-    merged = F.aggregate(so_far, F.expr("cast(map() as map<string,string>)"), over)
-    rows = _segments(claims, stored).withColumn("_before", F.sum(F.col("_obj").cast("int")).over(w))
-    rows = rows.withColumn("value", F.when(F.col("_obj"), _object(merged)).otherwise(F.col("value")))
-    rows = rows.withColumn("reason", F.when(F.col("_obj") & (F.col("_before") > 1), "field-merge").otherwise("last-write-wins"))
+    """Per claim, stored ones too, the value of its subject once it is merged, the reason, and superseded_by, the next claim.
+
+    The claims of a subject are one sorted stream that holds the fields of the current segment, so the work grows with
+    the claims and the text of their values.
+    """
     nxt = F.lead("id").over(Window.partitionBy(*SUBJECT).orderBy("_nth"))
-    return rows.withColumn("superseded_by", nxt).drop("_obj", "_nth", "_part", "_before", "_new")
+    entries = F.transform(F.map_entries(_fields(F.col("value"))), lambda e: F.struct(e["key"].alias("key"), F.concat(_quoted(e["key"]), F.lit(":"), e["value"]).alias("text")))
+    rows = _segments(claims, stored).withColumn("superseded_by", nxt).drop("_new")
+    rows = rows.withColumns({"_subject": F.struct(*SUBJECT), "_entries": F.when(F.col("_obj"), entries), "reason": F.lit("")})
+    kept = [c for c in rows.columns if c not in ("_obj", "_nth", "_part", "_subject", "_entries")]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, fields, keys, before = None, {}, [], 0
+        for batch in batches:
+            value, reason = batch.column("value").to_pylist(), []
+            for i, (subject, part, entries) in enumerate(zip(batch.column("_subject").to_pylist(), batch.column("_part").to_pylist(), batch.column("_entries").to_pylist(), strict=True)):
+                if (subject, part) != at:
+                    at, fields, keys, before = (subject, part), {}, [], 0
+                if entries is None:
+                    reason.append("last-write-wins")
+                    continue
+                for e in entries:
+                    if e["key"] not in fields:
+                        insort(keys, e["key"])
+                    fields[e["key"]] = e["text"]
+                before += 1
+                value[i] = "{" + ",".join([fields[k] for k in keys]) + "}"
+                reason.append("field-merge" if before > 1 else "last-write-wins")
+            made = {"value": pa.array(value, batch.schema.field("value").type), "reason": pa.array(reason, batch.schema.field("reason").type)}
+            yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in kept], names=kept)
+
+    ordered = rows.repartition(*SUBJECT).sortWithinPartitions(*SUBJECT, "_nth")
+    return ordered.mapInArrow(merge, rows.select(*kept).schema)
 
 
 def supersede_claims(claims: DataFrame, closed: DataFrame) -> DataFrame:

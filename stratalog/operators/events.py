@@ -145,9 +145,10 @@ def uncovered(events: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def uncovered_events(events: DataFrame, runs: DataFrame, limit: int | None = WINDOW_EVENTS) -> DataFrame:
-    """Events past the mark of their run in order: the first `limit` of each run (a window of the job)."""
+    """Events past the mark of their run in order: the first `limit` of each run (a window of the job), or all with None."""
     nth = F.row_number().over(Window.partitionBy("run_id").orderBy("seq"))
-    return uncovered(events, runs).withColumn("nth", nth).where(F.col("nth") <= limit)
+    rows = uncovered(events, runs).withColumn("nth", nth)
+    return rows if limit is None else rows.where(F.col("nth") <= limit)
 
 
 def window_plan(events: DataFrame, runs: DataFrame, size: int = WINDOW_EVENTS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions.text import lenient_timestamp
@@ -21,21 +21,52 @@ def extract_memories(events: DataFrame) -> DataFrame:
     return out.withColumn("kind", F.lit("semantic"))
 
 
+def _is_text(value: Column) -> Column:
+    """Whether a member decodes as a string: it is one, null or absent."""
+    return F.coalesce(json_type(value).isin("STRING", "VOID"), F.lit(True))
+
+
+def _text(value: Column) -> Column:
+    """A string member; null and absent ones are empty."""
+    return F.coalesce(F.when(json_type(value) == "STRING", F.try_variant_get(value, "$", "string")), F.lit(""))
+
+
+def _list(value: Column) -> Column:
+    """The elements of an array, or null."""
+    return F.when(json_type(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
+
+
 def extract_claims(events: DataFrame) -> DataFrame:
+    """One claim per event whose key `claim` decodes as a whole: entity and predicate are strings (null and absent ones
+    are empty), event_time is an RFC 3339 time, null or absent. If one part doesn't decode, the event has no claim."""
     v = parsed(F.col("payload"))
-    claim = field(v, "claim")
-    good = (json_type(claim).startswith("OBJECT")) & is_object(v)
-    value = field(v, "claim.value")
+    entity, predicate, value, at = (field(v, f"claim.{k}") for k in ("entity", "predicate", "value", "event_time"))
+    time = lenient_timestamp(_text(at))
+    timed = F.coalesce(json_type(at) == "VOID", F.lit(True)) | (_is_text(at) & time.isNotNull())
+    good = is_object(v) & is_object(field(v, "claim")) & _is_text(entity) & _is_text(predicate) & timed
     text = F.when(json_type(value) == "VOID", F.lit("null")).otherwise(F.to_json(value))
-    out = events.where(good).withColumns({"entity": string_field(v, "claim.entity"), "predicate": string_field(v, "claim.predicate"), "value": text})
-    return out.withColumn("event_time", lenient_timestamp(string_field(v, "claim.event_time")))
+    return events.where(good).withColumns({"entity": _text(entity), "predicate": _text(predicate), "value": text, "event_time": time})
 
 
 def extract_entities(events: DataFrame) -> DataFrame:
-    """name, type and aliases of each mention, by place."""
-    shape = "array<struct<name:string,type:string,aliases:array<string>>>"
-    found = F.from_json(F.get_json_object("payload", "$.entities"), shape)
-    return events.select("*", F.posexplode(found).alias("pos", "_e")).select("*", "_e.name", "_e.type", "_e.aliases").drop("_e")
+    """name, type and aliases of each mention, by place, of events whose key `entities` decodes as a whole: a list of
+    objects (or nulls) whose names and types are strings and whose aliases are lists of strings. Null and absent
+    strings are empty; if one part doesn't decode, the event has no mentions."""
+
+    def member(e: Column, key: str) -> Column:
+        return F.try_variant_get(e, f"$.{key}", "variant")
+
+    def decodes(e: Column) -> Column:
+        aliases = member(e, "aliases")
+        listed = F.coalesce(json_type(aliases) == "VOID", F.lit(True)) | F.coalesce(F.forall(_list(aliases), _is_text), F.lit(False))
+        return (json_type(e) == "VOID") | (is_object(e) & _is_text(member(e, "name")) & _is_text(member(e, "type")) & listed)
+
+    v = parsed(F.col("payload"))
+    found = _list(field(v, "entities"))
+    rows = events.where(is_object(v)).withColumn("_all", found).where(F.coalesce(F.forall("_all", decodes), F.lit(False)))
+    rows = rows.select("*", F.posexplode("_all").alias("pos", "_e")).drop("_all")
+    aliases = F.transform(_list(member(F.col("_e"), "aliases")), _text)
+    return rows.withColumns({"name": _text(member(F.col("_e"), "name")), "type": _text(member(F.col("_e"), "type")), "aliases": aliases}).drop("_e")
 
 
 def clean_candidates(candidates: DataFrame) -> DataFrame:

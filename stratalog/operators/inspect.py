@@ -93,4 +93,5 @@ def write_tenant_partitions(df: DataFrame, path: str) -> None:
 
 
 def drop_tenant(df: DataFrame, project_id: str) -> DataFrame:
-    return df.where(F.col("project_id") != project_id)
+    """Rows of all other projects, and those without one."""
+    return df.where(~F.col("project_id").eqNullSafe(project_id))

@@ -160,15 +160,24 @@ def extract_memories(spark, sf):
     return x.extract_memories(a.events(spark, sf)).select("id", "content", "kind")
 
 
-@query(ev("SELECT id, entity, predicate, value FROM v_claims", CLAIMS))
+@query(ev("SELECT id, CASE WHEN id % 7 = 2 THEN '' ELSE entity END AS entity, predicate, value, CASE WHEN id % 7 = 3 THEN TIMESTAMP '2024-05-01 10:00:00' END AS event_time FROM v_claims WHERE id % 7 > 1", CLAIMS))
 def extract_claims(spark, sf):
-    return x.extract_claims(a.events(spark, sf)).select("id", "entity", "predicate", "value")
+    """Claims of payloads that decode; in some a part is of another type, null, or a time that is none."""
+    head = lambda text: F.replace("payload", F.lit('{"entity"'), F.lit(text))
+    kind = F.col("id") % 7
+    payload = F.when(kind == 0, head('{"event_time":"yesterday","entity"')).when(kind == 1, head('{"entity":7,"was"')).when(kind == 2, head('{"entity":null,"was"'))
+    payload = payload.when(kind == 3, head('{"event_time":"2024-05-01T10:00:00Z","entity"')).otherwise(F.col("payload"))
+    found = x.extract_claims(a.events(spark, sf).withColumn("payload", payload))
+    return found.select("id", "entity", "predicate", "value", F.to_utc_timestamp("event_time", F.current_timezone()).cast("timestamp_ntz").alias("event_time"))
 
 
-@query(ev("SELECT id, 'user' || (k % 7) AS name, 'person' AS type, [CAST(k % 7 AS VARCHAR)] AS aliases FROM v_events WHERE agent_id = 'signup'"))
+@query(ev("SELECT id, 'user' || (k % 7) AS name, CASE WHEN id % 5 = 2 THEN '' ELSE 'person' END AS type, [CAST(k % 7 AS VARCHAR)] AS aliases FROM v_events WHERE agent_id = 'signup' AND id % 5 > 1"))
 def extract_entities(spark, sf):
-    k = (F.col("k") % 7).cast("string")
-    rows = a.events(spark, sf).where("agent_id = 'signup'").withColumn("payload", F.concat(F.lit('{"entities":[{"name":"user'), k, F.lit('","type":"person","aliases":["'), k, F.lit('"]}]}')))
+    """Mentions of lists that decode; in some a name is a number, an alias is none, or a type is null."""
+    k, kind = (F.col("k") % 7).cast("string"), F.col("id") % 5
+    type_ = F.when(kind == 2, "null").otherwise('"person"')
+    payload = F.concat(F.lit('{"entities":[{"name":"user'), k, F.lit('","type":'), type_, F.lit(',"aliases":["'), k, F.lit('"'), F.when(kind == 1, ",7").otherwise(""), F.lit("]"), F.when(kind == 0, '},{"name":7').otherwise(""), F.lit("}]}"))
+    rows = a.events(spark, sf).where("agent_id = 'signup'").withColumn("payload", payload)
     return x.extract_entities(rows).select("id", "name", "type", "aliases")
 
 

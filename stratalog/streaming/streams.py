@@ -43,11 +43,13 @@ def _snapshot(spark: SparkSession, path: str, name: str) -> int | None:
     return _found(lambda: spark.read.schema("upto long").json(f"{path}/snapshots/{name}"), none).agg(F.max("upto")).first()[0]
 
 
-def committed(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    """Rows of all committed batches of one output; its newest snapshot stands for those that it holds, and their
-    folders are not read."""
+def committed(spark: SparkSession, path: str, name: str, schema: str, last: int | None = None) -> DataFrame:
+    """Rows of all committed batches of one output, up to batch `last` where it is given; its newest snapshot stands
+    for those that it holds, and their folders are not read."""
     upto = _snapshot(spark, path, name)
     wanted = F.col("batch_id") > (-1 if upto is None else upto)
+    if last is not None:
+        wanted &= F.col("batch_id") <= last
     batches = _batches(spark, path).where(wanted)
     if upto is not None:
         batches = batches.unionByName(spark.createDataFrame([(-1 - upto,)], "batch_id long"))
@@ -67,7 +69,8 @@ def compact(spark: SparkSession, path: str, name: str, schema: str, fold: Callab
     upto = _batches(spark, path).agg(F.max("batch_id")).first()[0]
     if upto is None or upto == _snapshot(spark, path, name):
         return upto
-    fold(committed(spark, path, name, schema)).write.mode("overwrite").parquet(f"{path}/{name}/batch_id={-1 - upto}")
+    # A batch that commits meanwhile is no part of the snapshot; it is read beside it.
+    fold(committed(spark, path, name, schema, upto)).write.mode("overwrite").parquet(f"{path}/{name}/batch_id={-1 - upto}")
     spark.range(1, numPartitions=1).select(F.lit(upto).cast("long").alias("upto")).write.mode("append").json(f"{path}/snapshots/{name}")
     return upto
 
