@@ -15,6 +15,8 @@ from stratalog.functions.text import STOP_WORDS, quantize
 EXACT_LIMIT, DEPTH, RRF_K, RERANK_DEPTH, LIMIT = 8000, 50, 60, 50, 20
 #: Queries whose vectors are sent to all tasks at a time.
 QUERY_BLOCK = 2_000
+#: Bytes of the distances that a task computes at a time.
+PRODUCT_BYTES = 32 << 20
 
 
 def live_head(memories: DataFrame) -> DataFrame:
@@ -43,13 +45,13 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = DEPTH) -> DataFrame:
     """query_id, id, distance, pos: the k nearest of `vectors` (id, vec) by cosine distance, ties by id.
 
-    A query sees only vectors of its project_id and model_id, where both sides have these columns, and, where it has
+    A query sees only vectors of its project_id, model_id and cell, where both sides have these columns, and, where it has
     scopes, those whose scope_keys share one with them. Vectors are packed into blocks where they lie, queries (a
     stated set) into rows of QUERY_BLOCK at most; blocks and rows meet by an equi-join on project and model, which
     Spark broadcasts if the queries turn out small and deals out otherwise. Each pair keeps its k best per query, so
     the last exchange holds k rows per query and block at most.
     """
-    keys = [c for c in ("project_id", "model_id") if c in queries.columns and c in vectors.columns]
+    keys = [c for c in ("project_id", "model_id", "cell") if c in queries.columns and c in vectors.columns]
     scoped = "scopes" in queries.columns and "scope_keys" in vectors.columns
     none = F.array().cast("array<string>")
     asked = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec"), (F.coalesce("scopes", none) if scoped else none).alias("scopes"), *keys, F.lit(0).alias("_all"))
@@ -72,21 +74,27 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = DEPTH) -> DataFr
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for ids, vecs, scope_keys, asked in zip(batch["ids"], batch["vecs"], batch["scope_keys"], batch["asked"], strict=True):
-                query = np.array([q["query_id"] for q in asked], dtype=np.int64)
-                distance = 1 - _unit(np.stack([q["vec"] for q in asked])) @ _unit(vecs.reshape(len(ids), -1)).T
-                held = [set(x) for x in scope_keys]
+                ids, table = np.asarray(ids), _unit(vecs.reshape(len(ids), -1))
                 allowed: dict[tuple, np.ndarray] = {}
-                for i, q in enumerate(asked):
-                    wanted = tuple(q["scopes"])
-                    if wanted:
-                        if wanted not in allowed:
-                            allowed[wanted] = np.array([not h.isdisjoint(wanted) for h in held])
-                        distance[i, ~allowed[wanted]] = np.inf
-                most = min(k, len(ids))
-                order = np.lexsort((np.broadcast_to(ids, distance.shape), distance.round(9)), axis=1)[:, :most]
-                row, place = np.repeat(np.arange(len(query)), most), order.ravel()
-                fine = np.isfinite(distance[row, place])
-                yield pd.DataFrame({"query_id": query[row][fine], "id": np.asarray(ids)[place][fine], "distance": distance[row, place][fine]})
+                most, step = min(k, len(ids)), max(1, PRODUCT_BYTES // (8 * len(ids)))
+                for at in range(0, len(asked), step):
+                    some = asked[at : at + step]
+                    query = np.array([q["query_id"] for q in some], dtype=np.int64)
+                    distance = 1 - _unit(np.stack([q["vec"] for q in some])) @ table.T
+                    for i, q in enumerate(some):
+                        wanted = tuple(q["scopes"])
+                        if wanted:
+                            if wanted not in allowed:
+                                allowed[wanted] = np.array([not set(h).isdisjoint(wanted) for h in scope_keys])
+                            distance[i, ~allowed[wanted]] = np.inf
+                    coarse = distance.round(9)
+                    # All that is as near as the k-th; ties beyond it are settled by id.
+                    row, place = np.nonzero((coarse <= np.partition(coarse, most - 1, axis=1)[:, most - 1 : most]) & np.isfinite(coarse))
+                    order = np.lexsort((ids[place], coarse[row, place], row))
+                    row, place = row[order], place[order]
+                    keep = np.arange(len(row)) - np.searchsorted(row, row) < most
+                    row, place = row[keep], place[keep]
+                    yield pd.DataFrame({"query_id": query[row], "id": ids[place], "distance": distance[row, place]})
 
     found = blocks.join(packed.drop("_row"), keys).select("ids", "vecs", "scope_keys", "asked").mapInPandas(search, "query_id long, id long, distance double")
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id"))
@@ -165,21 +173,22 @@ def rerank_head(results: DataFrame, order: Callable[[pd.DataFrame], list], depth
     return few.groupBy("query_id").applyInPandas(run, "query_id long, id long, score double, pos int")
 
 
-def search_legs(queries: DataFrame, memories: DataFrame, embeddings: DataFrame, depth: int = DEPTH) -> DataFrame:
+def search_legs(queries: DataFrame, memories: DataFrame, embeddings: DataFrame, depth: int = DEPTH, dense: DataFrame | None = None) -> DataFrame:
     """The legs of queries (query_id, vec, text, and the filters project_id, model_id, scopes) over memories that are
-    live and trusted: query_id, id, pos, leg, status. The entity leg is a stub, one row without an id per query."""
+    live and trusted: query_id, id, pos, leg, status. The entity leg is a stub, one row without an id per query.
+    `dense` is a dense leg made elsewhere (vector_index.dense_leg) in place of the exact one."""
     live = exclude_quarantine(live_head(memories))
-    legs = leg_union(dense=dense_topk(queries, with_vectors(live, embeddings), depth), lexical=lexical_topk(queries, live, depth))
+    legs = leg_union(dense=dense_topk(queries, with_vectors(live, embeddings), depth) if dense is None else dense, lexical=lexical_topk(queries, live, depth))
     stub = queries.select("query_id", F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("pos"), F.lit("entity").alias("leg"), F.lit("stub").alias("status"))
     return legs.withColumn("status", F.when(F.col("leg") == "dense", "exact").otherwise("text")).unionByName(stub)
 
 
 def hybrid_retrieve(
     queries: DataFrame, memories: DataFrame, embeddings: DataFrame, limit: int = LIMIT, depth: int = DEPTH,
-    order: Callable[[pd.DataFrame], list] | None = None, rerank_depth: int = RERANK_DEPTH,
+    order: Callable[[pd.DataFrame], list] | None = None, rerank_depth: int = RERANK_DEPTH, dense: DataFrame | None = None,
 ) -> DataFrame:
     """query_id, id, kind, content, score, pos: the legs of search_legs, fused, and reranked by `order` where it is given."""
-    fused = rrf_fuse(search_legs(queries, memories, embeddings, depth).where("id IS NOT NULL"))
+    fused = rrf_fuse(search_legs(queries, memories, embeddings, depth, dense).where("id IS NOT NULL"))
     content = memories.select("id", "kind", "content")
     if order is None:
         return fused.where(F.col("pos") <= limit).join(content, "id").select("query_id", "id", "kind", "content", "score", "pos")

@@ -19,9 +19,11 @@ from stratalog.operators import metrics as m
 from stratalog.operators import pack as p
 from stratalog.operators import plugins as u
 from stratalog.operators import retrieve as r
+from stratalog.operators import vector_index as n
 from stratalog.operators.consolidate import consolidate_pass
 from stratalog.sources import adapters as a
 from stratalog.sources import questions as s
+from stratalog.sources.shared import new_path
 
 from .oracles import CLAIMS, DENSE, EVENTS, FUSED, MEMORIES, TWINS, VERDICTS, lexical, sql
 
@@ -430,6 +432,22 @@ def retrieval_path(spark, sf):
 # Packs
 
 
+INDEX_LIMIT = "(SELECT count(*) FROM v_search) / 4"
+
+
+@query(sql(MEMORIES, DENSE, select=f"SELECT CASE WHEN n > {INDEX_LIMIT} THEN 'index' ELSE 'exact' END AS path, count(*) AS queries, true AS recalled FROM (SELECT query_id, count(m.id) AS n FROM qs LEFT JOIN v_search m ON m.project_id = qs.project_id AND (len(scopes) = 0 OR list_has_any(scope_keys, scopes)) GROUP BY 1) GROUP BY 1"))
+def dense_leg(spark, sf):
+    """Queries by path, where an index takes those with more than a quarter of all memories to search, and whether the
+    path finds 0.95 of the exact neighbours."""
+    memories, embeddings, asked = a.memories(spark, sf), a.embeddings(spark, sf), a.search_queries(spark, sf)
+    path = new_path(spark, "vector_index")
+    n.write_index(embeddings.withColumnRenamed("memory_id", "id"), path)
+    found = n.dense_leg(asked, memories, path, limit=r.exclude_quarantine(r.live_head(memories)).count() // 4)
+    exact = r.dense_topk(asked, r.with_vectors(trusted(spark, sf), embeddings))
+    shares = n.recall(found, exact).join(found.groupBy("query_id").agg(F.first("path").alias("path")), "query_id")
+    return shares.groupBy("path").agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.95).alias("recalled"))
+
+
 def retrieved(spark, sf):
     """The dense results of the queries serve the packs of their project, in turn."""
     found = dense(spark, sf, 20).withColumn("score", 1 - F.col("distance"))
