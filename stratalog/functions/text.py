@@ -12,6 +12,15 @@ QUANTUM = 1e-4
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
 
 
+#: Runs of other characters part words; letters and digits of all scripts belong to them.
+BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
+
+
+def scope_overlap(scope_keys: Column, scopes: Column) -> Column:
+    """Whether a row may be found by who asks with these scopes; no scopes are all."""
+    return scopes.isNull() | (F.size(scopes) == 0) | F.arrays_overlap(scope_keys, scopes)
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), SPACE_RUN, " "))
 

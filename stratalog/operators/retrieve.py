@@ -7,12 +7,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.functions.text import STOP_WORDS, quantize
+from stratalog.functions.text import quantize, scope_overlap
 
-EXACT_LIMIT, DEPTH, RRF_K, RERANK_DEPTH, LIMIT = 8000, 50, 60, 50, 20
+from .textsearch import DEPTH, text_topk
+
+EXACT_LIMIT, RRF_K, RERANK_DEPTH, LIMIT = 8000, 60, 50, 20
 #: Queries whose vectors are sent to all tasks at a time.
 QUERY_BLOCK = 2_000
 #: Bytes of the distances that a task computes at a time.
@@ -23,10 +25,6 @@ def live_head(memories: DataFrame) -> DataFrame:
     return memories.where("superseded_by IS NULL AND valid_to IS NULL")
 
 
-def scope_overlap(scope_keys: Column, scopes: Column) -> Column:
-    return scopes.isNull() | (F.size(scopes) == 0) | F.arrays_overlap(scope_keys, scopes)
-
-
 def exclude_quarantine(memories: DataFrame, include: bool = False) -> DataFrame:
     return memories if include else memories.where("trust_tier <> 'quarantine'")
 
@@ -101,34 +99,6 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = DEPTH) -> DataFr
     return found.withColumn("pos", pos).where(F.col("pos") <= k)
 
 
-#: Runs of other characters part words; letters and digits of all scripts belong to them.
-BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
-
-
-def lexical_topk(queries: DataFrame, memories: DataFrame, k: int = DEPTH) -> DataFrame:
-    """query_id, id, rank, pos: memories that hold all words of the query, by how often; ties by id.
-
-    A query sees only memories of its project_id, where both sides have one, and, where it has scopes, those whose
-    scope_keys share one with them. Words meet in an equi-join, and each memory counts its words before that; an
-    empty query matches nothing.
-    """
-    own = ["project_id"] if "project_id" in queries.columns and "project_id" in memories.columns else []
-
-    def words(df: DataFrame, text: str, *keys: str) -> DataFrame:
-        return df.select(*keys, F.explode(F.split(F.lower(text), BETWEEN_WORDS)).alias("word")).where((F.col("word") != "") & ~F.col("word").isin(STOP_WORDS))
-
-    asked = words(queries, "text", "query_id", *own).distinct()
-    need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
-    wanted = asked.select("word", *own).distinct()
-    held = words(memories, "content", "id", *own).join(wanted, ["word", *own], "left_semi").groupBy("id", "word", *own).agg(F.count("*").alias("n"))
-    hits = asked.join(held, ["word", *own]).groupBy("query_id", "id").agg(F.count("*").alias("words"), F.sum("n").alias("rank"))
-    hits = hits.join(need, "query_id").where("words = need")
-    if "scopes" in queries.columns and "scope_keys" in memories.columns:
-        hits = hits.join(queries.select("query_id", "scopes"), "query_id").join(memories.select("id", "scope_keys"), "id").where(scope_overlap(F.col("scope_keys"), F.col("scopes")))
-    pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rank"), "id"))
-    return hits.withColumn("pos", pos).where(F.col("pos") <= k).select("query_id", "id", "rank", "pos")
-
-
 def candidate_count(queries: DataFrame, memories: DataFrame, limit: int = EXACT_LIMIT) -> DataFrame:
     """Per query (query_id, project_id, scopes) how many memories its filters leave, counted to limit + 1, and the path:
     one pass over them (exact), or one dealt out in blocks (exact_blocks); both are exact.
@@ -173,22 +143,22 @@ def rerank_head(results: DataFrame, order: Callable[[pd.DataFrame], list], depth
     return few.groupBy("query_id").applyInPandas(run, "query_id long, id long, score double, pos int")
 
 
-def search_legs(queries: DataFrame, memories: DataFrame, embeddings: DataFrame, depth: int = DEPTH, dense: DataFrame | None = None) -> DataFrame:
+def search_legs(queries: DataFrame, memories: DataFrame, embeddings: DataFrame, depth: int = DEPTH, dense: DataFrame | None = None, text: Callable[..., DataFrame] = text_topk) -> DataFrame:
     """The legs of queries (query_id, vec, text, and the filters project_id, model_id, scopes) over memories that are
     live and trusted: query_id, id, pos, leg, status. The entity leg is a stub, one row without an id per query.
-    `dense` is a dense leg made elsewhere (vector_index.dense_leg) in place of the exact one."""
+    `dense` is a dense leg made elsewhere (vector_index.dense_leg) in place of the exact one, `text` the text search."""
     live = exclude_quarantine(live_head(memories))
-    legs = leg_union(dense=dense_topk(queries, with_vectors(live, embeddings), depth) if dense is None else dense, lexical=lexical_topk(queries, live, depth))
+    legs = leg_union(dense=dense_topk(queries, with_vectors(live, embeddings), depth) if dense is None else dense, lexical=text(queries, live, depth))
     stub = queries.select("query_id", F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("pos"), F.lit("entity").alias("leg"), F.lit("stub").alias("status"))
     return legs.withColumn("status", F.when(F.col("leg") == "dense", "exact").otherwise("text")).unionByName(stub)
 
 
 def hybrid_retrieve(
     queries: DataFrame, memories: DataFrame, embeddings: DataFrame, limit: int = LIMIT, depth: int = DEPTH,
-    order: Callable[[pd.DataFrame], list] | None = None, rerank_depth: int = RERANK_DEPTH, dense: DataFrame | None = None,
+    order: Callable[[pd.DataFrame], list] | None = None, rerank_depth: int = RERANK_DEPTH, dense: DataFrame | None = None, text: Callable[..., DataFrame] = text_topk,
 ) -> DataFrame:
     """query_id, id, kind, content, score, pos: the legs of search_legs, fused, and reranked by `order` where it is given."""
-    fused = rrf_fuse(search_legs(queries, memories, embeddings, depth, dense).where("id IS NOT NULL"))
+    fused = rrf_fuse(search_legs(queries, memories, embeddings, depth, dense, text).where("id IS NOT NULL"))
     content = memories.select("id", "kind", "content")
     if order is None:
         return fused.where(F.col("pos") <= limit).join(content, "id").select("query_id", "id", "kind", "content", "score", "pos")

@@ -33,21 +33,31 @@ WORDS = "'[^\\p{L}\\p{N}]+'"
 
 
 def lexical(source: str = "v_search") -> str:
+    """Words, alternatives and minus words of the queries, and the covers of each match: from each place of a word the
+    nearest end at which an alternative is complete, of which the shortest stretch for each end counts."""
     return f"""
-lq AS (SELECT query_id, project_id, list_slice(list_filter(regexp_split_to_array(lower(text), {WORDS}), lambda w: length(w) > 5), 1, 3) AS ws FROM qs),
-lw AS (SELECT DISTINCT query_id, project_id, w AS word FROM (SELECT query_id, project_id, unnest(ws) AS w FROM lq) WHERE w NOT IN {STOP} AND w <> ''),
-ln AS (SELECT query_id, count(*) AS need FROM lw GROUP BY 1),
-lm AS (SELECT id, project_id, word, count(*) AS n FROM (SELECT id, project_id, unnest(regexp_split_to_array(lower(content), {WORDS})) AS word FROM {source}) WHERE word IN (SELECT word FROM lw) GROUP BY ALL),
-la AS (SELECT query_id, id, count(*) AS c, CAST(sum(n) AS BIGINT) AS rank FROM lw JOIN lm USING (project_id, word) GROUP BY ALL),
-lh AS (SELECT la.* FROM la JOIN qs USING (query_id) JOIN v_memories m ON m.id = la.id WHERE len(scopes) = 0 OR list_has_any(m.scope_keys, scopes)),
-lexical AS (SELECT * EXCLUDE (need, c) FROM (SELECT h.*, need, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, id) AS pos FROM lh h JOIN ln USING (query_id) WHERE c = need) WHERE pos <= 50)"""
+lq AS (SELECT query_id, project_id, scopes, list_slice(list_filter(regexp_split_to_array(lower(text), {WORDS}), lambda w: length(w) > 5), 1, 3) AS ws FROM qs),
+lw AS (SELECT DISTINCT query_id, project_id, scopes, CASE WHEN query_id % 100 = 0 AND nth > 1 THEN 1 ELSE 0 END AS part, query_id % 100 = 40 AND nth = 2 AS minus, word
+  FROM (SELECT query_id, project_id, scopes, unnest(ws) AS word, generate_subscripts(ws, 1) AS nth FROM lq) WHERE word NOT IN {STOP} AND NOT (query_id % 100 = 40 AND nth = 3)),
+ln AS (SELECT query_id, part, count(DISTINCT word) AS need FROM lw WHERE NOT minus GROUP BY ALL),
+ls AS (SELECT id, project_id, scope_keys, regexp_split_to_array(lower(content), {WORDS}) AS ws FROM {source}),
+lm AS (SELECT * FROM (SELECT id, project_id, scope_keys, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM ls) WHERE word IN (SELECT word FROM lw)),
+lo AS (SELECT lw.query_id, id, part, minus, lw.word, pos FROM lw JOIN lm USING (project_id, word) WHERE len(scopes) = 0 OR list_has_any(scope_keys, scopes)),
+lg AS (SELECT query_id, id, part, need FROM lo JOIN ln USING (query_id, part) GROUP BY ALL HAVING count(DISTINCT CASE WHEN NOT minus THEN word END) = need AND NOT bool_or(minus)),
+le AS (SELECT DISTINCT query_id, id, pos FROM lo WHERE NOT minus AND (query_id, id) IN (SELECT (query_id, id) FROM lg)),
+lx AS (SELECT e.query_id, e.id, e.pos AS first, o.part, o.word, need, min(o.pos) AS nxt FROM le e JOIN lo o USING (query_id, id) JOIN lg USING (query_id, id, part) WHERE NOT minus AND o.pos >= e.pos GROUP BY ALL),
+ly AS (SELECT query_id, id, first, part, max(nxt) AS last FROM lx GROUP BY query_id, id, first, part, need HAVING count(*) = need),
+lc AS (SELECT query_id, id, last, max(first) AS first FROM (SELECT query_id, id, first, min(last) AS last FROM ly GROUP BY ALL) GROUP BY ALL),
+lr AS (SELECT c.query_id, c.id, c.first, c.last, count(*) AS inside FROM lc c JOIN le e ON e.query_id = c.query_id AND e.id = c.id AND e.pos BETWEEN c.first AND c.last GROUP BY ALL),
+lk AS (SELECT query_id, id, sum(0.1 / (1 + last - first - (inside - 1))) AS rank FROM lr GROUP BY ALL),
+lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9) DESC, id) AS pos FROM lk) WHERE pos <= 50)"""
 
 
 FUSED = """
 legs AS (SELECT query_id, id, pos, 'dense' AS leg, 'ok' AS status_class FROM dense UNION ALL SELECT query_id, id, pos, 'lexical', 'ok' FROM lexical UNION ALL SELECT query_id, NULL, NULL, 'entity', 'stub' FROM qs),
 once AS (SELECT query_id, leg, id, min(pos) AS pos FROM legs WHERE id IS NOT NULL GROUP BY ALL),
-lr AS (SELECT *, row_number() OVER (PARTITION BY query_id, leg ORDER BY pos, id) AS leg_rank FROM once),
-fs AS (SELECT query_id, id, sum(1.0 / (60 + leg_rank)) AS score FROM lr GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, leg ORDER BY pos, id) AS leg_rank FROM once),
+fs AS (SELECT query_id, id, sum(1.0 / (60 + leg_rank)) AS score FROM rk GROUP BY ALL),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CAST(round(score / 1e-4) AS BIGINT) DESC, id) AS pos FROM fs)"""
 
 VERDICTS = """

@@ -21,6 +21,7 @@ from stratalog.operators import plugins as u
 from stratalog.operators import retrieve as r
 from stratalog.operators import vector_index as n
 from stratalog.operators.consolidate import consolidate_pass
+from stratalog.operators.textsearch import text_topk
 from stratalog.sources import adapters as a
 from stratalog.sources import questions as s
 from stratalog.sources.shared import new_path
@@ -395,20 +396,25 @@ def dense_topk(spark, sf):
     return dense(spark, sf).select("query_id", "id", "pos", F.round("distance", 6).alias("distance"))
 
 
-@query(mem("SELECT query_id, id, rank, pos FROM lexical", DENSE, lexical()))
+def words(queries, memories, k=r.DEPTH):
+    """Text search for words as they are; SQL has no stems."""
+    return text_topk(queries, memories, k, stem=None)
+
+
+@query(mem("SELECT query_id, id, round(rank, 6) AS rank, pos FROM lexical", DENSE, lexical()))
 def lexical_topk(spark, sf):
-    return r.lexical_topk(a.search_queries(spark, sf), trusted(spark, sf))
+    return words(a.search_queries(spark, sf), trusted(spark, sf)).withColumn("rank", F.round("rank", 6))
 
 
 @query(mem("SELECT query_id, id, pos, round(score, 8) AS score FROM fused", DENSE, lexical(), FUSED))
 def rrf_fuse(spark, sf):
-    legs = r.search_legs(a.search_queries(spark, sf), a.memories(spark, sf), a.embeddings(spark, sf)).where("id IS NOT NULL")
+    legs = r.search_legs(a.search_queries(spark, sf), a.memories(spark, sf), a.embeddings(spark, sf), text=words).where("id IS NOT NULL")
     return r.rrf_fuse(legs).select("query_id", "id", "pos", F.round("score", 8).alias("score"))
 
 
 @query(mem("SELECT query_id, f.id, kind, pos, round(score, 8) AS score, content FROM fused f JOIN v_search USING (id) WHERE pos <= 20", DENSE, lexical(), FUSED))
 def hybrid_retrieve(spark, sf):
-    found = r.hybrid_retrieve(a.search_queries(spark, sf), a.memories(spark, sf), a.embeddings(spark, sf))
+    found = r.hybrid_retrieve(a.search_queries(spark, sf), a.memories(spark, sf), a.embeddings(spark, sf), text=words)
     return found.select("query_id", "id", "kind", "pos", F.round("score", 8).alias("score"), "content")
 
 
@@ -420,7 +426,7 @@ def rerank_head(spark, sf):
 
 @query(mem("SELECT query_id, id, kind, score, pos FROM (SELECT query_id, id, kind, round(score, 8) AS score, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, CASE WHEN h THEN -id ELSE pos END) AS pos FROM (SELECT f.*, kind, f.pos <= 10 AS h FROM fused f JOIN v_search USING (id) WHERE f.pos <= 20)) WHERE pos <= 15", DENSE, lexical(), FUSED))
 def hybrid_reranked(spark, sf):
-    found = r.hybrid_retrieve(a.search_queries(spark, sf), a.memories(spark, sf), a.embeddings(spark, sf), 15, order=lambda part: sorted(part["id"], reverse=True), rerank_depth=10)
+    found = r.hybrid_retrieve(a.search_queries(spark, sf), a.memories(spark, sf), a.embeddings(spark, sf), 15, order=lambda part: sorted(part["id"], reverse=True), rerank_depth=10, text=words)
     return found.select("query_id", "id", "kind", F.round("score", 8).alias("score"), "pos")
 
 
@@ -540,7 +546,7 @@ def browse_page(spark, sf):
 @query(mem("SELECT query_id, id, pos FROM lexical WHERE pos <= 50", DENSE, lexical("(SELECT * FROM v_live WHERE kind = 'semantic')")))
 def search_page(spark, sf):
     rows = i.browse_filters(r.live_head(a.memories(spark, sf)), kind="semantic", trust_tier=None)
-    return r.lexical_topk(a.search_queries(spark, sf), rows).select("query_id", "id", "pos")
+    return words(a.search_queries(spark, sf), rows).select("query_id", "id", "pos")
 
 
 @query(ev("SELECT pack_id, nth, has_more FROM (SELECT pack_id, row_number() OVER (ORDER BY created_at DESC, pack_id DESC) AS nth, count(*) OVER () > 30 AS has_more FROM (SELECT CAST(run_id AS BIGINT) * 1000 + n AS pack_id, TIMESTAMP '2024-01-01' + to_seconds(n % 7) AS created_at FROM v_runs, (SELECT unnest(range(40)) AS n) WHERE run_id = '3')) WHERE nth <= 30"))
@@ -786,7 +792,7 @@ def latency_p95(spark, sf):
 
 @query(mem("SELECT query_id, leg, count(id) AS candidates, max(status_class) AS status_class FROM legs GROUP BY 1, 2", DENSE, lexical(), FUSED))
 def leg_stats(spark, sf):
-    return m.leg_stats(r.search_legs(a.search_queries(spark, sf), a.memories(spark, sf), a.embeddings(spark, sf)))
+    return m.leg_stats(r.search_legs(a.search_queries(spark, sf), a.memories(spark, sf), a.embeddings(spark, sf), text=words))
 
 
 @query("SELECT conv_id AS query_id, coalesce(list_sort(list_distinct(list(role) FILTER (turn % 3 = 0))), []) AS degraded FROM conversations GROUP BY 1")

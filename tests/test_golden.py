@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalog.functions import text as t
-from stratalog.operators import claims, dedup, evaluate, events, extract, inspect, metrics, pack, retrieve
+from stratalog.operators import claims, dedup, evaluate, events, extract, inspect, metrics, pack, retrieve, textsearch
 from stratalog.sources import questions
 
 
@@ -140,8 +140,8 @@ def test_search_stays_in_its_project(spark):
     queries = spark.createDataFrame([(1, "p", "m1", [], [1.0, 0.1], "ALPHA"), (2, "p", "m2", ["s:b", "s:c"], [1.0, 0.1], "beta GRÖSSE größe"), (3, "q", "m3", [], [1.0, 0.1], "alpha beta"), (4, "x", "m1", [], [1.0, 0.1], "alpha")], "query_id long, project_id string, model_id string, scopes array<string>, vec array<double>, text string")
     live = retrieve.exclude_quarantine(retrieve.live_head(memories))
     assert rows(retrieve.dense_topk(queries, retrieve.with_vectors(live, vectors)), "query_id", "id", "pos") == [(1, 1, 1), (1, 3, 2), (2, 3, 1)]
-    assert rows(retrieve.lexical_topk(queries, live), "query_id", "id") == [(1, 1), (1, 3), (3, 2)]
-    assert rows(retrieve.lexical_topk(queries.withColumn("text", F.lit("Größe")), live), "query_id", "id") == [(1, 3), (2, 3)]
+    assert rows(textsearch.text_topk(queries, live), "query_id", "id") == [(1, 1), (1, 3), (3, 2)]
+    assert rows(textsearch.text_topk(queries.withColumn("text", F.lit("Größe")), live), "query_id", "id") == [(1, 3), (2, 3)]
     found = retrieve.hybrid_retrieve(queries, memories, vectors, order=lambda part: sorted(part["id"], reverse=True))
     assert rows(found, "query_id", "id", "pos") == [(1, 1, 2), (1, 3, 1), (2, 3, 1), (3, 2, 1)]
     stats = metrics.leg_stats(retrieve.search_legs(queries, memories, vectors))
