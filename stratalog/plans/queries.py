@@ -24,7 +24,7 @@ from stratalog.operators.consolidate import consolidate_pass
 from stratalog.operators.textsearch import text_topk
 from stratalog.sources import adapters as a
 from stratalog.sources import questions as s
-from stratalog.sources.shared import new_path
+from stratalog.sources.shared import new_path, stored
 
 from .oracles import CLAIMS, DENSE, EVENTS, FUSED, MEMORIES, TWINS, VERDICTS, lexical, sql
 
@@ -908,6 +908,43 @@ def second_pass_entities(spark, sf):
     return second["entities"].select("project_id", "name").join(old, ["project_id", "name"], "left").withColumn("pass_no", F.coalesce("pass_no", F.lit(2)))
 
 
+def near_pair(content):
+    """A stand-in for a model: items 2n and 2n + 1 of `Clicked item N.` are near, all others apart."""
+    item = F.regexp_extract(content, "([0-9]+)", 1).cast("int")
+    angle = F.floor(item / 2) * 0.6 + (item % 2) * 0.1
+    return F.array(F.cos(angle), F.sin(angle))
+
+
+def near_passes(spark, sf):
+    """Two passes that merge near memories; the second starts from what the first stored."""
+    events, runs = stored(a.events(spark, sf), "events"), stored(a.runs(spark, sf), "runs")
+    first = consolidate_pass(events.where("seq <= 30"), runs, now(), embed=near_pair)
+    marks = runs.join(first["marks"].select("run_id", F.col("covered_seq").alias("_mark")), "run_id", "left").withColumn("covered_seq", F.coalesce("_mark", "covered_seq")).drop("_mark")
+    kept = stored(first["memories"].withColumnRenamed("memory_id", "id").withColumn("created_at", F.col("id")), "memories")
+    vectors = stored(first["vectors"], "vectors")
+    return consolidate_pass(events, marks, now(), memories=kept, vectors=vectors, embed=near_pair)
+
+
+NEAR = TWO_PASSES.replace("AS names, pass_no FROM", "AS names, pass_no, w.id, w.k % 20 // 2 AS pair, w.seq, w.run_id FROM") + """,
+m3 AS (SELECT *, row_number() OVER w AS n, lag(content) OVER w AS old FROM m2 WINDOW w AS (PARTITION BY project_id, names, pair ORDER BY pass_no, seq, run_id))"""
+
+
+@query(ev("SELECT project_id, max(content) FILTER (n = m) AS content, CAST(max(n) AS INT) AS version, min(pass_no) = 2 AS inserted, count(*) FILTER (pass_no = 2 AND (old IS NULL OR old <> content)) > 0 AS rewritten FROM (SELECT *, max(n) OVER (PARTITION BY project_id, names, pair) AS m FROM m3) GROUP BY project_id, names, pair HAVING max(pass_no) = 2", NEAR))
+def near_pass_memories(spark, sf):
+    return near_passes(spark, sf)["memories"].select("project_id", "content", "version", "inserted", "rewritten")
+
+
+@query(ev("SELECT project_id, CAST(n - 1 AS INT) AS version, old AS content, 'click' AS changed_by, CASE WHEN old = content THEN 'merged duplicate content from event seq ' || seq ELSE 'near-duplicate (cosine 0.9950) superseded by event seq ' || seq END AS reason FROM m3 WHERE pass_no = 2 AND n > 1", NEAR))
+def near_pass_versions(spark, sf):
+    reason = F.regexp_replace("reason", "; .*", "")
+    return near_passes(spark, sf)["versions"].select("project_id", "version", "content", "changed_by", reason.alias("reason"))
+
+
+@query(ev("SELECT project_id, round(cos(pair * 0.6 + (k % 2) * 0.1), 6) AS x, round(sin(pair * 0.6 + (k % 2) * 0.1), 6) AS y FROM (SELECT m.*, CAST(regexp_extract(content, '([0-9]+)', 1) AS INT) AS k, max(n) OVER (PARTITION BY project_id, names, pair) AS m, max(pass_no = 2 AND (old IS NULL OR old <> content)) OVER (PARTITION BY project_id, names, pair) AS changed FROM m3 m) WHERE n = m AND changed", NEAR))
+def near_pass_vectors(spark, sf):
+    return near_passes(spark, sf)["vectors"].select("project_id", F.round(F.col("vec")[0], 6).alias("x"), F.round(F.col("vec")[1], 6).alias("y"))
+
+
 @query(ev("SELECT m.id, CASE WHEN field IS NULL THEN value ELSE (SELECT '{' || string_agg('\"' || f || '\":' || v, ',' ORDER BY f) || '}' FROM (SELECT p.field AS f, arg_max(p.value, p.n) AS v FROM mp p WHERE p.project_id = m.project_id AND p.entity = m.entity AND p.part = m.part AND p.n <= m.n AND p.field IS NOT NULL GROUP BY 1)) END AS value, superseded_by FROM (SELECT *, lead(id) OVER (PARTITION BY project_id, entity ORDER BY n) AS superseded_by FROM mp) m", CLAIMS, MERGE_SQL))
 def merge_history(spark, sf):
     value = F.when(F.col("id") % 31 == 0, F.col("value")).otherwise(F.concat(F.lit('{"f'), (F.col("id") % 5).cast("string"), F.lit('":'), "value", F.lit("}")))
