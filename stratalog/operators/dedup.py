@@ -11,11 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.functions.text import content_fingerprint, context_fingerprint, dot, fingerprint_prefix, normalize_content
+from stratalog.functions.text import content_fingerprint, context_fingerprint, fingerprint_prefix, normalize_content
 
 MERGE, GRAY, BUCKET_CAP = 0.92, 0.85, 200
-#: Rows of a bucket that stand in one block of a similarity self-join.
-BLOCK = 256
+#: Rows of a bucket that stand in one block of a similarity self-join, and candidates of one block of a search.
+BLOCK, CANDIDATES = 1024, 1000
+#: Rows of a bucket that are all compared, and the chance with which a pair of a larger one is found at least.
+LARGE, RECALL = 20_000, 0.97
 
 
 def fingerprints(candidates: DataFrame) -> DataFrame:
@@ -59,42 +61,112 @@ def exact_dedup(candidates: DataFrame, memories: DataFrame | None = None) -> tup
 
 
 def nearest_in_bucket(candidates: DataFrame, memories: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
-    """Per candidate (cand_id, bucket, vec) the nearest of the newest `cap` memories (id, bucket, vec, created_at) of its
-    bucket, with the bucket's full size."""
-    sizes = memories.groupBy("bucket").agg(F.count("*").alias("bucket_size"))
+    """Per candidate (cand_id, bucket, vec of length 1) the nearest of the newest `cap` memories (id, bucket, vec,
+    created_at) of its bucket, and of its project_id and model_id where both sides have them, with the full size.
+
+    Candidates are packed where they lie and meet the packed newest memories of their bucket: one product a block.
+    """
+    keys = ["bucket", *[c for c in ("project_id", "model_id") if c in candidates.columns and c in memories.columns]]
+    types = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in keys)
+    sizes = memories.groupBy(*keys).agg(F.count("*").alias("bucket_size"))
     # Spark keeps the newest of each bucket in every task before it brings them together.
-    nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("created_at"), "id"))
-    newest = memories.select("bucket", "id", F.col("vec").alias("_vec"), nth.alias("_nth")).where(F.col("_nth") <= cap).join(sizes, "bucket")
-    pairs = candidates.join(newest, "bucket")
-    pairs = pairs.withColumn("distance", 1 - dot(F.col("vec"), F.col("_vec")))
-    best = pairs.groupBy("cand_id").agg(F.min_by(F.struct("id", "bucket_size", "distance"), F.struct(F.round("distance", 9), "id")).alias("x"))
-    return best.select("cand_id", "x.id", "x.bucket_size", "x.distance")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("created_at"), "id"))
+    newest = memories.select(*keys, "id", F.col("vec").cast("array<double>").alias("vec"), nth.alias("_nth")).where(F.col("_nth") <= cap)
+    newest = newest.groupBy(*keys).agg(F.collect_list(F.struct("id", "vec")).alias("held")).join(sizes, keys)
 
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, part in batch.groupby(keys, sort=False):
+                for at in range(0, len(part), CANDIDATES):
+                    some = part[at : at + CANDIDATES]
+                    yield pd.DataFrame({c: [v] for c, v in zip(keys, key, strict=True)} | {"ids": [some["cand_id"].tolist()], "vecs": [np.concatenate(some["vec"].to_numpy())]})
+
+    rows = candidates.select("cand_id", *keys, F.col("vec").cast("array<double>").alias("vec"))
+    packed = rows.mapInPandas(pack, f"{types}, ids array<long>, vecs array<double>")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, vecs, held, size in zip(batch["ids"], batch["vecs"], batch["held"], batch["bucket_size"], strict=True):
+                held = sorted(held, key=lambda h: h["id"])  # the first of equally near ones counts
+                distance = 1 - vecs.reshape(len(ids), -1) @ np.stack([h["vec"] for h in held]).T
+                best = distance.round(9).argmin(axis=1)
+                yield pd.DataFrame({"cand_id": ids, "id": [held[k]["id"] for k in best], "bucket_size": size, "distance": distance[np.arange(len(ids)), best]})
+
+    return packed.join(newest, keys).select("ids", "vecs", "held", "bucket_size").mapInPandas(search, "cand_id long, id long, bucket_size long, distance double")
+
+
+def projections(least: float, rows: int, block: int, recall: float) -> tuple[int, int]:
+    """Bits of a code and number of tables, so that a bucket of this size falls into groups of about a block and a pair of
+    cosine `least` agrees in one of the tables with a chance of `recall`."""
+    same = 1 - np.arccos(least) / np.pi
+    bits = int(min(20, max(1, np.ceil(np.log2(max(2.0, rows / block))))))
+    return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - same**bits)))
 
-def dup_pairs(rows: DataFrame, least: float = GRAY, merge: float = MERGE, block: int = BLOCK) -> DataFrame:
-    """Pairs a < b of a bucket (id, bucket, vec of length 1) with similarity of `least` or more, and their band.
 
-    A bucket is dealt into blocks, and each pair of blocks is one matrix product; so a bucket of any size is spread
-    over many tasks, and only pairs that count become rows.
+def projection_codes(rows: DataFrame, bits: int, tables: int, seed: int = 11) -> DataFrame:
+    """Adds codes: in each table the signs of `bits` random projections as one number."""
+
+    def run(vecs: pd.Series) -> pd.Series:
+        table = np.stack(vecs.to_numpy()).astype(np.float64)
+        planes = np.random.default_rng(seed).normal(size=(table.shape[1], tables * bits))
+        signs = (table @ planes >= 0).reshape(len(table), tables, bits)
+        return pd.Series(list((signs << np.arange(bits)).sum(axis=2).astype(np.int32)))
+
+    return rows.withColumn("codes", F.pandas_udf(run, "array<int>")("vec"))
+
+
+def _group_pairs(rows: DataFrame, keys: list[str], least: float, block: int) -> DataFrame:
+    """bucket, a, b, cosine of the pairs within groups of equal keys (bucket first). Where rows have codes, a pair counts
+    in the first table in which its codes agree, and the last key is that table's number.
+
+    A group is dealt into packed blocks, and each pair of blocks is one product; a group of any size is many tasks.
     """
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "with").alias("left"), F.greatest("own", "with").alias("right"), "own", "id", "vec")
+    coded = "codes" in rows.columns
+    own = rows.withColumn("codes", F.array().cast("array<int>")) if not coded else rows
+    sizes = own.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where(F.col("blocks") > 0)
+    dealt = own.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    packed = dealt.groupBy(*keys, "blocks", "own").agg(F.collect_list(F.struct("id", "vec", "codes")).alias("rows"))
+    packed = packed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    packed = packed.select(*keys, F.least("own", "with").alias("left"), F.greatest("own", "with").alias("right"), "own", "rows")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         left, right = part["left"].iat[0], part["right"].iat[0]
-        first = part[part["own"] == left].sort_values("id")
-        second = part[part["own"] == right].sort_values("id")
-        if first.empty or second.empty:
-            return pd.DataFrame({"bucket": [], "a": [], "b": [], "cosine": []})
-        cosine = np.stack(first["vec"].to_numpy()) @ np.stack(second["vec"].to_numpy()).T
+        sides = [part[part["own"] == k]["rows"].tolist() for k in (left, right)]
+        none = pd.DataFrame({"bucket": [], "a": [], "b": [], "cosine": []})
+        if not sides[0] or not sides[1]:
+            return none
+        first, second = (sorted(x[0], key=lambda r: r["id"]) for x in sides)
+        ids = [np.array([r["id"] for r in x]) for x in (first, second)]
+        cosine = np.stack([r["vec"] for r in first]).astype(np.float64) @ np.stack([r["vec"] for r in second]).astype(np.float64).T
         i, j = np.nonzero(cosine >= least)
-        a, b, value = first["id"].to_numpy()[i], second["id"].to_numpy()[j], cosine[i, j]
-        keep = a < b if left == right else np.ones(len(a), dtype=bool)
-        return pd.DataFrame({"bucket": part["bucket"].iat[0], "a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": value[keep]})
+        keep = ids[0][i] < ids[1][j] if left == right else np.ones(len(i), dtype=bool)
+        i, j = i[keep], j[keep]
+        if coded and len(i):
+            codes = [np.stack([r["codes"] for r in x]) for x in (first, second)]
+            earliest = (codes[0][i] == codes[1][j]).argmax(axis=1) == part[keys[-1]].iat[0]
+            i, j = i[earliest], j[earliest]
+        a, b = ids[0][i], ids[1][j]
+        return pd.DataFrame({"bucket": part["bucket"].iat[0], "a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": cosine[i, j]})
 
-    pairs = dealt.groupBy("bucket", "left", "right").applyInPandas(compare, "bucket long, a long, b long, cosine double")
+    return packed.groupBy(*keys, "left", "right").applyInPandas(compare, "bucket long, a long, b long, cosine double")
+
+
+def dup_pairs(rows: DataFrame, least: float = GRAY, merge: float = MERGE, block: int = BLOCK, *, large: int = LARGE, recall: float = RECALL) -> DataFrame:
+    """Pairs a < b of a bucket (id, bucket, vec of length 1) with similarity of `least` or more, and their band.
+
+    Buckets of at most `large` rows are compared in full. In a larger one only rows are compared whose random
+    projections agree in one of several tables, exactly; their number of tables is chosen so that a pair of just
+    `least` is found with a chance of `recall`, a nearer one with a greater one. A row is exchanged once for each table.
+    """
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("_n"))
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    sized = rows.select("bucket", "id", "vec").join(sizes, "bucket")
+    pairs = _group_pairs(sized.where(F.col("_n") <= large).drop("_n"), ["bucket"], least, block)
+    if most > large:
+        bits, tables = projections(least, most, block, recall)
+        coded = projection_codes(sized.where(F.col("_n") > large).drop("_n"), bits, tables)
+        coded = coded.select("*", F.posexplode("codes").alias("table", "code"))
+        pairs = pairs.unionByName(_group_pairs(coded, ["bucket", "code", "table"], least, block))
     return pairs.withColumn("band", F.when(F.col("cosine") >= merge, "merge").otherwise("gray"))
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from stratalog.functions.text import agent_label, clamp_int32, est_tokens, flatten, one_line, section_rank
 
-from .events import freshness_lag, raw_tail
+from .events import freshness_lag, min_seq_check, raw_tail
 from .metrics import dropped_legs
+from .retrieve import LIMIT, hybrid_retrieve
 
 PAYLOAD_BYTES = 512
 #: The fixed lines of a pack's text.
@@ -53,7 +54,11 @@ def _lines(rows: DataFrame, line: Column, place: Column, name: str) -> DataFrame
 def build_pack(requests: DataFrame, runs: DataFrame, events: DataFrame, facts: DataFrame, retrieved: DataFrame, now: Column, tail_max: int = 50, legs: DataFrame | None = None) -> DataFrame:
     """One row per request (pack_id, run_id, min_seq, budget): text, sources, covered_seq, freshness_lag_ms, saved_tokens,
     truncated, degraded. `retrieved` holds pack_id, id, kind, content, score, pos; `legs` holds pack_id, leg, status, and
-    degraded lists those that ran out of time. A request for an unknown run has no row."""
+    degraded lists those that ran out of time. A request that can't be answered has a row with an error_code
+    (events.min_seq_check where `runs` has last_seq: unknown_run, min_seq_ahead; else unknown_run) and nothing else."""
+    checked = min_seq_check(requests, runs if "last_seq" in runs.columns else runs.withColumn("last_seq", F.lit(2**63 - 1)))
+    refused = checked.where("error_code IS NOT NULL").select("pack_id", "run_id", "budget", "error_code")
+    requests = checked.where("error_code IS NULL").drop("error_code", "last_seq")
     asked = requests.join(runs.select("run_id", "covered_seq"), "run_id")
     items = retrieved.withColumn("section", section_rank(F.col("kind"))).where("section IS NOT NULL")
     kept = citation_numbers(budget_fit(items, requests.select("pack_id", "budget")).where("kept"))
@@ -87,23 +92,41 @@ def build_pack(requests: DataFrame, runs: DataFrame, events: DataFrame, facts: D
     text = F.concat(F.lit(HEADER), section("working", WORKING_TITLE), F.coalesce("recall", F.lit("")), section("tail", TAIL_TITLE), foot)
     out = out.withColumn("text", text).withColumn("packed_tokens", est_tokens(F.col("text")))
     saved = F.greatest(F.coalesce("source_tokens", F.lit(0)) - F.col("packed_tokens"), F.lit(0))
-    return out.select(
+    out = out.select(
         "pack_id", "run_id", "text", F.coalesce("sources", F.array().cast("array<bigint>")).alias("sources"), "covered_seq", "freshness_lag_ms",
         F.coalesce("source_tokens", F.lit(0)).alias("source_tokens"), "packed_tokens", saved.alias("saved_tokens"), F.coalesce("truncated", F.lit(False)).alias("truncated"), "degraded", "budget",
     )
+    return out.withColumn("error_code", F.lit(None).cast("string")).unionByName(refused, allowMissingColumns=True)
+
+
+def answer_requests(
+    requests: DataFrame, runs: DataFrame, events: DataFrame, facts: DataFrame, memories: DataFrame, embeddings: DataFrame, now: Column, *,
+    vectors: DataFrame, most: int = LIMIT, tail_max: int = 50, **search,
+) -> DataFrame:
+    """Packs of requests (pack_id, run_id, project_id, query, scopes, limit, min_seq, budget) with what their own query
+    finds in their project and scopes, `limit` of it (null: `most`, which is also the most).
+
+    `vectors` (query_id, vec) are those of the queries (plugins.query_vectors), pack_id being query_id; `search` goes to
+    hybrid_retrieve. A request without a query retrieves nothing.
+    """
+    asked = requests.where("trim(query) <> ''").select(F.col("pack_id").alias("query_id"), "project_id", F.col("query").alias("text"), "scopes", F.least(F.coalesce("limit", F.lit(most)), F.lit(most)).alias("_limit"))
+    found = hybrid_retrieve(asked.join(vectors, "query_id"), memories, embeddings, most, **search)
+    found = found.join(asked.select("query_id", "_limit"), "query_id").where(F.col("pos") <= F.col("_limit")).withColumnRenamed("query_id", "pack_id").drop("_limit")
+    return build_pack(requests.select("pack_id", "run_id", "min_seq", "budget"), runs, events, facts, found, now, tail_max)
 
 
 def pack_log(packs: DataFrame) -> DataFrame:
     """Trace rows: numbers held within 32 bits, no budget as null, saved tokens and hash left to later jobs."""
-    return packs.select(
+    return packs.where("error_code IS NULL").select(
         "pack_id", "run_id", "covered_seq", clamp_int32(F.col("freshness_lag_ms")).alias("freshness_lag_ms"),
         F.when(F.col("budget") > 0, clamp_int32(F.col("budget"))).alias("token_budget"), clamp_int32(F.col("source_tokens")).alias("est_source_tokens"),
         clamp_int32(F.col("packed_tokens")).alias("packed_tokens"), F.lit(None).cast("int").alias("tokens_saved"), F.col("sources").alias("memory_ids"), F.lit(None).cast("binary").alias("pack_hash"),
     )
 
 
-def append_pack_log(packs: DataFrame, path: str) -> None:
-    pack_log(packs).write.mode("append").parquet(path)
+def append_pack_log(packs: DataFrame, path: str, batch_id: int) -> None:
+    """Appends the trace rows of a batch of packs; a batch that is written again takes its own place."""
+    pack_log(packs).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def pack_diff(packs: DataFrame, pairs: DataFrame) -> DataFrame:

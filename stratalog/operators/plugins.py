@@ -39,11 +39,16 @@ def embed_with(contents: DataFrame, embed: Callable[[pd.Series], np.ndarray], di
 
 
 def query_vectors(queries: DataFrame, cache: DataFrame, embed: Callable[[pd.Series], np.ndarray], dim: int) -> tuple[DataFrame, DataFrame]:
-    """query_id and vec of each query, and the new rows of the cache (query_hash, vec): only texts that it lacks are embedded."""
-    asked = queries.select("query_id", normalize_query(F.col("text")).alias("content"), query_hash(F.col("text")).alias("query_hash"))
-    missing = asked.join(cache, "query_hash", "left_anti")
-    fresh = embed_with(missing, embed, dim).select(F.sha2("content", 256).alias("query_hash"), "vec")
-    return asked.join(cache.select("query_hash", "vec").unionByName(fresh), "query_hash").select("query_id", "vec"), fresh
+    """query_id and vec of each query, and the new rows of the cache: only texts that it lacks are embedded.
+
+    An entry of the cache is for a query_hash, and for a project_id, model_id and norm_version where both sides name
+    them, so that no vector of another model or another way of normalising is served.
+    """
+    keys = ["query_hash", *[c for c in ("project_id", "model_id", "norm_version") if c in queries.columns and c in cache.columns]]
+    asked = queries.withColumns({"content": normalize_query(F.col("text")), "query_hash": query_hash(F.col("text"))}).select("query_id", "content", *keys)
+    missing = asked.join(cache, keys, "left_anti").select("content", *keys).distinct()
+    fresh = missing.join(embed_with(missing, embed, dim), "content").select(*keys, "vec")
+    return asked.join(cache.select(*keys, "vec").unionByName(fresh), keys).select("query_id", "vec"), fresh
 
 
 def adjudicate_with(claims: DataFrame, resolve: Callable[[str, str], tuple[str, str]]) -> DataFrame:
