@@ -491,7 +491,8 @@ def working_order(spark, sf):
 
 def packs(spark, sf):
     events, runs = a.events(spark, sf), a.runs(spark, sf)
-    asked = requests(spark, sf)
+    nobody = spark.range(1).select(F.lit(-1).cast("long").alias("pack_id"), F.lit("none").alias("run_id"), F.lit(0).cast("long").alias("min_seq"), F.lit(0).alias("budget"))
+    asked = requests(spark, sf).unionByName(nobody)
     legs = asked.select("pack_id", F.explode(F.array(F.lit("dense"), F.lit("lexical"))).alias("leg"))
     legs = legs.withColumn("status", F.when((F.col("leg") == "lexical") & (F.col("pack_id") % 7 == 0), "timeout").otherwise("exact"))
     return p.build_pack(asked, runs, events, e.upsert_working_facts(e.decode_state_facts(events)), retrieved(spark, sf), now(), legs=legs)
@@ -512,15 +513,17 @@ tx AS (SELECT pk.pack_id, run_id, r.covered_seq, coalesce(lag, 0) AS lag, coales
   {quoted(p.HEADER)} || CASE WHEN wt.t IS NOT NULL THEN {quoted(p.WORKING_TITLE)} || wt.t ELSE '' END || coalesce(rt.t, '') || CASE WHEN tt.t IS NOT NULL THEN {quoted(p.TAIL_TITLE)} || tt.t ELSE '' END
   || chr(10) || '---' || chr(10) || 'Coverage: distilled through seq ' || r.covered_seq || CASE WHEN tt.n > 0 THEN '; ' || tt.n || ' recent event(s) not yet distilled' ELSE '' END
   || '; freshness lag ' || coalesce(lag, 0) || 'ms. Sources: ' || coalesce(rt.n, 0) || ' distilled memories.' || chr(10) AS text
-  FROM pk JOIN v_runs r USING (run_id) LEFT JOIN wt USING (run_id) LEFT JOIN rt USING (pack_id) LEFT JOIN tt USING (pack_id) LEFT JOIN fl USING (run_id) LEFT JOIN st USING (pack_id))"""
+  FROM pk JOIN v_runs r USING (run_id) LEFT JOIN wt USING (run_id) LEFT JOIN rt USING (pack_id) LEFT JOIN tt USING (pack_id) LEFT JOIN fl USING (run_id) LEFT JOIN st USING (pack_id)),
+bad AS (SELECT pack_id, 'min_seq_ahead' AS error_code FROM rq JOIN v_runs USING (run_id) WHERE min_seq > last_seq UNION ALL SELECT -1, 'unknown_run'),
+good AS (SELECT * FROM tx WHERE pack_id NOT IN (SELECT pack_id FROM bad))"""
 
 
-@query(sql(EVENTS, MEMORIES, DENSE, PACKS, TAIL, PACK_TEXT, select="SELECT pack_id, text, sources, covered_seq, lag AS freshness_lag_ms, source_tokens, greatest(source_tokens - CAST(ceil(strlen(text) / 4.0) AS BIGINT), 0) AS saved_tokens, truncated, CASE WHEN pack_id % 7 = 0 THEN ['lexical'] ELSE [] END AS degraded FROM tx"))
+@query(sql(EVENTS, MEMORIES, DENSE, PACKS, TAIL, PACK_TEXT, select="SELECT pack_id, text, sources, covered_seq, lag AS freshness_lag_ms, source_tokens, greatest(source_tokens - CAST(ceil(strlen(text) / 4.0) AS BIGINT), 0) AS saved_tokens, truncated, CASE WHEN pack_id % 7 = 0 THEN ['lexical'] ELSE [] END AS degraded, NULL AS error_code FROM good UNION ALL SELECT pack_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, error_code FROM bad"))
 def build_pack(spark, sf):
-    return packs(spark, sf).select("pack_id", "text", "sources", "covered_seq", "freshness_lag_ms", "source_tokens", "saved_tokens", "truncated", "degraded")
+    return packs(spark, sf).select("pack_id", "text", "sources", "covered_seq", "freshness_lag_ms", "source_tokens", "saved_tokens", "truncated", "degraded", "error_code")
 
 
-@query(sql(EVENTS, MEMORIES, DENSE, PACKS, TAIL, PACK_TEXT, select="SELECT pack_id, CAST(least(lag, 2147483647) AS INT) AS freshness_lag_ms, CASE WHEN pack_id % 10 = 0 THEN NULL ELSE 400 END AS token_budget, CAST(source_tokens AS INT) AS est_source_tokens, sources AS memory_ids FROM tx"))
+@query(sql(EVENTS, MEMORIES, DENSE, PACKS, TAIL, PACK_TEXT, select="SELECT pack_id, CAST(least(lag, 2147483647) AS INT) AS freshness_lag_ms, CASE WHEN pack_id % 10 = 0 THEN NULL ELSE 400 END AS token_budget, CAST(source_tokens AS INT) AS est_source_tokens, sources AS memory_ids FROM good"))
 def pack_log(spark, sf):
     return p.pack_log(packs(spark, sf)).select("pack_id", "freshness_lag_ms", "token_budget", "est_source_tokens", "memory_ids")
 
@@ -801,9 +804,9 @@ def dropped_legs(spark, sf):
     return m.dropped_legs(rows)
 
 
-@query(sql(EVENTS, MEMORIES, DENSE, PACKS, TAIL, PACK_TEXT, select="SELECT count(*) AS packs, count_if(pack_id % 10 <> 0 AND source_tokens > 400) AS budget_exceeded, count_if(truncated) AS tail_truncated, round(quantile_cont(lag, 0.95), 3) AS p95_lag_ms FROM tx"))
+@query(sql(EVENTS, MEMORIES, DENSE, PACKS, TAIL, PACK_TEXT, select="SELECT count(*) AS packs, count_if(pack_id % 10 <> 0 AND source_tokens > 400) AS budget_exceeded, count_if(truncated) AS tail_truncated, round(quantile_cont(lag, 0.95), 3) AS p95_lag_ms FROM good"))
 def pack_metrics(spark, sf):
-    return m.pack_metrics(packs(spark, sf)).withColumn("p95_lag_ms", F.round("p95_lag_ms", 3))
+    return m.pack_metrics(packs(spark, sf).where("error_code IS NULL")).withColumn("p95_lag_ms", F.round("p95_lag_ms", 3))
 
 
 def projects(spark, sf):
