@@ -345,3 +345,21 @@ def collocations(docs: DataFrame, *, least: int = LEAST, top: int = TOP) -> Data
     spelled = spelled.groupBy("lang", "words", "a", "l", "r", "n", "score").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase"))
     return spelled.select("lang", rank.cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score").where(F.col("rank") <= top)
+
+
+def oracle_sql() -> str:
+    """The same by counting all phrases of one to five words, in SQL."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""WITH d AS (SELECT coalesce(lang, '{NO_LANG}') AS lang, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d)),
+g AS (SELECT lang, w[i:i + m - 1] AS words FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p), (SELECT unnest(range(1, {DEPTH + 1})) AS m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, words, count(*) AS c FROM g GROUP BY ALL HAVING count(*) >= {LEAST}),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY 1),
+c AS (SELECT lang, words, c AS a FROM f WHERE len(words) > 1),
+k AS (SELECT lang, words, a, unnest(range(1, len(words))) AS k FROM c),
+s AS (SELECT k.lang, k.words, a, k, l.c AS l, r.c AS r, n, (CAST(1000 AS HUGEINT) * a * n) // (CAST(l.c AS HUGEINT) * r.c) AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.words = k.words[1:k] JOIN f r ON r.lang = k.lang AND r.words = k.words[k + 1:] JOIN t ON t.lang = k.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+i AS (SELECT lang, words[i:i + m - 1] AS words, max(a) AS longer FROM (SELECT lang, words, a, unnest(range(1, len(words))) AS i FROM c), (SELECT unnest(range(2, {DEPTH})) AS m) WHERE m < len(words) AND i + m - 1 <= len(words) GROUP BY ALL),
+o AS (SELECT b.lang, array_to_string(b.words, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM b LEFT JOIN i ON i.lang = b.lang AND i.words = b.words WHERE longer IS NULL OR longer < a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) WHERE rank <= {TOP}"""

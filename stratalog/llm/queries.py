@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licences.oracle_sql()}
+    return {"op1_license_scan": licences.oracle_sql(), "op11_phrase_collocations": collocations.oracle_sql()}

@@ -116,3 +116,17 @@ def test_exact_products(spark):
 
 def test_nothing(spark):
     assert collocations.collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
+
+
+def test_against_sql(spark):
+    """The whole table, by the SQL that the driver runs."""
+    import duckdb
+
+    from stratalog.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    columns = "lang, rank, phrase, a, l, r, n, score"
+    want = sorted(db.sql(f"SELECT {columns} FROM ({queries.oracle_sql()['op11_phrase_collocations']})").fetchall())
+    assert want and sorted(map(tuple, queries.op11_phrase_collocations(spark, folder).selectExpr(*columns.split(", ")).collect())) == want
