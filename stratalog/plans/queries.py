@@ -552,12 +552,12 @@ def search_page(spark, sf):
     return words(a.search_queries(spark, sf), rows).select("query_id", "id", "pos")
 
 
-@query(ev("SELECT pack_id, nth, has_more FROM (SELECT pack_id, row_number() OVER (ORDER BY created_at DESC, pack_id DESC) AS nth, count(*) OVER () > 30 AS has_more FROM (SELECT CAST(run_id AS BIGINT) * 1000 + n AS pack_id, TIMESTAMP '2024-01-01' + to_seconds(n % 7) AS created_at FROM v_runs, (SELECT unnest(range(40)) AS n) WHERE run_id = '3')) WHERE nth <= 30"))
+@query(sql(EVENTS, MEMORIES, DENSE, PACKS, TAIL, PACK_TEXT, select="SELECT pack_id, covered_seq, row_number() OVER (ORDER BY created_at DESC, pack_id DESC) AS nth, count(*) OVER () > 12 AS has_more FROM (SELECT *, TIMESTAMP '2024-01-01' + to_seconds(pack_id % 7) AS created_at FROM good WHERE pack_id % 3 = 1 AND NOT (pack_id % 7 > 4 OR pack_id % 7 = 4 AND pack_id >= 60)) QUALIFY nth <= 12"))
 def trace_page(spark, sf):
-    logged = a.runs(spark, sf).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(39))))
-    when = F.timestamp_seconds(F.lit(1704067200) + F.col("n") % 7).cast("timestamp_ntz")
-    logged = logged.select("run_id", (F.col("run_id").cast("long") * 1000 + F.col("n")).alias("id"), when.alias("created_at"))
-    return i.trace_page(logged, "3", 30).select(F.col("id").alias("pack_id"), "nth", "has_more")
+    """A page of the pack logs of one of three runs to which packs are dealt here, after a cursor between equal times."""
+    when = F.timestamp_seconds(F.lit(1704067200) + F.pmod("pack_id", F.lit(7))).cast("timestamp_ntz")
+    logged = p.pack_log(packs(spark, sf)).select("covered_seq", F.col("pack_id").alias("id"), F.concat(F.lit("r"), F.pmod("pack_id", F.lit(3)).cast("string")).alias("run_id"), when.alias("created_at"))
+    return i.trace_page(logged, "r1", 12, ("2024-01-01 00:00:04", 60)).select(F.col("id").alias("pack_id"), "covered_seq", "nth", "has_more")
 
 
 @query(ev("SELECT memory_id, CAST(n - 1 AS INT) AS version, row_number() OVER (PARTITION BY memory_id ORDER BY n) AS nth FROM ck WHERE n > 1 AND memory_id % 2 = 0", CLICKS))
@@ -656,11 +656,12 @@ def leaderboard(spark, sf):
     return found.select("system", *[F.round(c, 9).alias(c) for c in ("answer_mean", "answer_std")], "answer_gate", F.round("pipeline_std", 9).alias("pipeline_std"))
 
 
-@query("WITH s AS (SELECT source AS universe, avg(quality) AS good, avg(1 - toxic) AS clean FROM labels JOIN documents USING (doc_id) GROUP BY 1) SELECT universe, 'other' AS system, CASE WHEN good < 0.85 THEN 'no_baseline' WHEN clean >= good - 0.10 - 1e-12 THEN 'gate_pass' ELSE 'gate_fail' END AS outcome FROM s UNION ALL SELECT universe, 'reference', CASE WHEN good >= 0.85 THEN 'locked' ELSE 'not_locked_sanity' END FROM s")
+@query("WITH s AS (SELECT source AS universe, avg(quality) AS good, avg(1 - toxic) AS clean, CASE WHEN source IN ('src1', 'src2', 'src10') THEN 0.97 WHEN source IN ('src3', 'src4') THEN 0.6 END AS lock FROM labels JOIN documents USING (doc_id) GROUP BY 1), r AS (SELECT *, coalesce(lock, CASE WHEN good >= 0.85 THEN good END) AS base FROM s) SELECT universe, 'other' AS system, CASE WHEN base IS NULL THEN 'no_baseline' WHEN clean >= base - 0.10 - 1e-12 THEN 'gate_pass' ELSE 'gate_fail' END AS outcome FROM r UNION ALL SELECT universe, 'reference', CASE WHEN lock IS NOT NULL THEN 'already_locked' WHEN good >= 0.85 THEN 'locked' ELSE 'not_locked_sanity' END FROM r")
 def baseline_decision(spark, sf):
+    """Sources as universes, of which some were locked before, high or low."""
     rows = a.table(spark, sf, "labels").join(a.table(spark, sf, "documents"), "doc_id").groupBy(F.col("source").alias("universe")).agg(F.avg("quality").alias("good"), F.avg(1 - F.col("toxic")).alias("clean"))
     measured = rows.select("universe", F.lit("reference").alias("system"), F.lit(True).alias("is_reference"), F.col("good").alias("accuracy")).unionByName(rows.select("universe", F.lit("other").alias("system"), F.lit(False).alias("is_reference"), F.col("clean").alias("accuracy")))
-    locked = rows.where("false").select("universe", F.lit(0.0).alias("reference"))
+    locked = rows.where(F.col("universe").isin("src1", "src2", "src10", "src3", "src4")).select("universe", F.when(F.col("universe").isin("src3", "src4"), 0.6).otherwise(0.97).alias("reference"))
     return v.baseline_decision(measured, locked, floor=0.85).select("universe", "system", "outcome")
 
 

@@ -1,6 +1,7 @@
 """Small cases with known results."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,19 +36,26 @@ def test_fingerprints(spark):
 
 
 def test_gate(spark):
-    payloads = ['{"kind":"tool_log"}', '{"kind":"heartbeat"}', '{"blob":"' + "x" * 9000 + '"}', '{"kind":"message"}', "[1,2,3]"]
+    """Every kind of chatter is gated by name, a payload just over the limit by size, one just at it and others not."""
+    limit, pad = 64, lambda n: '{"v":"' + "é" * ((n - 8) // 2) + '"}'
+    payloads = [f'{{"kind":"{k}","n":{i}}}' for i, k in enumerate(events.SKIP_KINDS)] + [pad(limit), pad(limit + 2), '{"kind":"Debug"}', '{"kind":["trace"]}', '{"nested":{"kind":"trace"}}', '"trace"', "{"]
     df = spark.createDataFrame(list(enumerate(payloads)), "id long, payload string")
-    assert [r.gated_reason for r in events.gate_events(df).orderBy("id").collect()] == ["kind:tool_log", "kind:heartbeat", f"size:{len(payloads[2])}", None, None]
+    found = [r.gated_reason for r in events.gate_events(df, limit).orderBy("id").collect()]
+    n = len(events.SKIP_KINDS)
+    assert found == [f"kind:{k}" for k in events.SKIP_KINDS] + [None, f"size:{limit + 2}"] + [None] * 5 and n == 7
 
 
 def test_state_facts(spark):
-    base = {"kind": "state", "entity": "auth", "predicate": "status", "value": "up"}
-    cases = [base | {"value": None}, base | {"entity": 7}, base | {"entity": None}, base | {"entity": ""}, base | {"entity": "a\tb"}, {k: x for k, x in base.items() if k != "value"}, base | {"kind": 3}]
-    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(cases)], "id long, payload string")
+    """Each subject field in turn is absent, empty, of another type, too long or with a control character."""
+    good = {"kind": "state", "entity": "pump-4", "predicate": "mode", "value": {"on": [1, None]}}
+    bad = {"is required": [None, ""], "must be a string": [1.5, ["x"], {"k": 1}, True], f"exceeds {events.MAX_SUBJECT_BYTES} bytes": ["ü" * 129], "contains a control character": ["x\u0007", "\u0085y"]}
+    cases = [(good | {f: x}, f, reason) for f in ("entity", "predicate") for reason, values in bad.items() for x in values]
+    cases += [({k: x for k, x in good.items() if k != f}, f, "is required") for f in ("entity", "predicate", "value")]
+    cases += [(good | {"value": "w" * events.MAX_EVENT_BYTES}, "value", f"exceeds {events.MAX_EVENT_BYTES} bytes"), (good, None, None), (good | {"value": None, "entity": "ü" * 128}, None, None)]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, (x, _, _) in enumerate(cases)] + [(99, json.dumps(good | {"kind": "State"}))], "id long, payload string")
     found = {r.id: r for r in events.parse_state_facts(df).collect()}
-    assert found[0].error_field is None and found[0].value == "null"
-    assert [found[i].error_field for i in (1, 2, 3, 4)] == ["entity"] * 4
-    assert found[5].error_field == "value" and 6 not in found
+    assert [(found[i].error_field, found[i].error_reason) for i in range(len(cases))] == [(f, reason) for _, f, reason in cases] and 99 not in found
+    assert [json.loads(found[i].value) for i in (len(cases) - 2, len(cases) - 1)] == [good["value"], None]
 
 
 def test_extraction_priority(spark):
@@ -57,9 +65,20 @@ def test_extraction_priority(spark):
 
 
 def test_field_merge(spark):
-    data = [("p", "e", "a", 1, 1, '{"a":1,"b":2}'), ("p", "e", "a", 2, 2, '{"b":3,"c":4}'), ("p", "f", "a", 3, 3, "[1,2]"), ("p", "f", "a", 4, 4, '{"a":1}')]
-    df = spark.createDataFrame(data, "project_id string, entity string, predicate string, id long, arrival long, value string")
-    assert rows(claims.resolve_claims_merge(df), "entity", "value", "reason") == [("e", '{"a":1,"b":3,"c":4}', "field-merge"), ("f", '{"a":1}', "last-write-wins")]
+    """Random chains of objects and plain values against a loop over dictionaries."""
+    rng = random.Random(12)
+    chains = {f"s{n}": [rng.choice(["true", '"t"', "[3]"]) if rng.random() < 0.2 else json.dumps({rng.choice("uvwxyz"): rng.randint(0, 9) for _ in range(rng.randint(1, 3))}, separators=(",", ":")) for _ in range(rng.randint(1, 6))] for n in range(30)}
+    data = [("p", e, "a", i, i, v) for e, values in chains.items() for i, v in enumerate(values)]
+    df = spark.createDataFrame(data, "project_id string, entity string, predicate string, id long, arrival long, value string").repartition(3)
+    want = []
+    for e, values in chains.items():
+        state, merges = None, 0
+        for v in map(json.loads, values):
+            merges = (merges + 1 if isinstance(state, dict) else 1) if isinstance(v, dict) else 0
+            state = {**state, **v} if isinstance(v, dict) and isinstance(state, dict) else v
+        want.append((e, json.dumps(state, sort_keys=True), "field-merge" if merges > 1 else "last-write-wins"))
+    found = [(r.entity, json.dumps(json.loads(r.value), sort_keys=True), r.reason) for r in claims.resolve_claims_merge(df).collect()]
+    assert sorted(found) == sorted(want)
 
 
 def test_field_merge_history(spark):
@@ -171,30 +190,49 @@ def test_fusion(spark):
 
 
 def test_budget(spark):
-    items = spark.createDataFrame([(1, 1, 1, "x" * 40), (1, 1, 2, "y" * 40), (1, 2, 1, "tiny"), (1, 3, 1, "z" * 40)], "pack_id long, section int, pos int, content string")
-    kept = lambda b: [r.kept for r in pack.budget_fit(items, spark.createDataFrame([(1, b)], "pack_id long, budget int")).orderBy("section", "pos").collect()]
-    assert kept(15) == [True, False, False, False] and kept(0) == [True] * 4
-    assert [value(spark, t.est_tokens(F.lit("x" * n))) for n in (0, 4, 5, 8)] == [0, 1, 2, 2]
+    """Whole items while they fit; what comes after the first that doesn't is not looked at, however small."""
+    sizes = [(1, 1, 7), (1, 2, 12), (2, 1, 30), (2, 2, 1), (3, 1, 4)]  # section, place, bytes: 2, 3, 8, 1 and 1 tokens
+    items = spark.createDataFrame([(b, s, p, "w" * n) for b in range(-1, 18) for s, p, n in sizes], "pack_id long, section int, pos int, content string")
+    budgets = spark.createDataFrame([(b, b) for b in range(-1, 18)], "pack_id long, budget int")
+    kept = {b: n for b, n in pack.budget_fit(items, budgets).groupBy("pack_id").agg(F.sum(F.col("kept").cast("int"))).collect()}
+    costs = [2, 5, 13, 14, 15]
+    assert kept == {b: 5 if b <= 0 else sum(c <= b for c in costs) for b in range(-1, 18)}
+    assert [value(spark, t.est_tokens(F.lit("日" * n))) for n in range(5)] == [0, 1, 2, 3, 3]
 
 
 def test_lines(spark):
-    assert value(spark, t.flatten(F.lit("a\nb\r\nc"))) == "a b  c"
-    assert value(spark, t.one_line(F.lit("é" * 100), 51)) == "é" * 25 + "…"
-    assert value(spark, t.agent_label(F.lit(""))) == "-"
-    assert value(spark, t.clamp_int32(F.lit(2**40))) == 2**31 - 1
+    assert value(spark, t.flatten(F.lit("\rone\n\ntwo\r\n"))) == " one  two  "
+    for most in range(1, 14):  # no character is cut in two
+        text = "ab日ñ𝄞c"
+        whole = next(text[:n] for n in range(len(text), -1, -1) if len(text[:n].encode()) <= most)
+        assert value(spark, t.one_line(F.lit(text), most)) == (text if whole == text else whole + "…")
+    assert [value(spark, t.agent_label(F.lit(x))) for x in (None, "", "w\nx", "v" * 65)] == ["-", "-", "w x", "v" * 64 + "…"]
+    assert [value(spark, t.clamp_int32(F.lit(x))) for x in (-(2**33), 2**31, 5)] == [-(2**31), 2**31 - 1, 5]
 
 
 def test_raw_tail(spark):
-    log = spark.createDataFrame([("r", i, "a", "{}") for i in range(1, 13)], "run_id string, seq long, agent_id string, payload string")
-    runs = spark.createDataFrame([("r", 0)], "run_id string, covered_seq long")
-    asked = spark.createDataFrame([(1, "r", 3)], "pack_id long, run_id string, min_seq long")
-    found = events.raw_tail(asked, log, runs, 5).orderBy("seq").collect()
-    assert [r.seq for r in found] == [1, 2, 3, 8, 9, 10, 11, 12] and all(r.truncated for r in found)
+    """All that was asked for and not covered, and the newest beyond, for every place of the mark and of the request."""
+    last, most = 9, 3
+    log = spark.createDataFrame([(f"m{c}", i, "a", "{}") for c in (0, 4, 9) for i in range(1, last + 1)], "run_id string, seq long, agent_id string, payload string")
+    runs = spark.createDataFrame([(f"m{c}", c) for c in (0, 4, 9)], "run_id string, covered_seq long")
+    asked = [(100 * c + m, f"m{c}", m) for c in (0, 4, 9) for m in (0, 2, 5, 6, 9)]
+    found = events.raw_tail(spark.createDataFrame(asked, "pack_id long, run_id string, min_seq long"), log, runs, most).collect()
+    for pack_id, _, m in asked:
+        open_ = [i for i in range(1, last + 1) if i > pack_id // 100]
+        beyond = [i for i in open_ if i > m]
+        own = [r for r in found if r.pack_id == pack_id]
+        assert sorted(r.seq for r in own) == [i for i in open_ if i <= m] + beyond[-most:]
+        assert all(r.truncated == (len(beyond) > most) for r in own)
 
 
 def test_near_dedup(spark):
-    df = spark.createDataFrame([(1, 1, 1, [1.0, 0.0]), (1, 2, 2, [0.98, 0.199]), (1, 3, 3, [0.0, 1.0]), (2, 4, 4, [1.0, 0.0])], "bucket long, arrival long, id long, vec array<double>")
-    assert rows(dedup.near_dedup(df), "id", "outcome", "memory_id", "version") == [(1, "inserted", 1, 1), (2, "near_merged", 1, 2), (3, "inserted", 3, 1), (4, "inserted", 4, 1)]
+    """The merge limit itself merges, just under it a candidate is flagged, under the lower limit it is not; other buckets are apart."""
+    at = lambda cosine: [cosine, (1 - cosine**2) ** 0.5]
+    cosines = [dedup.MERGE + 1e-6, dedup.MERGE - 1e-6, dedup.GRAY + 1e-6, dedup.GRAY - 1e-6, -1.0]
+    data = [row for b, c in enumerate(cosines) for row in ((b, 1, 2 * b, at(1.0)), (b, 2, 2 * b + 1, at(c)))]
+    df = spark.createDataFrame(data, "bucket long, arrival long, id long, vec array<double>").repartition(3)
+    second = [(r.outcome, r.gray, r.memory_id - 2 * r.bucket, r.version) for r in dedup.near_dedup(df).where("id % 2 = 1").orderBy("bucket").collect()]
+    assert second == [("near_merged", False, 0, 2), ("inserted", True, 1, 1), ("inserted", True, 1, 1), ("inserted", False, 1, 1), ("inserted", False, 1, 1)]
 
 
 def test_dup_pairs_over_blocks(spark):
