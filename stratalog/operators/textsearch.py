@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions.stem import stem as english
 from stratalog.functions.text import BETWEEN_WORDS, STOP_WORDS, scope_overlap
+from stratalog.sources.shared import stored
 
 DEPTH = 50
 _items = regex.compile(r'(-?)(?:"([^"]*)"?|([^\s"]+))').findall
@@ -98,10 +99,13 @@ def text_topk(queries: DataFrame, memories: DataFrame, k: int = DEPTH, *, stem:
             found = [parse_query(t or "", stem) for t in batch["text"]]
             positive = [[sorted({w for minus, words, _ in items if not minus for w in words}) for items in x] for x in found]
             every = [sorted({w for items in x for _, words, _ in items for w in words}) for x in found]
-            yield batch[["query_id"]].assign(spec=[json.dumps(x) for x in found], positive=positive, every=every)
+            yield batch.drop(columns="text").assign(spec=[json.dumps(x) for x in found], positive=positive, every=every)
 
-    parsed = queries.select("query_id", F.lower("text").alias("text")).mapInPandas(parse, "query_id long, spec string, positive array<array<string>>, every array<string>")
-    asked = queries.select("query_id", *project, (F.coalesce("scopes", none) if scoped else none).alias("scopes")).join(parsed, "query_id").where(F.size("positive") > 0)
+    # The stated queries, which every step reads.
+    columns = queries.select("query_id", *project, (F.coalesce("scopes", none) if scoped else none).alias("scopes"), F.lower("text").alias("text"))
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns.drop("text").schema)
+    parsed = columns.mapInPandas(parse, f"{types}, spec string, positive array<array<string>>, every array<string>")
+    asked = stored(parsed.where(F.size("positive") > 0), "asked")
 
     # Words that some query names, with their places in each memory.
     wanted = asked.select(F.explode("every").alias("stem"), *project).distinct()
@@ -115,7 +119,8 @@ def text_topk(queries: DataFrame, memories: DataFrame, k: int = DEPTH, *, stem:
     held = words.join(wanted, ["stem", *project], "left_semi").groupBy("id", *project, "stem").agg(F.sort_array(F.collect_list("place")).alias("places"))
     held = held.groupBy("id", *project).agg(F.map_from_entries(F.collect_list(F.struct("stem", "places"))).alias("places"))
     scopes = memories.select("id", F.coalesce("scope_keys", none).alias("scope_keys")) if scoped else memories.select("id", none.alias("scope_keys"))
-    held = held.join(scopes, "id")
+    # A small part of the memories' words, which three steps read; their texts are read once.
+    held = stored(held.join(scopes, "id"), "held_words")
 
     # The rarest word of each alternative leads to its memories.
     single = held.select("id", *project, "scope_keys", F.explode(F.map_keys("places")).alias("stem"))
@@ -139,7 +144,7 @@ def text_topk(queries: DataFrame, memories: DataFrame, k: int = DEPTH, *, stem:
                 rank.append(cover_density(specs[spec], {w: np.asarray(p, dtype=np.int64) for w, p in (places or {}).items()}))
             yield batch[["query_id", "id"]].assign(rank=pd.array(rank, dtype="Float64")).dropna()
 
-    full = near.join(parsed.select("query_id", "spec"), "query_id").join(held.select("id", "places"), "id", "left")
+    full = near.join(asked.select("query_id", "spec"), "query_id").join(held.select("id", "places"), "id", "left")
     hits = full.select("query_id", "id", "spec", "places").mapInPandas(judge, "query_id long, id long, rank double")
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("rank", 9).desc(), "id"))
     return hits.withColumn("pos", pos).where(F.col("pos") <= k)
