@@ -2,11 +2,11 @@
 
 A file record holds the ids of consecutive documents: a head (ids and lengths of the documents, how often each id
 stands, and how often after which other), and blocks of equal length. Every block starts anew: its model and coder know
-nothing of other blocks, and a checksum guards it. Three orders of context predict the next id. Order 2 is what last
-followed the last two ids in this block, with a confidence; how often such predictions came true in this block so far
-sets how much of the coding interval they get. The rest goes to order 1, the ids that follow the last one in the record
-by how often they do, and its escape to order 0, all ids of the record. All arithmetic is on whole numbers, so a file
-decodes alike everywhere.
+nothing of other blocks, and a checksum guards it. Three orders of context predict the next id together: order 2 by what
+followed the last two ids in this block, order 1 by what follows the last one in the record, order 0 by how often ids stand
+in the record. An id's part of the coding interval is the weighted sum of what all three give it. The weights start anew
+in each block, and after each id they move towards the share that each order had in its part. Sums are of whole numbers
+(quotients of such are rounded down), so a file decodes alike everywhere.
 
 The blocks of a record are coded in step: each operation works on one id of every block.
 """
@@ -28,17 +28,18 @@ from .tokens import encoder
 
 BLOCK_IDS = 4_096
 RECORD_IDS = 8_000_000
-MAGIC = b"CTXMIX02"
+MAGIC = b"CTXMIX03"
 SLOTS_BITS = 11
 TOTAL_BITS = 28
-#: Order 2 gets at most fifteen sixteenths of the interval, and an escape at least a 256th of the rest (a 16th where
-#: order 0 has 20 bits, so that each share is a whole number).
-MOST_SURE, LEAST_ESCAPE = 15 << (TOTAL_BITS - 4), 256
 CONFIDENT = 15
 #: Pairs of ids that stand less often than this in a record are left to order 0.
 LEAST_PAIRS = 2
 #: Followers of one id that order 1 has parts for; the rarer ones beyond that are left to order 0.
 MOST_FOLLOWERS = 50_000
+#: A guess once sure keeps a share of at least so many of 65536, so that it can earn more again.
+LEAST_SURE = 256
+#: Last ids are told apart by how rarely an unknown one follows, in so many steps.
+RARITIES = 8
 #: Steps of all blocks that are looked up at a time.
 STEPS = 512
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
@@ -78,10 +79,10 @@ def count_pairs(ids: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Orders:
-    """Order 1 and order 0 of a record, as parts of 65536.
+    """Order 1 and order 0 of a record, as running sums of shares of 2 ** bits.
 
-    The parts of a last id are its followers in order, and then the escape. `edge` numbers all parts through: the last
-    id times 65536 and what comes before the part. A block's first id has the last id `kinds`, which nothing follows.
+    The slots of a last id are its followers in order, and an end that no id has. `at` is the sum of order 1 before a
+    slot, `base` that of order 0 before its id. A block's first id has the last id `kinds`, which nothing follows.
     """
 
     def __init__(self, counts: np.ndarray, pairs: np.ndarray, times: np.ndarray):
@@ -89,71 +90,92 @@ class Orders:
         self.sums = shares(counts, self.bits) if counts.any() else np.zeros(self.kinds + 1, dtype=np.int64)
         self.id_of = np.repeat(np.arange(self.kinds), np.diff(self.sums))
         self.pairs = pairs
-        last = pairs // self.kinds
-        followers = np.bincount(last, minlength=self.kinds + 1)
+        last, whole = pairs // self.kinds, 1 << self.bits
+        self.followers = np.bincount(last, minlength=self.kinds + 1)
         known = np.bincount(last, weights=times, minlength=self.kinds + 1).astype(np.int64)
-        rare = np.maximum(np.append(counts, 0) - known, 0) + 1 + followers // 50
-        escape = np.clip(65536 * rare // (known + rare), LEAST_ESCAPE << (self.bits - 16), 65536 - followers)
-        share = 1 + times * (65536 - escape - followers)[last] // np.maximum(known, 1)[last]
-        before = np.cumsum(share) - share
-        begin = np.concatenate(([0], np.cumsum(followers)))
-        first = np.append(before, share.sum())[np.minimum(begin[:-1], len(before))]
-        self.at, self.share = before - first[last], share
-        self.escape_at = np.bincount(last, weights=share, minlength=self.kinds + 1).astype(np.int64)
-        every = np.arange(self.kinds + 1)
-        place = np.arange(len(pairs)) + last  # one escape stands between those of two last ids
-        out = np.arange(len(pairs) + self.kinds + 1)
-        self.edge, self.id, self.part = np.zeros(len(out), dtype=np.int64), np.full(len(out), -1), np.zeros(len(out), dtype=np.int64)
-        self.edge[place], self.id[place], self.part[place] = last * 65536 + self.at, pairs % self.kinds, share
-        end = begin[1:] + every
-        self.edge[end], self.part[end] = every * 65536 + self.escape_at, 65536 - self.escape_at
-
-    def find(self, last: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each id: begin and size of its part in order 1 (or of the escape), and begin and size within that part."""
-        key = last.astype(np.int64) * self.kinds + ids
-        place = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
-        known = (self.pairs[place] == key) & (last < self.kinds) if len(self.pairs) else np.zeros(len(ids), dtype=bool)
-        begin, size = self.escape_at[last], 65536 - self.escape_at[last]
-        begin[known], size[known] = self.at[place[known]], self.share[place[known]]
-        inner = np.where(known, 0, self.sums[ids])
-        return begin, size, inner, np.where(known, 1 << self.bits, self.sums[ids + 1] - self.sums[ids])
-
-
-class Recent:
-    """Order 2 of each lane: what last followed two ids, and how often such predictions came true.
-
-    A cell holds a predicted id and, in its lowest four bits, how sure it is. A chance is a share of 65536 for each
-    lane and level of sureness; it moves a sixteenth of the way to 0 or 1 with each outcome.
+        first = np.cumsum(self.followers) - self.followers
+        before = np.cumsum(times) - times
+        before -= before[first[last]]
+        nth = np.arange(len(pairs)) - first[last]
+        place = np.arange(len(pairs)) + last
+        size = len(pairs) + self.kinds + 2  # the last one is never an id's
+        self.at, self.id = np.full(size, whole, dtype=np.int64), np.full(size, self.kinds, dtype=np.int64)
+        self.at[place] = nth + before * (whole - self.followers)[last] // known[last]
+        self.id[place] = pairs % self.kinds
+        # Weighted sums stay within the interval of 28 bits, so 32 are enough for all of them.
+        self.at, self.sums = self.at.astype(np.int32), self.sums.astype(np.int32)
+        self.base = self.sums[self.id]
+        self.begin = first + np.arange(self.kinds + 1)
+        rare = np.maximum(np.append(counts, 0) - known, 0) + 1 + self.followers // 50
+        #: How rare ids are after each last id, by powers of two: 0 for a half and more.
+        self.rarity = np.clip(16 - np.searchsorted(1 << np.arange(17), 65536 * rare // (known + rare), side="right"), 0, RARITIES - 1)
+
+    def find(self, last: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each id: begin and size of its shares in order 1 (size 0 where it isn't known to follow) and in order 0."""
+        slot = np.searchsorted(self.pairs, last.astype(np.int64) * self.kinds + ids) + last
+        begin, low = self.at[slot], self.sums[ids]
+        known = np.flatnonzero(self.id[slot] == ids)
+        size = np.zeros(len(ids), dtype=np.int32)
+        size[known] = self.at[slot[known] + 1] - begin[known]
+        return begin, size, low, self.sums[ids + 1] - low
+
+
+def share_of(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """A part of a whole (both below 2 ** 37) as whole shares of 65536; such quotients of exact numbers are alike everywhere."""
+    return (part * 65536.0 / whole).astype(np.int64)
+
+
+class Mixer:
+    """The predictions of all orders in each lane, and their weights, which start anew in each.
+
+    A cell of order 2 holds the last id of its context (which tells most other contexts apart), what last followed that
+    context in this lane and, in its lowest four bits, how sure that is. `slots`, for decoding, holds the slot of the
+    guess in order 1. Weights are shares of 65536: that of order 2 at each level of sureness, and that of order 0
+    against order 1 at each rarity of the last id.
     """
 
-    def __init__(self, lanes: int, kinds: int):
-        slots, levels, lane = 1 << SLOTS_BITS, CONFIDENT + 1, np.arange(lanes)
-        self.mask = slots - 1
-        self.cell = np.zeros(lanes * slots, dtype=np.int32)
-        self.first_cell = lane * slots
+    def __init__(self, lanes: int, orders: Orders, *, with_slots: bool = False):
+        cells, levels, lane = 1 << SLOTS_BITS, CONFIDENT + 1, np.arange(lanes)
+        self.orders, self.scale = orders, TOTAL_BITS - orders.bits
+        self.last, self.before = np.full(lanes, orders.kinds, dtype=np.int64), np.full(lanes, orders.kinds, dtype=np.int64)
+        self.cell = np.zeros(lanes * cells, dtype=np.int64)
+        self.slots = np.zeros(lanes * cells, dtype=np.int32) if with_slots else None
+        self.first_cell, self.first_sure, self.first_rare = lane * cells, lane * levels, lane * RARITIES
         at = np.arange(levels)
-        self.chance = np.tile(65536 * 2 * at // (2 * at + 3), lanes)
-        self.first_chance = lane * levels
-        self.last, self.before = np.full(lanes, kinds, dtype=np.int64), np.full(lanes, kinds, dtype=np.int64)
-
-    def predict(self, n: int) -> np.ndarray:
-        """The guesses of the first n lanes (`guess`), and the share of the interval that each gets."""
-        self.place = self.first_cell[:n] + (((self.last[:n] * 40503 + self.before[:n] * 30011) >> 4) & self.mask)
-        self.held = self.cell[self.place]
-        self.guess, self.level = self.held >> 4, self.held & 15
-        self.stat = self.first_chance[:n] + self.level
-        self.likely = self.chance[self.stat]
-        return self.likely * (MOST_SURE >> 16)
-
-    def learn(self, ids: np.ndarray) -> None:
-        n = len(ids)
-        right = self.guess == ids
-        self.chance[self.stat] = self.likely + (((right.astype(np.int64) << 16) - self.likely) >> 4)
-        fresh = ((ids << 4) | 1).astype(np.int32)
-        wrong = np.where(self.level > 1, (self.held & ~15) | (self.level >> 1), fresh)
-        self.cell[self.place] = np.where(right, self.held + (self.level < CONFIDENT), wrong)
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
+        self.sure = np.tile(65536 * 2 * at // (2 * at + 3), lanes)
+        self.rare = np.tile(65536 * 3 >> (np.arange(RARITIES) + 2), lanes)
+
+    def predict(self, n: int) -> None:
+        """The guesses of the first n lanes with their parts of the interval, and the weights of order 1 and order 0."""
+        last = self.last[:n]
+        self.place = self.first_cell[:n] + (((last * 40503 + self.before[:n] * 30011) >> 4) & ((1 << SLOTS_BITS) - 1))
+        held = self.cell[self.place]
+        self.level = (held & CONFIDENT) * (held >> 24 == last)
+        self.guess = (held >> 4) & 0xFFFFF
+        self.sure_at = self.first_sure[:n] + self.level
+        self.now_sure = self.sure[self.sure_at]
+        rest = np.maximum((65536 - self.now_sure) >> (16 - self.scale), 2)
+        self.part = (((1 << self.scale) - rest) << self.orders.bits).astype(np.int32)
+        self.rare_at = self.first_rare[:n] + self.orders.rarity[last]
+        self.now_rare = self.rare[self.rare_at]
+        self.follows = self.orders.followers[last] > 0
+        weight0 = np.where(self.follows, np.minimum(np.maximum(rest * self.now_rare >> 16, 1), rest - 1), rest)
+        self.weight0, self.weight1 = weight0.astype(np.int32), (rest - weight0).astype(np.int32)
+
+    def learn(self, ids: np.ndarray, size1: np.ndarray, size0: np.ndarray, slots: np.ndarray | None = None) -> None:
+        """Moves each weight towards the part of these ids that its prediction gave; `size1` and `size0` are those of order 1 and order 0."""
+        right = (self.guess == ids) & (self.level > 0)
+        guessed, others, last = self.part * right, size1 + size0, self.last[: len(ids)]
+        self.rare[self.rare_at] = self.now_rare + ((share_of(size0, others) - self.now_rare) >> 5) * self.follows
+        moved = self.now_sure + ((share_of(guessed, guessed + others) - self.now_sure) >> 4)
+        self.sure[self.sure_at] = np.maximum(moved, LEAST_SURE) * (self.level > 0)
+        stays = right | (self.level > 1)
+        level = np.where(right, np.minimum(self.level + 1, CONFIDENT), np.maximum(self.level >> 1, 1))
+        self.cell[self.place] = (last << 24) | (np.where(stays, self.guess, ids) << 4) | level
+        if slots is not None:
+            self.slots[self.place] = np.where(stays, self.slots[self.place], slots)
+        self.before[: len(ids)] = last
+        self.last[: len(ids)] = ids
 
 
 def split_lanes(ids: np.ndarray) -> tuple[int, np.ndarray]:
@@ -176,7 +198,7 @@ def encode_blocks(ids: np.ndarray, orders: Orders) -> list[bytes]:
     if not len(ids):
         return []
     lanes, table = split_lanes(ids)
-    model = Recent(lanes, orders.kinds)
+    model = Mixer(lanes, orders)
     low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
     out = np.zeros((lanes, 2 * BLOCK_IDS + 16), dtype=">u2")
     used = np.zeros(lanes, dtype=np.int64)
@@ -185,17 +207,13 @@ def encode_blocks(ids: np.ndarray, orders: Orders) -> list[bytes]:
         if t % STEPS == 0:
             own = table[t : t + STEPS]
             last = np.concatenate((table[t - 1 : t] if t else none, own[:-1]))
-            parts = [x.reshape(own.shape) for x in orders.find(last.ravel(), own.ravel())]
-        now = table[t, :n]
-        begin, part, inner, inner_size = (x[t % STEPS, :n] for x in parts)
-        sure = model.predict(n)
-        rest = (1 << TOTAL_BITS) - sure
-        first = rest * begin >> 16
-        whole = (rest * (begin + part) >> 16) - first
-        within = whole * inner >> orders.bits
-        hit = (model.guess == now) & (sure > 0)
-        start = np.where(hit, 0, sure + first + within)
-        size = np.where(hit, sure, (whole * (inner + inner_size) >> orders.bits) - within)
+            found = [x.reshape(own.shape) for x in orders.find(last.ravel(), own.ravel())]
+        now = table[t, :n].astype(np.int64)
+        begin1, size1, begin0, size0 = (x[t % STEPS, :n] for x in found)
+        model.predict(n)
+        size1, size0 = model.weight1 * size1, model.weight0 * size0
+        start = model.weight1 * begin1 + model.weight0 * begin0 + model.part * (model.guess < now)
+        size = size1 + size0 + model.part * (model.guess == now)
         unit = width[:n] >> np.uint64(TOTAL_BITS)
         low[:n] += unit * start.astype(np.uint64)
         width[:n] = unit * size.astype(np.uint64)
@@ -214,7 +232,7 @@ def encode_blocks(ids: np.ndarray, orders: Orders) -> list[bytes]:
             used[at] += 1
             own_low, own_width = own_low << _U16, own_width << _U16
             low[at], width[at] = own_low, own_width
-        model.learn(now)
+        model.learn(now, size1, size0)
     for _ in range(4):
         out[np.arange(lanes), used] = low >> np.uint64(48)
         used += 1
@@ -222,11 +240,59 @@ def encode_blocks(ids: np.ndarray, orders: Orders) -> list[bytes]:
     return [out[i, : used[i]].tobytes() for i in range(lanes)]
 
 
+def first_beyond(orders: Orders, low: np.ndarray, high: np.ndarray, weight1: np.ndarray, weight0: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The first slots from `low` to `high` whose sums, as weighted, are beyond these values; those of `high` are."""
+    out, at = low.copy(), np.arange(len(low))
+    while len(at):
+        for _ in range(3):
+            middle = (low + high) >> 1
+            over = weight1 * orders.at[middle] + weight0 * orders.base[middle] > value
+            high = np.where(over, middle, high)
+            low = np.where(over, low, middle + 1)
+        out[at] = low
+        left = np.flatnonzero(low < high)
+        at, low, high, weight1, weight0, value = (x[left] for x in (at, low, high, weight1, weight0, value))
+    return out
+
+
+def find_ids(model: Mixer, value: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The ids whose parts of the interval hold these values: id, begin and size of the part, its sizes in order 1 and order 0, slot."""
+    orders, n = model.orders, len(value)
+    last, weight1, weight0 = model.last[:n], model.weight1, model.weight0
+    # The guess of order 2; what it adds is taken off the values beyond it.
+    ids, slots = model.guess.copy(), model.slots[model.place].astype(np.int64)
+    before1, before0 = orders.at[slots], orders.sums[ids]
+    size1 = weight1 * ((orders.at[slots + 1] - before1) * (orders.id[slots] == ids))
+    size0 = weight0 * (orders.sums[ids + 1] - before0)
+    start = weight1 * before1 + weight0 * before0
+    size = size1 + size0 + model.part
+    guessed, beyond = model.part > 0, value >= start + size
+    added = model.part * beyond
+    # The others: the first slot of their last id that begins beyond the value, and then the id before or between.
+    at = np.flatnonzero(~guessed | (value < start) | beyond)
+    if len(at):
+        last, weight1, weight0, added = last[at], weight1[at], weight0[at], added[at]
+        left = value[at] - added
+        first = orders.begin[last]
+        after = first_beyond(orders, first, first + orders.followers[last], weight1, weight0, left)
+        slot = np.maximum(after - 1, first)
+        own, before1 = np.minimum(orders.id[slot], orders.kinds - 1), orders.at[slot]
+        own1 = weight1 * (orders.at[after] - before1)
+        known = (after > first) & (left < weight1 * before1 + own1 + weight0 * orders.sums[own + 1])
+        between = np.minimum(np.maximum((left - weight1 * orders.at[after]) // weight0, 0), len(orders.id_of) - 1)
+        own, slot, own1 = np.where(known, own, orders.id_of[between]), np.where(known, slot, after), own1 * known
+        before0 = orders.sums[own]
+        own0 = weight0 * (orders.sums[own + 1] - before0)
+        ids[at], slots[at], size1[at], size0[at], size[at] = own, slot, own1, own0, own1 + own0
+        start[at] = weight1 * orders.at[slot] + weight0 * before0 + added
+    return ids, start, size, size1, size0, slots
+
+
 def decode_blocks(blocks: list[bytes], total: int, orders: Orders) -> np.ndarray:
     if not total:
         return np.zeros(0, dtype=np.int64)
     lanes = len(blocks)
-    model = Recent(lanes, orders.kinds)
+    model = Mixer(lanes, orders, with_slots=True)
     length = max(map(len, blocks)) // 2 + 8
     words = np.zeros((lanes, length), dtype=np.uint16)
     for i, b in enumerate(blocks):
@@ -237,29 +303,10 @@ def decode_blocks(blocks: list[bytes], total: int, orders: Orders) -> np.ndarray
     used = np.full(lanes, 4, dtype=np.int64)
     table = np.zeros((BLOCK_IDS, lanes), dtype=np.int32)
     for t, n in steps_of(total, lanes):
-        sure = model.predict(n)
-        rest = (1 << TOTAL_BITS) - sure
+        model.predict(n)
         unit = width[:n] >> np.uint64(TOTAL_BITS)
-        value = np.minimum((code[:n] - low[:n]) // unit, np.uint64((1 << TOTAL_BITS) - 1)).astype(np.int64)
-        hit = value < sure
-        over = np.maximum(value - sure, 0)
-        last = model.last[:n]
-        which = np.searchsorted(orders.edge, last * 65536 + np.minimum(((over + 1) * 65536 - 1) // rest, 65535), side="right") - 1
-        begin = orders.edge[which] - last * 65536
-        first = rest * begin >> 16
-        size = (rest * (begin + orders.part[which]) >> 16) - first
-        start = sure + first
-        now = np.where(hit, model.guess, orders.id[which])
-        start = np.where(hit, 0, start)
-        size = np.where(hit, sure, size)
-        escaped = np.flatnonzero(now < 0)
-        if len(escaped):
-            whole, inner = size[escaped], value[escaped] - start[escaped]
-            found = orders.id_of[np.minimum((((inner + 1) << orders.bits) - 1) // whole, (1 << orders.bits) - 1)]
-            now[escaped] = found
-            within = whole * orders.sums[found] >> orders.bits
-            start[escaped] += within
-            size[escaped] = (whole * orders.sums[found + 1] >> orders.bits) - within
+        value = np.minimum((code[:n] - low[:n]) // unit, np.uint64((1 << TOTAL_BITS) - 1)).astype(np.int32)
+        now, start, size, size1, size0, slots = find_ids(model, value)
         low[:n] += unit * start.astype(np.uint64)
         width[:n] = unit * size.astype(np.uint64)
         own_low, own_width, at = low[:n], width[:n], None
@@ -278,7 +325,7 @@ def decode_blocks(blocks: list[bytes], total: int, orders: Orders) -> np.ndarray
             own_low, own_width = own_low << _U16, own_width << _U16
             low[at], width[at] = own_low, own_width
         table[t, :n] = now
-        model.learn(now)
+        model.learn(now, size1, size0, slots)
     return table.T.ravel()[:total]
 
 
