@@ -1,8 +1,9 @@
 """Token counts of whole texts under a byte-pair piece model, by merging arrays in step.
 
 A text is cut before each space that follows something else; no piece of such a model reaches across that cut
-(checked when the model is read), so each part can be merged on its own and equal parts need merging once. The
-new parts of a batch are held together as one ragged array of symbols. In each round every part merges its pair
+(checked when the model is read), so each part can be merged on its own and equal parts need merging once. For the
+same reason a long part is cut where no piece that stands in it reaches across, so texts without spaces need no more
+rounds than others. The new parts of a batch are held together as one ragged array of symbols. In each round every part merges its pair
 of lowest rank, all parts at the same time; what is left at the end is counted, a symbol that the model lacks as
 its bytes.
 """
@@ -22,6 +23,8 @@ from .tokens import Memory
 
 SPACE = "▁"
 MEMORY_PARTS = 500_000
+#: Parts of more characters than this are cut further.
+LONG_PART = 64
 LIMIT = 4096
 _parts = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
@@ -45,6 +48,7 @@ class Merger:
         self.number = {p: i for i, (p, _) in enumerate(own)}
         ranks = np.array([rank[s] for _, s in own], dtype=np.int64)
         self.char = {p: i for p, i in self.number.items() if len(p) == 1}
+        self.beginnings = {p[:j] for p in self.number for j in range(2, len(p) + 1)}
         left, right, made = [], [], []
         for p, i in self.number.items():
             for j in range(1, len(p)):
@@ -70,8 +74,30 @@ class Merger:
         known = (self.key[at] == key) & (left < self.base - 1) & (right < self.base - 1)
         return np.where(known, self.rank[at], self.never), self.made[at]
 
+    def cut(self, part: str) -> list[str]:
+        """The part, cut at each place that no occurrence of a piece reaches across: whatever merges stays on one side."""
+        out, begin, reach, n = [], 0, 0, len(part)
+        for i in range(n):
+            if begin < i and reach <= i:
+                out.append(part[begin:i])
+                begin = i
+            end = i + 2
+            while end <= n and part[i:end] in self.beginnings:
+                if end > reach and part[i:end] in self.number:
+                    reach = end
+                end += 1
+        out.append(part[begin:])
+        return out
+
     def count(self, parts: list[str]) -> list[int]:
         """Tokens of each part."""
+        cuts = [self.cut(p) if len(p) > LONG_PART else [p] for p in parts]
+        place = {p: i for i, p in enumerate(dict.fromkeys(p for own in cuts for p in own))}
+        counts = self.count_whole(list(place))
+        return [sum(counts[place[p]] for p in own) for own in cuts]
+
+    def count_whole(self, parts: list[str]) -> list[int]:
+        """Tokens of each part, which is merged as it is."""
         if not parts:
             return []
         lack, owner, sizes = self.base - 1, [], []

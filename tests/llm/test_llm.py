@@ -97,6 +97,22 @@ def test_token_counts(docs, empty):
     assert token_counts.Counter(PIECE_BPE).count(many) == [len(x) for x in library.encode(many)]
 
 
+def test_token_counts_of_texts_without_spaces():
+    """Long texts without a space: letters, digits and letters, other scripts, runs of one sign, and unknown signs."""
+    import sentencepiece
+
+    rng, library = np.random.default_rng(2), sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    letters, signs = "etaoinshrdlucmfwypvbgkjqxz", "ABCDEFXYZabcdefxyz0123456789+/="
+    made = ["".join(rng.choice(list(x), n)) for x, n in ((letters, 300_000), (letters[:5], 20_000), (signs, 100_000), ("的一是不了人我在有他", 20_000), ("éèüß😀\t\n", 5_000))]
+    made += ["thequickbrownfox" * 3_000, "a" * 10_001, "-" * 5_000, "=" * 65 + "a" * 64, "\n" * 3_000, "ab" * 33]
+    assert token_counts.Counter(PIECE_BPE).count(made) == [len(x) for x in library.encode(made)]
+    merger = token_counts.Merger(PIECE_BPE)
+    for text in made:
+        own = merger.cut(token_counts.SPACE + text)
+        assert "".join(own) == token_counts.SPACE + text
+    assert max(map(len, merger.cut(made[0]))) < 1_000
+
+
 def test_encoder_equals_library(docs):
     e = tokens.Encoder(WORD_BPE, pieces=50, words=40)
     for text in [t or "" for t in texts_by_id(docs).values()] + ["'s I'LL 12½ x² µm ªº É ̀a", "a£b İİ ſĳ", "🙂🙂''' _a_"]:
