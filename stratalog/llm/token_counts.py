@@ -91,6 +91,8 @@ class Merger:
 
     def count(self, parts: list[str]) -> list[int]:
         """Tokens of each part."""
+        if max(map(len, parts), default=0) <= LONG_PART:
+            return self.count_whole(parts)
         cuts = [self.cut(p) if len(p) > LONG_PART else [p] for p in parts]
         place = {p: i for i, p in enumerate(dict.fromkeys(p for own in cuts for p in own))}
         counts = self.count_whole(list(place))
