@@ -24,7 +24,8 @@ from .common import WORD_BYTE, batches, joined, stored, texts_of, word_bounds
 WIDTH = 13
 #: Bytes of item text whose windows are held in one task's tables; more items take more passes over the documents.
 BLOCK_BYTES = 4 << 20
-TABLE_BITS = 18
+#: Longest block in bytes, and slots of the smallest table as a power of two.
+MOST_BLOCK, LEAST_BITS = 16, 16
 #: Test strings of these lengths or more are searched together, so that short ones don't shorten all moves.
 CLASSES = (1, 12, 40)
 LANE = 1024
@@ -53,46 +54,53 @@ def plain_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 class Search:
-    """Tables for one set of test strings."""
-
-    def __init__(self, strings: list[bytes]):
-        self.strings = strings
-        self.length = np.array([len(s) for s in strings], dtype=np.int64)
-        self.m = int(self.length.min())
-        self.block = min(8, max(1, self.m // 2))
-        self.mask = np.uint64((1 << (8 * self.block)) - 1)
-        table = np.full(1 << TABLE_BITS, self.m - self.block + 1, dtype=np.int32)
-        heads = np.frombuffer(b"".join(s[: self.m] for s in strings) + bytes(8), dtype=np.uint8)
-        blocks = self.blocks(heads)
-        at = np.arange(len(strings)) * self.m
-        for j in range(self.m - self.block + 1):
-            np.minimum.at(table, self.slot(blocks[at + j] & self.mask), self.m - self.block - j)
-        self.table = table
-        suffix = blocks[at + self.m - self.block] & self.mask
+    """Tables for some strings: places of `data` of `start` and `length`.
+
+    A block is as long as the strings are many (a letter of text counts as two bits here), and the table has eight
+    slots or more for each block that stands in them: so most places of a text allow a long move at any number of strings.
+    """
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, length: np.ndarray):
+        self.data, self.start, self.length = data, start, length
+        self.m = int(length.min())
+        many = math.ceil(math.log2(2 * len(start) * self.m) / 2)
+        self.block = max(1, min(MOST_BLOCK, self.m // 2, many))
+        keys = self.keys(data)
+        moves = range(self.m - self.block + 1)
+        standing = np.zeros(len(keys), dtype=bool)
+        for j in moves:
+            standing[start + j] = True
+        self.bits = max(LEAST_BITS, int(8 * standing.sum() - 1).bit_length())
+        self.table = np.full(1 << self.bits, min(127, self.m - self.block + 1), dtype=np.int8)
+        for j in moves:  # from the longest move to none, so that the shortest one of a slot stays
+            self.table[self.slot(keys[start + j])] = min(127, self.m - self.block - j)
+        suffix = keys[start + self.m - self.block]
         self.order = np.argsort(suffix, kind="stable")
         self.suffix = suffix[self.order]
-        self.all = np.frombuffer(b"".join(strings), dtype=np.uint8)
-        self.all_at = np.concatenate(([0], np.cumsum(self.length)))
 
-    @staticmethod
-    def blocks(data: np.ndarray) -> np.ndarray:
-        """The eight bytes from each place, as one number."""
-        return np.ndarray(shape=(max(0, len(data) - 7),), dtype="<u8", buffer=data, strides=(1,))
+    def keys(self, data: np.ndarray) -> np.ndarray:
+        """The block from each place as one number, hashed; data must end with MOST_BLOCK spare bytes."""
+        eight = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+        size = len(data) - MOST_BLOCK
+        if self.block <= 8:
+            return (eight[:size] & np.uint64((1 << (8 * self.block)) - 1)) * _MULTIPLIER
+        last = eight[self.block - 8 : self.block - 8 + size]
+        return (eight[:size] * _MULTIPLIER ^ last) * _MULTIPLIER
 
-    @staticmethod
-    def slot(block: np.ndarray) -> np.ndarray:
-        return ((block * _MULTIPLIER) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return (key >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place and string number of all occurrences; data must end with eight spare bytes."""
-        blocks, first, last = self.blocks(data), self.m - self.block, len(data) - 8 - self.block
+        """Place and string number of all occurrences; data must end with MOST_BLOCK spare bytes."""
+        size = len(data) - MOST_BLOCK
+        keys, first, last = self.keys(data), self.m - self.block, size - self.block
         if last < first:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         place = np.arange(first, last + 1, LANE)
         stop = np.append(place[1:], last + 1)
         held = []
         while len(place):
-            move = self.table[self.slot(blocks[place] & self.mask)]
+            move = self.table[self.slot(keys[place])]
             still = move == 0
             if still.any():
                 held.append(place[still])
@@ -102,7 +110,7 @@ class Search:
         if not held:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         place = np.concatenate(held)
-        value = blocks[place] & self.mask
+        value = keys[place]
         low, high = np.searchsorted(self.suffix, value, "left"), np.searchsorted(self.suffix, value, "right")
         times = high - low
         # Short strings share their last block with many others, so places are looked at a bounded number of pairs at a time.
@@ -112,7 +120,7 @@ class Search:
             t = times[at:to]
             which = self.order[np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t) + np.repeat(low[at:to], t)]
             begin = np.repeat(place[at:to], t) - first
-            fits = begin + self.length[which] <= len(data) - 8
+            fits = begin + self.length[which] <= size
             found.append(self.confirm(data, begin[fits], which[fits]))
             at = to
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -125,42 +133,58 @@ class Search:
             size = self.length[w]
             owner = np.repeat(np.arange(len(b)), size)
             within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            same = data[b[owner] + within] == self.all[self.all_at[w[owner]] + within]
+            same = data[b[owner] + within] == self.data[self.start[w[owner]] + within]
             good.append(np.bincount(owner[~same], minlength=len(b)) == 0)
         keep = np.concatenate(good) if good else np.zeros(0, dtype=bool)
         return begin[keep], which[keep]
 
 
 class TestStrings:
-    """All windows of some items, with the items that each belongs to."""
+    """All windows of some items, with the items that each belongs to. What is sent to tasks is the items' words once,
+    places in them and numbers of items; each Python worker builds the tables when it needs them first."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str, str]], width: int = WIDTH):
-        owners: dict[bytes, set[str]] = {}
-        self.words: dict[bytes, int] = {}
-        for item, text in items:
-            data, begin, end, _ = plain_words([(text or "").encode()])
-            raw = data.tobytes()
-            for j in range(max(min(len(begin), 1), len(begin) - width + 1)):
-                to = min(j + width, len(begin))
-                string = raw[begin[j] : end[to - 1]]
-                owners.setdefault(string, set()).add(item)
-                self.words[string] = to - j
-        strings = list(owners)
-        self.owners = [sorted(owners[s]) for s in strings]
-        self.width = np.array([self.words[s] for s in strings], dtype=np.int64)
-        size = np.array([len(s) for s in strings], dtype=np.int64)
-        self.searches = []
-        for low, high in zip(CLASSES, (*CLASSES[1:], 1 << 62), strict=True):
-            own = np.flatnonzero((size >= low) & (size < high))
-            if len(own):
-                self.searches.append((own, Search([strings[i] for i in own])))
+        data, begin, end, at = plain_words([(text or "").encode() for _, text in items])
+        count = np.diff(at)
+        windows = np.maximum(np.minimum(count, 1), count - width + 1)
+        item = np.repeat(np.arange(len(items)), windows)
+        word = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + at[item]
+        to = np.minimum(word + width, at[item + 1])
+        raw, number = data.tobytes(), {}
+        which = np.array([number.setdefault(raw[b:e], len(number)) for b, e in zip(begin[word].tolist(), end[to - 1].tolist(), strict=True)], dtype=np.int64)
+        _, first = np.unique(which, return_index=True)
+        self.names = np.array([name for name, _ in items], dtype=object)
+        self.data = np.concatenate((data, np.zeros(MOST_BLOCK, dtype=np.uint8)))
+        self.start = begin[word[first]].astype(np.int32)
+        self.size = (end[to[first] - 1] - begin[word[first]]).astype(np.int32)
+        self.width = (to - word)[first].astype(np.int32)
+        pairs = np.unique(np.stack((which, item)), axis=1)
+        self.owner = pairs[1].astype(np.int32)
+        self.owner_at = np.searchsorted(pairs[0], np.arange(len(first) + 1)).astype(np.int32)
+        self._searches: list[tuple[np.ndarray, Search]] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_searches": None}
+
+    @property
+    def searches(self) -> list[tuple[np.ndarray, Search]]:
+        if self._searches is None:
+            self._searches = []
+            for low, high in zip(CLASSES, (*CLASSES[1:], 1 << 62), strict=True):
+                own = np.flatnonzero((self.size >= low) & (self.size < high))
+                if len(own):
+                    self._searches.append((own, Search(self.data, self.start[own].astype(np.int64), self.size[own].astype(np.int64))))
+        return self._searches
+
+    def owners(self, string: int) -> np.ndarray:
+        return self.names[self.owner[self.owner_at[string] : self.owner_at[string + 1]]]
 
     def scan(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
         """Per text: number of words, spans of hit words, items."""
         data, begin, end, at = plain_words(texts)
-        spare = np.concatenate((data, np.full(8, 10, dtype=np.uint8)))
+        spare = np.concatenate((data, np.full(MOST_BLOCK, 10, dtype=np.uint8)))
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
         items: list[set[str]] = [set() for _ in texts]
         for own, search in self.searches:
@@ -172,13 +196,12 @@ class TestStrings:
             aligned = (word < len(begin)) & (begin[np.minimum(word, len(begin) - 1)] == place)
             word, which = word[aligned], which[aligned]
             to = word + self.width[which]
-            size = np.array([len(x) for x in search.strings])[np.searchsorted(own, which)]
-            whole = (to <= len(begin)) & (end[np.minimum(to, len(end)) - 1] == begin[word] + size)
+            whole = (to <= len(begin)) & (end[np.minimum(to, len(end)) - 1] == begin[word] + self.size[which])
             word, which, to = word[whole], which[whole], to[whole]
             text = np.searchsorted(at, word, side="right") - 1
             for t, w, e, k in zip(text.tolist(), word.tolist(), to.tolist(), which.tolist(), strict=True):
                 spans[t].append((w - int(at[t]), e - int(at[t])))
-                items[t].update(self.owners[k])
+                items[t].update(self.owners(k))
         return [(int(n), merged(s), sorted(i)) for n, s, i in zip(np.diff(at), spans, items, strict=True)]
 
 
@@ -222,15 +245,18 @@ def judged(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int,
     passes = []
     for k in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        tables = docs.sparkSession.sparkContext.broadcast(TestStrings([tuple(r) for r in own.collect()], width))  # about block_bytes
+        tables = docs.sparkSession.sparkContext.broadcast(TestStrings([tuple(r) for r in own.collect()], width))  # some four times block_bytes
 
         def scan(found: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
             for batch in batches(found):
                 yield rows_of(batch.column(key).to_pylist(), [decided(*x) for x in tables.value.scan(texts_of(batch))])
 
-        passes.append(docs.select(key, "text").mapInArrow(scan, FOUND))
-    if blocks == 1:
-        return passes[0]
+        found = docs.select(key, "text").mapInArrow(scan, FOUND)
+        if blocks == 1:
+            return found
+        # Stored block by block, so that one block's strings are held at a time; the first pass has a row for each text.
+        passes.append(stored(found.where("n_hit > 0") if passes else found, "block"))
+        tables.destroy()
     every = reduce(DataFrame.unionByName, passes)
     together = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
@@ -149,6 +150,25 @@ def test_decontamination(spark, docs, empty):
     assert not any(r.n_hit for r in decontamination.contamination(docs, bench.where("false")).collect())
 
 
+def test_many_test_strings_still_allow_long_moves():
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(2, 10, 3000)]
+    text = lambda n: " ".join(vocabulary[k] for k in rng.zipf(1.1, n) % 3000)
+    items = [(str(i), text(400)) for i in range(400)]
+    tables = decontamination.TestStrings(items)
+    size = sum(len(t) for _, t in items)
+    assert len(tables.start) > 100_000 and len(pickle.dumps(tables)) < 6 * size
+    clean, dirty = text(20_000).encode(), items[7][1].encode()
+    data, *_ = decontamination.plain_words([clean])
+    data = np.concatenate((data, np.full(decontamination.MOST_BLOCK, 10, dtype=np.uint8)))
+    longest = max((s for _, s in tables.searches), key=lambda s: s.m)
+    moves = longest.table[longest.slot(longest.keys(data))]
+    assert moves.mean() > 8 and (moves == 0).mean() < 0.2
+    sent = pickle.loads(pickle.dumps(tables))
+    (n, spans, found), (_, all_of_it, own) = sent.scan([b"zzz " + dirty[:200], dirty])
+    assert spans and found == ["7"] and all_of_it == [(0, 400)] and own == ["7"]
+
+
 def test_decontamination_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "PAIRS", 7)
     items = [(str(i), f"a b c d e{i} f g h i j k l m n") for i in range(12)] + [("x", "w x y z"), ("y", "c")]
