@@ -490,12 +490,14 @@ def working_order(spark, sf):
 
 
 def packs(spark, sf):
-    events, runs = a.events(spark, sf), a.runs(spark, sf)
+    """Events, runs and what was retrieved are stored once, as several parts of a pack read them."""
+    events = stored(a.events(spark, sf), "events")
+    runs, found = stored(a.runs(spark, sf, events), "runs"), stored(retrieved(spark, sf), "retrieved")
     nobody = spark.range(1).select(F.lit(-1).cast("long").alias("pack_id"), F.lit("none").alias("run_id"), F.lit(0).cast("long").alias("min_seq"), F.lit(0).alias("budget"))
     asked = requests(spark, sf).unionByName(nobody)
     legs = asked.select("pack_id", F.explode(F.array(F.lit("dense"), F.lit("lexical"))).alias("leg"))
     legs = legs.withColumn("status", F.when((F.col("leg") == "lexical") & (F.col("pack_id") % 7 == 0), "timeout").otherwise("exact"))
-    return p.build_pack(asked, runs, events, e.upsert_working_facts(e.decode_state_facts(events)), retrieved(spark, sf), now(), legs=legs)
+    return p.build_pack(asked, runs, events, e.upsert_working_facts(e.decode_state_facts(events)), found, now(), legs=legs)
 
 
 def quoted(value: str) -> str:

@@ -33,8 +33,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_seq(raw_events(spark, sf_dir))
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = events(spark, sf_dir).groupBy("project_id", "run_id").agg(F.max("seq").alias("last_seq"))
+def runs(spark: SparkSession, sf_dir: str, numbered: DataFrame | None = None) -> DataFrame:
+    """Runs of the events, or of `numbered`, which are those events where a job holds them already."""
+    heads = (events(spark, sf_dir) if numbered is None else numbered).groupBy("project_id", "run_id").agg(F.max("seq").alias("last_seq"))
     return heads.withColumn("covered_seq", F.floor(F.col("last_seq") * 0.25).cast("long"))
 
 
