@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,8 +77,12 @@ def gate_events(events: DataFrame, max_bytes: int = MAX_EVENT_BYTES) -> DataFram
     return events.withColumn("gated_reason", gated_reason(F.col("payload"), max_bytes))
 
 
+def _is_state(value: Column) -> Column:
+    return F.coalesce(string_field(value, "kind") == "state", F.lit(False))
+
+
 def is_state(payload: Column) -> Column:
-    return F.coalesce(string_field(parsed(payload), "kind") == "state", F.lit(False))
+    return _is_state(parsed(payload))
 
 
 def route_events(events: DataFrame) -> DataFrame:
@@ -94,15 +101,17 @@ def _subject_reason(value: Column, path: str) -> Column:
     )
 
 
+def _fact_value(value: Column) -> Column:
+    """The member `value` of a parsed fact as JSON."""
+    found = field(value, "value")
+    return F.when(json_type(found) == "VOID", F.lit("null")).otherwise(F.to_json(found))
+
+
 def parse_state_facts(events: DataFrame, cap: int | None = MAX_EVENT_BYTES) -> DataFrame:
     """State events with entity, predicate and value (JSON), or the field and reason of the error. cap None: stored facts."""
     rows = events.where(is_state(F.col("payload"))).withColumn("_v", parsed(F.col("payload")))
     v = F.col("_v")
-    value = field(v, "value")
-    rows = rows.withColumns({
-        "_entity": _subject_reason(v, "entity"), "_predicate": _subject_reason(v, "predicate"),
-        "_text": F.when(json_type(value) == "VOID", F.lit("null")).otherwise(F.to_json(value)),
-    })
+    rows = rows.withColumns({"_entity": _subject_reason(v, "entity"), "_predicate": _subject_reason(v, "predicate"), "_text": _fact_value(v)})
     size = F.octet_length("_text") > (cap or 2**31 - 1)
     rows = rows.withColumn("_value", F.when(F.col("_text").isNull(), "is required").when(size, f"exceeds {cap} bytes"))
     where = F.when(F.col("_entity").isNotNull(), "entity").when(F.col("_predicate").isNotNull(), "predicate").when(F.col("_value").isNotNull(), "value")
@@ -117,18 +126,16 @@ def decode_state_facts(events: DataFrame) -> DataFrame:
 
 
 def ingest_events(raw: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good events, and rejects with a code."""
-    bad_fact = parse_state_facts(raw).where("error_field IS NOT NULL").select("id", F.lit(True).alias("_bad_fact"))
+    """Good events, and rejects with a code. All that a payload tells is told where it lies, so that only codes and the
+    columns that are asked for meet the runs; a payload that is too large is not parsed."""
+    v, text = F.col("_v"), _fact_value(F.col("_v"))
+    wrong = [_subject_reason(v, "entity").isNotNull(), _subject_reason(v, "predicate").isNotNull(), text.isNull(), F.octet_length(text) > MAX_EVENT_BYTES]
+    told = raw.withColumn("_large", F.octet_length("payload") > MAX_BODY_BYTES).withColumn("_v", parsed(F.when(~F.col("_large"), F.col("payload"))))
+    first = F.when(F.col("_large"), "too_large").when(F.coalesce(F.col("agent_id"), F.lit("")) == "", "agent_required").when(~is_object(v), "payload_not_object")
+    told = told.withColumns({"_first": first, "_bad_fact": _is_state(v) & reduce(or_, wrong)}).drop("_large", "_v")
     known = runs.select("run_id", F.lit(True).alias("_known"))
-    marked = raw.join(known, "run_id", "left").join(bad_fact, "id", "left")
-    code = (
-        F.when(F.octet_length("payload") > MAX_BODY_BYTES, "too_large")
-        .when(F.coalesce(F.col("agent_id"), F.lit("")) == "", "agent_required")
-        .when(~is_object(parsed(F.col("payload"))), "payload_not_object")
-        .when(F.col("_known").isNull(), "unknown_run")
-        .when(F.col("_bad_fact"), "invalid_state_fact")
-    )
-    marked = marked.withColumn("reject_code", code).drop("_known", "_bad_fact")
+    code = F.coalesce("_first", F.when(F.col("_known").isNull(), "unknown_run").when(F.col("_bad_fact"), "invalid_state_fact"))
+    marked = told.join(known, "run_id", "left").withColumn("reject_code", code).drop("_known", "_first", "_bad_fact")
     return marked.where("reject_code IS NULL").drop("reject_code"), marked.where("reject_code IS NOT NULL")
 
 
