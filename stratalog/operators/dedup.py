@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from stratalog.functions.text import content_fingerprint, context_fingerprint, fingerprint_prefix, normalize_content
 
 MERGE, GRAY, BUCKET_CAP = 0.92, 0.85, 200
-#: Rows of a bucket that stand in one block of a similarity self-join, and candidates of one block of a search.
-BLOCK, CANDIDATES = 1024, 1000
+#: Rows of a bucket that stand in one block of a similarity join.
+BLOCK = 1024
 #: Rows of a bucket that are all compared, and the chance with which a pair of a larger one is found at least.
 LARGE, RECALL = 20_000, 0.97
 
@@ -60,39 +60,47 @@ def exact_dedup(candidates: DataFrame, memories: DataFrame | None = None) -> tup
     return found, rows.select("project_id", "memory_id", "version", "content", F.col("agent_id").alias("changed_by"), reason.alias("reason"))
 
 
-def nearest_in_bucket(candidates: DataFrame, memories: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
+def nearest_in_bucket(candidates: DataFrame, memories: DataFrame, cap: int | None = BUCKET_CAP, block: int = BLOCK) -> DataFrame:
     """Per candidate (cand_id, bucket, vec of length 1) the nearest of the newest `cap` memories (id, bucket, vec,
-    created_at) of its bucket, and of its project_id and model_id where both sides have them, with the full size.
+    created_at), or of all with None, of its bucket, and of its project_id and model_id where both sides have them, with
+    the full size.
 
-    Candidates are packed where they lie and meet the packed newest memories of their bucket: one product a block.
+    Both sides of a bucket are dealt into blocks, each pair of blocks is one product, and of each only the nearest memory
+    of a candidate is kept: a bucket of any size is many tasks.
     """
     keys = ["bucket", *[c for c in ("project_id", "model_id") if c in candidates.columns and c in memories.columns]]
     types = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in keys)
     sizes = memories.groupBy(*keys).agg(F.count("*").alias("bucket_size"))
-    # Spark keeps the newest of each bucket in every task before it brings them together.
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("created_at"), "id"))
-    newest = memories.select(*keys, "id", F.col("vec").cast("array<double>").alias("vec"), nth.alias("_nth")).where(F.col("_nth") <= cap)
-    newest = newest.groupBy(*keys).agg(F.collect_list(F.struct("id", "vec")).alias("held")).join(sizes, keys)
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, part in batch.groupby(keys, sort=False):
-                for at in range(0, len(part), CANDIDATES):
-                    some = part[at : at + CANDIDATES]
-                    yield pd.DataFrame({c: [v] for c, v in zip(keys, key, strict=True)} | {"ids": [some["cand_id"].tolist()], "vecs": [np.concatenate(some["vec"].to_numpy())]})
-
-    rows = candidates.select("cand_id", *keys, F.col("vec").cast("array<double>").alias("vec"))
-    packed = rows.mapInPandas(pack, f"{types}, ids array<long>, vecs array<double>")
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for ids, vecs, held, size in zip(batch["ids"], batch["vecs"], batch["held"], batch["bucket_size"], strict=True):
-                held = sorted(held, key=lambda h: h["id"])  # the first of equally near ones counts
-                distance = 1 - vecs.reshape(len(ids), -1) @ np.stack([h["vec"] for h in held]).T
-                best = distance.round(9).argmin(axis=1)
-                yield pd.DataFrame({"cand_id": ids, "id": [held[k]["id"] for k in best], "bucket_size": size, "distance": distance[np.arange(len(ids)), best]})
-
-    return packed.join(newest, keys).select("ids", "vecs", "held", "bucket_size").mapInPandas(search, "cand_id long, id long, bucket_size long, distance double")
+    held = memories
+    if cap is not None:
+        # Spark keeps the newest of each bucket in every task before it brings them together.
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("created_at"), "id"))
+        held = memories.withColumn("_nth", nth).where(F.col("_nth") <= cap)
+
+    def dealt(rows: DataFrame, name: str) -> DataFrame:
+        blocks = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("_n"))
+        rows = rows.join(blocks, keys).withColumn("_of", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+        # Vectors one after the other, so that Python gets one array of numbers.
+        packed = rows.groupBy(*keys, "_of").agg(F.collect_list(F.struct("id", "vec")).alias("x"))
+        return packed.select(*keys, F.col("_of").alias(f"{name}_block"), F.col("x.id").alias(f"{name}_ids"), F.flatten("x.vec").alias(f"{name}_vecs"))
+
+    vec = F.col("vec").cast("array<double>").alias("vec")
+    left = dealt(candidates.select(F.col("cand_id").alias("id"), *keys, vec), "cand")
+    right = dealt(held.select("id", *keys, vec), "held")
+    # A row is two blocks, and a group holds one pair of them, so Python has no more than that at a time.
+    pairs = left.join(right, keys).groupBy(*keys, "cand_block", "held_block")
+
+    def search(pair: pd.DataFrame) -> pd.DataFrame:
+        row = pair.iloc[0]
+        ids, order = row["cand_ids"], np.argsort(row["held_ids"])  # the first of equally near ones counts
+        held_ids, table = row["held_ids"][order], row["held_vecs"].reshape(len(order), -1)[order]
+        distance = 1 - row["cand_vecs"].reshape(len(ids), -1) @ table.T
+        best = distance.round(9).argmin(axis=1)
+        return pd.DataFrame({c: row[c] for c in keys} | {"cand_id": ids, "id": held_ids[best], "distance": distance[np.arange(len(ids)), best]})
+
+    found = pairs.applyInPandas(search, f"{types}, cand_id long, id long, distance double")
+    nearest = found.groupBy(*keys, "cand_id").agg(F.min_by(F.struct("id", "distance"), F.struct(F.round("distance", 9), "id")).alias("x"))
+    return nearest.join(sizes, keys).select("cand_id", "x.id", "bucket_size", "x.distance")
 
 
 def projections(least: float, rows: int, block: int, recall: float) -> tuple[int, int]:

@@ -1,5 +1,7 @@
 """Upserts that copy what they change, similarity joins of large buckets, requests with queries, caches by model."""
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -98,3 +100,13 @@ def test_requests_with_queries(spark, tmp_path):
     for _ in range(2):  # a batch that is written again is there once
         pack.append_pack_log(found, str(tmp_path / "log"), 3)
     assert spark.read.parquet(str(tmp_path / "log")).count() == 5
+
+
+def test_nearest_of_a_whole_bucket(spark):
+    """More memories than the cap, and blocks smaller than the bucket: the nearest is the oldest one."""
+    rows = [(i, 1, i, [math.cos(i / 1000), math.sin(i / 1000)]) for i in range(300)]
+    memories = spark.createDataFrame(rows, "id long, bucket long, created_at long, vec array<double>")
+    asked = spark.createDataFrame([(1000 + i, 1, [math.cos(i / 1000), math.sin(i / 1000)]) for i in range(0, 300, 7)], "cand_id long, bucket long, vec array<double>")
+    found = dedup.nearest_in_bucket(asked, memories, cap=None, block=64).collect()
+    assert sorted((r.cand_id, r.id, r.bucket_size) for r in found) == [(1000 + i, i, 300) for i in range(0, 300, 7)]
+    assert min(r.id for r in dedup.nearest_in_bucket(asked, memories).collect()) == 100
