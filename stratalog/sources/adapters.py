@@ -60,12 +60,14 @@ def search_queries(spark: SparkSession, sf_dir: str, words: int = 3) -> DataFram
     """The stated query set: every memory whose id is divisible by 20 asks in its project with its own vector and its
     first long words, every second of them for one scope only. Every fifth of them asks for the first word or all
     others, and every fifth for the first without the second."""
-    held = F.slice(F.filter(F.split(F.lower("text"), BETWEEN_WORDS), lambda w: F.length(w) > 5), 1, words)
+    long_words = F.slice(F.filter(F.split(F.lower("text"), BETWEEN_WORDS), lambda w: F.length(w) > 5), 1, words)
+    held = F.col("held")
     others = F.array_join(F.slice(held, 2, words), " ")
     asked_text = F.when(F.col("doc_id") % 100 == 0, F.concat_ws(" or ", F.get(held, 0), F.when(others != "", others)))
     asked_text = asked_text.when(F.col("doc_id") % 100 == 40, F.concat_ws(" -", F.get(held, 0), F.get(held, 1))).otherwise(F.array_join(held, " "))
     asked = embeddings(spark, sf_dir).where("memory_id % 20 = 0").withColumnRenamed("memory_id", "query_id")
-    text = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), asked_text.alias("text"))
+    # The words of a text are found once, and not for each place where they are named.
+    text = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select("doc_id", long_words.alias("held")).select(F.col("doc_id").alias("query_id"), asked_text.alias("text"))
     scopes = F.when(F.col("query_id") % 40 == 20, F.array(F.lit("lang:en"))).otherwise(F.array().cast("array<string>"))
     return asked.join(text, "query_id").withColumn("scopes", scopes)
 

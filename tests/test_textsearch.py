@@ -80,3 +80,22 @@ def test_against_brute_force(spark):
     few = textsearch.text_topk(q, m, 3)
     assert sorted((r.query_id, r.id, r.pos) for r in few.collect()) == sorted((j, i, pos) for (j, i), (_, pos) in found.items() if pos <= 3)
     assert "the" in STOP_WORDS and textsearch.text_topk(q.where(F.lit(False)), m).count() == 0 == textsearch.text_topk(q, m.where(F.lit(False))).count()
+
+
+def test_leading_memories_and_blocks(spark, monkeypatch):
+    """Few leading memories, small blocks and a short list: bounds pass over memories, and the best are still found."""
+    monkeypatch.setattr(textsearch, "LEAD", 10)
+    monkeypatch.setattr(textsearch, "ENTRIES", 200)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") * 2 for _ in range(rng.choice([3, 8, 40]))) for _ in range(300)]
+    asked = ["aa", "aa bb", "aa bb cc", "aa or bb cc", "dd -ee", 'ff "gg hh"', "aa bb or -cc", "xx", "aa aa"]
+    queries = spark.createDataFrame([(i, q) for i, q in enumerate(asked)], "query_id long, text string")
+    memories = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id long, content string")
+    found = {(r.query_id, r.pos): (r.id, round(r.rank, 9)) for r in textsearch.text_topk(queries, memories, 5, stem=None).collect()}
+    for i, q in enumerate(asked):
+        ranks = []
+        for j, x in enumerate(texts):
+            places = {w: textsearch.np.array([n for n, y in enumerate(x.split()) if y == w]) for w in {*x.split()}}
+            rank = textsearch.cover_density(textsearch.parse_query(q, None), places)
+            ranks += [] if rank is None else [(-round(rank, 9), j)]
+        assert [(found.get((i, n + 1))) for n in range(5)] == [(j, -r) for r, j in sorted(ranks)[:5]] + [None] * max(0, 5 - len(ranks))
