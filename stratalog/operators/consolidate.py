@@ -34,7 +34,9 @@ def consolidate_pass(
     """
     ready = run_readiness(events, runs, now).where("ready").select("run_id")
     window = uncovered_events(events.join(ready, "run_id", "left_semi"), runs, limit).withColumn("pass_no", F.lit(1)).drop("covered_seq", "nth")
-    routed = route_events(window)
+    # Every output reads the window; stored, it is sorted and routed once, in tasks of its own.
+    window = stored(route_events(window), "window")
+    routed = window
     reading = routed.where("route = 'window'").drop("route")
     own = ["project_id", "run_id", "entity", "predicate", "value", "source_seq"]
     found = extract_claims(reading).withColumnRenamed("seq", "source_seq").select(*own)
