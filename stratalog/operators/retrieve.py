@@ -46,8 +46,8 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = DEPTH) -> DataFr
     A query sees only vectors of its project_id, model_id and cell, where both sides have these columns, and, where it has
     scopes, those whose scope_keys share one with them. Vectors are packed into blocks where they lie, queries (a
     stated set) into rows of QUERY_BLOCK at most; blocks and rows meet by an equi-join on project and model, which
-    Spark broadcasts if the queries turn out small and deals out otherwise. Each pair keeps its k best per query, so
-    the last exchange holds k rows per query and block at most.
+    Spark broadcasts if the queries turn out small and deals out otherwise. Each pair is a group of its own and
+    keeps its k best per query, so the last exchange holds k rows per query and block at most.
     """
     keys = [c for c in ("project_id", "model_id", "cell") if c in queries.columns and c in vectors.columns]
     scoped = "scopes" in queries.columns and "scope_keys" in vectors.columns
@@ -69,32 +69,35 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = DEPTH) -> DataFr
 
     blocks = rows.mapInPandas(block, ", ".join([*(f"{c} {t}" for c, t in types.items()), "ids array<long>", "vecs array<double>", "scope_keys array<array<string>>"]))
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for ids, vecs, scope_keys, asked in zip(batch["ids"], batch["vecs"], batch["scope_keys"], batch["asked"], strict=True):
-                ids, table = np.asarray(ids), _unit(vecs.reshape(len(ids), -1))
-                allowed: dict[tuple, np.ndarray] = {}
-                most, step = min(k, len(ids)), max(1, PRODUCT_BYTES // (8 * len(ids)))
-                for at in range(0, len(asked), step):
-                    some = asked[at : at + step]
-                    query = np.array([q["query_id"] for q in some], dtype=np.int64)
-                    distance = 1 - _unit(np.stack([q["vec"] for q in some])) @ table.T
-                    for i, q in enumerate(some):
-                        wanted = tuple(q["scopes"])
-                        if wanted:
-                            if wanted not in allowed:
-                                allowed[wanted] = np.array([not set(h).isdisjoint(wanted) for h in scope_keys])
-                            distance[i, ~allowed[wanted]] = np.inf
-                    coarse = distance.round(9)
-                    # All that is as near as the k-th; ties beyond it are settled by id.
-                    row, place = np.nonzero((coarse <= np.partition(coarse, most - 1, axis=1)[:, most - 1 : most]) & np.isfinite(coarse))
-                    order = np.lexsort((ids[place], coarse[row, place], row))
-                    row, place = row[order], place[order]
-                    keep = np.arange(len(row)) - np.searchsorted(row, row) < most
-                    row, place = row[keep], place[keep]
-                    yield pd.DataFrame({"query_id": query[row], "id": ids[place], "distance": distance[row, place]})
-
-    found = blocks.join(packed.drop("_row"), keys).select("ids", "vecs", "scope_keys", "asked").mapInPandas(search, "query_id long, id long, distance double")
+    def search(pair: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for ids, vecs, scope_keys, asked in zip(pair["ids"], pair["vecs"], pair["scope_keys"], pair["asked"], strict=True):
+            ids, table = np.asarray(ids), _unit(vecs.reshape(len(ids), -1))
+            allowed: dict[tuple, np.ndarray] = {}
+            most, step = min(k, len(ids)), max(1, PRODUCT_BYTES // (8 * len(ids)))
+            for at in range(0, len(asked), step):
+                some = asked[at : at + step]
+                query = np.array([q["query_id"] for q in some], dtype=np.int64)
+                distance = 1 - _unit(np.stack([q["vec"] for q in some])) @ table.T
+                for i, q in enumerate(some):
+                    wanted = tuple(q["scopes"])
+                    if wanted:
+                        if wanted not in allowed:
+                            allowed[wanted] = np.array([not set(h).isdisjoint(wanted) for h in scope_keys])
+                        distance[i, ~allowed[wanted]] = np.inf
+                coarse = distance.round(9)
+                # All that is as near as the k-th; ties beyond it are settled by id.
+                row, place = np.nonzero((coarse <= np.partition(coarse, most - 1, axis=1)[:, most - 1 : most]) & np.isfinite(coarse))
+                order = np.lexsort((ids[place], coarse[row, place], row))
+                row, place = row[order], place[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) < most
+                row, place = row[keep], place[keep]
+                found.append(pd.DataFrame({"query_id": query[row], "id": ids[place], "distance": distance[row, place]}))
+        return pd.concat(found)
+
+    # A group is one block and one row of queries: Python has no more at a time, however many meet in a task.
+    pairs = blocks.withColumn("_block", F.xxhash64("ids")).join(packed, keys).groupBy(*keys, "_block", "_row")
+    found = pairs.applyInPandas(search, "query_id long, id long, distance double")
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id"))
     return found.withColumn("pos", pos).where(F.col("pos") <= k)
 
