@@ -11,7 +11,7 @@ from stratalog.sources.shared import stored
 
 from .claims import claims_union, pass_entity_names, register_entities, resolve_claims_lww
 from .dedup import exact_dedup, fingerprints
-from .events import WINDOW_EVENTS, decode_state_facts, route_events, run_readiness, uncovered_events
+from .events import WINDOW_EVENTS, decode_state_facts, pass_window, route_events, run_readiness, window_ends
 from .extract import extract_claims, extract_entities, extract_memories
 from .fold import CONTEXT, fold_candidates, folded_memories, folded_versions
 
@@ -32,8 +32,11 @@ def consolidate_pass(
     created_at too, and `vectors` (project_id, memory_id, vec) holds what was stored for them, so that no stored
     content is embedded again. `vectors` of the result are those to store, `outcomes` one row per candidate.
     """
-    ready = run_readiness(events, runs, now).where("ready").select("run_id")
-    window = uncovered_events(events.join(ready, "run_id", "left_semi"), runs, limit).withColumn("pass_no", F.lit(1)).drop("covered_seq", "nth")
+    # What is found by run is stored in steps, so that no stage holds the sorts and tables of all of them at a time.
+    ready = run_readiness(events, runs.hint("shuffle_hash"), now).where("ready").select("run_id")
+    ready = stored(runs.join(ready, "run_id", "left_semi").select("run_id", "covered_seq"), "ready")
+    ends = stored(window_ends(events, ready, limit), "ends")
+    window = pass_window(events, ends).withColumn("pass_no", F.lit(1))
     # Every output reads the window; stored, it is sorted and routed once, in tasks of its own.
     window = stored(route_events(window), "window")
     routed = window
@@ -63,7 +66,7 @@ def _folded(candidates: DataFrame, memories: DataFrame | None, vectors: DataFram
     """Memories, versions, and vectors and outcomes of a pass with near merges."""
     fresh = candidates.select("content").distinct().withColumn("vec", embed(F.col("content")))
     # Each of these feeds several outputs.
-    rows = stored(candidates.join(fresh, "content"), "candidates")
+    rows = stored(candidates.select("id", *CONTEXT, "content", "content_hash", "arrival", "agent_id", "source_seq").join(fresh, "content"), "candidates")
     columns = ["id", "content", "content_hash", "vec", "agent_id", "source_seq"]
     contents, held = rows.select(*columns), None
     if memories is not None:

@@ -158,6 +158,19 @@ def uncovered_events(events: DataFrame, runs: DataFrame, limit: int | None = WIN
     return rows if limit is None else rows.where(F.col("nth") <= limit)
 
 
+def window_ends(events: DataFrame, runs: DataFrame, limit: int = WINDOW_EVENTS) -> DataFrame:
+    """_mark and _end of each run that has events past its mark: the window of its first `limit` such events lies after
+    _mark and up to _end. Only runs and seqs are sorted."""
+    seqs = uncovered_events(events.select("run_id", "seq"), runs.select("run_id", "covered_seq").hint("shuffle_hash"), limit)
+    return seqs.groupBy("run_id").agg(F.max("covered_seq").alias("_mark"), F.max("seq").alias("_end"))
+
+
+def pass_window(events: DataFrame, ends: DataFrame) -> DataFrame:
+    """The events of each run's window, as they are. They stream past the ends, one row of each run, and are not sorted,
+    so that a task's memory doesn't grow with payloads."""
+    return events.join(ends.hint("shuffle_hash"), "run_id").where("seq > _mark AND seq <= _end").drop("_mark", "_end")
+
+
 def window_plan(events: DataFrame, runs: DataFrame, size: int = WINDOW_EVENTS) -> DataFrame:
     """pass_no: the pass in which each uncovered event is read."""
     nth = F.row_number().over(Window.partitionBy("run_id").orderBy("seq"))

@@ -1,11 +1,12 @@
 """Passes with exact and near merges against a serial loop."""
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from stratalog.operators import fold
+from stratalog.operators import consolidate, fold
 from stratalog.operators.consolidate import consolidate_pass
 
 CANDIDATE = "project_id string, context_hash string, content_hash string, arrival long, id long, vec array<double>, content string, agent_id string, source_seq long"
@@ -85,3 +86,25 @@ def test_pass_with_vectors(spark):
     assert sorted((r.memory_id, r.version, r.content, r.inserted, r.rewritten) for r in two["memories"].collect()) == [(1, 4, "value 11", False, True), (4, 1, "value 50", True, True)]
     assert [(r.memory_id, r.version, r.content) for r in two["versions"].collect()] == [(1, 3, "value 10")]
     assert sorted(r.memory_id for r in two["vectors"].collect()) == [1, 4] and sorted(r.outcome for r in two["outcomes"].collect()) == ["inserted", "near_merged"]
+
+
+def test_no_sort_of_a_pass_holds_payloads(spark, monkeypatch):
+    """What a task sorts to find the windows is runs and seqs, and candidates meet their vectors without the payload."""
+    plans, columns, stored = {}, {}, consolidate.stored
+
+    def kept(df, name):
+        plans[name] = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        columns[name] = df.columns
+        return stored(df, name)
+
+    monkeypatch.setattr(consolidate, "stored", kept)
+    log = spark.createDataFrame([(i, "p", f"r{i % 2}", "g", i, f'{{"note":"value {i % 7}"}}') for i in range(1, 41)], "id long, project_id string, run_id string, agent_id string, seq long, payload string")
+    log = log.withColumn("created_at", F.timestamp_seconds("seq"))
+    runs = spark.createDataFrame([("p", "r0", 40, 10), ("p", "r1", 39, 0)], "project_id string, run_id string, last_seq long, covered_seq long")
+    embed = lambda text: F.array(F.lit(1.0), F.lit(0.0))
+    out = consolidate_pass(log, runs, F.timestamp_seconds(F.lit(1000)), 5, embed=embed)
+    assert sorted((r.run_id, r.covered_seq, r.events) for r in out["marks"].collect()) == [("r0", 20, 5), ("r1", 9, 5)]
+    assert sorted(r.id for r in out["outcomes"].collect()) == [1, 3, 5, 7, 9, 12, 14, 16, 18, 20]
+    held = re.findall(r"\) (?:Sort|SortMergeJoin.*)\n(?:Input|Left output).*?: (\[.*\])", plans["ends"] + plans["window"])
+    assert held and not any("payload" in h for h in held)
+    assert "payload" in columns["window"] and "payload" not in columns["candidates"]
