@@ -106,13 +106,31 @@ class Orders:
         self.at, self.sums = self.at.astype(np.int32), self.sums.astype(np.int32)
         self.base = self.sums[self.id]
         self.begin = first + np.arange(self.kinds + 1)
+        # Pairs by hash, as most are found at once. Where two share a place, the later one has it.
+        self.hash_bits = max(4, min(24, (4 * len(pairs)).bit_length()))
+        self.hashed = np.zeros(1 << self.hash_bits, dtype=np.int32)
+        self.hashed[self.places(pairs)] = np.arange(len(pairs))
+        # Followers of each last id by their sums in about as many equal steps: how many are below each step.
+        steps = np.ceil(np.log2(self.followers + 1)).astype(np.int64)
+        self.step_bits, sizes = self.bits - steps, (1 << steps) + 1
+        self.steps_at = np.cumsum(sizes) - sizes
+        of_step = self.steps_at[last] + (self.at[place] >> self.step_bits[last]) + 1
+        below = np.cumsum(np.bincount(of_step, minlength=int(sizes.sum())))
+        self.below = (below - np.repeat(first, sizes)).astype(np.int32)
         rare = np.maximum(np.append(counts, 0) - known, 0) + 1 + self.followers // 50
         #: How rare ids are after each last id, by powers of two: 0 for a half and more.
         self.rarity = np.clip(16 - np.searchsorted(1 << np.arange(17), 65536 * rare // (known + rare), side="right"), 0, RARITIES - 1)
 
+    def places(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.hash_bits)).astype(np.int64)
+
     def find(self, last: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each id: begin and size of its shares in order 1 (size 0 where it isn't known to follow) and in order 0."""
-        slot = np.searchsorted(self.pairs, last.astype(np.int64) * self.kinds + ids) + last
+        pairs = last.astype(np.int64) * self.kinds + ids
+        slot = self.hashed[self.places(pairs)].astype(np.int64)
+        others = np.flatnonzero(self.pairs[slot] != pairs) if len(self.pairs) else np.arange(len(pairs))
+        slot[others] = np.searchsorted(self.pairs, pairs[others])
+        slot += last
         begin, low = self.at[slot], self.sums[ids]
         known = np.flatnonzero(self.id[slot] == ids)
         size = np.zeros(len(ids), dtype=np.int32)
@@ -120,6 +138,16 @@ class Orders:
         return begin, size, low, self.sums[ids + 1] - low
 
 
+    def between(self, last: np.ndarray, weight1: np.ndarray, weight0: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots that the first one beyond each value lies between: what order 0 adds to a sum is at most all of it."""
+        whole, weight1 = 1 << self.bits, np.maximum(weight1, 1)
+        least, most = np.maximum(value - (weight0 << self.bits), 0) // weight1, np.minimum(value // weight1, whole - 1)
+        first, at, bits = self.begin[last], self.steps_at[last], self.step_bits[last]
+        # A last id without followers has no weight for order 1; its only step is empty.
+        least = np.minimum(least, whole - 1)
+        return first + self.below[at + (least >> bits)], first + self.below[at + (most >> bits) + 1]
+
+
 def share_of(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
     """A part of a whole (both below 2 ** 37) as whole shares of 65536; such quotients of exact numbers are alike everywhere."""
     return (part * 65536.0 / whole).astype(np.int64)
@@ -274,7 +302,7 @@ def find_ids(model: Mixer, value: np.ndarray) -> tuple[np.ndarray, ...]:
         last, weight1, weight0, added = last[at], weight1[at], weight0[at], added[at]
         left = value[at] - added
         first = orders.begin[last]
-        after = first_beyond(orders, first, first + orders.followers[last], weight1, weight0, left)
+        after = first_beyond(orders, *orders.between(last, weight1, weight0, left), weight1, weight0, left)
         slot = np.maximum(after - 1, first)
         own, before1 = np.minimum(orders.id[slot], orders.kinds - 1), orders.at[slot]
         own1 = weight1 * (orders.at[after] - before1)

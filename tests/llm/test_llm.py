@@ -371,6 +371,30 @@ def test_parts_of_ids_fill_the_interval(kinds):
     assert guessed > 30
 
 
+def test_orders_look_up_pairs_and_slots_at_once():
+    """Most pairs are found by hash, and a search for a slot begins within a few; both find what a whole search finds."""
+    rng = np.random.default_rng(8)
+    ids = np.minimum(rng.zipf(1.2, 60_000), 3_000) - 1
+    pairs, times = token_files.count_pairs(ids, 3_000)
+    for kept in (len(pairs), 1, 0):
+        orders = token_files.Orders(np.bincount(ids, minlength=3_000), pairs[:kept], times[:kept])
+        last, now = np.append(3_000, ids[:-1]), ids
+        slot = np.searchsorted(orders.pairs, last * 3_000 + now) + last
+        assert (orders.find(last, now)[0] == orders.at[slot]).all()
+        follows = orders.followers[last] > 0
+        rest = rng.integers(2, 1 << 12, len(last)).astype(np.int32)
+        weight0 = np.where(follows, np.maximum(rest // rng.integers(2, 100, len(last)), 1), rest).astype(np.int32)
+        weight1 = rest - weight0
+        value = (rng.random(len(last)) * (rest.astype(np.int64) << orders.bits)).astype(np.int32)
+        first = orders.begin[last]
+        low, high = orders.between(last, weight1, weight0, value)
+        assert (first <= low).all() and (low <= high).all() and (high <= first + orders.followers[last]).all()
+        whole = token_files.first_beyond(orders, first, first + orders.followers[last], weight1, weight0, value)
+        assert (token_files.first_beyond(orders, low, high, weight1, weight0, value) == whole).all()
+        if kept == len(pairs):
+            assert (high - low).sum() < 0.3 * orders.followers[last].sum()
+
+
 def test_token_files_are_small(monkeypatch):
     """At least 20 per cent fewer bits than a general compressor takes for the ids as 16-bit numbers, and fewer by order 2."""
     import pyarrow.parquet as pq
