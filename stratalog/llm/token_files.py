@@ -27,8 +27,10 @@ from .common import batches, each_row, stored
 from .tokens import encoder
 
 BLOCK_IDS = 4_096
+#: Equal parts of a block that are coded in step.
+STRANDS = 4
 RECORD_IDS = 8_000_000
-MAGIC = b"CTXMIX03"
+MAGIC = b"CTXMIX04"
 SLOTS_BITS = 11
 TOTAL_BITS = 28
 CONFIDENT = 15
@@ -41,9 +43,16 @@ LEAST_SURE = 256
 #: Last ids are told apart by how rarely an unknown one follows, in so many steps.
 RARITIES = 8
 #: Steps of all blocks that are looked up at a time.
-STEPS = 512
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_U16, _U64 = np.uint64(16), np.uint64(64)
+STEPS = 32
+#: Places for pairs by hash: so many for each.
+HASHED = 8
+#: Steps in which followers are looked up are by so many bits finer than there are followers.
+FINER = 2
+_TOP, _U16, _U48, _TOTAL = np.uint64(1 << 48), np.uint64(16), np.uint64(48), np.uint64(TOTAL_BITS)
+#: Odd factors that scatter two ids over 64 bits, beyond which products wrap around.
+_MIX = -7046029254386353131, -4417276706812531889
+#: Numbers below 2 ** 21 that are held three in a row.
+_LOW = (1 << 21) - 1
 
 
 def share_bits(counts: np.ndarray) -> int:
@@ -102,134 +111,159 @@ class Orders:
         self.at, self.id = np.full(size, whole, dtype=np.int64), np.full(size, self.kinds, dtype=np.int64)
         self.at[place] = nth + before * (whole - self.followers)[last] // known[last]
         self.id[place] = pairs % self.kinds
-        # Weighted sums stay within the interval of 28 bits, so 32 are enough for all of them.
-        self.at, self.sums = self.at.astype(np.int32), self.sums.astype(np.int32)
         self.base = self.sums[self.id]
         self.begin = first + np.arange(self.kinds + 1)
+        # What is asked together is held together: of each slot its sums and id, of each id its sum and share.
+        self.of_slot = (self.at << 42) | (self.base << 21) | self.id
+        self.of_id = (self.sums << 21) | np.append(np.diff(self.sums), 0)
         # Pairs by hash, as most are found at once. Where two share a place, the later one has it.
-        self.hash_bits = max(4, min(24, (4 * len(pairs)).bit_length()))
+        self.hash_bits = max(4, min(24, (HASHED * len(pairs)).bit_length()))
         self.hashed = np.zeros(1 << self.hash_bits, dtype=np.int32)
         self.hashed[self.places(pairs)] = np.arange(len(pairs))
-        # Followers of each last id by their sums in about as many equal steps: how many are below each step.
-        steps = np.ceil(np.log2(self.followers + 1)).astype(np.int64)
+        # Followers of each last id by their sums in equal steps, some more than followers: how many are below each step.
+        steps = np.minimum(np.ceil(np.log2(self.followers + 1)).astype(np.int64) + (FINER if len(pairs) < 1 << 20 else 0), self.bits)
         self.step_bits, sizes = self.bits - steps, (1 << steps) + 1
         self.steps_at = np.cumsum(sizes) - sizes
         of_step = self.steps_at[last] + (self.at[place] >> self.step_bits[last]) + 1
         below = np.cumsum(np.bincount(of_step, minlength=int(sizes.sum())))
-        self.below = (below - np.repeat(first, sizes)).astype(np.int32)
+        self.below = (below + np.repeat(np.arange(self.kinds + 1), sizes)).astype(np.int32)
         rare = np.maximum(np.append(counts, 0) - known, 0) + 1 + self.followers // 50
-        #: How rare ids are after each last id, by powers of two: 0 for a half and more.
+        #: How rare ids are after each last id, by powers of two: 0 for a half and more; RARITIES where nothing follows.
         self.rarity = np.clip(16 - np.searchsorted(1 << np.arange(17), 65536 * rare // (known + rare), side="right"), 0, RARITIES - 1)
+        self.rarity[self.followers == 0] = RARITIES
+        self.of_last = (self.begin << 4) | self.rarity
+        self.step_of_last = (self.steps_at << 5) | self.step_bits
 
     def places(self, pairs: np.ndarray) -> np.ndarray:
-        return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.hash_bits)).astype(np.int64)
+        return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.hash_bits)).view(np.int64)
 
     def find(self, last: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each id: begin and size of its shares in order 1 (size 0 where it isn't known to follow) and in order 0."""
-        pairs = last.astype(np.int64) * self.kinds + ids
+        ids = ids.astype(np.int64)
+        pairs = last * np.int64(self.kinds) + ids
         slot = self.hashed[self.places(pairs)].astype(np.int64)
         others = np.flatnonzero(self.pairs[slot] != pairs) if len(self.pairs) else np.arange(len(pairs))
         slot[others] = np.searchsorted(self.pairs, pairs[others])
         slot += last
-        begin, low = self.at[slot], self.sums[ids]
-        known = np.flatnonzero(self.id[slot] == ids)
-        size = np.zeros(len(ids), dtype=np.int32)
-        size[known] = self.at[slot[known] + 1] - begin[known]
-        return begin, size, low, self.sums[ids + 1] - low
-
+        of_slot, of_id = self.of_slot[slot], self.of_id[ids]
+        begin = of_slot >> 42
+        size = ((self.of_slot[slot + 1] >> 42) - begin) * (of_slot & _LOW == ids)
+        return begin, size, of_id >> 21, of_id & _LOW
 
     def between(self, last: np.ndarray, weight1: np.ndarray, weight0: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slots that the first one beyond each value lies between: what order 0 adds to a sum is at most all of it."""
-        whole, weight1 = 1 << self.bits, np.maximum(weight1, 1)
-        least, most = np.maximum(value - (weight0 << self.bits), 0) // weight1, np.minimum(value // weight1, whole - 1)
-        first, at, bits = self.begin[last], self.steps_at[last], self.step_bits[last]
-        # A last id without followers has no weight for order 1; its only step is empty.
-        least = np.minimum(least, whole - 1)
-        return first + self.below[at + (least >> bits)], first + self.below[at + (most >> bits) + 1]
+        most, steps = (1 << self.bits) - 1, self.step_of_last[last]
+        at, bits, weight1 = steps >> 5, steps & 31, np.maximum(weight1, 1)
+        # A last id without followers has no weight for order 1; its steps are empty.
+        low = np.minimum(quotient(np.maximum(value - (weight0 << self.bits), 0), weight1), most)
+        high = np.minimum(quotient(value, weight1), most)
+        return self.below[at + (low >> bits)].astype(np.int64), self.below[at + (high >> bits) + 1].astype(np.int64)
 
 
-def share_of(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """A part of a whole (both below 2 ** 37) as whole shares of 65536; such quotients of exact numbers are alike everywhere."""
-    return (part * 65536.0 / whole).astype(np.int64)
+def quotient(part: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Whole quotients of numbers below 2 ** 44; where these don't divide, the next whole number is too far off to be rounded to."""
+    return (part / by).astype(np.int64)
 
 
 class Mixer:
     """The predictions of all orders in each lane, and their weights, which start anew in each.
 
     A cell of order 2 holds the last id of its context (which tells most other contexts apart), what last followed that
-    context in this lane and, in its lowest four bits, how sure that is. `slots`, for decoding, holds the slot of the
-    guess in order 1. Weights are shares of 65536: that of order 2 at each level of sureness, and that of order 0
-    against order 1 at each rarity of the last id.
+    context in this lane and, in its lowest four bits, how sure that is; for decoding also the slot of the guess in order 1,
+    counted from the first one of the last id. Weights are shares of 65536: that of order 2 at each level of sureness, and
+    that of order 0 against order 1 at each rarity of the last id.
     """
 
-    def __init__(self, lanes: int, orders: Orders, *, with_slots: bool = False):
+    def __init__(self, lanes: int, orders: Orders, *, with_slots: bool = False, strands: int = 1):
         cells, levels, lane = 1 << SLOTS_BITS, CONFIDENT + 1, np.arange(lanes)
-        self.orders, self.scale = orders, TOTAL_BITS - orders.bits
+        self.orders, self.scale, self.with_slots = orders, TOTAL_BITS - orders.bits, with_slots
         self.last, self.before = np.full(lanes, orders.kinds, dtype=np.int64), np.full(lanes, orders.kinds, dtype=np.int64)
-        self.cell = np.zeros(lanes * cells, dtype=np.int64)
-        self.slots = np.zeros(lanes * cells, dtype=np.int32) if with_slots else None
-        self.first_cell, self.first_sure, self.first_rare = lane * cells, lane * levels, lane * RARITIES
+        self.cell = np.zeros(-(-lanes // strands) * cells, dtype=np.int64)
+        self.first_cell, self.first_sure, self.first_rare = lane // strands * cells, lane * levels, lane * (RARITIES + 1)
+        #: The most that order 2 can have: the others keep 2 parts.
+        self.surest = 65536 - (2 << (16 - self.scale))
         at = np.arange(levels)
-        self.sure = np.tile(65536 * 2 * at // (2 * at + 3), lanes)
-        self.rare = np.tile(65536 * 3 >> (np.arange(RARITIES) + 2), lanes)
+        # What was seen once follows again about once in ten times, what was seen again mostly does.
+        start = np.where(at == 1, 65536 // 25, 65536 * 2 * np.maximum(at - 1, 0) // np.maximum(2 * at - 1, 1))
+        self.sure = np.tile(start, lanes)
+        self.least_sure = np.minimum(at * LEAST_SURE, LEAST_SURE)
+        self.rare = np.tile(np.append(65536 * 3 >> (np.arange(RARITIES) + 2), 65536), lanes)
+        # By level, and by 16 more where the guess was right: the next level. Below 2 the guess is given up.
+        self.next_level = np.concatenate((np.maximum(at >> 1, 1), np.minimum(at + 1, CONFIDENT)))
 
     def predict(self, n: int) -> None:
         """The guesses of the first n lanes with their parts of the interval, and the weights of order 1 and order 0."""
         last = self.last[:n]
-        self.place = self.first_cell[:n] + (((last * 40503 + self.before[:n] * 30011) >> 4) & ((1 << SLOTS_BITS) - 1))
-        held = self.cell[self.place]
-        self.level = (held & CONFIDENT) * (held >> 24 == last)
+        self.place = ((last * _MIX[0] + self.before[:n] * _MIX[1]) >> 40) & ((1 << SLOTS_BITS) - 1)
+        self.place += self.first_cell[:n]
+        self.held = held = self.cell[self.place]
+        self.level = (held & CONFIDENT) * (held >> 40 == last)
         self.guess = (held >> 4) & 0xFFFFF
         self.sure_at = self.first_sure[:n] + self.level
         self.now_sure = self.sure[self.sure_at]
-        rest = np.maximum((65536 - self.now_sure) >> (16 - self.scale), 2)
-        self.part = (((1 << self.scale) - rest) << self.orders.bits).astype(np.int32)
-        self.rare_at = self.first_rare[:n] + self.orders.rarity[last]
+        rest = (65536 - self.now_sure) >> (16 - self.scale)
+        self.part = ((1 << self.scale) - rest) << self.orders.bits
+        of_last = self.orders.of_last[last]
+        self.begin = of_last >> 4
+        self.rare_at = (of_last & 15) + self.first_rare[:n]
         self.now_rare = self.rare[self.rare_at]
-        self.follows = self.orders.followers[last] > 0
-        weight0 = np.where(self.follows, np.minimum(np.maximum(rest * self.now_rare >> 16, 1), rest - 1), rest)
-        self.weight0, self.weight1 = weight0.astype(np.int32), (rest - weight0).astype(np.int32)
+        # At least 1 of the rest for each order; where nothing follows, `rare` stays 65536, and all of it is order 0's.
+        self.weight0 = (((rest - 1) * self.now_rare) >> 16) + 1
+        self.weight1 = rest - self.weight0
 
     def learn(self, ids: np.ndarray, size1: np.ndarray, size0: np.ndarray, slots: np.ndarray | None = None) -> None:
         """Moves each weight towards the part of these ids that its prediction gave; `size1` and `size0` are those of order 1 and order 0."""
+        others = size1 + size0
         right = (self.guess == ids) & (self.level > 0)
-        guessed, others, last = self.part * right, size1 + size0, self.last[: len(ids)]
-        self.rare[self.rare_at] = self.now_rare + ((share_of(size0, others) - self.now_rare) >> 5) * self.follows
-        moved = self.now_sure + ((share_of(guessed, guessed + others) - self.now_sure) >> 4)
-        self.sure[self.sure_at] = np.maximum(moved, LEAST_SURE) * (self.level > 0)
-        stays = right | (self.level > 1)
-        level = np.where(right, np.minimum(self.level + 1, CONFIDENT), np.maximum(self.level >> 1, 1))
-        self.cell[self.place] = (last << 24) | (np.where(stays, self.guess, ids) << 4) | level
+        guessed = self.part * right
+        self.rare[self.rare_at] = self.now_rare + ((quotient(size0 << 16, others) - self.now_rare) >> 5)
+        moved = self.now_sure + ((quotient(guessed * self.surest, guessed + others) - self.now_sure) >> 4)
+        self.sure[self.sure_at] = np.maximum(moved, self.least_sure[self.level])
+        level = (self.held & CONFIDENT) + (right << 4)
+        fresh = (self.last[: len(ids)] << 40) | (ids << 4)
         if slots is not None:
-            self.slots[self.place] = np.where(stays, self.slots[self.place], slots)
-        self.before[: len(ids)] = last
+            fresh |= (slots - self.begin) << 24
+        np.copyto(fresh, self.held & ~CONFIDENT, where=level > 1)
+        fresh |= self.next_level[level]
+        self.cell[self.place] = fresh
+        self.before[: len(ids)] = self.last[: len(ids)]
         self.last[: len(ids)] = ids
 
 
 def split_lanes(ids: np.ndarray) -> tuple[int, np.ndarray]:
-    """Number of lanes, and ids by step and lane (the last lane may be short)."""
-    lanes = -(-len(ids) // BLOCK_IDS)
-    table = np.zeros(lanes * BLOCK_IDS, dtype=np.int32)
+    """Number of lanes, one for each strand of each block, and ids by step and lane (the last lane may be short)."""
+    length = BLOCK_IDS // STRANDS
+    lanes = -(-len(ids) // length)
+    table = np.zeros(lanes * length, dtype=np.int32)
     table[: len(ids)] = ids
-    return lanes, np.ascontiguousarray(table.reshape(lanes, BLOCK_IDS).T)
+    return lanes, np.ascontiguousarray(table.reshape(lanes, length).T)
 
 
 def steps_of(total: int, lanes: int) -> Iterator[tuple[int, int]]:
     """Each step with the number of lanes that still have an id there."""
-    tail = total - (lanes - 1) * BLOCK_IDS
-    for t in range(BLOCK_IDS if lanes > 1 else tail):
+    length = BLOCK_IDS // STRANDS
+    tail = total - (lanes - 1) * length
+    for t in range(length if lanes > 1 else tail):
         yield t, lanes if t < tail else lanes - 1
 
 
+def carry(out: np.ndarray, at: np.ndarray) -> None:
+    """Adds 1 to the words at these places, and to those before them where they are full."""
+    while len(at):
+        out[at] += 1
+        at = at[out[at] == 0] - 1
+
+
 def encode_blocks(ids: np.ndarray, orders: Orders) -> list[bytes]:
-    """One independent range-coded string for each block of BLOCK_IDS ids."""
+    """One independent string for each block of BLOCK_IDS ids: how many words each strand but the last has, and their range-coded words."""
     if not len(ids):
         return []
     lanes, table = split_lanes(ids)
-    model = Mixer(lanes, orders)
+    model = Mixer(lanes, orders, strands=STRANDS)
     low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
-    out = np.zeros((lanes, 2 * BLOCK_IDS + 16), dtype=">u2")
-    used = np.zeros(lanes, dtype=np.int64)
+    room = 2 * BLOCK_IDS // STRANDS + 16
+    out, first = np.zeros(lanes * room, dtype=np.uint16), np.arange(lanes) * room
+    used = first.copy()
     none = np.full((1, lanes), orders.kinds)
     for t, n in steps_of(len(ids), lanes):
         if t % STEPS == 0:
@@ -242,41 +276,43 @@ def encode_blocks(ids: np.ndarray, orders: Orders) -> list[bytes]:
         size1, size0 = model.weight1 * size1, model.weight0 * size0
         start = model.weight1 * begin1 + model.weight0 * begin0 + model.part * (model.guess < now)
         size = size1 + size0 + model.part * (model.guess == now)
-        unit = width[:n] >> np.uint64(TOTAL_BITS)
-        low[:n] += unit * start.astype(np.uint64)
-        width[:n] = unit * size.astype(np.uint64)
-        own_low, own_width, at = low[:n], width[:n], None
-        while True:
-            settled = (own_low ^ (own_low + own_width)) < _TOP
-            narrow = own_width < _BOTTOM
-            go = np.flatnonzero(settled | narrow)
-            if not len(go):
-                break
-            at = go if at is None else at[go]
-            own_low, own_width, narrow = own_low[go], own_width[go], (narrow & ~settled)[go]
-            if narrow.any():
-                own_width = np.where(narrow, (~own_low + np.uint64(1)) & (_BOTTOM - np.uint64(1)), own_width)
-            out[at, used[at]] = own_low >> np.uint64(48)
-            used[at] += 1
-            own_low, own_width = own_low << _U16, own_width << _U16
-            low[at], width[at] = own_low, own_width
+        own_low, own_width = low[:n], width[:n]
+        unit = own_width >> _TOTAL
+        added = unit * start.view(np.uint64)
+        own_low += added
+        np.multiply(unit, size.view(np.uint64), out=own_width)
+        over = np.flatnonzero(own_low < added)
+        if len(over):
+            carry(out, used[over] - 1)
+        go = np.flatnonzero(own_width < _TOP)
+        while len(go):
+            lows, widths, at = low[go], width[go] << _U16, used[go]
+            out[at] = lows >> _U48
+            used[go], low[go], width[go] = at + 1, lows << _U16, widths
+            go = go[widths < _TOP]
         model.learn(now, size1, size0)
-    for _ in range(4):
-        out[np.arange(lanes), used] = low >> np.uint64(48)
-        used += 1
-        low <<= _U16
-    return [out[i, : used[i]].tobytes() for i in range(lanes)]
+    # One more word is enough: the first that is within the interval whatever follows.
+    least = low + (_TOP - np.uint64(1))
+    carry(out, used[least < low] - 1)
+    out[used] = least >> _U48
+    sizes, out = (used + 1 - first).astype(">u2"), out.astype(">u2")
+    texts = [out[a : a + n].tobytes() for a, n in zip(first.tolist(), sizes.tolist(), strict=True)]
+    return [sizes[i : min(i + STRANDS, lanes) - 1].tobytes() + b"".join(texts[i : i + STRANDS]) for i in range(0, lanes, STRANDS)]
 
 
 def first_beyond(orders: Orders, low: np.ndarray, high: np.ndarray, weight1: np.ndarray, weight0: np.ndarray, value: np.ndarray) -> np.ndarray:
     """The first slots from `low` to `high` whose sums, as weighted, are beyond these values; those of `high` are."""
-    out, at = low.copy(), np.arange(len(low))
+    out, at = low.copy(), np.flatnonzero(low < high)
+    low, high, weight1, weight0, value = (x[at] for x in (low, high, weight1, weight0, value))
     while len(at):
-        for _ in range(3):
+        for _ in range(2):
             middle = (low + high) >> 1
-            over = weight1 * orders.at[middle] + weight0 * orders.base[middle] > value
-            high = np.where(over, middle, high)
-            low = np.where(over, low, middle + 1)
+            of_slot = orders.of_slot[middle]
+            over = weight1 * (of_slot >> 42) + weight0 * ((of_slot >> 21) & _LOW) > value
+            np.copyto(high, middle, where=over)
+            middle += 1
+            np.copyto(low, middle, where=~over)
+        # Where both had met, the slot of `high` is looked at again, which is beyond the value.
         out[at] = low
         left = np.flatnonzero(low < high)
         at, low, high, weight1, weight0, value = (x[left] for x in (at, low, high, weight1, weight0, value))
@@ -286,72 +322,80 @@ def first_beyond(orders: Orders, low: np.ndarray, high: np.ndarray, weight1: np.
 def find_ids(model: Mixer, value: np.ndarray) -> tuple[np.ndarray, ...]:
     """The ids whose parts of the interval hold these values: id, begin and size of the part, its sizes in order 1 and order 0, slot."""
     orders, n = model.orders, len(value)
-    last, weight1, weight0 = model.last[:n], model.weight1, model.weight0
-    # The guess of order 2; what it adds is taken off the values beyond it.
-    ids, slots = model.guess.copy(), model.slots[model.place].astype(np.int64)
-    before1, before0 = orders.at[slots], orders.sums[ids]
-    size1 = weight1 * ((orders.at[slots + 1] - before1) * (orders.id[slots] == ids))
-    size0 = weight0 * (orders.sums[ids + 1] - before0)
-    start = weight1 * before1 + weight0 * before0
-    size = size1 + size0 + model.part
-    guessed, beyond = model.part > 0, value >= start + size
-    added = model.part * beyond
+    weight1, weight0, begin = model.weight1, model.weight0, model.begin
+    # The guesses of order 2; what they add is taken off the values beyond them.
+    at = np.flatnonzero(model.level)
+    guess, own1, own0, part, values = model.guess[at], weight1[at], weight0[at], model.part[at], value[at]
+    own_slots = begin[at] + ((model.held[at] >> 24) & 0xFFFF)
+    of_slot, of_id = orders.of_slot[own_slots], orders.of_id[guess]
+    before1 = of_slot >> 42
+    guess1 = own1 * (((orders.of_slot[own_slots + 1] >> 42) - before1) * (of_slot & _LOW == guess))
+    guess0 = own0 * (of_id & _LOW)
+    own_start = own1 * before1 + own0 * (of_id >> 21)
+    own_size = guess1 + guess0 + part
+    beyond = values >= own_start + own_size
+    added = np.zeros(n, dtype=np.int64)
+    added[at] = part * beyond
     # The others: the first slot of their last id that begins beyond the value, and then the id before or between.
-    at = np.flatnonzero(~guessed | (value < start) | beyond)
-    if len(at):
-        last, weight1, weight0, added = last[at], weight1[at], weight0[at], added[at]
-        left = value[at] - added
-        first = orders.begin[last]
-        after = first_beyond(orders, *orders.between(last, weight1, weight0, left), weight1, weight0, left)
-        slot = np.maximum(after - 1, first)
-        own, before1 = np.minimum(orders.id[slot], orders.kinds - 1), orders.at[slot]
-        own1 = weight1 * (orders.at[after] - before1)
-        known = (after > first) & (left < weight1 * before1 + own1 + weight0 * orders.sums[own + 1])
-        between = np.minimum(np.maximum((left - weight1 * orders.at[after]) // weight0, 0), len(orders.id_of) - 1)
-        own, slot, own1 = np.where(known, own, orders.id_of[between]), np.where(known, slot, after), own1 * known
-        before0 = orders.sums[own]
-        own0 = weight0 * (orders.sums[own + 1] - before0)
-        ids[at], slots[at], size1[at], size0[at], size[at] = own, slot, own1, own0, own1 + own0
-        start[at] = weight1 * orders.at[slot] + weight0 * before0 + added
+    left = value - added
+    after = first_beyond(orders, *orders.between(model.last[:n], weight1, weight0, left), weight1, weight0, left)
+    slots = np.maximum(after - 1, begin)
+    of_slot = orders.of_slot[slots]
+    ids, begin1, after1 = of_slot & _LOW, of_slot >> 42, orders.of_slot[after] >> 42
+    of_id = orders.of_id[ids]
+    size1, begin0, size0 = weight1 * (after1 - begin1), of_id >> 21, weight0 * (of_id & _LOW)
+    start = weight1 * begin1 + weight0 * begin0
+    other = np.flatnonzero((left >= start + size1 + size0) | (after == begin))
+    if len(other):
+        slot, one, zero = after[other], weight1[other] * after1[other], weight0[other]
+        between = quotient(left[other] - one, zero)
+        own = orders.id_of[np.minimum(np.maximum(between, 0), len(orders.id_of) - 1)]
+        of_id = orders.of_id[own]
+        ids[other], slots[other], size1[other], size0[other] = own, slot, 0, zero * (of_id & _LOW)
+        start[other] = one + zero * (of_id >> 21)
+    size = size1 + size0
+    start += added
+    hit = np.flatnonzero((values >= own_start) & ~beyond)
+    if len(hit):
+        at = at[hit]
+        for x, own in ((ids, guess), (start, own_start), (size, own_size), (size1, guess1), (size0, guess0), (slots, own_slots)):
+            x[at] = own[hit]
     return ids, start, size, size1, size0, slots
 
 
 def decode_blocks(blocks: list[bytes], total: int, orders: Orders) -> np.ndarray:
     if not total:
         return np.zeros(0, dtype=np.int64)
-    lanes = len(blocks)
-    model = Mixer(lanes, orders, with_slots=True)
-    length = max(map(len, blocks)) // 2 + 8
-    words = np.zeros((lanes, length), dtype=np.uint16)
-    for i, b in enumerate(blocks):
-        words[i, : len(b) // 2] = np.frombuffer(b, dtype=">u2")
-    low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
+    lanes = -(-total * STRANDS // BLOCK_IDS)
+    model = Mixer(lanes, orders, with_slots=True, strands=STRANDS)
+    texts = []
+    for b in blocks:
+        own = np.frombuffer(b, dtype=">u2")
+        ends = min(STRANDS, lanes - len(texts)) - 1
+        texts += np.split(own[ends:], np.cumsum(own[:ends], dtype=np.int64))
+    room = max(map(len, texts)) + 8
+    words = np.zeros((lanes, room), dtype=np.uint16)
+    for row, text in zip(words, texts, strict=True):
+        row[: len(text)] = text
+    # `code` is what the string says beyond the begin of the interval.
     head = words[:, :4].astype(np.uint64)
-    code = (head[:, 0] << np.uint64(48)) | (head[:, 1] << np.uint64(32)) | (head[:, 2] << _U16) | head[:, 3]
-    used = np.full(lanes, 4, dtype=np.int64)
-    table = np.zeros((BLOCK_IDS, lanes), dtype=np.int32)
+    code = (head[:, 0] << _U48) | (head[:, 1] << np.uint64(32)) | (head[:, 2] << _U16) | head[:, 3]
+    words, used, width = words.ravel(), np.arange(lanes) * room + 4, np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
+    table = np.zeros((BLOCK_IDS // STRANDS, lanes), dtype=np.int32)
     for t, n in steps_of(total, lanes):
         model.predict(n)
-        unit = width[:n] >> np.uint64(TOTAL_BITS)
-        value = np.minimum((code[:n] - low[:n]) // unit, np.uint64((1 << TOTAL_BITS) - 1)).astype(np.int32)
+        own_code, own_width = code[:n], width[:n]
+        unit = own_width >> _TOTAL
+        value = np.minimum(own_code // unit, np.uint64((1 << TOTAL_BITS) - 1)).view(np.int64)
         now, start, size, size1, size0, slots = find_ids(model, value)
-        low[:n] += unit * start.astype(np.uint64)
-        width[:n] = unit * size.astype(np.uint64)
-        own_low, own_width, at = low[:n], width[:n], None
-        while True:
-            settled = (own_low ^ (own_low + own_width)) < _TOP
-            narrow = own_width < _BOTTOM
-            go = np.flatnonzero(settled | narrow)
-            if not len(go):
-                break
-            at = go if at is None else at[go]
-            own_low, own_width, narrow = own_low[go], own_width[go], (narrow & ~settled)[go]
-            if narrow.any():
-                own_width = np.where(narrow, (~own_low + np.uint64(1)) & (_BOTTOM - np.uint64(1)), own_width)
-            code[at] = (code[at] << _U16) | words[at, used[at]]
-            used[at] += 1
-            own_low, own_width = own_low << _U16, own_width << _U16
-            low[at], width[at] = own_low, own_width
+        own_code -= unit * start.view(np.uint64)
+        np.multiply(unit, size.view(np.uint64), out=own_width)
+        go = np.flatnonzero(own_width < _TOP)
+        while len(go):
+            widths, at = width[go] << _U16, used[go]
+            code[go] = (code[go] << _U16) | words[at]
+            used[go], width[go] = at + 1, widths
+            go = go[widths < _TOP]
         table[t, :n] = now
         model.learn(now, size1, size0, slots)
     return table.T.ravel()[:total]

@@ -4,11 +4,13 @@ The library drops white space and never joins across it, so the ids of a text ar
 spaces, in a row. A piece that the worker has met before is not encoded again; a new piece of plain Latin
 letters is cut by the file's own pattern into words, and only words that are new go to the library's model.
 Pieces with any other character, or with the mark that special strings begin with, go to the library whole.
+A text of plain letters throughout is lower-cased at once, so that its pieces are remembered in one form among the words.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from array import array
 
 #: Pieces, and words, that a worker remembers at most.
@@ -16,6 +18,7 @@ MEMORY_PIECES = 700_000
 MEMORY_WORDS = 1_000_000
 #: Characters that composing leaves alone and that lower-case one by one (but for the dotted I).
 PLAIN = "[!-~À-ſ]+"
+PLAIN_TEXT = "[ -~À-įı-ſ]*"
 
 
 def byte_letters() -> dict[int, str]:
@@ -57,6 +60,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.pieces, self.words = Memory(pieces, self.piece), Memory(words, self.word)
         self.plain = regex.compile(PLAIN).fullmatch
+        self.plain_text = re.compile(PLAIN_TEXT).fullmatch
         steps = (json.loads(self.library.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.cut = None
         if [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"]:
@@ -64,7 +68,13 @@ class Encoder:
         self.model, self.letters = self.library.model, byte_letters()
 
     def word(self, word: str) -> bytes:
-        """Ids of one word that the pattern gave."""
+        """Ids of one word that the pattern gave, or of a lower-case piece of plain letters."""
+        if not word.isalpha():
+            if word[:-1].isalpha() and word[-1] in ",.;:!?":
+                return self.words[word[:-1]] + self.words[word[-1]]
+            cut = self.cut(word)
+            if cut != [word]:
+                return b"".join(map(self.words.__getitem__, cut))
         letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         return array("I", [x.id for x in self.model.tokenize(letters)]).tobytes()
 
@@ -84,7 +94,11 @@ class Encoder:
         return self.ask(p)
 
     def encode(self, text: str) -> bytes:
-        out = b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
+        text = text.replace("\n", " ")
+        if self.cut and self.plain_text(text) and "<|" not in text:
+            out = b"".join(map(self.words.__getitem__, text.lower().split(" ")))
+        else:
+            out = b"".join(map(self.pieces.__getitem__, text.split(" ")))
         self.pieces.age()
         self.words.age()
         return out
