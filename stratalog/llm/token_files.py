@@ -8,7 +8,9 @@ in the record. An id's part of the coding interval is the weighted sum of what a
 in each block, and after each id they move towards the share that each order had in its part. Sums are of whole numbers
 (quotients of such are rounded down), so a file decodes alike everywhere.
 
-The blocks of a record are coded in step: each operation works on one id of every block.
+The ids of a block lie in strands, equal parts that are coded in step. They have weights and a coder each, and learn what
+follows what together: where two write one cell at a step, that of the later strand stays. All blocks of a record are
+coded in step as well, so each operation works on one id of every strand of every block.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ LEAST_SURE = 256
 RARITIES = 8
 #: Steps of all blocks that are looked up at a time.
 STEPS = 32
+#: Texts that are encoded together.
+BATCH_BYTES = 8 << 20
 #: Places for pairs by hash: so many for each.
 HASHED = 8
 #: Steps in which followers are looked up are by so many bits finer than there are followers.
@@ -458,22 +462,22 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1,
     """
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path).encode, int(end_id).to_bytes(4, "little")
+        encode, end = encoder(tokenizer_path).encode_many, int(end_id).to_bytes(4, "little")
         part, number, ids_of, raw, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def made():
-            ids = np.frombuffer(b"".join(raw), dtype="<u4")
-            record = write_record(ids_of, [len(x) // 4 for x in raw], ids)
+            ids = np.concatenate(raw)
+            record = write_record(ids_of, [len(x) for x in raw], ids)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([record], pa.binary())], names=["part", "number", "n_tokens", "data"])
 
-        for batch in batches(found):
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = encode(text or "") + end
-                if held and held + len(own) // 4 > record_ids:
+        for batch in batches(found, limit=BATCH_BYTES):
+            all_ids, lengths = encode([t or "" for t in batch.column("text").to_pylist()], end)
+            for doc, own in zip(batch.column("doc_id").to_pylist(), np.split(all_ids, np.cumsum(lengths)[:-1]), strict=True):
+                if held and held + len(own) > record_ids:
                     yield made()
                     number, ids_of, raw, held = number + 1, [], [], 0
                 ids_of.append(doc), raw.append(own)
-                held += len(own) // 4
+                held += len(own)
         if raw:
             yield made()
 

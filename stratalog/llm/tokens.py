@@ -13,6 +13,10 @@ import json
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Pieces, and words, that a worker remembers at most.
 MEMORY_PIECES = 700_000
 MEMORY_WORDS = 1_000_000
@@ -66,6 +70,8 @@ class Encoder:
         if [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"]:
             self.cut = regex.compile(steps[0]["pattern"]["Regex"]).findall
         self.model, self.letters = self.library.model, byte_letters()
+        # For many texts at once: pieces known, where the ids of each begin among `ids`, and how many these are. The first stands for the end of a text.
+        self.most, self.known, self.begin, self.size, self.ids = words // 2, pa.array(["\0"]), np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64), np.zeros(1, dtype="<u4")
 
     def word(self, word: str) -> bytes:
         """Ids of one word that the pattern gave, or of a lower-case piece of plain letters."""
@@ -93,9 +99,54 @@ class Encoder:
                 return b"".join(map(self.words.__getitem__, self.cut(p.lower())))
         return self.ask(p)
 
+    def is_plain(self, text: str) -> bool:
+        return bool(self.cut and self.plain_text(text)) and "<|" not in text
+
+    def encode_many(self, texts: list[str], end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, with the id `end` after each, and how many each has with it. Plain texts are looked
+        up together; another one takes part as one piece, which is a name that no plain text holds."""
+        shown, others = [], {}
+        self.ids[:1] = np.frombuffer(end, dtype="<u4")
+        for i, text in enumerate(texts):
+            text = text.replace("\n", " ")
+            if self.is_plain(text):
+                shown.append(text.lower())
+            else:
+                shown.append(f"\0{i}")
+                others[shown[-1]] = self.encode(text)
+        pieces = pc.split_pattern(pa.array(["".join([t + " \0 " for t in shown])[:-1]], pa.large_string()), " ").values.cast(pa.string())
+        at = pc.index_in(pieces, value_set=self.known)
+        lacks = at.is_null()
+        new = pieces.filter(lacks).dictionary_encode()
+        names = new.dictionary.to_numpy(zero_copy_only=False).tolist()
+        values = [others[p] if p in others else self.words[p] for p in names]
+        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+        begin, size = np.append(self.begin, len(self.ids) + np.cumsum(sizes) - sizes), np.append(self.size, sizes)
+        ids = np.append(self.ids, np.frombuffer(b"".join(values), dtype="<u4"))
+        place = at.fill_null(0).to_numpy().astype(np.int64)
+        place[lacks.to_numpy(zero_copy_only=False)] = len(self.known) + new.indices.to_numpy()
+        own = size[place]
+        ends = np.cumsum(own)
+        from_ = np.repeat(begin[place] - (ends - own), own)
+        from_ += np.arange(len(from_))
+        lengths = np.diff(ends[place == 0], prepend=0)
+        out, known = ids[from_], pa.concat_arrays([self.known, new.dictionary])
+        if others or len(known) > self.most:  # where there is no more room, what these texts lack is forgotten
+            keep = np.append(np.ones(len(self.known), dtype=bool), np.array([p not in others for p in names], dtype=bool))
+            if len(known) > self.most:
+                keep &= np.bincount(place, minlength=len(keep)) > 0
+            known, size, moved = known.filter(pa.array(keep)), size[keep], begin[keep]
+            begin = np.cumsum(size) - size
+            kept = np.repeat(moved - begin, size)
+            ids = ids[kept + np.arange(len(kept))]
+        self.known, self.begin, self.size, self.ids = known, begin, size, ids
+        self.pieces.age()
+        self.words.age()
+        return out, lengths
+
     def encode(self, text: str) -> bytes:
         text = text.replace("\n", " ")
-        if self.cut and self.plain_text(text) and "<|" not in text:
+        if self.is_plain(text):
             out = b"".join(map(self.words.__getitem__, text.lower().split(" ")))
         else:
             out = b"".join(map(self.pieces.__getitem__, text.split(" ")))

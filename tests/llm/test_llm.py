@@ -395,6 +395,45 @@ def test_orders_look_up_pairs_and_slots_at_once():
             assert (high - low).sum() < 0.3 * orders.followers[last].sum()
 
 
+@pytest.mark.parametrize("n", [1, 1_023, 1_025, 5_000, 9_300])
+def test_strands_share_a_block(n):
+    """A block's strands are coded in step, in a fourth of the steps, and learn in one set of cells."""
+    rng = np.random.default_rng(n)
+    ids = np.minimum(rng.zipf(1.3, n), 5_000) - 1
+    pairs, times = token_files.count_pairs(ids, 5_000)
+    orders = token_files.Orders(np.bincount(ids, minlength=5_000), pairs, times)
+    lanes, table = token_files.split_lanes(ids)
+    assert 4 * len(table) == token_files.BLOCK_IDS and sum(k for _, k in token_files.steps_of(n, lanes)) == n
+    blocks = token_files.encode_blocks(ids, orders)
+    assert len(blocks) == -(-n // token_files.BLOCK_IDS) and (token_files.decode_blocks(blocks, n, orders) == ids).all()
+    for i, block in enumerate(blocks):
+        own = ids[i * token_files.BLOCK_IDS :][: token_files.BLOCK_IDS]
+        assert (token_files.decode_blocks([block], len(own), orders) == own).all()
+    assert len(token_files.Mixer(8, orders, strands=4).cell) == 2 << token_files.SLOTS_BITS
+
+
+def test_carries_go_through_full_words():
+    out = np.array([7, 0xFFFF, 0xFFFF, 5, 0xFFFE], dtype=np.uint16)
+    token_files.carry(out, np.array([2, 4]))
+    assert out.tolist() == [8, 0, 0, 5, 0xFFFF]
+
+
+@pytest.mark.parametrize("words", [40, 1_000_000])
+def test_many_texts_at_once(words):
+    """Ids of many texts are the library's for each, with the end of each, whatever was remembered or forgotten before."""
+    e = tokens.Encoder(WORD_BPE, pieces=50, words=words)
+    odd = ["", " ", "\n", "A b.C", "It's GROSS, straße... ÄÖ.", "a\tb\u00a0c", "x\0y \0 \0" + "1", "<|endoftext|> <|ENDOFTEXT|>", "İi ı ſ Ÿ ×", "e\u0301 é", "日本 語", "12345 a1b2", "don't!!! ???", "\x7f"]
+    rng = random.Random(5)
+    for end in (1, 2):
+        for _ in range(4):
+            texts = [*odd, *(" ".join(rng.choice(["alpha", "Beta", "gamma,", "zu" * rng.randint(1, 9), "...", "İ"]) for _ in range(rng.randint(0, 30))) for _ in range(30))]
+            rng.shuffle(texts)
+            ids, lengths = e.encode_many(texts, end.to_bytes(4, "little"))
+            want = [[*e.library.encode(t, add_special_tokens=False).ids, end] for t in texts]
+            assert lengths.tolist() == list(map(len, want)) and ids.tolist() == [i for own in want for i in own]
+    assert len(e.known) < 1_000 and "\0" == e.known[0].as_py() and not any(p.startswith("\0") for p in e.known.to_pylist()[1:])
+
+
 def test_token_files_are_small(monkeypatch):
     """At least 20 per cent fewer bits than a general compressor takes for the ids as 16-bit numbers, and fewer by order 2."""
     import pyarrow.parquet as pq
