@@ -157,11 +157,19 @@ class Orders:
     def between(self, last: np.ndarray, weight1: np.ndarray, weight0: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slots that the first one beyond each value lies between: what order 0 adds to a sum is at most all of it."""
         most, steps = (1 << self.bits) - 1, self.step_of_last[last]
-        at, bits, weight1 = steps >> 5, steps & 31, np.maximum(weight1, 1)
-        # A last id without followers has no weight for order 1; its steps are empty.
-        low = np.minimum(quotient(np.maximum(value - (weight0 << self.bits), 0), weight1), most)
-        high = np.minimum(quotient(value, weight1), most)
-        return self.below[at + (low >> bits)].astype(np.int64), self.below[at + (high >> bits) + 1].astype(np.int64)
+        at, bits = steps >> 5, steps & 31
+        # A last id without followers has no weight for order 1; its steps are empty. With a half more, no whole quotient can be missed.
+        parts = 1.0 / np.maximum(weight1, 1)
+        value = value + 0.5
+        high = np.minimum((value * parts).astype(np.int64), most)
+        value -= weight0 << self.bits
+        low = np.minimum((np.maximum(value, 0) * parts).astype(np.int64), most)
+        low >>= bits
+        low += at
+        high >>= bits
+        high += at
+        high += 1
+        return self.below[low].astype(np.int64), self.below[high].astype(np.int64)
 
 
 def quotient(part: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -306,7 +314,7 @@ def encode_blocks(ids: np.ndarray, orders: Orders) -> list[bytes]:
 
 def first_beyond(orders: Orders, low: np.ndarray, high: np.ndarray, weight1: np.ndarray, weight0: np.ndarray, value: np.ndarray) -> np.ndarray:
     """The first slots from `low` to `high` whose sums, as weighted, are beyond these values; those of `high` are."""
-    out, at = low.copy(), np.flatnonzero(low < high)
+    out, at = low, np.flatnonzero(low < high)
     low, high, weight1, weight0, value = (x[at] for x in (low, high, weight1, weight0, value))
     while len(at):
         for _ in range(2):

@@ -119,7 +119,7 @@ class Encoder:
         lacks = at.is_null()
         new = pieces.filter(lacks).dictionary_encode()
         names = new.dictionary.to_numpy(zero_copy_only=False).tolist()
-        values = [others[p] if p in others else self.words[p] for p in names]
+        values = [others[p] if p in others else self.words[p] for p in names] if others else list(map(self.words.__getitem__, names))
         sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
         begin, size = np.append(self.begin, len(self.ids) + np.cumsum(sizes) - sizes), np.append(self.size, sizes)
         ids = np.append(self.ids, np.frombuffer(b"".join(values), dtype="<u4"))
