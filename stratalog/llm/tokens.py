@@ -70,6 +70,7 @@ class Encoder:
         if [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"]:
             self.cut = regex.compile(steps[0]["pattern"]["Regex"]).findall
         self.model, self.letters = self.library.model, byte_letters()
+        self.raw = [i.to_bytes(4, "little") for i in range(max(self.library.get_vocab().values()) + 1)]
         # For many texts at once: pieces known, where the ids of each begin among `ids`, and how many these are. The first stands for the end of a text.
         self.most, self.known, self.begin, self.size, self.ids = words // 2, pa.array(["\0"]), np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64), np.zeros(1, dtype="<u4")
 
@@ -82,7 +83,7 @@ class Encoder:
             if cut != [word]:
                 return b"".join(map(self.words.__getitem__, cut))
         letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [x.id for x in self.model.tokenize(letters)]).tobytes()
+        return b"".join([self.raw[x.id] for x in self.model.tokenize(letters)])
 
     def ask(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -119,7 +120,8 @@ class Encoder:
         lacks = at.is_null()
         new = pieces.filter(lacks).dictionary_encode()
         names = new.dictionary.to_numpy(zero_copy_only=False).tolist()
-        values = [others[p] if p in others else self.words[p] for p in names] if others else list(map(self.words.__getitem__, names))
+        # Of plain pieces only words are remembered here; a piece with other signs is known by itself.
+        values = [others[p] if p in others else self.words[p] if p.isalpha() else self.word(p) for p in names]
         sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
         begin, size = np.append(self.begin, len(self.ids) + np.cumsum(sizes) - sizes), np.append(self.size, sizes)
         ids = np.append(self.ids, np.frombuffer(b"".join(values), dtype="<u4"))
