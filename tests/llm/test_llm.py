@@ -313,6 +313,47 @@ def test_components(spark, monkeypatch, hub):
     assert found == label
 
 
+def test_components_in_few_tasks(spark):
+    """Each task of a round leaves files and events, whatever the size of the links, so a round must be few stages."""
+    conf = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    edges = [(i, i + 1) for i in range(100)] + [(1000, 1000 + i) for i in range(1500)] + [(5000 + i, 7000) for i in range(1500)] + [(7, 7), (-5, -5)]
+    label = {n: 0 if 0 <= n <= 100 else 1000 if 1000 <= n < 5000 else min(n, 5000) for e in edges for n in e}
+    links = spark.createDataFrame(edges, "a long, b long")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("components", "components")
+        found = {r.node: r.component for r in components.components(links).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {k for job in tracker.getJobIdsForGroup("components") for k in tracker.getJobInfo(job).stageIds}
+    tasks = sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+    assert found == label
+    assert 0 < tasks < 30 * 20, tasks
+
+
+@pytest.mark.parametrize("size", [3, 200_000])
+def test_links_joined_in_a_task(spark, monkeypatch, size):
+    """What lies in one task comes out as one row for each node and step, with the same components."""
+    monkeypatch.setattr(components, "JOINED_LINKS", size)
+    rng = random.Random(2)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(400, None), (None, None)]
+    links = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    whole = [(a if b is None else b if a is None else a, a if b is None else b) for a, b in edges if (a, b) != (None, None)]
+    label = {n: n for e in whole for n in e}
+    for _ in label:
+        for a, b in whole:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {r.node: r.component for r in components.components(links).collect()} == label
+    node, least = components.least_reached(*np.array(whole, dtype=np.int64).T)
+    assert dict(zip(node.tolist(), least.tolist(), strict=True)) == label
+    assert components.components(links.where("a < 0")).count() == 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 2047, 2048, 2049, 20000])
 def test_range_coder(n):
     rng = np.random.default_rng(n)
