@@ -74,7 +74,8 @@ def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     has moved: the links are stars around the least nodes. A round makes two rows of a link at most.
     """
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a IS NOT NULL")
-    edges = stored(joined_links(links.withColumn("moved", F.lit(True))), "links")
+    # Links may come from a Python step. Stored first, they are joined in tasks of their own, so no task holds two Python workers.
+    edges = stored(joined_links(stored(links.withColumn("moved", F.lit(True)), "links")), "links")
     for _ in range(most_rounds):
         size, moved = edges.agg(F.count("*"), F.max("moved")).first()
         if not moved:
