@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from stratalog.functions.text import quantize, scope_overlap
+from stratalog.sources.shared import stored
 
 from .textsearch import DEPTH, text_topk
 
 EXACT_LIMIT, RRF_K, RERANK_DEPTH, LIMIT = 8000, 60, 50, 20
 #: Queries whose vectors are sent to all tasks at a time.
 QUERY_BLOCK = 2_000
+#: Bytes of a block of vectors.
+BLOCK_BYTES = 8 << 20
 #: Bytes of the distances that a task computes at a time.
 PRODUCT_BYTES = 32 << 20
 
@@ -40,63 +44,89 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
 
 
+@F.pandas_udf(BinaryType())
+def _bits(cells: pd.Series) -> pd.Series:
+    """A bit for each cell: numbers of cells are many, and rows of queries go to many tasks."""
+    return cells.map(lambda c: np.packbits(np.bincount(c).astype(bool), bitorder="little").tobytes())
+
+
+def _vec(df: DataFrame):
+    """The column vec as it is stored, floats or else doubles, and the bytes of a number."""
+    floats = df.schema["vec"].dataType.simpleString() == "array<float>"
+    return F.col("vec").cast("array<float>" if floats else "array<double>").alias("vec"), 4 if floats else 8
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = DEPTH) -> DataFrame:
     """query_id, id, distance, pos: the k nearest of `vectors` (id, vec) by cosine distance, ties by id.
 
-    A query sees only vectors of its project_id, model_id and cell, where both sides have these columns, and, where it has
-    scopes, those whose scope_keys share one with them. Vectors are packed into blocks where they lie, queries (a
-    stated set) into rows of QUERY_BLOCK at most; blocks and rows meet by an equi-join on project and model, which
-    Spark broadcasts if the queries turn out small and deals out otherwise. Each pair is a group of its own and
-    keeps its k best per query, so the last exchange holds k rows per query and block at most.
+    A query sees only vectors of its project_id and model_id, where both sides have these columns, where it has scopes,
+    those whose scope_keys share one with them, and where it has `cells` (array<int>), those whose cell is among them.
+    The vectors of a project and model are dealt by id into as many blocks of BLOCK_BYTES as they fill, queries (a stated
+    set) into rows of QUERY_BLOCK at most. A vector is exchanged once, to its block, and a row of queries goes to each
+    block. Pairs of a block and a row arise in the task of the block and are not exchanged; each is handed over on its
+    own and keeps its k best per query, so the last exchange holds k rows per query and block at most.
     """
-    keys = [c for c in ("project_id", "model_id", "cell") if c in queries.columns and c in vectors.columns]
-    scoped = "scopes" in queries.columns and "scope_keys" in vectors.columns
+    keys = [c for c in ("project_id", "model_id") if c in queries.columns and c in vectors.columns]
+    scoped, celled = "scopes" in queries.columns and "scope_keys" in vectors.columns, "cells" in queries.columns and "cell" in vectors.columns
     none = F.array().cast("array<string>")
-    asked = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec"), (F.coalesce("scopes", none) if scoped else none).alias("scopes"), *keys, F.lit(0).alias("_all"))
+    vec, _ = _vec(queries)
+    asked = queries.select("query_id", vec, (F.coalesce("scopes", none) if scoped else none).alias("scopes"), (_bits("cells") if celled else F.lit(b"")).alias("bits"), *keys, F.lit(0).alias("_all"))
     keys = keys or ["_all"]
-    rows = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"), (F.coalesce("scope_keys", none) if scoped else none).alias("scope_keys"), *[F.lit(0).alias(c) if c == "_all" else F.col(c) for c in keys])
-    types = {c: rows.schema[c].dataType.simpleString() for c in keys}
-    # Queries of a project in rows of bounded size.
-    sizes = asked.groupBy(*keys).agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("_rows"))
+    vec, width = _vec(vectors)
+    rows = vectors.select("id", vec, (F.coalesce("scope_keys", none) if scoped else none).alias("scope_keys"), (F.col("cell").cast("int") if celled else F.lit(0)).alias("cell"), *[F.lit(0).alias(c) if c == "_all" else F.col(c) for c in keys])
+    # Both sides have to know the same number of blocks, so it is stored.
+    sizes = asked.groupBy(*keys).agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("_rows"), F.max(F.size("vec")).alias("_dim")).join(rows.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    sizes = stored(sizes.select(*keys, "_rows", F.greatest(F.lit(1), F.ceil(F.col("_n") * F.col("_dim") * width / BLOCK_BYTES)).cast("int").alias("_blocks")), "sizes")
     packed = asked.join(sizes, keys).withColumn("_row", F.pmod(F.xxhash64("query_id"), F.col("_rows")))
-    packed = packed.groupBy(*keys, "_row").agg(F.collect_list(F.struct("query_id", "vec", "scopes")).alias("asked"))
-
-    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, part in batch.groupby(keys, sort=False):
-                own = {c: [v] for c, v in zip(keys, key, strict=True)}
-                yield pd.DataFrame(own | {"ids": [part["id"].tolist()], "vecs": [np.concatenate(part["vec"].to_numpy())], "scope_keys": [[list(x) for x in part["scope_keys"]]]})
-
-    blocks = rows.mapInPandas(block, ", ".join([*(f"{c} {t}" for c, t in types.items()), "ids array<long>", "vecs array<double>", "scope_keys array<array<string>>"]))
+    on = [*(c for c in keys if c != "_all"), "_block"]
+    packed = packed.groupBy(*on[:-1], "_blocks", "_row").agg(F.collect_list(F.struct("query_id", "vec", "scopes", "bits")).alias("_q"))
+    packed = packed.select(*on[:-1], "_row", F.col("_q.query_id"), F.flatten("_q.vec").alias("asked"), F.col("_q.scopes"), F.col("_q.bits"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    blocks = rows.join(sizes.drop("_rows"), keys).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    blocks = blocks.groupBy(*on).agg(F.collect_list(F.struct("id", "vec", "scope_keys", "cell")).alias("_v"))
+    blocks = blocks.select(*on, F.col("_v.id"), F.flatten("_v.vec").alias("vecs"), F.col("_v.scope_keys"), F.col("_v.cell"))
 
     def search(pair: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for ids, vecs, scope_keys, asked in zip(pair["ids"], pair["vecs"], pair["scope_keys"], pair["asked"], strict=True):
-            ids, table = np.asarray(ids), _unit(vecs.reshape(len(ids), -1))
-            allowed: dict[tuple, np.ndarray] = {}
-            most, step = min(k, len(ids)), max(1, PRODUCT_BYTES // (8 * len(ids)))
-            for at in range(0, len(asked), step):
-                some = asked[at : at + step]
-                query = np.array([q["query_id"] for q in some], dtype=np.int64)
-                distance = 1 - _unit(np.stack([q["vec"] for q in some])) @ table.T
+        found = [pd.DataFrame({"query_id": [], "id": [], "distance": []})]
+        for r in pair.itertuples():
+            ids, query = np.asarray(r.id), np.asarray(r.query_id)
+            table, asked = (_unit(np.asarray(v, dtype=np.float64).reshape(n, -1)) for v, n in ((r.vecs, len(ids)), (r.asked, len(query))))
+            wanted = [tuple(x) for x in r.scopes]
+            allowed = {x: np.array([not set(h).isdisjoint(x) for h in r.scope_keys]) for x in set(wanted) - {()}}
+            step = max(1, PRODUCT_BYTES // (8 * len(ids)))
+            parts = [np.arange(at, min(at + step, len(query))) for at in range(0, len(query), step)]
+            if celled:
+                cells, cell, count = np.unique(r.cell, return_inverse=True, return_counts=True)
+                probed = np.zeros((len(query), cells[-1] + 1), dtype=bool)
+                for i, b in enumerate(r.bits):
+                    flags = np.unpackbits(np.frombuffer(b, dtype=np.uint8), bitorder="little")[: probed.shape[1]]
+                    probed[i, : len(flags)] = flags
+                probed = probed[:, cells]
+                # Queries with few cells in common are searched one by one.
+                sparse = [probed[p].any(axis=0) @ count * len(p) > 4 * (probed[p] @ count).sum() for p in parts]
+                parts = [x for p, alone in zip(parts, sparse, strict=True) for x in (p.reshape(-1, 1) if alone else [p])]
+            for some in parts:
+                place = np.flatnonzero(probed[some].any(axis=0)[cell]) if celled else np.arange(len(ids))
+                if not len(place):
+                    continue
+                whole = len(place) == len(ids)
+                distance = 1 - asked[some] @ (table if whole else table[place]).T
+                if celled and len(some) > 1:
+                    distance[~probed[some][:, cell[place]]] = np.inf
                 for i, q in enumerate(some):
-                    wanted = tuple(q["scopes"])
-                    if wanted:
-                        if wanted not in allowed:
-                            allowed[wanted] = np.array([not set(h).isdisjoint(wanted) for h in scope_keys])
-                        distance[i, ~allowed[wanted]] = np.inf
-                coarse = distance.round(9)
+                    if wanted[q]:
+                        distance[i, ~allowed[wanted[q]][place]] = np.inf
+                coarse, most, own = distance.round(9), min(k, len(place)), ids[place]
                 # All that is as near as the k-th; ties beyond it are settled by id.
-                row, place = np.nonzero((coarse <= np.partition(coarse, most - 1, axis=1)[:, most - 1 : most]) & np.isfinite(coarse))
-                order = np.lexsort((ids[place], coarse[row, place], row))
-                row, place = row[order], place[order]
+                row, at = np.nonzero((coarse <= np.partition(coarse, most - 1, axis=1)[:, most - 1 : most]) & np.isfinite(coarse))
+                order = np.lexsort((own[at], coarse[row, at], row))
+                row, at = row[order], at[order]
                 keep = np.arange(len(row)) - np.searchsorted(row, row) < most
-                row, place = row[keep], place[keep]
-                found.append(pd.DataFrame({"query_id": query[row], "id": ids[place], "distance": distance[row, place]}))
-        return pd.concat(found)
+                row, at = row[keep], at[keep]
+                found.append(pd.DataFrame({"query_id": query[some[row]], "id": own[at], "distance": distance[row, at]}))
+        return pd.concat(found[1:] or found)
 
-    # A group is one block and one row of queries: Python has no more at a time, however many meet in a task.
-    pairs = blocks.withColumn("_block", F.xxhash64("ids")).join(packed, keys).groupBy(*keys, "_block", "_row")
+    # Dealt out by the keys of the join, pairs lie together already. A pair is a group: Python has no more at a time.
+    pairs = blocks.hint("shuffle_hash").join(packed, on).groupBy(*on, "_row")
     found = pairs.applyInPandas(search, "query_id long, id long, distance double")
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id"))
     return found.withColumn("pos", pos).where(F.col("pos") <= k)

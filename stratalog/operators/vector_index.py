@@ -75,7 +75,7 @@ def needed_probes(index: DataFrame, centroids: np.ndarray, *, target: float = TA
     for 1, 2, 4, ... neighbours; from an exact search for about `asked` stored vectors, which a hash picks."""
     n = index.count()
     picked = index.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) < int(min(1.0, asked / max(n, 1)) * (1 << 20)) + 1)
-    picked = picked.select(F.monotonically_increasing_id().alias("query_id"), "vec").withColumn("_order", _nearest_cells(centroids)("vec"))
+    picked = stored(picked.select(F.monotonically_increasing_id().alias("query_id"), "vec").withColumn("_order", _nearest_cells(centroids)("vec")), "picked")
     numbered = index.select("cell", F.col("vec"), F.xxhash64("id", "cell").alias("id"))
     near = dense_topk(picked.select("query_id", "vec"), numbered, min(most, max(n, 1))).select("query_id", "id", "pos")
     placed = near.join(numbered.select("id", "cell"), "id").join(picked.select("query_id", "_order"), "query_id")
@@ -126,7 +126,7 @@ def index_topk(queries: DataFrame, path: str, k: int = DEPTH, *, visible: DataFr
         allowed = visible.select(*keys, *([F.col("scope_keys")] if "scope_keys" in visible.columns else []))
         index = (index.drop("scope_keys") if "scope_keys" in visible.columns else index).join(allowed, keys)
     needed = spark.read.parquet(f"{path}/probes").orderBy("neighbours").collect()  # one row for each power of two
-    asked = queries.withColumn("_order", _nearest_cells(centroids)("vec"))
+    asked, order = queries, _nearest_cells(centroids)("vec")
     if probes is not None:
         asked = asked.withColumn("_width", F.lit(probes))
     else:
@@ -138,12 +138,13 @@ def index_topk(queries: DataFrame, path: str, k: int = DEPTH, *, visible: DataFr
         if passing is not None:
             asked = asked.join(passing.select("query_id", F.col("n").alias("_n")), "query_id", "left").fillna({"_n": 0})
         asked = asked.withColumn("_width", steps)
-    asked = asked.withColumns({"_from": F.lit(0), "_width": F.least(F.greatest("_width", F.lit(1)), F.lit(len(centroids)))}).drop("_n")
+    asked = stored(asked.withColumns({"_from": F.lit(0), "_width": F.least(F.greatest("_width", F.lit(1)), F.lit(len(centroids)))}).drop("_n"), "asked")
     found = None
     while True:
-        probed = asked.withColumn("cell", F.explode(F.slice("_order", F.col("_from") + 1, F.col("_width") - F.col("_from")))).drop("_order", "_from", "_width")
+        # A query goes along once, with its cells, and not once for each of them.
+        probed = asked.withColumn("cells", F.slice(order, F.col("_from") + 1, F.col("_width") - F.col("_from"))).drop("_from", "_width")
         # Names of cells, MOST_CELLS at most, choose the partitions that the scan lists.
-        cells = [r.cell for r in probed.select("cell").distinct().collect()]
+        cells = [r.cell for r in probed.select(F.explode("cells").alias("cell")).distinct().collect()]
         near = stored(dense_topk(probed, index.where(F.col("cell").isin(cells)), k).drop("pos"), "probed")
         found = near if found is None else found.unionByName(near)
         pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id"))
@@ -158,13 +159,15 @@ def index_topk(queries: DataFrame, path: str, k: int = DEPTH, *, visible: DataFr
 def dense_leg(queries: DataFrame, memories: DataFrame, path: str, k: int = DEPTH, *, limit: int = EXACT_LIMIT, probes: int | None = None) -> DataFrame:
     """The dense leg by the path of each query: an exact pass for those whose filters leave at most `limit` memories, the
     index for the others. query_id, id, distance, pos, path."""
-    live = exclude_quarantine(live_head(memories))
-    counts = candidate_count(queries, live, (1 << 62)).select("query_id", "n")
+    live = stored(exclude_quarantine(live_head(memories)).select("id", "project_id", "scope_keys"), "live")
+    counts = stored(candidate_count(queries, live, (1 << 62)).select("query_id", "n"), "counts")
     routed = queries.join(counts.select("query_id", F.when(F.col("n") <= limit, "exact").otherwise("index").alias("path")), "query_id")
-    vectors = queries.sparkSession.read.parquet(f"{path}/cells").drop("cell", "scope_keys").join(live.select("id", "project_id", "scope_keys"), ["id", "project_id"])
-    exact = dense_topk(routed.where("path = 'exact'").drop("path"), vectors, k).withColumn("path", F.lit("exact"))
+    index = queries.sparkSession.read.parquet(f"{path}/cells").drop("cell", "scope_keys")
+    # Memories without a vector go once, and not in each search.
+    held = stored(live.join(index.select("id", "project_id"), ["id", "project_id"], "left_semi"), "held")
+    exact = dense_topk(routed.where("path = 'exact'").drop("path"), index.join(held, ["id", "project_id"]), k).withColumn("path", F.lit("exact"))
     many = routed.where("path = 'index'").drop("path")
-    return exact.unionByName(index_topk(many, path, k, visible=live, passing=counts, probes=probes).withColumn("path", F.lit("index")))
+    return exact.unionByName(index_topk(many, path, k, visible=held, passing=counts, probes=probes).withColumn("path", F.lit("index")))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
