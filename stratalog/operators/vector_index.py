@@ -124,7 +124,8 @@ def index_topk(queries: DataFrame, path: str, k: int = DEPTH, *, visible: DataFr
     if visible is not None:
         keys = ["id", *(["project_id"] if "project_id" in visible.columns and "project_id" in index.columns else [])]
         allowed = visible.select(*keys, *([F.col("scope_keys")] if "scope_keys" in visible.columns else []))
-        index = (index.drop("scope_keys") if "scope_keys" in visible.columns else index).join(allowed, keys)
+        # Ids are stored in few bytes and take many in memory, so their files' size must not make them a broadcast.
+        index = (index.drop("scope_keys") if "scope_keys" in visible.columns else index).join(allowed.hint("merge"), keys)
     needed = spark.read.parquet(f"{path}/probes").orderBy("neighbours").collect()  # one row for each power of two
     asked, order = queries, _nearest_cells(centroids)("vec")
     if probes is not None:
@@ -164,8 +165,8 @@ def dense_leg(queries: DataFrame, memories: DataFrame, path: str, k: int = DEPTH
     routed = queries.join(counts.select("query_id", F.when(F.col("n") <= limit, "exact").otherwise("index").alias("path")), "query_id")
     index = queries.sparkSession.read.parquet(f"{path}/cells").drop("cell", "scope_keys")
     # Memories without a vector go once, and not in each search.
-    held = stored(live.join(index.select("id", "project_id"), ["id", "project_id"], "left_semi"), "held")
-    exact = dense_topk(routed.where("path = 'exact'").drop("path"), index.join(held, ["id", "project_id"]), k).withColumn("path", F.lit("exact"))
+    held = stored(live.join(index.select("id", "project_id").hint("merge"), ["id", "project_id"], "left_semi"), "held")
+    exact = dense_topk(routed.where("path = 'exact'").drop("path"), index.join(held.hint("merge"), ["id", "project_id"]), k).withColumn("path", F.lit("exact"))
     many = routed.where("path = 'index'").drop("path")
     return exact.unionByName(index_topk(many, path, k, visible=held, passing=counts, probes=probes).withColumn("path", F.lit("index")))
 
